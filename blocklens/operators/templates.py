@@ -5,6 +5,7 @@ the published prefix-tree idea (He et al., 2017), signatures meet only within th
 (token count, first token) leaf, where they are clustered in order of appearance.
 """
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from blocklens.functions import text
 from blocklens.functions.scale import checkpointed, global_rank, lookup_join
 
 LEAF_LIMIT = 5_000
+BUCKET_ROWS = 1_000
 _JOINER = " "
 _TEMPLATE_COLUMNS = ("n_tok", "key0", "tokens", "first_line", "event_id")
 _TEMPLATE_SCHEMA = "n_tok int, key0 string, tokens array<string>, first_line long, event_id string"
@@ -83,9 +85,11 @@ def _leaves(sigs: DataFrame, threshold: float, limit: int) -> DataFrame:
     fit. Rows that still agree at the longest prefix are similar by definition and were
     made one row by ``merge_similar``, so no leaf is ever collected whole.
     """
+    leaf = F.concat_ws(_JOINER, F.col("n_tok").cast("string"), F.col("key0"))
     sizes = sigs.groupBy("n_tok", "key0").agg(F.count(F.lit(1)).alias("_size"))
+    if sizes.filter(F.col("_size") > limit).isEmpty():
+        return sigs.withColumn("leaf", leaf)
     sized = lookup_join(sigs, sizes, ["n_tok", "key0"])
-    leaf = F.concat_ws(_JOINER, F.col("n_tok").cast("string"), F.col("key0"))
     small = sized.filter(F.col("_size") <= limit).withColumn("leaf", leaf)
     big = merge_similar(sized.filter(F.col("_size") > limit).drop("_size"), threshold)
     deepest = _enough(threshold)
@@ -134,35 +138,48 @@ def merge_similar(sigs: DataFrame, threshold: float) -> DataFrame:
     return merged.select(*_TEMPLATE_COLUMNS).unionByName(known.select(*_TEMPLATE_COLUMNS))
 
 
-def _cluster_leaf(threshold: float):
-    """Clusters the signatures of one leaf, bounded by the leaf limit, in order of appearance."""
-
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(new=rows["event_id"].isna()).sort_values(["new", "first_line"])
-        words, flat = np.unique(np.concatenate(rows["tokens"].to_list()), return_inverse=True)
-        codes = flat.reshape(len(rows), -1)
-        hit = np.flatnonzero(words == C.WILDCARD)
-        wild = hit[0] if len(hit) else -1
-        found = np.empty_like(codes)
-        origin = []
-        for code, row in zip(codes, rows.itertuples()):
-            seen = found[: len(origin)]
-            share = ((seen == code) & (seen != wild)).mean(axis=1)
-            if row.new and len(seen) and share.max() >= threshold:
-                # The most similar template; of several, the more general, then the older one.
-                tied = np.flatnonzero(share == share.max())
-                best = tied[np.argmax((seen[tied] == wild).sum(axis=1))]
-                found[best] = np.where(seen[best] == code, code, wild)
-            else:
-                found[len(origin)] = code
-                origin.append((row.first_line if row.new else -1, row.event_id))
-        out = pd.DataFrame(origin, columns=["first_line", "event_id"])
-        named = np.where(found[: len(origin)] == wild, C.WILDCARD, words[found[: len(origin)]])
-        head = rows.iloc[0]
-        out = out.assign(tokens=named.tolist(), n_tok=head["n_tok"], key0=head["key0"])
-        return out[list(_TEMPLATE_COLUMNS)]
-
-    return cluster
+def _cluster(tokens, lines, event_ids, threshold: float):
+    """Clusters one leaf's signatures, bounded by the leaf limit, in order of appearance."""
+    words, flat = np.unique(np.concatenate(tokens), return_inverse=True)
+    codes = flat.reshape(len(tokens), -1)
+    hit = np.flatnonzero(words == C.WILDCARD)
+    wild = hit[0] if len(hit) else -1
+    found, origin = np.empty_like(codes), []
+    for code, line, event_id in zip(codes, lines, event_ids):
+        seen = found[: len(origin)]
+        share = ((seen == code) & (seen != wild)).mean(axis=1)
+        if event_id is None and len(seen) and share.max() >= threshold:
+            # The most similar template; of several, the more general, then the older one.
+            tied = np.flatnonzero(share == share.max())
+            best = tied[np.argmax((seen[tied] == wild).sum(axis=1))]
+            found[best] = np.where(seen[best] == code, code, wild)
+        else:
+            found[len(origin)] = code
+            origin.append((line if event_id is None else -1, event_id))
+    kept = found[: len(origin)]
+    named = np.where(kept == wild, C.WILDCARD, words[kept])
+    return [(row.tolist(), *o) for row, o in zip(named, origin)]
+
+
+def _cluster_leaves(threshold: float):
+    """Clusters the leaves of one bucket, each leaf by itself."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        known = rows["event_id"].notna()
+        rows = rows.assign(new=~known, event_id=rows["event_id"].where(known, None))
+        rows = rows.sort_values(["leaf", "new", "first_line"], ignore_index=True)
+        leaf = rows["leaf"].to_numpy()
+        ends = [*(np.flatnonzero(leaf[1:] != leaf[:-1]) + 1), len(rows)]
+        tokens, lines, ids = (rows[c].to_list() for c in ("tokens", "first_line", "event_id"))
+        heads = rows[["n_tok", "key0"]].to_numpy()
+        out, at = [], 0
+        for end in ends:
+            part = slice(at, end)
+            out += [(*heads[at], *t) for t in _cluster(tokens[part], lines[part], ids[part], threshold)]
+            at = end
+        return pd.DataFrame(out, columns=list(_TEMPLATE_COLUMNS))
+
+    return run
 
 
 def mine_templates(
@@ -182,8 +199,10 @@ def mine_templates(
     columns = list(_TEMPLATE_COLUMNS)
     if dictionary is not None:
         seeds = seeds.select(columns).unionByName(dictionary.select(columns))
-    leaves = _leaves(seeds.select(columns), threshold, leaf_limit)
-    clusters = leaves.groupBy("leaf").applyInPandas(_cluster_leaf(threshold), _TEMPLATE_SCHEMA)
+    leaves = _leaves(checkpointed(seeds.select(columns)), threshold, leaf_limit)
+    buckets = F.lit(max(1, math.ceil(sigs.count() / BUCKET_ROWS)))
+    bucketed = leaves.withColumn("bucket", F.pmod(F.xxhash64("leaf"), buckets))
+    clusters = bucketed.groupBy("bucket").applyInPandas(_cluster_leaves(threshold), _TEMPLATE_SCHEMA)
     clusters = checkpointed(clusters)
     text_of = F.array_join("tokens", _JOINER)
     named = _number(clusters, dictionary).withColumn("template", text_of)

@@ -1,7 +1,7 @@
 """Imports every module of checks, which registers their queries."""
 
 from blocklens.operators import triage
-from checks import fixtures, sources_and_lines  # noqa: F401
+from checks import detectors, features_and_splits, fixtures, sources_and_lines  # noqa: F401
 
 
 def flagship(spark, sf_dir):
