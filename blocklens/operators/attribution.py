@@ -5,6 +5,7 @@ Contributions are Shapley values estimated by antithetic permutation sampling
 """
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -73,8 +74,8 @@ def attribute(alerts: DataFrame, reference: DataFrame, columns, score: Callable,
 
 
 def attribute_autoencoder(alerts: DataFrame, reference: DataFrame, model: Autoencoder, **options) -> DataFrame:
-    flat, shapes = model.weights, model.shapes
-    return attribute(alerts, reference, model.columns, lambda x: squared_error(x, flat, shapes), "autoencoder", **options)
+    score = partial(squared_error, flat=model.weights, shapes=model.shapes)
+    return attribute(alerts, reference, model.columns, score, "autoencoder", **options)
 
 
 def attribute_forest(alerts: DataFrame, reference: DataFrame, forest: Forest, **options) -> DataFrame:

@@ -163,8 +163,9 @@ def fit_autoencoder(
     by the next job, before it trains, and training stops after ``patience`` epochs
     without improvement, keeping the best weights.
     """
-    parts = max(1, math.ceil(train.count() / part_rows))
-    rows = vectors(train, columns).select(
+    vectored = checkpointed(vectors(train, columns).select("block_id", "x"))
+    parts = max(1, math.ceil(vectored.count() / part_rows))
+    rows = vectored.select(
         "block_id",
         "x",
         F.pmod(F.xxhash64("block_id"), F.lit(parts)).cast("int").alias("part"),
@@ -190,7 +191,7 @@ def fit_autoencoder(
         state = new_state
         history.append((epoch + 1, sums.loss / max(sums.n, 1), None))
     model = Autoencoder(list(columns), shapes, best, history=history)
-    errors = reconstruction_error(train, model)
+    errors = vectored.select(error_udf(vectored.sparkSession, model)("x").alias("reconstruction_error"))
     model.threshold = percentiles(errors, "reconstruction_error", [1 - contamination]).first().value
     return model
 
@@ -200,10 +201,10 @@ def history_table(spark, model: Autoencoder) -> DataFrame:
     return spark.createDataFrame(rows, "epoch int, loss double, val_loss double")
 
 
-def reconstruction_error(rows: DataFrame, model: Autoencoder, name: str = "reconstruction_error") -> DataFrame:
-    """Add the mean squared reconstruction error; rows stay in their partitions."""
+def error_udf(spark, model: Autoencoder):
+    """The reconstruction error of a feature array as a vectorised column function."""
     # A few thousand weights, fixed by the architecture.
-    shared = rows.sparkSession.sparkContext.broadcast((model.weights, model.shapes))
+    shared = spark.sparkContext.broadcast((model.weights, model.shapes))
 
     @F.pandas_udf("double")
     def error(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -211,6 +212,12 @@ def reconstruction_error(rows: DataFrame, model: Autoencoder, name: str = "recon
         for x in batches:
             yield pd.Series(squared_error(np.stack(x.to_list()), flat, shapes) if len(x) else [], dtype=float)
 
+    return error
+
+
+def reconstruction_error(rows: DataFrame, model: Autoencoder, name: str = "reconstruction_error") -> DataFrame:
+    """Add the mean squared reconstruction error; rows stay in their partitions."""
+    error = error_udf(rows.sparkSession, model)
     return vectors(rows, model.columns, "_x").withColumn(name, error("_x")).drop("_x")
 
 

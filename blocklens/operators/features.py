@@ -120,28 +120,22 @@ def fit_min_max(matrix: DataFrame, columns=None) -> DataFrame:
     return matrix.agg(F.array(*bounds).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
-def _bounds(scaler: DataFrame) -> DataFrame:
-    """The scaler as one row of a map: one entry per feature, so broadcasting is bounded."""
-    entry = F.struct("feature", F.struct("lo", "hi"))
-    return F.broadcast(scaler.agg(F.map_from_entries(F.collect_list(entry)).alias("_s")))
+def _bounds(scaler: DataFrame) -> dict:
+    """The scaler's rows, one per feature, to be used as constants in expressions."""
+    return {r.feature: (F.lit(r.lo), F.lit(r.hi)) for r in scaler.collect()}
 
 
 def scale_min_max(matrix: DataFrame, scaler: DataFrame, columns, clip: bool = False) -> DataFrame:
     """Scale ``columns``; features constant in the scaler become 0."""
-    scaled = {
-        c: min_max(F.col(f"`{c}`").cast("double"), F.col("_s")[c]["lo"], F.col("_s")[c]["hi"], clip)
-        for c in columns
-    }
-    return matrix.crossJoin(_bounds(scaler)).withColumns(scaled).drop("_s")
+    bounds = _bounds(scaler)
+    return matrix.withColumns({c: min_max(F.col(f"`{c}`").cast("double"), *bounds[c], clip) for c in columns})
 
 
 def unscale_min_max(matrix: DataFrame, scaler: DataFrame, columns) -> DataFrame:
     """Recover raw values; a constant feature returns to its constant."""
-    raw = {
-        c: F.col(f"`{c}`") * (F.col("_s")[c]["hi"] - F.col("_s")[c]["lo"]) + F.col("_s")[c]["lo"]
-        for c in columns
-    }
-    return matrix.crossJoin(_bounds(scaler)).withColumns(raw).drop("_s")
+    bounds = _bounds(scaler)
+    raw = {c: F.col(f"`{c}`") * (hi - lo) + lo for c, (lo, hi) in bounds.items() if c in columns}
+    return matrix.withColumns(raw)
 
 
 def zero_duration(matrix: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ model is a plain table (tree, node, feature, threshold, n); ``feature`` is -1 in
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -68,12 +68,13 @@ def fit_forest(
     ``local_rows`` rows it is split by aggregations over all nodes of a level; smaller
     nodes are finished within one task each.
     """
-    total = train.count()
+    vectored = checkpointed(vectors(train, columns).select("block_id", "x"))
+    total = vectored.count()
     psi = max(1, min(total, int(max_samples * total) if isinstance(max_samples, float) else max_samples))
     rate = psi / total
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
     chosen = F.filter(trees, lambda t: uniform(F.col("block_id"), t, F.lit(seed)) < rate)
-    rows = vectors(train, columns).select("block_id", "x", F.explode(chosen).alias("tree"))
+    rows = vectored.select("block_id", "x", F.explode(chosen).alias("tree"))
     rows = rows.withColumn("node", F.lit(1).cast("long"))
     limit = math.ceil(math.log2(max(psi, 2)))
     tops = []
@@ -193,8 +194,11 @@ def raw_score(total_path, n_trees: int, sample_size: int):
 
 def forest_scorer(forest: Forest):
     """Plain function matrix -> raw scores, for a forest within the broadcast bound."""
-    walker, psi = Walker(forest.nodes.toPandas()), forest.sample_size
-    return lambda x: raw_score(walker.total_path(x), len(walker.roots), psi)
+    return partial(_walk_and_score, Walker(forest.nodes.toPandas()), forest.sample_size)
+
+
+def _walk_and_score(walker: Walker, sample_size: int, x: np.ndarray) -> np.ndarray:
+    return raw_score(walker.total_path(x), len(walker.roots), sample_size)
 
 
 def score_forest(rows: DataFrame, forest: Forest, name: str = "raw_score", limit: int = BROADCAST_NODES) -> DataFrame:

@@ -1,7 +1,14 @@
 """Imports every module of checks, which registers their queries."""
 
 from blocklens.operators import triage
-from checks import detectors, features_and_splits, fixtures, sources_and_lines  # noqa: F401
+from checks import (  # noqa: F401
+    detectors,
+    evaluation,
+    features_and_splits,
+    fixtures,
+    sources_and_lines,
+    triage_queries,
+)
 
 
 def flagship(spark, sf_dir):
