@@ -5,12 +5,14 @@ table or over one hot key; ``lookup_join`` replaces unchecked broadcasts.
 """
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
+MAX_STRATA = 100
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -102,40 +104,44 @@ def split_hash(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
 
 
-def hash_split(df, id_col, ratio, seed, strata=None, name="selected", digits=4) -> DataFrame:
-    """Flag exactly ``floor(ratio * n)`` rows, those with the smallest hash of their id.
+def hash_split(df, id_col, ratio, seed, stratum=None, name="selected", digits=4) -> DataFrame:
+    """Flag exactly ``floor(ratio * n)`` rows (per stratum), those with the smallest hash of their id.
 
-    Hash prefixes are counted, which yields the prefix where the cut falls; only rows
-    with that prefix are ordered. Every row is then compared with the cut by itself.
+    Rows are counted by hash prefix, which tells the prefix where the cut falls; only rows
+    with that prefix are ordered to find the last selected one. The flag then is a
+    comparison of each row with that cut: nothing is sorted, joined or shuffled.
     """
-    strata = [strata] if isinstance(strata, str) else list(strata or [])
-    keyed = df.withColumn("_hash", split_hash(id_col, seed))
-    counts = keyed.groupBy(*strata, F.substring("_hash", 1, digits).alias("_prefix")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    whole = Window.partitionBy(*(strata or [F.lit(0)]))
+    keyed = df.withColumn("_hash", split_hash(id_col, seed)).withColumn("_prefix", F.substring("_hash", 1, digits))
+    group = F.col(stratum) if stratum else F.lit(None).cast("string")
+    keyed = keyed.withColumn("_stratum", group)
+    counts = keyed.groupBy("_stratum", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    # At most 16^digits rows per stratum.
+    whole = Window.partitionBy("_stratum")
     before = whole.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    cut_prefix = (
+    at_cut = (
         counts.withColumn("_k", F.floor(F.lit(ratio) * F.sum("_n").over(whole)))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .filter((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_n")))
-        .select(*strata, "_prefix", (F.col("_k") - F.col("_before")).alias("_need"))
-    )
-    # One row per stratum: a handful of label values, measured all the same.
-    at_cut = keyed.withColumn("_prefix", F.substring("_hash", 1, digits))
-    at_cut = lookup_join(at_cut, cut_prefix, [*strata, "_prefix"], "inner")
-    nth = Window.partitionBy(*(strata or [F.lit(0)])).orderBy("_hash", id_col)
-    cut = (
-        at_cut.withColumn("_row", F.row_number().over(nth))
-        .filter(F.col("_row") == F.col("_need"))
-        .select(*strata, F.struct("_hash", F.col(id_col).alias("_id")).alias("_cut"))
+        .select("_stratum", "_prefix", (F.col("_k") - F.col("_before")).alias("_need"))
+        .limit(MAX_STRATA + 1)
+        .collect()
     )
-    if strata:
-        flagged = lookup_join(keyed, cut, strata)
-    else:
-        flagged = keyed.join(F.broadcast(cut), F.lit(True), "left")
-    inside = F.struct("_hash", F.col(id_col).alias("_id")) <= F.col("_cut")
-    return flagged.withColumn(name, F.coalesce(inside, F.lit(False))).drop("_hash", "_cut")
+    if len(at_cut) > MAX_STRATA:
+        raise ValueError(f"{stratum} has more than {MAX_STRATA} values, it is not a stratum")
+    last = [
+        (F.col("_stratum").eqNullSafe(F.lit(c["_stratum"])) & (F.col("_prefix") == c["_prefix"]), c["_need"])
+        for c in at_cut
+    ]
+    inside = F.lit(False)
+    if last:
+        need = reduce(lambda e, c: F.when(c[0], c[1]).otherwise(e), last, F.lit(None).cast("long"))
+        order = Window.partitionBy("_stratum").orderBy("_hash", id_col)
+        near = keyed.withColumn("_need", need).filter(F.col("_need").isNotNull())
+        cuts = near.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") == F.col("_need"))
+        for c in cuts.select("_stratum", "_hash", F.col(id_col).alias("_id")).collect():
+            upto = (F.col("_hash") < c["_hash"]) | ((F.col("_hash") == c["_hash"]) & (F.col(id_col) <= c["_id"]))
+            inside = inside | (F.col("_stratum").eqNullSafe(F.lit(c["_stratum"])) & upto)
+    return keyed.withColumn(name, inside).drop("_hash", "_prefix", "_stratum")
 
 
 def percentiles(df: DataFrame, column: str, fractions) -> DataFrame:

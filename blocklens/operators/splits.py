@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blocklens import config as C
-from blocklens.functions.scale import hash_split
+from blocklens.functions.scale import checkpointed, hash_split
 from blocklens.sources.logs import InputError
 
 
@@ -39,7 +39,7 @@ def validation_test(blocks: DataFrame, ratio: float = C.VALIDATION_RATIO, seed:
 
 def assign_splits(blocks: DataFrame, seed: int = C.SEED) -> DataFrame:
     """block_id, label, split for every labelled block: train, validation or test."""
-    blocks = blocks.select("block_id", "label").filter(F.col("label").isNotNull())
+    blocks = checkpointed(blocks.select("block_id", "label").filter(F.col("label").isNotNull()))
     training = training_ids(blocks, seed=seed)
     train = training.select("block_id", F.lit(C.NORMAL).alias("label"), F.lit("train").alias("split"))
     return train.unionByName(validation_test(holdout(blocks, training), seed=seed))

@@ -11,6 +11,7 @@ from blocklens import config as C
 from blocklens.functions import text
 from blocklens.functions.scale import global_rank, lookup_join, split_hash
 from blocklens.functions.scoring import priority, severity, severity_band, triage_status
+from blocklens.sources.lookup import LOOKUP_COLUMNS
 
 
 def master_table(predictions: DataFrame, labels: DataFrame | None = None, features: DataFrame | None = None) -> DataFrame:
@@ -150,11 +151,10 @@ def timeline(events: DataFrame) -> DataFrame:
     """Lines of every block in time order with a step number.
 
     Ordered by (time, line) with unparsable times last. The numbering is distributed, so
-    one block may hold any share of all lines.
+    one block may hold any share of all lines; only the lookup columns travel.
     """
-    rows = events.filter(F.col("block_id").isNotNull())
-    if "ts" not in rows.columns:
-        rows = rows.withColumn("ts", text.parse_timestamp(F.col("ts_raw")))
+    rows = events.filter(F.col("block_id").isNotNull()).select(*LOOKUP_COLUMNS)
+    rows = rows.withColumn("ts", text.parse_timestamp(F.col("ts_raw")))
     return global_rank(rows, [F.asc_nulls_last("ts"), F.asc("line_id")], by=["block_id"], name="step")
 
 
