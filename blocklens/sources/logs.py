@@ -13,7 +13,7 @@ class InputError(ValueError):
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Path, name, extension and size of every file, without reading contents."""
+    """Path, name, extension and size of every non-empty file, without reading contents."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     return listing.select(
@@ -28,14 +28,9 @@ def validate_inputs(spark: SparkSession, folder: str, required) -> DataFrame:
     """Raise when a required file is missing or empty, else return the listing."""
     listing = list_files(spark, folder)
     wanted = spark.createDataFrame([(r,) for r in required], "file_name string")
-    bad = (
-        wanted.join(listing, "file_name", "left")
-        .filter(F.coalesce("size_bytes", F.lit(0)) == 0)
-        .select("file_name", F.when(F.col("path").isNull(), "missing").otherwise("empty").alias("why"))
-    )
-    problems = [f"{r.file_name} is {r.why}" for r in bad.orderBy("file_name").collect()]
-    if problems:
-        raise InputError("; ".join(problems))
+    bad = wanted.join(listing, "file_name", "left_anti").orderBy("file_name").collect()
+    if bad:
+        raise InputError("missing or empty: " + ", ".join(r.file_name for r in bad))
     return listing
 
 
