@@ -33,6 +33,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work at least one partition per core.
+
+    Only inputs with fewer splits than cores (a small file in one row group) are
+    shuffled; a large input keeps its splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Measure ``df`` (as JSON text, near enough) against the broadcast limit."""
     width = F.octet_length(F.to_json(F.struct(*df.columns))) + 32

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from blocklens import config as C
 
-HEADER_FIELDS = ("date", "time", "pid", "level", "component", "content")
 # Stands in for the delimiter inside block ids while the rest of a line is split.
 _KEEP = "\u0001"
 
@@ -24,11 +23,29 @@ def has_header(line: Column) -> Column:
     return line.rlike(C.HEADER)
 
 
-def header_columns(line: Column) -> dict:
-    """The six header fields plus the raw timestamp text."""
-    fields = {f: F.regexp_extract(line, C.HEADER, i + 1) for i, f in enumerate(HEADER_FIELDS)}
-    fields["ts_raw"] = F.concat(fields["date"], fields["time"])
-    return fields
+def header_parts(line: Column) -> Column:
+    """A line that has a header, cut once into date, time, pid, level and the rest."""
+    return F.split(line, r"\s+", 5)
+
+
+def header_columns(parts: Column, line: Column) -> dict:
+    """The header fields and the raw timestamp text from ``header_parts``.
+
+    The component ends at the first colon of the rest, so the header expression is not
+    evaluated again for every field (only when blanks alone stand before the colon).
+    """
+    date, time, pid, level, rest = (parts[i] for i in range(5))
+    component = F.substring_index(rest, ":", 1)
+    after = F.substring(rest, F.length(component) + 2, F.length(rest))
+    return {
+        "date": date,
+        "time": time,
+        "pid": pid,
+        "level": level,
+        "component": F.when(component == "", F.regexp_extract(line, C.HEADER, 5)).otherwise(component),
+        "content": F.ltrim(after, F.lit(" \t\n\x0b\f\r")),
+        "ts_raw": F.concat(date, time),
+    }
 
 
 def first_block_id(content: Column) -> Column:

@@ -14,8 +14,10 @@ def parse_headers(lines: DataFrame, explode_ids: bool = False) -> DataFrame:
     """
     line = F.col("raw_line")
     parsed = (
-        lines.filter(~text.is_blank(line) & text.has_header(line))
-        .withColumns(text.header_columns(line))
+        lines.filter(text.has_header(line))
+        .withColumn("_parts", text.header_parts(line))
+        .withColumns(text.header_columns(F.col("_parts"), line))
+        .drop("_parts")
         .withColumn("ts", text.parse_timestamp(F.col("ts_raw")))
     )
     if explode_ids:

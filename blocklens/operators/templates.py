@@ -21,8 +21,13 @@ from blocklens.functions.scale import checkpointed, global_rank, lookup_join
 LEAF_LIMIT = 5_000
 BUCKET_ROWS = 1_000
 _JOINER = " "
-_TEMPLATE_COLUMNS = ("n_tok", "key0", "tokens", "first_line", "event_id")
-_TEMPLATE_SCHEMA = "n_tok int, key0 string, tokens array<string>, first_line long, event_id string"
+# What is clustered: signatures, and templates of an earlier run (those have an event id).
+_SEED_COLUMNS = ("n_tok", "key0", "tokens", "first_line", "event_id", "n_lines")
+_MEMBER_COLUMNS = ("cluster", "known", "signature", "n_tok", "key0", "tokens", "first_line", "event_id", "n_lines")
+_MEMBER_SCHEMA = (
+    "cluster string, known boolean, signature string, n_tok int, key0 string, tokens array<string>, "
+    "first_line long, event_id string, n_lines long"
+)
 
 
 @dataclass
@@ -78,106 +83,118 @@ def _fixed_prefix(depth: Column) -> Column:
     )
 
 
-def _leaves(sigs: DataFrame, threshold: float, limit: int) -> DataFrame:
-    """Add ``leaf``: the tree leaf, refined for leaves beyond ``limit``.
+def _leaf():
+    return F.concat_ws(_JOINER, F.col("n_tok").cast("string"), F.col("key0"))
 
-    An oversized leaf is split by longer prefixes of fixed tokens, the shortest ones that
-    fit. Rows that still agree at the longest prefix are similar by definition and were
-    made one row by ``merge_similar``, so no leaf is ever collected whole.
-    """
-    leaf = F.concat_ws(_JOINER, F.col("n_tok").cast("string"), F.col("key0"))
-    sizes = sigs.groupBy("n_tok", "key0").agg(F.count(F.lit(1)).alias("_size"))
+
+def _oversized(seeds: DataFrame, limit: int):
+    """Seeds of leaves within the limit, and of larger ones (None when there are none)."""
+    sizes = seeds.groupBy("n_tok", "key0").agg(F.count(F.lit(1)).alias("_size"))
     if sizes.filter(F.col("_size") > limit).isEmpty():
-        return sigs.withColumn("leaf", leaf)
-    sized = lookup_join(sigs, sizes, ["n_tok", "key0"])
-    small = sized.filter(F.col("_size") <= limit).withColumn("leaf", leaf)
-    big = merge_similar(sized.filter(F.col("_size") > limit).drop("_size"), threshold)
-    deepest = _enough(threshold)
-    prefixes = big.select(
-        "n_tok", "tokens", "key0", F.explode(F.sequence(F.lit(1), deepest)).alias("_depth")
-    ).withColumn("_prefix", _fixed_prefix(F.col("_depth")))
-    fitting = (
-        prefixes.groupBy("n_tok", "key0", "_depth", "_prefix")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .filter((F.col("_size") <= limit) | (F.col("_depth") == deepest))
-    )
-    shortest = (
-        prefixes.join(fitting, ["n_tok", "key0", "_depth", "_prefix"])
-        .groupBy("n_tok", "key0", "tokens")
-        .agg(F.min("_depth").alias("_depth"))
-    )
-    refined = big.join(shortest, ["n_tok", "key0", "tokens"]).withColumn(
-        "leaf", F.concat_ws(_JOINER, leaf, _fixed_prefix(F.col("_depth")))
-    )
-    columns = ["leaf", *_TEMPLATE_COLUMNS]
-    return small.select(columns).unionByName(refined.select(columns))
+        return seeds, None
+    sized = lookup_join(seeds, sizes, ["n_tok", "key0"])
+    return (sized.filter(c).drop("_size") for c in (F.col("_size") <= limit, F.col("_size") > limit))
 
 
-def merge_similar(sigs: DataFrame, threshold: float) -> DataFrame:
-    """Collapse signatures that share enough leading fixed tokens into one template row.
+def merge_similar(seeds: DataFrame, threshold: float):
+    """Collapse signatures that share enough leading fixed tokens into one row each.
 
     A plain aggregation: a position keeps its token when smallest and largest agree.
-    Rows that already have an event id stay as they are.
+    Returns the merged seeds and the map from each signature to its merged one.
     """
-    keyed = sigs.filter(F.col("event_id").isNull()).withColumn("_prefix", _fixed_prefix(_enough(threshold)))
-    positions = keyed.select(
-        "n_tok", "key0", "_prefix", "first_line", F.posexplode("tokens").alias("_pos", "_token")
-    )
+    fresh = seeds.filter(F.col("event_id").isNull()).withColumn("_prefix", _fixed_prefix(_enough(threshold)))
+    keys = ["n_tok", "key0", "_prefix"]
+    positions = fresh.select(*keys, "first_line", "n_lines", F.posexplode("tokens").alias("_pos", "_token"))
     agreed = F.when(F.min("_token") == F.max("_token"), F.min("_token")).otherwise(C.WILDCARD)
-    merged = (
-        positions.groupBy("n_tok", "key0", "_prefix", "_pos")
-        .agg(agreed.alias("_token"), F.min("first_line").alias("first_line"))
-        .groupBy("n_tok", "key0", "_prefix")
+    merged = checkpointed(
+        positions.groupBy(*keys, "_pos")
+        .agg(agreed.alias("_token"), F.min("first_line").alias("first_line"), F.sum("n_lines").alias("n_lines"))
+        .groupBy(*keys)
         .agg(
             F.array_sort(F.collect_list(F.struct("_pos", "_token")))["_token"].alias("tokens"),
             F.min("first_line").alias("first_line"),
+            F.max("n_lines").alias("n_lines"),
         )
         .withColumn("event_id", F.lit(None).cast("string"))
     )
-    known = sigs.filter(F.col("event_id").isNotNull())
-    return merged.select(*_TEMPLATE_COLUMNS).unionByName(known.select(*_TEMPLATE_COLUMNS))
+    text_of = F.array_join("tokens", _JOINER)
+    # One merged row can stand for any number of signatures, so its key may be hot.
+    target = merged.select(*keys, text_of.alias("_merged"))
+    origin = lookup_join(fresh.withColumn("signature", text_of), target, keys, "inner")
+    known = seeds.filter(F.col("event_id").isNotNull())
+    rows = merged.select(*_SEED_COLUMNS).unionByName(known.select(*_SEED_COLUMNS))
+    return rows, origin.select("signature", "_merged")
+
+
+def _refined_leaves(big: DataFrame, threshold: float, limit: int) -> DataFrame:
+    """Split merged seeds of oversized leaves by longer prefixes, the shortest ones that fit.
+
+    Rows that still agree at the longest prefix are similar by definition and were made
+    one row before, so no leaf is ever collected whole.
+    """
+    deepest = _enough(threshold)
+    prefixes = big.select(
+        "n_tok", "tokens", "key0", F.explode(F.sequence(F.lit(1), deepest)).alias("_depth")
+    ).withColumn("_prefix", _fixed_prefix(F.col("_depth")))
+    keys = ["n_tok", "key0", "_depth", "_prefix"]
+    fitting = (
+        prefixes.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .filter((F.col("_size") <= limit) | (F.col("_depth") == deepest))
+    )
+    shortest = lookup_join(prefixes, fitting, keys, "inner").groupBy("n_tok", "key0", "tokens").agg(
+        F.min("_depth").alias("_depth")
+    )
+    placed = big.join(shortest, ["n_tok", "key0", "tokens"])
+    return placed.withColumn("leaf", F.concat_ws(_JOINER, _leaf(), _fixed_prefix(F.col("_depth"))))
+
 
+def _cluster(tokens, event_ids, threshold: float):
+    """Clusters one leaf, bounded by the leaf limit, in order of appearance.
 
-def _cluster(tokens, lines, event_ids, threshold: float):
-    """Clusters one leaf's signatures, bounded by the leaf limit, in order of appearance."""
+    Returns the templates, the template number of every row and the templates' event ids.
+    """
     words, flat = np.unique(np.concatenate(tokens), return_inverse=True)
     codes = flat.reshape(len(tokens), -1)
     hit = np.flatnonzero(words == C.WILDCARD)
     wild = hit[0] if len(hit) else -1
-    found, origin = np.empty_like(codes), []
-    for code, line, event_id in zip(codes, lines, event_ids):
-        seen = found[: len(origin)]
+    found, ids, member = np.empty_like(codes), [], []
+    for code, event_id in zip(codes, event_ids):
+        seen = found[: len(ids)]
         share = ((seen == code) & (seen != wild)).mean(axis=1)
         if event_id is None and len(seen) and share.max() >= threshold:
             # The most similar template; of several, the more general, then the older one.
             tied = np.flatnonzero(share == share.max())
-            best = tied[np.argmax((seen[tied] == wild).sum(axis=1))]
+            best = int(tied[np.argmax((seen[tied] == wild).sum(axis=1))])
             found[best] = np.where(seen[best] == code, code, wild)
         else:
-            found[len(origin)] = code
-            origin.append((line if event_id is None else -1, event_id))
-    kept = found[: len(origin)]
-    named = np.where(kept == wild, C.WILDCARD, words[kept])
-    return [(row.tolist(), *o) for row, o in zip(named, origin)]
+            best = len(ids)
+            found[best] = code
+            ids.append(event_id)
+        member.append(best)
+    kept = found[: len(ids)]
+    return np.where(kept == wild, C.WILDCARD, words[kept]).tolist(), member, ids
 
 
 def _cluster_leaves(threshold: float):
-    """Clusters the leaves of one bucket, each leaf by itself."""
+    """Clusters the leaves of one bucket, each by itself; one row out per row in."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         known = rows["event_id"].notna()
-        rows = rows.assign(new=~known, event_id=rows["event_id"].where(known, None))
-        rows = rows.sort_values(["leaf", "new", "first_line"], ignore_index=True)
-        leaf = rows["leaf"].to_numpy()
-        ends = [*(np.flatnonzero(leaf[1:] != leaf[:-1]) + 1), len(rows)]
-        tokens, lines, ids = (rows[c].to_list() for c in ("tokens", "first_line", "event_id"))
-        heads = rows[["n_tok", "key0"]].to_numpy()
-        out, at = [], 0
+        rows = rows.assign(known=known, event_id=rows["event_id"].where(known, None))
+        rows = rows.sort_values(["leaf", "known", "first_line"], ascending=[True, False, True], ignore_index=True)
+        leaf, tokens, ids = (rows[c].to_list() for c in ("leaf", "tokens", "event_id"))
+        ends = [i for i in range(1, len(leaf)) if leaf[i] != leaf[i - 1]] + [len(leaf)]
+        cluster, template, event_id, at = [], [], [], 0
         for end in ends:
-            part = slice(at, end)
-            out += [(*heads[at], *t) for t in _cluster(tokens[part], lines[part], ids[part], threshold)]
+            texts, member, owner = _cluster(tokens[at:end], ids[at:end], threshold)
+            cluster += [f"{leaf[at]}#{m}" for m in member]
+            template += [texts[m] for m in member]
+            event_id += [owner[m] for m in member]
             at = end
-        return pd.DataFrame(out, columns=list(_TEMPLATE_COLUMNS))
+        signature = [_JOINER.join(t) for t in tokens]
+        rows = rows.assign(cluster=cluster, signature=signature, tokens=template, event_id=event_id)
+        return rows[list(_MEMBER_COLUMNS)]
 
     return run
 
@@ -192,36 +209,38 @@ def mine_templates(
     """Mine templates from parsed lines (``line_id``, ``content``).
 
     New templates are numbered E1, E2, ... by first line. A ``dictionary`` of an earlier
-    run is continued: its templates keep their ids and may become more general.
+    run is continued: its templates keep their ids and may become more general; their
+    line counts are those of this run.
     """
     sigs = checkpointed(distinct_signatures(parsed))
     seeds = _limit_children(sigs, dictionary, max_children).withColumn("event_id", F.lit(None).cast("string"))
-    columns = list(_TEMPLATE_COLUMNS)
+    seeds = seeds.select(*_SEED_COLUMNS)
     if dictionary is not None:
-        seeds = seeds.select(columns).unionByName(dictionary.select(columns))
-    leaves = _leaves(checkpointed(seeds.select(columns)), threshold, leaf_limit)
+        earlier = dictionary.withColumn("n_lines", F.lit(0).cast("long"))
+        seeds = seeds.unionByName(earlier.select(*_SEED_COLUMNS))
+    small, big = _oversized(checkpointed(seeds), leaf_limit)
+    leaves = small.withColumn("leaf", _leaf())
+    if big is not None:
+        big, origin = merge_similar(big, threshold)
+        leaves = leaves.unionByName(_refined_leaves(big, threshold, leaf_limit).select(*leaves.columns))
     buckets = F.lit(max(1, math.ceil(sigs.count() / BUCKET_ROWS)))
     bucketed = leaves.withColumn("bucket", F.pmod(F.xxhash64("leaf"), buckets))
-    clusters = bucketed.groupBy("bucket").applyInPandas(_cluster_leaves(threshold), _TEMPLATE_SCHEMA)
-    clusters = checkpointed(clusters)
-    text_of = F.array_join("tokens", _JOINER)
-    named = _number(clusters, dictionary).withColumn("template", text_of)
-    named = checkpointed(named)
-    by_signature = match_signatures(sigs, named).select("signature", "event_id", "n_lines", "first_line")
-    by_signature = checkpointed(by_signature)
-    counts = by_signature.groupBy("event_id").agg(
-        F.sum("n_lines").alias("n_lines"), F.min("first_line").alias("first_seen")
-    )
-    full = lookup_join(named, counts, "event_id").select(
-        "event_id",
-        "template",
-        "tokens",
-        "n_tok",
-        "key0",
-        F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
-        F.coalesce("first_seen", "first_line").alias("first_line"),
+    members = checkpointed(bucketed.groupBy("bucket").applyInPandas(_cluster_leaves(threshold), _MEMBER_SCHEMA))
+    line = F.min(F.when(~F.col("known"), F.col("first_line")))
+    clusters = members.groupBy("cluster").agg(
+        *[F.any_value(c).alias(c) for c in ("n_tok", "key0", "tokens", "event_id")],
+        F.coalesce(line, F.min("first_line")).alias("first_line"),
+        F.sum("n_lines").alias("n_lines"),
     )
-    return Mined(checkpointed(full), by_signature.select("signature", "event_id"))
+    named = checkpointed(_number(clusters, dictionary).withColumn("template", F.array_join("tokens", _JOINER)))
+    by_member = lookup_join(
+        members.filter(~F.col("known")).select("signature", "cluster"), named.select("cluster", "event_id"), "cluster"
+    ).select("signature", "event_id")
+    if big is not None:
+        merged = lookup_join(origin, by_member.withColumnRenamed("signature", "_merged").distinct(), "_merged", "inner")
+        by_member = by_member.join(origin.select("_merged").distinct(), F.col("signature") == F.col("_merged"), "left_anti")
+        by_member = by_member.unionByName(merged.select("signature", "event_id"))
+    return Mined(named.drop("cluster"), checkpointed(by_member))
 
 
 def _number(clusters: DataFrame, dictionary: DataFrame | None) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from blocklens import config as C
-from blocklens.functions.scale import checkpointed
+from blocklens.functions.scale import checkpointed, spread
 from blocklens.functions.scoring import normalise_all
 from blocklens.operators import features, fusion, lines, splits, templates, triage
 from checks.registry import cte, shared
@@ -85,7 +85,7 @@ def _view(spark, sf_dir, sql, **names):
 
 
 def log_lines(spark, sf_dir):
-    return _view(spark, sf_dir, _LOG_LINES, d6="date_format(ts, 'yyMMdd')", t6="date_format(ts, 'HHmmss')")
+    return spread(_view(spark, sf_dir, _LOG_LINES, d6="date_format(ts, 'yyMMdd')", t6="date_format(ts, 'HHmmss')"))
 
 
 def block_labels(spark, sf_dir):
@@ -108,7 +108,7 @@ def attributions(spark, sf_dir):
 
 
 def text_lines(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(
         "doc_id",
         F.col("source").alias("file_name"),
@@ -118,7 +118,7 @@ def text_lines(spark, sf_dir):
 
 def vectors(spark, sf_dir):
     """Embeddings as feature columns; label 0 plays the anomaly."""
-    rows = table(spark, sf_dir, "embeddings")
+    rows = spread(table(spark, sf_dir, "embeddings"))
     wide = [F.col("embedding")[i].cast("double").alias(f"f{i:02d}") for i in range(64)]
     label = F.when(F.col("label") == 0, C.ANOMALY).otherwise(C.NORMAL)
     return rows.select(F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("block_id"), label.alias("label"), *wide)
