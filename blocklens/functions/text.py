@@ -34,7 +34,8 @@ def header_columns(parts: Column, line: Column) -> dict:
     The component ends at the first colon of the rest, so the header expression is not
     evaluated again for every field (only when blanks alone stand before the colon).
     """
-    date, time, pid, level, rest = (parts[i] for i in range(5))
+    # Filters on these fields may run before the header filter: no element may be required.
+    date, time, pid, level, rest = (F.get(parts, i) for i in range(5))
     component = F.substring_index(rest, ":", 1)
     after = F.substring(rest, F.length(component) + 2, F.length(rest))
     return {

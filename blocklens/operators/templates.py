@@ -50,7 +50,7 @@ def distinct_signatures(parsed: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_lines"), F.min("line_id").alias("first_line"))
         .withColumn("tokens", F.split("signature", _JOINER))
     )
-    return sigs.withColumns({"n_tok": F.size("tokens"), "key0": F.col("tokens")[0]})
+    return sigs.withColumns({"n_tok": F.size("tokens"), "key0": F.get("tokens", 0)})
 
 
 def _limit_children(sigs: DataFrame, dictionary: DataFrame | None, max_children: int) -> DataFrame:

@@ -27,7 +27,7 @@ def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -
 def stream_events(lines: DataFrame, dictionary: DataFrame, threshold: float = C.SIMILARITY_THRESHOLD) -> DataFrame:
     """Parsed lines with the event id of a static dictionary; unmatched ones stay NULL."""
     parsed = with_signature(parse_headers(lines)).withColumn("tokens", F.split("signature", " "))
-    parsed = parsed.withColumns({"n_tok": F.size("tokens"), "key0": F.col("tokens")[0]})
+    parsed = parsed.withColumns({"n_tok": F.size("tokens"), "key0": F.get("tokens", 0)})
     return match_signatures(parsed, dictionary, threshold).drop("signature", "tokens", "n_tok", "key0")
 
 

@@ -84,8 +84,10 @@ def _view(spark, sf_dir, sql, **names):
     return spark.sql(sql.format(**{**sources, **names}))
 
 
+@shared
 def log_lines(spark, sf_dir):
-    return spread(_view(spark, sf_dir, _LOG_LINES, d6="date_format(ts, 'yyMMdd')", t6="date_format(ts, 'HHmmss')"))
+    rows = _view(spark, sf_dir, _LOG_LINES, d6="date_format(ts, 'yyMMdd')", t6="date_format(ts, 'HHmmss')")
+    return checkpointed(spread(rows))
 
 
 def block_labels(spark, sf_dir):
