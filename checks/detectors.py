@@ -212,7 +212,7 @@ def e13_knots(spark, sf_dir):
     return calibration.knots(spark, isotonic(spark, sf_dir))
 
 
-_AROUND = """
+CALIBRATED = """
 SELECT block_id, round(CASE WHEN lo.score IS NULL THEN hi.calibrated WHEN hi.score IS NULL OR hi.score = lo.score THEN lo.calibrated
   ELSE lo.calibrated + (hi.calibrated - lo.calibrated) * (if_score - lo.score) / (hi.score - lo.score) END, 6) AS calibrated
 FROM (SELECT p.block_id, p.if_score, max(k.score) FILTER (WHERE k.score <= p.if_score) AS below,
@@ -220,7 +220,7 @@ FROM (SELECT p.block_id, p.if_score, max(k.score) FILTER (WHERE k.score <= p.if_
 LEFT JOIN isotonic lo ON lo.score = below LEFT JOIN isotonic hi ON hi.score = above"""
 
 
-@check("e14_calibrated_scores", _AROUND)
+@check("e14_calibrated_scores", CALIBRATED)
 def e14(spark, sf_dir):
     rows = calibration.calibrate(X.pairs(spark, sf_dir), isotonic(spark, sf_dir), "if_score", "calibrated")
     return rows.select("block_id", F.round("calibrated", 6).alias("calibrated"))
@@ -309,29 +309,36 @@ def e19_forests(spark, sf_dir):
     return metrics.evaluate(test.withColumn("prediction", decide(F.col("score"), F.col("threshold"))), by=["model"])
 
 
-cte("grid_scores", """
-SELECT block_id, label, w AS if_weight, w * if_score + round(1 - w, 6) * ae_score AS score
-FROM score_pairs, (SELECT CAST(unnest([0.3, 0.4, 0.5, 0.6, 0.7]) AS DOUBLE) AS w)""")
-cte("grid_curve", """
+def _grid(weights):
+    return f"""
 SELECT if_weight, score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY if_weight) AS total_pos
 FROM (SELECT if_weight, score, count(*) FILTER (WHERE label = 'Anomaly') AS pos, count(*) FILTER (WHERE label = 'Normal') AS neg
-      FROM grid_scores GROUP BY if_weight, score)
-WINDOW w AS (PARTITION BY if_weight ORDER BY score DESC)""")
+      FROM (SELECT label, w AS if_weight, w * if_score + round(1 - w, 6) * ae_score AS score
+            FROM score_pairs, (SELECT CAST(unnest({list(weights)}) AS DOUBLE) AS w)) GROUP BY if_weight, score)
+WINDOW w AS (PARTITION BY if_weight ORDER BY score DESC)"""
 
 
-@check("e20_grid_search", """
+FINE = tuple(sorted({*C.WEIGHT_GRID_FULL, *C.WEIGHT_GRID_AE_DOMINANT}))
+cte("grid_curve", _grid(C.WEIGHT_GRID))
+cte("fine_curve", _grid(FINE))
+_GRID_SEARCH = """
 SELECT *, if_weight = first(if_weight) OVER (ORDER BY f_beta DESC, if_weight) AS chosen FROM (
   SELECT if_weight, round(score, 9) AS threshold, round(tp / (tp + fp), 6) AS precision, round(tp / total_pos, 6) AS recall,
          round(2 * tp / (2 * tp + (total_pos - tp) + fp), 6) AS f_beta
-  FROM grid_curve QUALIFY row_number() OVER (PARTITION BY if_weight ORDER BY 2 * tp / (2 * tp + (total_pos - tp) + fp) DESC, score) = 1)""")
+  FROM grid_curve QUALIFY row_number() OVER (PARTITION BY if_weight ORDER BY 2 * tp / (2 * tp + (total_pos - tp) + fp) DESC, score) = 1)"""
+
+
+@check("e20_grid_search", _GRID_SEARCH)
 def e20(spark, sf_dir):
     rows = fusion.grid_search(X.pairs(spark, sf_dir))
     return rows.withColumn("threshold", F.round("threshold", 9))
 
 
-@check("e20_fine_grid")
+@check("e20_fine_grid", _GRID_SEARCH.replace("grid_curve", "fine_curve"))
 def e20_fine(spark, sf_dir):
-    return fusion.grid_search(X.pairs(spark, sf_dir), C.WEIGHT_GRID_FULL + C.WEIGHT_GRID_AE_DOMINANT)
+    """Tenths and, between them, more weights where the autoencoder dominates."""
+    rows = fusion.grid_search(X.pairs(spark, sf_dir), FINE)
+    return rows.withColumn("threshold", F.round("threshold", 9))
 
 
 @check("e21_recall_floor", """

@@ -135,13 +135,25 @@ def f12(spark, sf_dir):
     return metrics.ablation(X.fused_pairs(spark, sf_dir), E.MODELS, part="all").drop("warning")
 
 
-@check("f13_calibrated_view")
+cte("calibrated_test", f"""
+SELECT s.label, c.calibrated AS score, CASE WHEN c.calibrated >= 0.5 THEN 'Anomaly' ELSE 'Normal' END AS fusion_prediction
+FROM slices s JOIN ({E.CALIBRATED}) c USING (block_id) WHERE split = 'test'""")
+cte("calibrated_curve", """
+SELECT pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS total_pos, sum(neg) OVER () AS total_neg
+FROM (SELECT score, count(*) FILTER (WHERE label = 'Anomaly') AS pos, count(*) FILTER (WHERE label = 'Normal') AS neg
+      FROM calibrated_test GROUP BY score) WINDOW w AS (ORDER BY score DESC)""")
+
+
+@check("f13_calibrated_view", f"""
+SELECT *, 'test' AS slice FROM ({_RATES.format(counts=_COUNTS.format(by="", source="calibrated_test", group=""))}),
+  (SELECT round(sum(pos * (total_neg - fp + 0.5 * neg)) / any_value(total_pos * total_neg), 6) AS roc_auc,
+          round(sum((pos / total_pos) * (tp / (tp + fp))), 6) AS pr_auc FROM calibrated_curve)""")
 def f13(spark, sf_dir):
     """Decision at a calibrated score of one half, on the test slice."""
-    rows = sliced(spark, sf_dir)
-    model = calibration.fit_isotonic(rows.filter("split = 'validation'"), "ae_score")
-    scored = calibration.calibrate(rows.filter("split = 'test'"), model, "ae_score", "score")
-    return metrics.evaluate(scored.withColumn("prediction", decide(F.col("score"), C.CALIBRATED_CUTOFF)))
+    test = sliced(spark, sf_dir).filter("split = 'test'")
+    scored = calibration.calibrate(test, E.isotonic(spark, sf_dir), "if_score", "score")
+    scored = scored.withColumn("score", F.round("score", 6))
+    return metrics.evaluate(scored.withColumn("prediction", decide(F.col("score"), C.CALIBRATED_CUTOFF))).drop("warning")
 
 
 @check("f14_roc_curve", "SELECT model, round(score, 9) AS threshold, round(fp / total_neg, 9) AS fpr, round(tp / total_pos, 9) AS tpr FROM score_curve")
