@@ -7,6 +7,8 @@ from blocklens import config as C
 from blocklens.functions import text
 from blocklens.functions.scoring import min_max
 
+SINGLE_PASS_TEMPLATES = 200
+
 
 def block_rows(events: DataFrame) -> DataFrame:
     return events.filter(F.col("block_id").isNotNull() & (F.col("block_id") != ""))
@@ -40,8 +42,8 @@ def partial_counts(events: DataFrame) -> DataFrame:
     )
 
 
-def base_features(partial: DataFrame) -> DataFrame:
-    """The ten base and level features per block, from ``partial_counts``."""
+def base_features(partial: DataFrame, *extra) -> DataFrame:
+    """The ten base and level features per block, from ``partial_counts``, and ``extra`` aggregates."""
     seconds = F.unix_seconds(F.max("ts_max")) - F.unix_seconds(F.min("ts_min"))
     levels = [
         F.coalesce(F.sum(F.when(F.col("level") == name, F.col("n"))), F.lit(0)).alias(f"{name.lower()}_count")
@@ -54,11 +56,12 @@ def base_features(partial: DataFrame) -> DataFrame:
         F.count_distinct("component").alias("unique_component_count"),
         F.greatest(F.coalesce(seconds, F.lit(0)), F.lit(0)).cast("double").alias("time_duration_seconds"),
         *levels,
+        *extra,
     )
     density = F.col("total_log_events") / (F.col("time_duration_seconds") + C.DENSITY_EPSILON)
     return grouped.withColumns(
         {"event_sequence_length": F.col("total_log_events"), "event_density": density}
-    ).select("block_id", *C.BASE_FEATURES)
+    ).select("block_id", *C.BASE_FEATURES, *grouped.columns[len(C.BASE_FEATURES) - 1 :])
 
 
 def template_counts_long(partial: DataFrame) -> DataFrame:
@@ -85,12 +88,18 @@ def template_counts_wide(long: DataFrame, event_ids) -> DataFrame:
 def feature_matrix(events: DataFrame, event_ids) -> DataFrame:
     """Block id, ten base features and one count per template, missing values still NULL.
 
-    One pass over the lines; base features and pivot are both keyed by block, so the
-    join needs no further shuffle of raw lines.
+    Everything comes from one aggregation by block over one scan of the lines. Very large
+    dictionaries are pivoted instead, which scans twice but needs no aggregate per template.
     """
     partial = partial_counts(events)
-    wide = template_counts_wide(template_counts_long(partial), event_ids)
-    return base_features(partial).join(wide, "block_id", "left")
+    if len(event_ids) > SINGLE_PASS_TEMPLATES:
+        wide = template_counts_wide(template_counts_long(partial), event_ids)
+        return base_features(partial).join(wide, "block_id", "left")
+    known = F.count("event_id") > 0
+    count_of = lambda e: F.coalesce(F.sum(F.when(F.col("event_id") == e, F.col("n"))), F.lit(0))
+    return base_features(
+        partial, *[F.when(known, count_of(e)).alias(template_column(e)) for e in sorted(event_ids)]
+    )
 
 
 def feature_columns(matrix: DataFrame) -> list:

@@ -8,6 +8,9 @@ from blocklens.functions import text
 from blocklens.functions.scale import global_rank, lookup_join, running_totals
 
 
+SPLIT_TABLE_BYTES = 512 << 20
+
+
 class InputError(ValueError):
     """Inputs are missing, empty or do not have the expected shape."""
 
@@ -66,7 +69,8 @@ def number_file_lines(lines: DataFrame) -> DataFrame:
     )
     ends = running_totals(splits, ["path", "split_start"], {"_end": F.col("_n")})
     starts = ends.select("path", "split_start", "_first", (F.col("_end") - F.col("_n")).alias("_offset"))
-    placed = lookup_join(kept, starts, ["path", "split_start"], "inner")
+    # One row per split of the input (128 MB by default): about 150 MB for 100 TB of logs.
+    placed = lookup_join(kept, starts, ["path", "split_start"], "inner", limit=SPLIT_TABLE_BYTES)
     line_id = F.col("_offset") + F.col("_seq") - F.col("_first") + 1
     return placed.withColumn("line_id", line_id).drop("_seq", "_first", "_offset")
 

@@ -95,3 +95,11 @@ def test_selection_drops_later_members_even_of_dropped_ones(spark):
     assert [f for f in "abcde" if table[f].selected] == ["a", "d"]
     assert table["c"].n_correlated == 2  # with a and with b, although b itself is dropped
     assert selection.correlations(train, list("abcde")).filter("feature_b = 'e' AND r IS NOT NULL").count() == 0
+
+
+def test_pivoted_matrix_equals_single_pass(spark, monkeypatch):
+    one = features.feature_matrix(events(spark), ["E1", "E2"])
+    monkeypatch.setattr(features, "SINGLE_PASS_TEMPLATES", 0)
+    two = features.feature_matrix(events(spark), ["E1", "E2"])
+    assert one.columns == two.columns
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
