@@ -4,8 +4,8 @@ Everything below must equal the published configuration for results to agree.
 """
 
 # Line formats: the loose quality check and the strict header.
-LINE_FORMAT = r"^\d{6}\s+\d{6}\s+\d+\s+[A-Z]+\s+.+$"
-HEADER = r"^(\d{6})\s+(\d{6})\s+(\d+)\s+([A-Z]+)\s+([^:]+):\s+(.*)$"
+LINE_FORMAT = r"^\d{6}\s+\d{6}\s+\d+\s+[A-Z]+\s+[^\n]+$"
+HEADER = r"^(\d{6})\s+(\d{6})\s+(\d+)\s+([A-Z]+)\s+([^:]+):\s+([^\n]*)$"
 BLOCK_ID = r"blk_-?\d+"
 
 # Masks in the order they are applied.

@@ -5,14 +5,12 @@ table or over one hot key; ``lookup_join`` replaces unchecked broadcasts.
 """
 
 import tempfile
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
-MAX_STRATA = 100
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -119,7 +117,8 @@ def hash_split(df, id_col, ratio, seed, stratum=None, name="selected", digits=4)
 
     Rows are counted by hash prefix, which tells the prefix where the cut falls; only rows
     with that prefix are ordered to find the last selected one. The flag then is a
-    comparison of each row with that cut: nothing is sorted, joined or shuffled.
+    comparison of each row with its stratum's cut, from a table of one row per stratum,
+    which is broadcast where its measured size allows.
     """
     keyed = df.withColumn("_hash", split_hash(id_col, seed)).withColumn("_prefix", F.substring("_hash", 1, digits))
     group = F.col(stratum) if stratum else F.lit(None).cast("string")
@@ -132,26 +131,19 @@ def hash_split(df, id_col, ratio, seed, stratum=None, name="selected", digits=4)
         counts.withColumn("_k", F.floor(F.lit(ratio) * F.sum("_n").over(whole)))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .filter((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_n")))
-        .select("_stratum", "_prefix", (F.col("_k") - F.col("_before")).alias("_need"))
-        .limit(MAX_STRATA + 1)
-        .collect()
+        .select(F.col("_stratum").alias("_s"), F.col("_prefix").alias("_p"), (F.col("_k") - F.col("_before")).alias("_need"))
     )
-    if len(at_cut) > MAX_STRATA:
-        raise ValueError(f"{stratum} has more than {MAX_STRATA} values, it is not a stratum")
-    last = [
-        (F.col("_stratum").eqNullSafe(F.lit(c["_stratum"])) & (F.col("_prefix") == c["_prefix"]), c["_need"])
-        for c in at_cut
-    ]
-    inside = F.lit(False)
-    if last:
-        need = reduce(lambda e, c: F.when(c[0], c[1]).otherwise(e), last, F.lit(None).cast("long"))
-        order = Window.partitionBy("_stratum").orderBy("_hash", id_col)
-        near = keyed.withColumn("_need", need).filter(F.col("_need").isNotNull())
-        cuts = near.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") == F.col("_need"))
-        for c in cuts.select("_stratum", "_hash", F.col(id_col).alias("_id")).collect():
-            upto = (F.col("_hash") < c["_hash"]) | ((F.col("_hash") == c["_hash"]) & (F.col(id_col) <= c["_id"]))
-            inside = inside | (F.col("_stratum").eqNullSafe(F.lit(c["_stratum"])) & upto)
-    return keyed.withColumn(name, inside).drop("_hash", "_prefix", "_stratum")
+    # One row per stratum: measured, and broadcast where it is small.
+    order = Window.partitionBy("_stratum").orderBy("_hash", id_col)
+    same = F.col("_stratum").eqNullSafe(F.col("_s"))
+    at_cut = checkpointed(at_cut)
+    small = (lambda t: F.broadcast(t)) if fits_broadcast(at_cut) else (lambda t: t)
+    near = keyed.join(small(at_cut), same & (F.col("_prefix") == F.col("_p")))
+    last = near.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") == F.col("_need"))
+    cuts = checkpointed(last.select("_s", F.col("_hash").alias("_last"), F.col(id_col).alias("_last_id")))
+    upto = (F.col("_hash") < F.col("_last")) | ((F.col("_hash") == F.col("_last")) & (F.col(id_col) <= F.col("_last_id")))
+    flagged = keyed.join(small(cuts), same, "left").withColumn(name, F.coalesce(upto, F.lit(False)))
+    return flagged.drop("_hash", "_prefix", "_stratum", "_s", "_last", "_last_id")
 
 
 def percentiles(df: DataFrame, column: str, fractions) -> DataFrame:

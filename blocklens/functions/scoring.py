@@ -67,8 +67,18 @@ def normalise_all(scored: DataFrame, raw: str, name: str) -> DataFrame:
     return joined.withColumn(name, min_max(F.col(raw), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
+def score_bounds(reference: DataFrame, raw: str) -> DataFrame:
+    """One row with the least and greatest raw score of a reference slice, to be saved with the model."""
+    return reference.agg(F.min(raw).cast("double").alias("lo"), F.max(raw).cast("double").alias("hi"))
+
+
+def normalise_with(scored: DataFrame, bounds: DataFrame, raw: str, name: str) -> DataFrame:
+    """Min-max with saved bounds (one row), clipped to 0-1."""
+    one = bounds.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    joined = scored.crossJoin(F.broadcast(one))
+    return joined.withColumn(name, min_max(F.col(raw), F.col("_lo"), F.col("_hi"), clip=True)).drop("_lo", "_hi")
+
+
 def normalise_by(scored: DataFrame, reference: DataFrame, raw: str, name: str) -> DataFrame:
     """Min-max with the bounds of a reference slice, clipped to 0-1."""
-    bounds = reference.agg(F.min(raw).alias("_lo"), F.max(raw).alias("_hi"))
-    joined = scored.crossJoin(F.broadcast(bounds))
-    return joined.withColumn(name, min_max(F.col(raw), F.col("_lo"), F.col("_hi"), clip=True)).drop("_lo", "_hi")
+    return normalise_with(scored, score_bounds(reference, raw), raw, name)

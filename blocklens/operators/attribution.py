@@ -18,8 +18,6 @@ from blocklens.operators.autoencoder import Autoencoder, squared_error
 from blocklens.operators.iforest import Forest, forest_scorer, vectors
 from blocklens.operators.triage import label_features, with_template
 
-MAX_BACKGROUND = 1000
-
 
 def background(rows: DataFrame, n: int = C.BACKGROUND_ROWS, seed: int = C.SEED) -> DataFrame:
     """A repeatable sample of the scored population, free of any label."""
@@ -45,16 +43,14 @@ def _contributions(score: Callable, base_rows: np.ndarray, x: np.ndarray, orders
 
 
 def attribute(alerts: DataFrame, reference: DataFrame, columns, score: Callable, model: str,
-              pairs: int = 1, seed: int = C.SEED) -> DataFrame:
+              pairs: int = 1, seed: int = C.SEED, n: int = 1000) -> DataFrame:
     """Long table (block_id, model, feature, value, phi, base, f_x), positive = towards anomaly.
 
     ``score`` maps a matrix to scores. Alerts stay in their partitions; the scorer and the
-    small background sample are broadcast. base + sum(phi) = f_x per block.
+    small background sample (``n`` rows of ``reference``, those with the smallest hash) are broadcast. base + sum(phi) = f_x per block.
     """
     columns = list(columns)
-    rows = vectors(reference, columns).select("x").limit(MAX_BACKGROUND + 1).collect()
-    if len(rows) > MAX_BACKGROUND:
-        raise ValueError(f"the background has more than {MAX_BACKGROUND} rows, take a sample with background()")
+    rows = vectors(background(reference, n, seed), columns).select("x").collect()
     base_rows = np.array([r.x for r in rows])
     rng = np.random.default_rng(seed)
     orders = np.array([o for _ in range(pairs) for p in [rng.permutation(len(columns))] for o in (p, p[::-1])])

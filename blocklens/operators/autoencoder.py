@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from blocklens import config as C
 from blocklens.functions.scale import checkpointed, percentiles
-from blocklens.functions.scoring import decide, normalise_all
+from blocklens.functions.scoring import decide, normalise_all, normalise_with
 from blocklens.operators.iforest import uniform, vectors
 
 PART_ROWS = 50_000
@@ -227,9 +227,15 @@ def mean_squared_error(a: Column, b: Column) -> Column:
     return F.aggregate(squares, F.lit(0.0), lambda acc, s: acc + s) / F.size(a)
 
 
-def score_autoencoder(rows: DataFrame, model: Autoencoder) -> DataFrame:
-    """block_id, raw error, 0-1 score over all scored rows, and the decision (error above the threshold)."""
+def score_autoencoder(rows: DataFrame, model: Autoencoder, bounds: DataFrame | None = None) -> DataFrame:
+    """block_id, raw error, 0-1 score and the decision (error above the threshold).
+
+    Scores are scaled by ``bounds`` (of the training blocks, saved with the model), or over
+    all scored rows without them.
+    """
     errors = checkpointed(reconstruction_error(rows, model).select("block_id", "reconstruction_error"))
-    return normalise_all(errors, "reconstruction_error", "ae_score").withColumn(
-        "ae_prediction", decide(F.col("reconstruction_error"), model.threshold, strict=True)
-    )
+    if bounds is None:
+        scored = normalise_all(errors, "reconstruction_error", "ae_score")
+    else:
+        scored = normalise_with(errors, bounds, "reconstruction_error", "ae_score")
+    return scored.withColumn("ae_prediction", decide(F.col("reconstruction_error"), model.threshold, strict=True))

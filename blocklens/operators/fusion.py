@@ -25,6 +25,15 @@ class Fusion:
     ae_weight: float = C.AE_WEIGHT
     threshold: float = C.FUSION_THRESHOLD
 
+    def tables(self, spark) -> dict:
+        """Weights and threshold; the calibrators are saved as models of their own."""
+        row = [(self.if_weight, self.ae_weight, self.threshold)]
+        return {"fusion_meta": spark.createDataFrame(row, "if_weight double, ae_weight double, threshold double")}
+
+    @classmethod
+    def from_tables(cls, tables: dict, if_calibrator, ae_calibrator) -> "Fusion":
+        return cls(if_calibrator, ae_calibrator, **tables["fusion_meta"].first().asDict())
+
 
 def check_weights(if_weight: float, ae_weight: float) -> None:
     if round(if_weight + ae_weight, 6) != 1.0:

@@ -4,6 +4,7 @@ A node is named by its heap number within the tree (root 1, children 2i and 2i+1
 model is a plain table (tree, node, feature, threshold, n); ``feature`` is -1 in leaves.
 """
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,6 +53,14 @@ def uniform(*keys) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def draw(tree, node, seed: int, what: str):
+    """A number in [0, 1) for a node: 52 bits of an MD5, the same from columns and from plain numbers."""
+    if isinstance(tree, Column):
+        text = F.concat_ws("|", tree.cast("string"), node.cast("string"), F.lit(str(seed)), F.lit(what))
+        return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    return int(hashlib.md5(f"{tree}|{node}|{seed}|{what}".encode()).hexdigest()[:13], 16) / float(1 << 52)
+
+
 def fit_forest(
     train: DataFrame,
     columns,
@@ -66,14 +75,18 @@ def fit_forest(
     a tree when its hash falls below the sampling rate, so no sampling sort is needed and
     the forest does not depend on partitioning. While a node holds more than
     ``local_rows`` rows it is split by aggregations over all nodes of a level; smaller
-    nodes are finished within one task each.
+    nodes are finished within one task each. Feature and threshold of a node come from one
+    keyed hash, so the node table is the same for any ``local_rows``.
     """
     vectored = checkpointed(vectors(train, columns).select("block_id", "x"))
     total = vectored.count()
     psi = max(1, min(total, int(max_samples * total) if isinstance(max_samples, float) else max_samples))
     rate = psi / total
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    chosen = F.filter(trees, lambda t: uniform(F.col("block_id"), t, F.lit(seed)) < rate)
+    # A row joins a tree if the first 52 bits of the pair's MD5 are below the rate, compared as hexadecimal text.
+    below = f"{int(rate * (1 << 52)):014x}"
+    pair = lambda t: F.concat_ws("|", F.col("block_id").cast("string"), t.cast("string"), F.lit(str(seed)))
+    chosen = F.filter(trees, lambda t: F.concat(F.lit("0"), F.substring(F.md5(pair(t)), 1, 13)) < below)
     rows = vectored.select("block_id", "x", F.explode(chosen).alias("tree"))
     rows = rows.withColumn("node", F.lit(1).cast("long"))
     limit = math.ceil(math.log2(max(psi, 2)))
@@ -100,8 +113,8 @@ def _split_levels(rows: DataFrame, width: int, limit: int, seed: int, local_rows
         open_features = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.col("hi")[i] > F.col("lo")[i])
         if level >= limit:
             open_features = F.array().cast("array<int>")
-        pick = F.floor(uniform("tree", "node", F.lit(seed), F.lit("f")) * F.size("open")).cast("int")
-        point = F.col("lo")[F.col("feature")] + uniform("tree", "node", F.lit(seed), F.lit("t")) * (
+        pick = F.floor(draw(F.col("tree"), F.col("node"), seed, "feature") * F.size("open")).cast("int")
+        point = F.col("lo")[F.col("feature")] + draw(F.col("tree"), F.col("node"), seed, "threshold") * (
             F.col("hi")[F.col("feature")] - F.col("lo")[F.col("feature")]
         )
         splits = (
@@ -128,7 +141,6 @@ def _grow(limit: int, seed: int):
         rows = rows.sort_values("block_id")
         tree, root = int(rows["tree"].iloc[0]), int(rows["node"].iloc[0])
         x = np.stack(rows["x"].to_list())
-        rng = np.random.default_rng([seed, tree, root])
         out, todo = [], [(root, np.arange(len(x)))]
         while todo:
             node, idx = todo.pop()
@@ -138,8 +150,8 @@ def _grow(limit: int, seed: int):
             if node.bit_length() > limit or len(idx) < 2 or not len(open_features):
                 out.append((tree, node, -1, np.nan, len(idx)))
                 continue
-            f = int(rng.choice(open_features))
-            t = rng.uniform(lo[f], hi[f])
+            f = int(open_features[int(draw(tree, node, seed, "feature") * len(open_features))])
+            t = lo[f] + draw(tree, node, seed, "threshold") * (hi[f] - lo[f])
             right = part[:, f] > t
             out.append((tree, node, f, t, len(idx)))
             todo += [(2 * node + 1, idx[right]), (2 * node, idx[~right])]

@@ -18,7 +18,6 @@ from blocklens import config as C
 from blocklens.functions import text
 from blocklens.functions.scale import checkpointed, global_rank, lookup_join
 
-LEAF_LIMIT = 5_000
 BUCKET_ROWS = 1_000
 _JOINER = " "
 # What is clustered: signatures, and templates of an earlier run (those have an event id).
@@ -87,116 +86,77 @@ def _leaf():
     return F.concat_ws(_JOINER, F.col("n_tok").cast("string"), F.col("key0"))
 
 
-def _oversized(seeds: DataFrame, limit: int):
-    """Seeds of leaves within the limit, and of larger ones (None when there are none)."""
-    sizes = seeds.groupBy("n_tok", "key0").agg(F.count(F.lit(1)).alias("_size"))
-    if sizes.filter(F.col("_size") > limit).isEmpty():
-        return seeds, None
-    sized = lookup_join(seeds, sizes, ["n_tok", "key0"])
-    return (sized.filter(c).drop("_size") for c in (F.col("_size") <= limit, F.col("_size") > limit))
+class _Leaf:
+    """Templates of one leaf, grown by one signature after the other in order of appearance."""
 
+    def __init__(self, threshold: float):
+        self.threshold, self.texts, self.ids = threshold, [], []
+        self.codes = None
 
-def merge_similar(seeds: DataFrame, threshold: float):
-    """Collapse signatures that share enough leading fixed tokens into one row each.
-
-    A plain aggregation: a position keeps its token when smallest and largest agree.
-    Returns the merged seeds and the map from each signature to its merged one.
-    """
-    fresh = seeds.filter(F.col("event_id").isNull()).withColumn("_prefix", _fixed_prefix(_enough(threshold)))
-    keys = ["n_tok", "key0", "_prefix"]
-    positions = fresh.select(*keys, "first_line", "n_lines", F.posexplode("tokens").alias("_pos", "_token"))
-    agreed = F.when(F.min("_token") == F.max("_token"), F.min("_token")).otherwise(C.WILDCARD)
-    merged = checkpointed(
-        positions.groupBy(*keys, "_pos")
-        .agg(agreed.alias("_token"), F.min("first_line").alias("first_line"), F.sum("n_lines").alias("n_lines"))
-        .groupBy(*keys)
-        .agg(
-            F.array_sort(F.collect_list(F.struct("_pos", "_token")))["_token"].alias("tokens"),
-            F.min("first_line").alias("first_line"),
-            F.max("n_lines").alias("n_lines"),
-        )
-        .withColumn("event_id", F.lit(None).cast("string"))
-    )
-    text_of = F.array_join("tokens", _JOINER)
-    # One merged row can stand for any number of signatures, so its key may be hot.
-    target = merged.select(*keys, text_of.alias("_merged"))
-    origin = lookup_join(fresh.withColumn("signature", text_of), target, keys, "inner")
-    known = seeds.filter(F.col("event_id").isNotNull())
-    rows = merged.select(*_SEED_COLUMNS).unionByName(known.select(*_SEED_COLUMNS))
-    return rows, origin.select("signature", "_merged")
-
+    def add(self, tokens: list, code: np.ndarray, wild: int, event_id) -> int:
+        """The number of the template that takes the signature in."""
+        n = len(self.texts)
+        seen = self.codes[:n] if n else None
+        share = ((seen == code) & (seen != wild)).mean(axis=1) if n else np.zeros(0)
+        if event_id is None and n and share.max() >= self.threshold:
+            # The most similar template; of several, the more general, then the older one.
+            tied = np.flatnonzero(share == share.max())
+            best = int(tied[np.argmax((seen[tied] == wild).sum(axis=1))])
+            self.codes[best] = np.where(seen[best] == code, code, wild)
+            self.texts[best] = [a if a == b else C.WILDCARD for a, b in zip(self.texts[best], tokens)]
+            return best
+        if n == 0:
+            self.codes = np.empty((16, len(code)), code.dtype)
+        elif n == len(self.codes):
+            self.codes = np.concatenate([self.codes, np.empty_like(self.codes)])
+        self.codes[n] = code
+        self.texts.append(list(tokens))
+        self.ids.append(event_id)
+        return n
 
-def _refined_leaves(big: DataFrame, threshold: float, limit: int) -> DataFrame:
-    """Split merged seeds of oversized leaves by longer prefixes, the shortest ones that fit.
 
-    Rows that still agree at the longest prefix are similar by definition and were made
-    one row before, so no leaf is ever collected whole.
-    """
-    deepest = _enough(threshold)
-    prefixes = big.select(
-        "n_tok", "tokens", "key0", F.explode(F.sequence(F.lit(1), deepest)).alias("_depth")
-    ).withColumn("_prefix", _fixed_prefix(F.col("_depth")))
-    keys = ["n_tok", "key0", "_depth", "_prefix"]
-    fitting = (
-        prefixes.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .filter((F.col("_size") <= limit) | (F.col("_depth") == deepest))
-    )
-    shortest = lookup_join(prefixes, fitting, keys, "inner").groupBy("n_tok", "key0", "tokens").agg(
-        F.min("_depth").alias("_depth")
-    )
-    placed = big.join(shortest, ["n_tok", "key0", "tokens"])
-    return placed.withColumn("leaf", F.concat_ws(_JOINER, _leaf(), _fixed_prefix(F.col("_depth"))))
+def _token_codes(tokens) -> np.ndarray:
+    """64-bit numbers of tokens, the same in every batch."""
+    return pd.util.hash_array(np.asarray(tokens, dtype=object), categorize=False).view(np.int64)
 
 
-def _cluster(tokens, event_ids, threshold: float):
-    """Clusters one leaf, bounded by the leaf limit, in order of appearance.
+def _cluster_leaves(threshold: float):
+    """Clusters sorted leaves as they stream by: one row per signature, then one per template.
 
-    Returns the templates, the template number of every row and the templates' event ids.
+    What is held in memory are the templates of the leaf at hand, not its signatures, so one
+    procedure serves leaves of every size.
     """
-    words, flat = np.unique(np.concatenate(tokens), return_inverse=True)
-    codes = flat.reshape(len(tokens), -1)
-    hit = np.flatnonzero(words == C.WILDCARD)
-    wild = hit[0] if len(hit) else -1
-    found, ids, member = np.empty_like(codes), [], []
-    for code, event_id in zip(codes, event_ids):
-        seen = found[: len(ids)]
-        share = ((seen == code) & (seen != wild)).mean(axis=1)
-        if event_id is None and len(seen) and share.max() >= threshold:
-            # The most similar template; of several, the more general, then the older one.
-            tied = np.flatnonzero(share == share.max())
-            best = int(tied[np.argmax((seen[tied] == wild).sum(axis=1))])
-            found[best] = np.where(seen[best] == code, code, wild)
-        else:
-            best = len(ids)
-            found[best] = code
-            ids.append(event_id)
-        member.append(best)
-    kept = found[: len(ids)]
-    return np.where(kept == wild, C.WILDCARD, words[kept]).tolist(), member, ids
+    wild = int(_token_codes([C.WILDCARD])[0])
+
+    def run(batches):
+        leaf, state = None, None
+        for rows in batches:
+            if not len(rows):
+                continue
+            rows = rows.assign(known=rows["event_id"].notna())
+            sizes = rows["tokens"].map(len).to_numpy()
+            ends = np.cumsum(sizes)
+            codes = _token_codes(np.concatenate(rows["tokens"].to_list()))
+            out = []
+            for i, (name, tokens, owner) in enumerate(zip(rows["leaf"], rows["tokens"], rows["event_id"])):
+                if name != leaf:
+                    if state is not None:
+                        out += _template_rows(leaf, state)
+                    leaf, state = name, _Leaf(threshold)
+                owner = owner if rows["known"].iat[i] else None
+                place = state.add(list(tokens), codes[ends[i] - sizes[i] : ends[i]], wild, owner)
+                r = rows.iloc[i]
+                out.append((f"{leaf}#{place}", r["known"], _JOINER.join(tokens), r["n_tok"], r["key0"], None, r["first_line"], None, r["n_lines"]))
+            yield pd.DataFrame(out, columns=_MEMBER_COLUMNS)
+        if state is not None:
+            yield pd.DataFrame(_template_rows(leaf, state), columns=_MEMBER_COLUMNS)
 
+    return run
 
-def _cluster_leaves(threshold: float):
-    """Clusters the leaves of one bucket, each by itself; one row out per row in."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        known = rows["event_id"].notna()
-        rows = rows.assign(known=known, event_id=rows["event_id"].where(known, None))
-        rows = rows.sort_values(["leaf", "known", "first_line"], ascending=[True, False, True], ignore_index=True)
-        leaf, tokens, ids = (rows[c].to_list() for c in ("leaf", "tokens", "event_id"))
-        ends = [i for i in range(1, len(leaf)) if leaf[i] != leaf[i - 1]] + [len(leaf)]
-        cluster, template, event_id, at = [], [], [], 0
-        for end in ends:
-            texts, member, owner = _cluster(tokens[at:end], ids[at:end], threshold)
-            cluster += [f"{leaf[at]}#{m}" for m in member]
-            template += [texts[m] for m in member]
-            event_id += [owner[m] for m in member]
-            at = end
-        signature = [_JOINER.join(t) for t in tokens]
-        rows = rows.assign(cluster=cluster, signature=signature, tokens=template, event_id=event_id)
-        return rows[list(_MEMBER_COLUMNS)]
 
-    return run
+def _template_rows(leaf: str, state: _Leaf):
+    found = enumerate(zip(state.texts, state.ids))
+    return [(f"{leaf}#{i}", None, None, None, None, tokens, None, event_id, None) for i, (tokens, event_id) in found]
 
 
 def mine_templates(
@@ -204,13 +164,14 @@ def mine_templates(
     dictionary: DataFrame | None = None,
     threshold: float = C.SIMILARITY_THRESHOLD,
     max_children: int = C.MAX_CHILDREN,
-    leaf_limit: int = LEAF_LIMIT,
 ) -> Mined:
     """Mine templates from parsed lines (``line_id``, ``content``).
 
     New templates are numbered E1, E2, ... by first line. A ``dictionary`` of an earlier
     run is continued: its templates keep their ids and may become more general; their
-    line counts are those of this run.
+    line counts are those of this run. A leaf's distinct signatures pass through one task in
+    order of appearance, as a stream that holds the leaf's templates only; ``max_children``
+    and the first token keep leaves apart. The result does not depend on their size.
     """
     sigs = checkpointed(distinct_signatures(parsed))
     seeds = _limit_children(sigs, dictionary, max_children).withColumn("event_id", F.lit(None).cast("string"))
@@ -218,17 +179,15 @@ def mine_templates(
     if dictionary is not None:
         earlier = dictionary.withColumn("n_lines", F.lit(0).cast("long"))
         seeds = seeds.unionByName(earlier.select(*_SEED_COLUMNS))
-    small, big = _oversized(checkpointed(seeds), leaf_limit)
-    leaves = small.withColumn("leaf", _leaf())
-    if big is not None:
-        big, origin = merge_similar(big, threshold)
-        leaves = leaves.unionByName(_refined_leaves(big, threshold, leaf_limit).select(*leaves.columns))
-    buckets = F.lit(max(1, math.ceil(sigs.count() / BUCKET_ROWS)))
-    bucketed = leaves.withColumn("bucket", F.pmod(F.xxhash64("leaf"), buckets))
-    members = checkpointed(bucketed.groupBy("bucket").applyInPandas(_cluster_leaves(threshold), _MEMBER_SCHEMA))
+    leaves = seeds.withColumn("leaf", _leaf())
+    buckets = max(1, math.ceil(sigs.count() / BUCKET_ROWS))
+    bucketed = leaves.repartition(buckets, "leaf").sortWithinPartitions("leaf", F.col("event_id").isNull(), "first_line")
+    rows = checkpointed(bucketed.mapInPandas(_cluster_leaves(threshold), _MEMBER_SCHEMA))
+    # Rows of signatures say ``known``, rows of templates hold the tokens.
+    members = rows.filter(F.col("known").isNotNull())
     line = F.min(F.when(~F.col("known"), F.col("first_line")))
-    clusters = members.groupBy("cluster").agg(
-        *[F.any_value(c).alias(c) for c in ("n_tok", "key0", "tokens", "event_id")],
+    clusters = rows.groupBy("cluster").agg(
+        *[F.max(c).alias(c) for c in ("n_tok", "key0", "tokens", "event_id")],
         F.coalesce(line, F.min("first_line")).alias("first_line"),
         F.sum("n_lines").alias("n_lines"),
     )
@@ -236,10 +195,6 @@ def mine_templates(
     by_member = lookup_join(
         members.filter(~F.col("known")).select("signature", "cluster"), named.select("cluster", "event_id"), "cluster"
     ).select("signature", "event_id")
-    if big is not None:
-        merged = lookup_join(origin, by_member.withColumnRenamed("signature", "_merged").distinct(), "_merged", "inner")
-        by_member = by_member.join(origin.select("_merged").distinct(), F.col("signature") == F.col("_merged"), "left_anti")
-        by_member = by_member.unionByName(merged.select("signature", "event_id"))
     return Mined(named.drop("cluster"), checkpointed(by_member))
 
 

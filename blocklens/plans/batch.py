@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blocklens import config as C
-from blocklens.functions.scoring import decide, normalise_by
+from blocklens.functions.scoring import decide, normalise_with, score_bounds
 from blocklens.operators import (
     autoencoder,
     calibration,
@@ -78,13 +78,14 @@ def score_isolation(matrix: DataFrame, parts: DataFrame, out: str, **settings) -
     in_train = parts.filter(F.col("split") == "train").select("block_id")
     model = iforest.fit_forest(scaled.join(in_train, "block_id", "left_semi"), columns, **settings)
     raw = _stored(iforest.score_forest(scaled, model).select("block_id", "raw_score"), f"{out}/if_raw")
-    scored = normalise_by(raw, raw.join(in_train, "block_id", "left_semi"), "raw_score", "if_score")
+    bounds = score_bounds(raw.join(in_train, "block_id", "left_semi"), "raw_score")
+    scored = normalise_with(raw, bounds, "raw_score", "if_score")
     validation = scored.join(parts.filter(F.col("split") == "validation"), "block_id")
     calibrator = calibration.fit_isotonic(validation, "if_score")
     best = metrics.best_threshold(metrics.score_curve(validation, "if_score"))
     threshold = best.first().threshold
     scored = calibration.calibrate(scored, calibrator, "if_score", "if_calibrated")
-    sinks.save_model({**model.tables(), "forest_scaler": scaler, "forest_threshold": best},
+    sinks.save_model({**model.tables(), "forest_scaler": scaler, "forest_threshold": best, "forest_bounds": bounds},
                      f"{out}/models", {"forest_calibrator": calibrator})
     return _stored(scored.withColumn("if_prediction", decide(F.col("if_score"), threshold)), f"{out}/if_predictions")
 
@@ -92,17 +93,21 @@ def score_isolation(matrix: DataFrame, parts: DataFrame, out: str, **settings) -
 def score_reconstruction(matrix: DataFrame, parts: DataFrame, out: str, fit_on: str = "train", **settings) -> DataFrame:
     """Autoencoder errors, 0-1 scores and decisions.
 
-    ``fit_on="all"`` scales inputs over all blocks as published; the default uses
+    ``fit_on="all"`` scales inputs and scores over all blocks as published; the default uses
     training blocks only.
     """
     columns = features.feature_columns(matrix)
     in_train = parts.filter(F.col("split") == "train").select("block_id")
     basis = matrix if fit_on == "all" else matrix.join(in_train, "block_id", "left_semi")
-    scaled = features.scale_min_max(matrix, features.fit_min_max(basis, columns), columns)
-    scaled = _stored(scaled, f"{out}/features_scaled")
-    model = autoencoder.fit_autoencoder(scaled.join(in_train, "block_id", "left_semi"), columns, **settings)
-    sinks.save_model(model.tables(matrix.sparkSession), f"{out}/models")
-    return _stored(autoencoder.score_autoencoder(scaled, model), f"{out}/ae_predictions")
+    scaler = features.fit_min_max(basis, columns)
+    scaled = _stored(features.scale_min_max(matrix, scaler, columns), f"{out}/features_scaled")
+    train = scaled.join(in_train, "block_id", "left_semi")
+    model = autoencoder.fit_autoencoder(train, columns, **settings)
+    reference = autoencoder.reconstruction_error(scaled if fit_on == "all" else train, model)
+    bounds = score_bounds(reference, "reconstruction_error")
+    sinks.save_model({**model.tables(matrix.sparkSession), "ae_scaler": scaler, "ae_bounds": bounds}, f"{out}/models")
+    bounds = matrix.sparkSession.read.parquet(f"{out}/models/ae_bounds")
+    return _stored(autoencoder.score_autoencoder(scaled, model, bounds), f"{out}/ae_predictions")
 
 
 def combine(isolation: DataFrame, reconstruction: DataFrame, parts: DataFrame, out: str) -> DataFrame:
@@ -111,7 +116,7 @@ def combine(isolation: DataFrame, reconstruction: DataFrame, parts: DataFrame, o
         isolation.select("block_id", "if_score"), reconstruction.select("block_id", "ae_score")
     )
     model = fusion.fit_fusion(joined, parts)
-    sinks.save_model({}, f"{out}/models", {"fusion_if": model.if_calibrator, "fusion_ae": model.ae_calibrator})
+    sinks.save_model(model.tables(joined.sparkSession), f"{out}/models", {"fusion_if": model.if_calibrator, "fusion_ae": model.ae_calibrator})
     fused = _stored(fusion.apply_fusion(joined, model), f"{out}/fused")
     sinks.write_report(fusion.run_summary(fused, parts), f"{out}/reports/fusion")
     return fused

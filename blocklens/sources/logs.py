@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from blocklens import config as C
 from blocklens.functions import text
-from blocklens.functions.scale import global_rank, lookup_join, running_totals
+from blocklens.functions.scale import checkpointed, global_rank, lookup_join, running_totals
 
 
 SPLIT_TABLE_BYTES = 512 << 20
@@ -62,17 +62,22 @@ def number_file_lines(lines: DataFrame) -> DataFrame:
 
     Lines of a split are consecutive within their task, so the position inside a split
     needs no sort: only one row per split is ordered to find where each split starts.
+    Where splits lie depends on the session and may change between jobs, so the lines are
+    stored with their split and position first, and both steps read that table. A line
+    that finds no split start, which would otherwise vanish, is an error.
     """
     kept = lines.filter(~text.is_blank(F.col("raw_line"))).withColumn("_seq", F.monotonically_increasing_id())
+    kept = checkpointed(kept)
     splits = kept.groupBy("path", "split_start").agg(
         F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
     ends = running_totals(splits, ["path", "split_start"], {"_end": F.col("_n")})
     starts = ends.select("path", "split_start", "_first", (F.col("_end") - F.col("_n")).alias("_offset"))
     # One row per split of the input (128 MB by default): about 150 MB for 100 TB of logs.
-    placed = lookup_join(kept, starts, ["path", "split_start"], "inner", limit=SPLIT_TABLE_BYTES)
+    placed = lookup_join(kept, starts, ["path", "split_start"], limit=SPLIT_TABLE_BYTES)
     line_id = F.col("_offset") + F.col("_seq") - F.col("_first") + 1
-    return placed.withColumn("line_id", line_id).drop("_seq", "_first", "_offset")
+    lost = F.raise_error(F.lit("a line has no split start")).cast("long")
+    return placed.withColumn("line_id", F.coalesce(line_id, lost)).drop("_seq", "_first", "_offset")
 
 
 def number_lines(lines: DataFrame, order) -> DataFrame:
@@ -80,6 +85,11 @@ def number_lines(lines: DataFrame, order) -> DataFrame:
     return global_rank(lines.filter(~text.is_blank(F.col("raw_line"))), order, name="line_id")
 
 
+def _file_key(table: DataFrame) -> list:
+    """What tells files apart: the path where it is known, as names repeat in other folders."""
+    return ["path", "file_name"] if "path" in table.columns else ["file_name"]
+
+
 def file_stats(lines: DataFrame, validate: bool = True) -> DataFrame:
     """Line, blank and malformed counts per file; malformed is NULL unless validated."""
     line = F.col("raw_line")
@@ -91,17 +101,18 @@ def file_stats(lines: DataFrame, validate: bool = True) -> DataFrame:
     ]
     if "size_bytes" in lines.columns:
         measures.append(F.max("size_bytes").alias("size_bytes"))
-    return lines.groupBy("file_name").agg(*measures)
+    return lines.groupBy(*_file_key(lines)).agg(*measures)
 
 
 def sample_lines(lines: DataFrame, order, n: int = C.SAMPLE_LINES) -> DataFrame:
     """First ``n`` non-blank lines of every file; only ``n`` rows per task are shuffled."""
-    first = Window.partitionBy("file_name").orderBy(order)
+    key = _file_key(lines)
+    first = Window.partitionBy(*key).orderBy(order)
     return (
         lines.filter(~text.is_blank(F.col("raw_line")))
         .withColumn("sample_no", F.row_number().over(first))
         .filter(F.col("sample_no") <= n)
-        .select("file_name", "sample_no", "raw_line")
+        .select(*key, "sample_no", "raw_line")
     )
 
 
@@ -135,11 +146,12 @@ def collection_totals(stats: DataFrame) -> DataFrame:
 def file_report(stats: DataFrame, samples: DataFrame) -> DataFrame:
     """One record per file with its warning and sample lines (a few per file)."""
     sample = F.array_sort(F.collect_list(F.struct("sample_no", "raw_line")))
-    examples = samples.groupBy("file_name").agg(sample.alias("_s"))
+    key = _file_key(samples)
+    examples = samples.groupBy(*key).agg(sample.alias("_s"))
     lines = F.coalesce(F.col("_s.raw_line"), F.array().cast("array<string>"))
     return (
         malformed_warnings(stats)
-        .join(examples, "file_name", "left")
+        .join(examples, key, "left")
         .withColumn("sample_lines", lines)
         .drop("_s")
     )

@@ -32,7 +32,11 @@ def stream_events(lines: DataFrame, dictionary: DataFrame, threshold: float = C.
 
 
 def windowed_features(events: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Base and level features per block and event-time window; late lines beyond ``delay`` are left out."""
+    """Base and level features per block and event-time window; late lines beyond ``delay`` are left out.
+
+    Distinct counts are approximate here (about 5 %), as a stream keeps a sketch for each
+    block; the batch features count exactly.
+    """
     level = F.upper("level")
     grouped = (
         events.filter(F.col("block_id").isNotNull() & F.col("ts").isNotNull())
@@ -45,7 +49,7 @@ def windowed_features(events: DataFrame, window: str = "1 hour", delay: str = "1
         F.approx_count_distinct("component").alias("unique_component_count"),
         (F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))).cast("double").alias("time_duration_seconds"),
         *[F.count_if(level == name).alias(f"{name.lower()}_count") for name in C.KNOWN_LEVELS],
-        F.count_if(~level.isin(*C.KNOWN_LEVELS)).alias("other_count"),
+        F.count_if(F.coalesce(~level.isin(*C.KNOWN_LEVELS), F.lit(True))).alias("other_count"),
     )
     density = F.col("total_log_events") / (F.col("time_duration_seconds") + C.DENSITY_EPSILON)
     return counts.withColumns({"event_sequence_length": F.col("total_log_events"), "event_density": density})

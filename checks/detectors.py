@@ -4,13 +4,16 @@ from pyspark.sql import functions as F
 
 from blocklens import config as C
 from blocklens.functions.scale import percentiles
-from blocklens.functions.scoring import decide, normalise_all, normalise_by
+from blocklens.functions.scoring import decide, normalise_all, normalise_by, normalise_with, score_bounds
 from blocklens.operators import autoencoder, calibration, features, fusion, iforest, metrics, selection
+from blocklens.plans import score
+from blocklens.sources import sinks
 from checks import features_and_splits as D
 from checks import fixtures as X
 from checks.registry import check, cte, shared
+from checks.sources_and_lines import folder
 
-TREES = 100
+TREES = C.FOREST["n_trees"]
 
 
 @shared
@@ -50,7 +53,7 @@ def baseline_forest(spark, sf_dir):
 
 @shared
 def autoencoder_model(spark, sf_dir):
-    return autoencoder.fit_autoencoder(training(global_scaled(spark, sf_dir), spark, sf_dir), X.FEATURES, epochs=12)
+    return autoencoder.fit_autoencoder(training(global_scaled(spark, sf_dir), spark, sf_dir), X.FEATURES)
 
 
 @check("e1_iforest_nodes")
@@ -63,6 +66,82 @@ def e2(spark, sf_dir):
     return baseline_forest(spark, sf_dir).nodes
 
 
+# Rows of a tree's sample: the first 52 bits of md5(block|tree|seed) below psi / rows.
+_SAMPLES = """
+SELECT tree, count(*) AS n, true AS leaves_add_up FROM train_matrix, (SELECT unnest(range({trees})) AS tree), (SELECT count(*) AS total FROM train_matrix)
+WHERE '0' || md5(block_id || '|' || tree || '|42')[1:13] < format('{{:014x}}', floor({psi} / total * 4503599627370496)::BIGINT) GROUP BY tree"""
+
+
+def sample_sizes(model):
+    """Per tree the rows at its root, and whether its leaves hold as many."""
+    at_root = F.max(F.when(F.col("node") == 1, F.col("n")))
+    in_leaves = F.sum(F.when(F.col("feature") < 0, F.col("n")))
+    rows = model.nodes.groupBy(F.col("tree").cast("long").alias("tree")).agg(at_root.alias("n"), (at_root == in_leaves).alias("leaves_add_up"))
+    return rows
+
+
+@check("e1_iforest_samples", _SAMPLES.format(trees=TREES, psi="greatest(1, floor(0.5 * total))"))
+def e1_samples(spark, sf_dir):
+    return sample_sizes(forest(spark, sf_dir))
+
+
+@check("e2_baseline_samples", _SAMPLES.format(trees=TREES, psi="least(total, 256)" if C.BASELINE_FOREST["max_samples"] == 256 else "greatest(1, floor(0.5 * total))"))
+def e2_samples(spark, sf_dir):
+    return sample_sizes(baseline_forest(spark, sf_dir))
+
+
+GIVEN_NODES = [(0, 1, 0, 600.0, 8), (0, 2, -1, None, 6), (0, 3, 1, 60.0, 2), (0, 6, -1, None, 1), (0, 7, -1, None, 1),
+               (1, 1, 1, 55.0, 8), (1, 2, -1, None, 3), (1, 3, -1, None, 5)]
+_PATH = lambda n: f"(2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n})"
+_GIVEN = f"""
+SELECT block_id, 2 ** (-((CASE WHEN total_log_events <= 600 THEN 1 + {_PATH("6.0")} ELSE 2 END)
+  + (CASE WHEN error_count <= 55 THEN 1 + {_PATH("3.0")} ELSE 1 + {_PATH("5.0")} END)) / 2 / {_PATH("8.0")}) - 0.5 AS raw FROM block_matrix"""
+
+
+def given_scores(spark, sf_dir):
+    """Two trees given by hand, walked over every block."""
+    columns = ["total_log_events", "error_count"]
+    model = iforest.Forest(spark.createDataFrame(GIVEN_NODES, iforest.NODE_SCHEMA), 8, columns)
+    return iforest.score_forest(X.matrix(spark, sf_dir).select("block_id", *columns), model)
+
+
+@check("e3_given_forest", f"SELECT block_id, round(raw, 9) AS raw_score FROM ({_GIVEN})")
+def e3_given(spark, sf_dir):
+    return given_scores(spark, sf_dir).select("block_id", F.round("raw_score", 9).alias("raw_score"))
+
+
+@check("e4_given_label", f"SELECT block_id, CASE WHEN raw > 0 THEN 'Anomaly' ELSE 'Normal' END AS prediction FROM ({_GIVEN})")
+def e4_given(spark, sf_dir):
+    return given_scores(spark, sf_dir).select("block_id", iforest.forest_label().alias("prediction"))
+
+
+@check("a14_scored_again", "SELECT count(*) AS n_blocks, 0::BIGINT AS n_differ FROM block_matrix")
+def a14(spark, sf_dir):
+    """Models, bounds, calibrators, weights and threshold stored, loaded and applied: the fresh scores again."""
+    path = folder(spark, "models")
+    trees, network = forest(spark, sf_dir), autoencoder_model(spark, sf_dir)
+    raw = iforest.score_forest(local_scaled(spark, sf_dir), trees).select("block_id", "raw_score")
+    errors = autoencoder.reconstruction_error(global_scaled(spark, sf_dir), network)
+    bounds = {
+        "forest_bounds": score_bounds(training(raw, spark, sf_dir), "raw_score"),
+        "ae_bounds": score_bounds(training(errors, spark, sf_dir), "reconstruction_error"),
+    }
+    isolation = normalise_with(raw, bounds["forest_bounds"], "raw_score", "if_score")
+    rebuilt = autoencoder.score_autoencoder(global_scaled(spark, sf_dir), network, bounds["ae_bounds"])
+    joined = fusion.join_scores(isolation.select("block_id", "if_score"), rebuilt.select("block_id", "ae_score"))
+    model = fusion.fit_fusion(joined, X.log_splits(spark, sf_dir))
+    scalers = {
+        "forest_scaler": features.fit_min_max(D.training_matrix(spark, sf_dir), selected(spark, sf_dir)),
+        "ae_scaler": features.fit_min_max(X.matrix(spark, sf_dir)),
+        "forest_threshold": spark.createDataFrame([(0.5,)], "threshold double"),
+    }
+    tables = {**trees.tables(), **network.tables(spark), **bounds, **scalers, **model.tables(spark)}
+    sinks.save_model(tables, path, {"fusion_if": model.if_calibrator, "fusion_ae": model.ae_calibrator})
+    again = score.score_blocks(X.matrix(spark, sf_dir), score.load_models(spark, path))
+    both = fusion.apply_fusion(joined, model).join(again.select("block_id", F.col("fusion_score").alias("again")), "block_id")
+    return both.agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if(F.abs(F.col("fusion_score") - F.col("again")) > 1e-9).alias("n_differ"))
+
+
 @check("e3_iforest_score")
 def e3(spark, sf_dir):
     return iforest.score_forest(local_scaled(spark, sf_dir), forest(spark, sf_dir)).select("block_id", "raw_score")
@@ -111,7 +190,7 @@ def e8(spark, sf_dir):
     columns = [c for c in rows.columns if c.startswith("f")]
     rows = features.scale_min_max(rows, features.fit_min_max(rows, columns), columns)
     train = rows.filter(F.col("label") == C.NORMAL)
-    return autoencoder.history_table(spark, autoencoder.fit_autoencoder(train, columns, epochs=8, patience=1))
+    return autoencoder.history_table(spark, autoencoder.fit_autoencoder(train, columns))
 
 
 @check("e9_reconstruction_mse", """
@@ -258,6 +337,14 @@ def e17(spark, sf_dir):
     return X.fused_pairs(spark, sf_dir).select("block_id", "fusion_prediction")
 
 
+@check("e17_fitted_scores", f"SELECT block_id, calibrated AS if_calibrated FROM ({CALIBRATED})")
+def e17_scores(spark, sf_dir):
+    """The fitted fusion's calibrated forest scores, as the isotonic fit in SQL gives them."""
+    model = fusion.fit_fusion(X.pairs(spark, sf_dir).drop("label"), X.pair_splits(spark, sf_dir))
+    fused = fusion.apply_fusion(X.pairs(spark, sf_dir), model)
+    return fused.select("block_id", F.round("if_calibrated", 6).alias("if_calibrated"))
+
+
 @check("e17_fitted_fusion")
 def e17_fitted(spark, sf_dir):
     """Both calibrators fitted on the validation slice, then fused."""

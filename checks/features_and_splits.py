@@ -194,10 +194,10 @@ def d5_selected(spark, sf_dir):
     return selection.selection(training_matrix(spark, sf_dir), X.FEATURES).select("feature", "n_correlated", "selected")
 
 
-@check("d6_variance", "SELECT feature, round(variance, 3) AS variance FROM feature_choice")
+@check("d6_variance", "SELECT feature, round(variance, 9) AS variance FROM feature_choice")
 def d6(spark, sf_dir):
     rows = selection.variances(training_matrix(spark, sf_dir), X.FEATURES)
-    return rows.select("feature", F.round("variance", 3).alias("variance"))
+    return rows.select("feature", F.round("variance", 9).alias("variance"))
 
 
 _LOCAL = ", ".join(

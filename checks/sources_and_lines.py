@@ -37,9 +37,29 @@ def scanned(spark, sf_dir):
     return rows.withColumn("file_name", F.regexp_extract("path", "file_name=([^/]+)", 1))
 
 
-@check("a2_discover_files")
+@check("a1_required_inputs", "SELECT count(DISTINCT file_name) AS n_found, true AS missing_is_error FROM log_lines")
+def a1(spark, sf_dir):
+    """Every log is found in its folder, and a name that is in none is an error."""
+    path = text_files(spark, sf_dir)
+    present = logs.list_files(spark, path).filter(F.col("extension").isin(*C.LOG_EXTENSIONS))
+    names = [r.file_name for r in present.select("file_name").distinct().collect()]
+    found = logs.validate_inputs(spark, path, names).select(F.regexp_extract("path", "file_name=([^/]+)", 1).alias("log"))
+    try:
+        logs.validate_inputs(spark, path, [*names, "absent.log"])
+        error = False
+    except logs.InputError as problem:
+        error = "absent.log" in str(problem)
+    found = found.filter("log <> ''")
+    return found.agg(F.count_distinct("log").alias("n_found"), F.lit(error).alias("missing_is_error"))
+
+
+@check("a2_discover_files", """
+SELECT file_name, '.txt' AS extension, sum(strlen(raw_line) + 1)::BIGINT AS size_bytes FROM log_lines GROUP BY file_name""")
 def a2(spark, sf_dir):
-    return logs.discover_files(spark, text_files(spark, sf_dir)).select("file_name", "extension", "size_bytes")
+    """Logs by folder: the bytes of their files are those of their lines with line ends."""
+    found = logs.discover_files(spark, text_files(spark, sf_dir))
+    log = F.regexp_extract("path", "file_name=([^/]+)", 1).alias("file_name")
+    return found.groupBy(log, "extension").agg(F.sum("size_bytes").alias("size_bytes"))
 
 
 @check("a3_scan_lines", "SELECT file_name, raw_line FROM log_lines")
@@ -78,7 +98,7 @@ def a5_documents(spark, sf_dir):
 
 @check("a5_scanned_stats", _stats("log_lines"))
 def a5_scanned(spark, sf_dir):
-    return logs.file_stats(scanned(spark, sf_dir).drop("size_bytes"))
+    return logs.file_stats(scanned(spark, sf_dir).drop("size_bytes", "path"))
 
 
 @check("a6_sample_lines", f"""
@@ -138,6 +158,14 @@ def a12(spark, sf_dir):
     return back.withColumn("fusion_score", F.round("fusion_score", 9))
 
 
+@check("g18_block_logs", """
+SELECT line_id, ts_raw, component, event_id, content FROM log_events WHERE block_id = 'blk_-7' ORDER BY line_id""")
+def g18(spark, sf_dir):
+    path = folder(spark, "lookup-g18")
+    lookup.write_lookup(X.events(spark, sf_dir), path)
+    return lookup.block_logs(spark, path, "blk_-7").select("line_id", "ts_raw", "component", "event_id", "content")
+
+
 @check("a16_block_lookup", """
 SELECT line_id, block_id, ts_raw, component, event_id, event_template, content FROM log_events WHERE block_id = 'blk_0'""")
 def a16(spark, sf_dir):
@@ -284,6 +312,37 @@ def b16(spark, sf_dir):
     return lines.parse_report(X.log_lines(spark, sf_dir), X.mined(spark, sf_dir).dictionary)
 
 
+@check("a13_parsing_report", f"""
+SELECT *, round(total_lines_parsed / total_lines_read, 6) AS parsing_success_rate FROM (
+SELECT count(*) AS total_lines_read, count(*) FILTER (WHERE regexp_matches(raw_line, '{C.HEADER}')) AS total_lines_parsed,
+       count(*) FILTER (WHERE NOT regexp_matches(raw_line, '{C.HEADER}')) AS total_lines_failed,
+       (SELECT count(*) FROM mined_templates) AS unique_template_count
+FROM log_lines WHERE NOT {BLANK})""")
+def a13(spark, sf_dir):
+    """The report as JSON, read back."""
+    path = folder(spark, "report")
+    sinks.write_report(lines.parse_report(X.log_lines(spark, sf_dir), X.mined(spark, sf_dir).dictionary), path)
+    return spark.read.json(path)
+
+
+@check("a13_collection_report", f"""
+SELECT count(*) AS total_files, sum(n)::BIGINT AS total_lines, sum(blank)::BIGINT AS total_empty_lines FROM (
+  SELECT file_name, count(*) AS n, count(*) FILTER (WHERE {BLANK}) AS blank FROM log_lines GROUP BY file_name)""")
+def a13_collection(spark, sf_dir):
+    path = folder(spark, "collection")
+    sinks.write_report(logs.collection_totals(logs.file_stats(X.log_lines(spark, sf_dir))), path)
+    return spark.read.json(path).select("total_files", "total_lines", "total_empty_lines")
+
+
+@check("a15_resume", "SELECT event_id, template, n_lines FROM mined_templates")
+def a15(spark, sf_dir):
+    """A stored dictionary, loaded and continued over the same lines: the same ids, texts and counts."""
+    path = folder(spark, "dictionary")
+    sinks.write_table(X.mined(spark, sf_dir).dictionary, path)
+    again = templates.mine_templates(X.parsed(spark, sf_dir), spark.read.parquet(path))
+    return again.dictionary.select("event_id", "template", "n_lines")
+
+
 @check("b17_template_map", "SELECT event_id, template FROM mined_templates")
 def b17(spark, sf_dir):
     return templates.template_map(X.mined(spark, sf_dir).dictionary)

@@ -261,6 +261,22 @@ def h1_normal(spark, sf_dir):
     return attribution.normal_background(X.fused_pairs(spark, sf_dir)).select("block_id")
 
 
+def additive(rows):
+    """Per block and model, whether base and contributions add up to the score."""
+    gap = F.abs(F.first("base") + F.sum("phi") - F.first("f_x"))
+    return rows.groupBy("block_id", "model").agg(F.count(F.lit(1)).alias("n_features"), (gap < 1e-6).alias("adds_up"))
+
+
+@check("h2_additive", f"SELECT block_id, {len(X.FEATURES)} AS n_features, true AS adds_up FROM block_matrix")
+def h2_additive(spark, sf_dir):
+    return additive(h2(spark, sf_dir)).select("block_id", "n_features", "adds_up")
+
+
+@check("h3_additive", "SELECT block_id, true AS adds_up FROM block_matrix")
+def h3_additive(spark, sf_dir):
+    return additive(h3(spark, sf_dir)).select("block_id", "adds_up")
+
+
 @check("h2_attr_ae")
 def h2(spark, sf_dir):
     rows = E.global_scaled(spark, sf_dir)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blocklens.operators import features, templates
-from blocklens.plans import batch
+from blocklens.plans import batch, score
 from blocklens.sources import lookup
 from blocklens.streaming import live
 from checks import fixtures as X
@@ -39,6 +39,20 @@ def test_batch_run_end_to_end(spark, data, corpus, result):
     assert block.count() == X.events(spark, data).filter("block_id = 'blk_0'").count()
 
 
+def test_saved_models_score_again_without_fitting(spark, corpus, result):
+    models = score.load_models(spark, str(corpus / "out/models"))
+    again = score.score_blocks(result["matrix"], models)
+    columns = ["block_id", "if_score", "ae_score", "if_calibrated", "ae_calibrated", "fusion_score", "fusion_prediction"]
+    fresh = {r[0]: r[1:] for r in result["fused"].select(*columns).collect()}
+    for r in again.select(*columns).collect():
+        assert r[1:-1] == pytest.approx(fresh[r[0]][:-1], abs=1e-12) and r[-1] == fresh[r[0]][-1]
+    assert again.count() == len(fresh)
+    severities = {r.block_id: r.severity for r in result["alerts"].collect()}
+    assert {r.block_id: r.severity for r in again.collect()} == severities
+    few = score.score_blocks(result["matrix"].limit(2).drop("tmpl_E1_count"), models)
+    assert few.count() == 2
+
+
 def test_stream_equals_batch(spark, corpus, result):
     lines = live.stream_lines(spark, str(corpus / "logs"), max_files=1)
     events = live.stream_events(lines, result["dictionary"])

@@ -72,3 +72,11 @@ def test_parameters_come_back_from_masks_and_wildcards(spark):
     content = "Got blk_-7 from /10.0.0.1:80, /10.0.0.2:90 in part1"
     values = one(spark, content, lambda c: text.parameters(c, template))
     assert values == ["blk_-7", "10.0.0.1:80", "10.0.0.2:90", "part1"]
+
+
+def test_only_line_feeds_end_a_line(spark):
+    """U+0085 and U+2028 inside a line belong to it, in the strict and in the loose format."""
+    line = "081109 203518 143 INFO dfs.DataNode: caf\u0085 and \u2028 more"
+    rows = spark.createDataFrame([(1, line)], "line_id long, raw_line string")
+    assert lines.parse_headers(rows).first().content == "caf\u0085 and \u2028 more"
+    assert rows.filter(text.matches_line_format(F.col("raw_line"))).count() == 1

@@ -74,6 +74,15 @@ def test_levels_split_by_aggregation_form_valid_trees(vectors):
     assert set(sorted(found, key=found.get)[-3:]) == {"far_vec_1", "far_vec_2", "far_vec_3"}
 
 
+def test_node_table_does_not_depend_on_local_rows(vectors):
+    rows, columns = vectors
+    tables = []
+    for local in (5, 60, 50_000):
+        nodes = iforest.fit_forest(rows, columns, n_trees=8, max_samples=1.0, local_rows=local).nodes
+        tables.append(sorted((r.tree, r.node, r.feature, None if r.feature < 0 else r.threshold, r.n) for r in nodes.collect()))
+    assert tables[0] == tables[1] == tables[2]
+
+
 def test_identical_rows_make_single_leaves(spark):
     rows = spark.range(300).select(F.col("id").cast("string").alias("block_id"), F.lit(1.0).alias("a"))
     for local in (1000, 50):

@@ -77,3 +77,11 @@ def test_percentiles_match_numpy(spark):
     got = {r.fraction: r.value for r in scale.percentiles(rows, "x", [0.0, 0.5, 0.97, 1.0]).collect()}
     for q, v in got.items():
         assert abs(v - np.percentile(values, 100 * q)) < 1e-12
+
+
+def test_split_of_many_strata(spark):
+    """Hundreds of strata, each cut exactly."""
+    rows = spark.range(3000).select(F.concat(F.lit("b"), "id").alias("block_id"), (F.col("id") % 300).cast("string").alias("label"))
+    flagged = scale.hash_split(rows, "block_id", 0.5, 1, "label")
+    found = flagged.groupBy("label").agg(F.count_if("selected").alias("n"), F.count(F.lit(1)).alias("all")).collect()
+    assert len(found) == 300 and all(r.n == 5 and r["all"] == 10 for r in found)

@@ -93,3 +93,30 @@ def test_lookup_filter_reaches_the_scan(spark, data, tmp_path):
     rows = lookup.block_logs(spark, str(tmp_path / "l"), "blk_2")
     assert "EqualTo(block_id,blk_2)" in rows._jdf.queryExecution().executedPlan().toString()
     assert rows.count() == X.events(spark, data).filter("block_id = 'blk_2'").count()
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for folder, n in (("a", 3), ("b", 5)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "app.log").write_text("x\n" * n)
+    rows = logs.read_lines(spark, str(tmp_path / "*"))
+    stats = logs.file_stats(rows)
+    assert sorted((r.file_name, r.line_count, r.size_bytes) for r in stats.collect()) == [("app.log", 3, 6), ("app.log", 5, 10)]
+    totals = logs.collection_totals(stats).first()
+    assert (totals.total_files, totals.total_lines, totals.total_bytes) == (2, 8, 16)
+    samples = logs.sample_lines(rows.withColumn("at", F.monotonically_increasing_id()), "at", 4)
+    assert sorted(len(r.sample_lines) for r in logs.file_report(stats, samples).collect()) == [3, 4]
+
+
+def test_numbered_lines_survive_other_splits(spark, tmp_path):
+    """The size of splits changes between the call and the action: no line is lost."""
+    (tmp_path / "big.log").write_text("".join(f"line {i}\n" for i in range(50_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+        rows = logs.number_file_lines(logs.read_lines(spark, str(tmp_path)))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "170000")
+        got = rows.select("line_id", "raw_line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.line_id, r.raw_line) for r in got) == [(i + 1, f"line {i}") for i in range(50_000)]

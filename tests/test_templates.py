@@ -40,7 +40,7 @@ def text_rows(spark, data):
     return rows.select((F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("line_id"), F.col("raw_line").alias("content"))
 
 
-@pytest.mark.parametrize("options", [{}, {"leaf_limit": 20}, {"max_children": 5}, {"leaf_limit": 3, "max_children": 2}])
+@pytest.mark.parametrize("options", [{}, {"max_children": 5}, {"max_children": 2}])
 def test_every_line_matches_exactly_one_template(spark, data, options):
     rows = text_rows(spark, data)
     mined = templates.mine_templates(rows, **options)
@@ -55,13 +55,22 @@ def test_every_line_matches_exactly_one_template(spark, data, options):
     assert mined.dictionary.agg(F.sum("n_lines")).first()[0] == rows.count()
 
 
-def test_oversized_leaf_is_refined_without_losing_merges(spark):
-    """Thousands of signatures in one leaf that agree on their leading tokens become one template."""
-    words = ["".join(random.Random(i).choices("abcdefgh", k=6)) for i in range(300)]
-    rows = content(spark, *[f"open file for user {w}" for w in words], *[f"open door {w} is {w[::-1]}" for w in words])
-    whole = mapping(templates.mine_templates(rows))
-    split = mapping(templates.mine_templates(rows, leaf_limit=50))
-    assert set(split.values()) == set(whole.values()) == {"open file for user <*>", "open door <*> is <*>"}
+def test_large_leaf_streams_through_batches(spark):
+    """Mixed families of one leaf merge alike whether its signatures come in one batch or in many."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    kinds = ["open file for user {}", "open door {} is shut", "open {} of the day", "open file {} by user"]
+    rows = content(spark, *[kinds[i % 4].format(w) for i, w in enumerate(words)])
+    found = []
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found.append(mapping(templates.mine_templates(rows)))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1]
+    assert all(sum(k.replace("{}", C.WILDCARD) == t for t in found[0].values()) <= 1 for k in kinds)
+    assert len(found[0]) < 20
 
 
 def test_rerun_continues_a_dictionary(spark):
