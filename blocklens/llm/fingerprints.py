@@ -145,9 +145,12 @@ def with_fingerprint(df: DataFrame, text="text", out="fingerprint") -> DataFrame
     return df.select(*kept, F.explode(F.array(fingerprint(F.col(text)))).alias(out))
 
 
-def with_next(df: DataFrame, id_col="doc_id", values=("text",), ties=("text",), per_part: int = 4) -> DataFrame:
+def with_next(df: DataFrame, id_col="doc_id", values=("text",), ties=("text",), per_part: int = 4, make=None) -> DataFrame:
     """Append next_<value>: each value of the next row in ascending id (after the last: the first).
 
+    ``make`` may add values (DataFrame to DataFrame) once the rows are dealt out, so that these
+    are not shuffled.
+
     Ids are cut into ranges by their exact-valued quantiles (``per_part`` for each shuffle
     partition), and the first row of a range is also dealt to the range before it. So each
     row is shuffled once and no task sees the whole table. Null ids come first; rows with
@@ -158,6 +161,7 @@ def with_next(df: DataFrame, id_col="doc_id", values=("text",), ties=("text",),
     shares = [i / parts for i in range(1, parts)]
     found = df.agg(F.percentile_approx(id_col, shares, 100 * parts).alias("cuts"), F.min(order).alias("least")).first()
     if found["least"] is None:
+        df = make(df) if make else df
         return df.withColumns({f"next_{v}": F.lit(None).cast(df.schema[v].dataType) for v in values})
     cuts = sorted({c for c in found["cuts"] or [] if c is not None})
     first = found["least"][1]
@@ -179,8 +183,8 @@ def with_next(df: DataFrame, id_col="doc_id", values=("text",), ties=("text",),
     before = F.when(F.coalesce(lowest, F.lit(False)), F.struct(F.lit(last).alias("at"), F.lit(True).alias("guest")))
     before = before.when(F.coalesce(starts, F.lit(False)), F.struct((F.col("_at") - 1).alias("at"), F.lit(True).alias("guest")))
     dealt = rows.withColumn("_dealt", F.explode(F.filter(F.array(own, before), lambda x: x.isNotNull())))
-    by = Window.partitionBy("_dealt.at").orderBy("_dealt.guest", F.col(id_col).asc_nulls_first(), *ties)
-    for v in values:
-        dealt = dealt.withColumn(f"next_{v}", F.lead(v).over(by))
-    return dealt.filter("NOT _dealt.guest").drop("_at", "_dealt")
-
+    # Plain columns, so that the window finds the rows dealt out as it needs them.
+    dealt = dealt.select(*df.columns, F.col("_dealt.at").alias("_at"), F.col("_dealt.guest").alias("_guest")).repartition("_at")
+    dealt = make(dealt) if make else dealt
+    by = Window.partitionBy("_at").orderBy("_guest", F.col(id_col).asc_nulls_first(), *ties)
+    return dealt.withColumns({f"next_{v}": F.lead(v).over(by) for v in values}).filter("NOT _guest").drop("_at", "_guest")

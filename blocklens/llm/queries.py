@@ -38,7 +38,7 @@ def shared_folder(spark, name):
 def op1_fingerprints(spark, sf_dir):
     """Fingerprint of every document and of its edited text, and their likeness."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = fingerprints.with_next(fingerprints.with_fingerprint(docs, out="own"), "doc_id", ["text", "own"])
+    rows = fingerprints.with_next(docs, values=["text", "own"], make=lambda dealt: fingerprints.with_fingerprint(dealt, out="own"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
