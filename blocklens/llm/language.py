@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from blocklens.llm.words import mixed, per_text, slices, split_words, training_sample, with_columns
 
 SIZES = (2, 3, 4)
+#: Text bytes and n-grams worked on at a time.
+BLOCK, CHUNK = 4 << 20, 1 << 18
 MAX_TRAIN = 3_000
 HASHES = 3
 #: Bits of each language's filter for every n-gram it holds.
@@ -62,12 +64,24 @@ class SlicedFilters:
         return [(mixed(grams, 40 + k) % np.uint64(self.size)).astype(np.int64) for k in range(HASHES)]
 
     def holders(self, grams) -> np.ndarray:
-        """For each n-gram a 0/1 row of the languages that hold it."""
+        """For each n-gram the bit set of the languages that hold it."""
         at = self.places(grams)
         found = self.bits[at[0]]
         for p in at[1:]:
             found = found & self.bits[p]
-        return np.unpackbits(np.ascontiguousarray(found).view(np.uint8), axis=1, bitorder="little")[:, : len(self.languages)]
+        return found
+
+    def hits(self, grams, owner, n) -> np.ndarray:
+        """For each of ``n`` owners and each language the number of its n-grams that the language holds."""
+        out = np.zeros((n, len(self.languages)))
+        for start in range(0, len(grams), CHUNK):
+            own, found = owner[start : start + CHUNK], self.holders(grams[start : start + CHUNK])
+            low = int(own.min())
+            span = int(own.max()) - low + 1
+            for k in range(len(self.languages)):
+                held = (found[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)
+                out[low : low + span, k] += np.bincount(own - low, held, span)
+        return out
 
 
 def fit(docs: DataFrame, lang="lang", id_col="doc_id", text="text", max_train=MAX_TRAIN):
@@ -82,7 +96,7 @@ def fit(docs: DataFrame, lang="lang", id_col="doc_id", text="text", max_train=MA
 
     def count(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", BLOCK):
                 names = part.column("_lang").dictionary_encode()
                 langs = names.indices.to_numpy().astype(np.int64)
                 codes, starts, distinct = split_words(part.column("_text"))
@@ -138,12 +152,10 @@ def predict(docs: DataFrame, filters, text="text", out="lang_pred", score="score
         f = shared.value
         codes, starts, distinct = split_words(texts)
         grams, owner, n = word_grams(distinct)
-        held = f.holders(grams) if len(grams) else np.zeros((0, len(f.languages)), np.uint8)
-        by_word = np.stack([np.bincount(owner, held[:, k], n) for k in range(len(f.languages))], axis=1)
-        hits = per_text(by_word[codes], starts)
+        hits = per_text(f.hits(grams, owner, n)[codes], starts)
         total = per_text(np.bincount(owner, minlength=n)[codes], starts)
         best, value = decide(f, hits, total)
         names = np.where(total > 0, np.array(f.languages, object)[best], UNKNOWN)
         return [pa.array(names.tolist(), pa.string()), np.where(total > 0, value, 0.0)]
 
-    return with_columns(docs, text, f"{out} string, {score} double", make)
+    return with_columns(docs, text, f"{out} string, {score} double", make, BLOCK)

@@ -60,7 +60,7 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def with_columns(df: DataFrame, text: str, ddl: str, make) -> DataFrame:
+def with_columns(df: DataFrame, text: str, ddl: str, make, block: int = BLOCK_BYTES) -> DataFrame:
     """Append the columns ``make(texts) -> list of arrays`` returns; input columns of the same names go.
 
     ``make`` gets an Arrow array of whole texts (nulls included), a few megabytes at a time.
@@ -74,7 +74,7 @@ def with_columns(df: DataFrame, text: str, ddl: str, make) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, column):
+            for piece in slices(batch, column, block):
                 made = make(piece.column(column))
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in kept] + [pa.array(m) for m in made], names=names)
 
