@@ -36,11 +36,11 @@ def consume(df):
 
 def parse_and_mask(spark, d):
     parsed = lines.parse_headers(X.log_lines(spark, d))
-    consume(parsed.withColumn("signature", text.signature(F.col("content"))))
+    consume(parsed.withColumn("signature", text.signature_text(F.col("content"))))
 
 
 def parse_and_mine(spark, d):
-    parsed = lines.parse_headers(X.log_lines(spark, d))
+    parsed = checkpointed(templates.with_signature(lines.parse_headers(X.log_lines(spark, d))))
     consume(templates.assign_events(parsed, templates.mine_templates(parsed)))
 
 

@@ -93,6 +93,12 @@ def signature(content: Column) -> Column:
     return F.transform(tokens(content), lambda t: F.when(t.rlike(r"\d"), wild).otherwise(t))
 
 
+def signature_text(content: Column) -> Column:
+    """The tokens of ``signature`` joined by blanks, without taking them apart."""
+    spaced = F.trim(F.regexp_replace(mask(content), C.EXTRA_DELIMITER, " "))
+    return F.regexp_replace(F.regexp_replace(spaced, r"\s+", " "), r"\S*\d\S*", C.WILDCARD)
+
+
 def raw_tokens(content: Column) -> Column:
     """Unmasked text split exactly where ``tokens`` splits the masked text."""
     kept = F.regexp_replace(content, r"blk_(-?\d+)", f"blk{_KEEP}$1")

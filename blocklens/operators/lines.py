@@ -36,20 +36,28 @@ def reject_sample(lines: DataFrame, order="line_id", n: int = C.REJECT_SAMPLE) -
     return rejected_lines(lines).orderBy(order).limit(n)
 
 
-def parse_counts(lines: DataFrame) -> DataFrame:
-    """Lines read, parsed and failed and the success rate, in one pass."""
+def parse_counts(lines: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """Lines read, parsed and failed and the success rate, in one pass.
+
+    With stored ``parsed`` rows (one for each line) they are counted instead of parsing again.
+    """
     line = F.col("raw_line")
     read, ok = ~text.is_blank(line), text.has_header(line)
-    counts = lines.agg(
-        F.count_if(read).alias("total_lines_read"),
-        F.count_if(read & ok).alias("total_lines_parsed"),
-        F.count_if(read & ~ok).alias("total_lines_failed"),
-    )
+    if parsed is None:
+        counts = lines.agg(
+            F.count_if(read).alias("total_lines_read"),
+            F.count_if(read & ok).alias("total_lines_parsed"),
+            F.count_if(read & ~ok).alias("total_lines_failed"),
+        )
+    else:
+        good = parsed.agg(F.count(F.lit(1)).alias("total_lines_parsed"))
+        counts = lines.agg(F.count_if(read).alias("total_lines_read")).crossJoin(F.broadcast(good))
+        counts = counts.withColumn("total_lines_failed", F.col("total_lines_read") - F.col("total_lines_parsed"))
     share = F.try_divide(F.col("total_lines_parsed"), F.col("total_lines_read"))
     return counts.withColumn("parsing_success_rate", F.round(F.coalesce(share, F.lit(0.0)), 6))
 
 
-def parse_report(lines: DataFrame, dictionary: DataFrame) -> DataFrame:
+def parse_report(lines: DataFrame, dictionary: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """Parse counts plus the number of templates."""
     templates = dictionary.agg(F.count(F.lit(1)).alias("unique_template_count"))
-    return parse_counts(lines).crossJoin(F.broadcast(templates))
+    return parse_counts(lines, parsed).crossJoin(F.broadcast(templates))

@@ -40,9 +40,15 @@ def validation_test(blocks: DataFrame, ratio: float = C.VALIDATION_RATIO, seed:
 def assign_splits(blocks: DataFrame, seed: int = C.SEED) -> DataFrame:
     """block_id, label, split for every labelled block: train, validation or test."""
     blocks = checkpointed(blocks.select("block_id", "label").filter(F.col("label").isNotNull()))
-    training = training_ids(blocks, seed=seed)
-    train = training.select("block_id", F.lit(C.NORMAL).alias("label"), F.lit("train").alias("split"))
-    return train.unionByName(validation_test(holdout(blocks, training), seed=seed))
+    normal = F.col("label") == C.NORMAL
+    n = blocks.filter(normal).limit(2).count()
+    if n == 0:
+        raise InputError("no Normal block to train on")
+    # The same cut as ``training_ids``, taken as a flag: no join takes the training blocks out again.
+    flagged = hash_split(blocks, "block_id", C.TRAIN_RATIO, seed, "label", name="_train")
+    train = normal & (F.col("_train") if n > 1 else F.lit(True))
+    rest = flagged.filter(~train).drop("_train")
+    return flagged.filter(train).select("block_id", "label", F.lit("train").alias("split")).unionByName(validation_test(rest, seed=seed))
 
 
 def leakage(splits: DataFrame) -> DataFrame:

@@ -38,7 +38,10 @@ class Mined:
 
 
 def with_signature(parsed: DataFrame) -> DataFrame:
-    return parsed.withColumn("signature", F.array_join(text.signature(F.col("content")), _JOINER))
+    """Add the signature text, unless the rows (stored by an earlier step) have it."""
+    if "signature" in parsed.columns:
+        return parsed
+    return parsed.withColumn("signature", text.signature_text(F.col("content")))
 
 
 def distinct_signatures(parsed: DataFrame) -> DataFrame:

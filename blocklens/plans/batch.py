@@ -46,11 +46,13 @@ def parse(raw: DataFrame, out: str, dictionary: DataFrame | None = None):
     """Parsed, template-labelled lines, the dictionary and the block lookup."""
     spark = raw.sparkSession
     numbered = _stored(logs.number_file_lines(raw).select("line_id", "file_name", "raw_line"), f"{out}/lines")
-    mined = templates.mine_templates(lines.parse_headers(numbered), dictionary)
-    events = templates.assign_events(lines.parse_headers(numbered), mined)
+    # Headers, masks and signatures are worked out once; mining, assignment and report read them.
+    parsed = _stored(templates.with_signature(lines.parse_headers(numbered)), f"{out}/lines_parsed")
+    mined = templates.mine_templates(parsed, dictionary)
+    events = templates.assign_events(parsed, mined)
     sinks.write_parsed(events, f"{out}/parsed_logs")
     found = _stored(mined.dictionary, f"{out}/models/dictionary")
-    sinks.write_report(lines.parse_report(numbered, found), f"{out}/reports/parsing")
+    sinks.write_report(lines.parse_report(numbered, found, parsed), f"{out}/reports/parsing")
     events = spark.read.parquet(f"{out}/parsed_logs")
     lookup.write_lookup(events, f"{out}/block_lookup")
     return events, found

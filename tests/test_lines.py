@@ -80,3 +80,10 @@ def test_only_line_feeds_end_a_line(spark):
     rows = spark.createDataFrame([(1, line)], "line_id long, raw_line string")
     assert lines.parse_headers(rows).first().content == "caf\u0085 and \u2028 more"
     assert rows.filter(text.matches_line_format(F.col("raw_line"))).count() == 1
+
+
+def test_signature_text_is_the_joined_signature(spark):
+    texts = ["a blk_-12 10.0.0.1:80  b7", "\tx 1\t", " y  10.1.1.1 z_9 é3", "", "blk_1", "a_b\u00a0c 1_x"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string")
+    out = rows.select(text.signature_text(F.col("s")).alias("a"), F.array_join(text.signature(F.col("s")), " ").alias("b")).collect()
+    assert [r.a for r in out] == [r.b for r in out]
