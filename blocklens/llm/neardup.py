@@ -7,15 +7,15 @@ SIDE x SIDE x 2 x ROWS. A pair with similarity s shares a table unless one whole
 differs: at most 2 (1 - s**ROWS)**SIDE, 4e-4 at 0.8 and 2e-5 at 0.85.
 
 Equal sets are one node. Nodes that share a table are confirmed on their full sets. Each
-node is first held against the node it shares most tables with as that table's smallest;
-tables whose nodes then still lie in different components are gone through in full, so
-every pair that shares a table is either confirmed, refused or already connected.
+node is first held against the node it shares most tables with as that table's smallest.
+Tables whose nodes then still lie in different components are worked on in turns and at
+last in full, so every pair that shares a table is confirmed, refused or already connected.
 """
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blocklens.functions.scale import checkpointed
@@ -23,6 +23,13 @@ from blocklens.llm.words import mixed, slices, split_words, text_numbers
 
 SIDE, ROWS = 12, 3
 FILTER_BITS = 1 << 23
+#: A turn that leaves more than this share of the nodes outside is the last one.
+SLOW = 0.85
+HUBS = 4
+#: A shingle of more nodes than this is a common one.
+RARE = 8
+#: Text bytes worked on at a time.
+BLOCK = 8 << 20
 #: Rows of keys that one task sorts in memory.
 TASK_KEYS = 2_000_000
 
@@ -74,7 +81,7 @@ def signed(df: DataFrame, text: str, width: int, id_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", BLOCK):
                 keys, starts = shingles(part.column("_text"), width)
                 size = np.diff(starts)
                 full = size > 0
@@ -177,7 +184,7 @@ def full_sets(df, text, width, wanted) -> DataFrame:
     def run(batches):
         bits = shared.value
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", BLOCK):
                 keys, starts = shingles(part.column("_text"), width)
                 begin = starts[:-1][np.diff(starts) > 0]
                 if not len(begin):
@@ -234,25 +241,115 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def mixed_pairs(nodes, labels, parts) -> DataFrame:
-    """Pairs (a, b) that share a table and lie in different components.
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the components that ``links`` connect have become one."""
+    ends = links.join(labels.select(F.col("nid").alias("a"), F.col("comp").alias("x")), "a")
+    ends = ends.join(labels.select(F.col("nid").alias("b"), F.col("comp").alias("y")), "b")
+    merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    merged = merged.select(F.col("nid").alias("comp"), F.col("comp").alias("_to"))
+    return checkpointed(labels.join(merged, "comp", "left").select("nid", F.coalesce("_to", "comp").alias("comp")))
 
-    Only tables with two components and three nodes or more matter (the two of a smaller one
-    were held together before). In such a table the component with most nodes is the main
-    one; every node outside it meets all nodes of other components there.
+
+def outside(inside: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(key, nid, comp, main, hubs): nodes outside their table's main component, and some members of that.
+
+    The main component has most nodes of the table, the hubs are its members with the smallest
+    of ``HUBS`` hashes, which are others in each turn.
     """
-    tagged = nodes.join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-    keys = table_keys(tagged)
+    tagged = inside.join(labels, "nid")
+    by_comp = tagged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + k), "nid").alias("h"), "nid")).alias(f"h{k}") for k in range(HUBS)])
+    by_comp = by_comp.withColumn("hubs", F.array_distinct(F.array(*[f"h{k}.nid" for k in range(HUBS)])))
+    tables = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp", "hubs")).alias("top"))
+    tables = tables.filter("comps > 1").select("key", F.col("top.comp").alias("main"), F.col("top.hubs").alias("hubs"))
+    return checkpointed(tagged.join(tables, "key").filter("comp <> main").select("key", "nid", "comp", "main", "hubs"))
+
+
+def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Labels once every pair that shares a table is confirmed, refused or connected.
+
+    Tables with two components and three nodes or more are left over (the two of a smaller one
+    were held together before). In turns, each node outside a table's main component is held
+    against the hubs it shares most tables with, and what is confirmed becomes one component,
+    so that large groups shrink to one. When a turn changes little, each node outside is held
+    against every node of other components in its tables that their counts of common
+    shingles do not rule out (``possible_pairs``).
+    """
+    keys = table_keys(nodes.join(labels, "nid"))
     by_comp = keys.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    tables = by_comp.groupBy("key").agg(
-        F.count(F.lit(1)).alias("comps"), F.sum("n").alias("nodes"), F.max_by("comp", F.struct("n", "comp")).alias("main")
-    )
-    tables = checkpointed(tables.filter("comps > 1 AND nodes > 2").select("key", "main"))
-    inside = checkpointed(keys.join(tables, "key"))
-    left = inside.filter("comp <> main").select("key", F.col("nid").alias("x"), F.col("comp").alias("cx"))
-    right = inside.select("key", F.col("nid").alias("y"), F.col("comp").alias("cy"), "main")
-    met = left.join(right, "key").filter("cx <> cy AND (cy = main OR x < y)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    tables = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("nodes")).filter("comps > 1 AND nodes > 2")
+    inside = checkpointed(keys.join(tables.select("key"), "key").select("key", "nid"))
+    before, turn = None, 0
+    while True:
+        rest = outside(inside, labels, turn)
+        left = rest.count()
+        if not left:
+            return labels
+        if before is not None and left > SLOW * before:
+            break
+        shared = rest.select("nid", F.explode("hubs").alias("hub")).groupBy("nid", "hub").agg(F.count(F.lit(1)).alias("n"))
+        # At most HUBS x SIDE x SIDE hubs for a node.
+        most = Window.partitionBy("nid").orderBy(F.desc("n"), "hub")
+        best = shared.withColumn("r", F.row_number().over(most)).filter(F.col("r") <= HUBS)
+        best = best.select(F.col("hub").alias("a"), F.col("nid").alias("b"))
+        labels = joined(labels, checkpointed(confirmed(best, sets, percent)))
+        before, turn = left, turn + 1
+    pairs = checkpointed(possible_pairs(rest, inside, labels, sets, percent))
+    return joined(labels, checkpointed(confirmed(pairs, sets, percent)))
+
+
+def items_of(sets: DataFrame) -> DataFrame:
+    """(nid, item): the shingle hashes of full sets."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                full = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("full")]
+                nid = np.repeat(part.column("nid").to_numpy(), [len(x) for x in full])
+                yield pa.RecordBatch.from_arrays([pa.array(nid), pa.array(np.concatenate(full))], names=["nid", "item"])
+
+    return sets.select("nid", "full").mapInArrow(run, "nid long, item long")
+
+
+def possible_pairs(rest: DataFrame, inside: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of an outside node and one of another component that may be linked, and no others.
+
+    Shingles of more than ``RARE`` of the nodes are common. Two nodes either share a rare
+    shingle, which few nodes do, or have nothing but common ones in common: then the smaller
+    count of common shingles bounds their intersection (plus the rare ones they share), and
+    most pairs fall short of the threshold by these counts alone. No pair that could be linked is left out.
+    """
+    near = inside.join(rest.select("key").distinct(), "key")
+    nodes = checkpointed(near.select("nid").distinct().join(labels, "nid"))
+    items = checkpointed(items_of(sets.join(nodes.select("nid"), "nid", "left_semi")))
+    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    rare = checkpointed(items.join(counts.filter(F.col("n") <= RARE), "item"))
+    sizes = items.groupBy("nid").agg(F.count(F.lit(1)).alias("size")).join(rare.groupBy("nid").agg(F.count(F.lit(1)).alias("few")), "nid", "left")
+    sizes = (nodes.join(sizes, "nid").select("nid", "comp", "size", (F.col("size") - F.coalesce("few", F.lit(0))).alias("common")))
+    out = rest.select("nid").distinct().withColumn("out", F.lit(True))
+    sizes = checkpointed(sizes.join(out, "nid", "left").withColumn("out", F.coalesce("out", F.lit(False))))
+
+    def side(rows, name, *keep):
+        return rows.select(*keep, *[F.col(c).alias(f"{name}_{c}") for c in ("nid", "comp", "size", "common", "out")])
+
+    def enough(few):
+        """Whether common shingles and ``few`` rare ones shared can reach the threshold."""
+        most = F.least("x_common", "y_common") + few
+        return (100 + percent) * most >= percent * (F.col("x_size") + F.col("y_size"))
+
+    # Sharing rare shingles: at most RARE nodes for each.
+    shared = rare.filter("n > 1").select("item", "nid").join(sizes, "nid")
+    x = side(shared.filter("out"), "x", "item")
+    met = x.join(side(shared, "y", "item"), "item").filter("x_comp <> y_comp AND (x_nid < y_nid OR NOT y_out)")
+    met = met.groupBy(*[f"{k}_{c}" for k in "xy" for c in ("nid", "size", "common")]).agg(F.count(F.lit(1)).alias("few"))
+    by_item = met.filter(enough(F.col("few")))
+    # Sharing a table, and common shingles enough for the threshold.
+    x = side(rest.select("key", "nid", "main").join(sizes, "nid"), "x", "key", "main")
+    y = side(near.join(sizes, "nid"), "y", "key")
+    apart = (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("main")) | (F.col("x_nid") < F.col("y_nid")))
+    by_key = x.join(y, (x["key"] == y["key"]) & apart & enough(F.lit(0)))
+    ends = [F.least("x_nid", "y_nid").alias("a"), F.greatest("x_nid", "y_nid").alias("b")]
+    return by_item.select(*ends).union(by_key.select(*ends)).distinct()
 
 
 def group(df: DataFrame, id_col="doc_id", text="text", width=5, percent=80) -> DataFrame:
@@ -275,16 +372,13 @@ def group(df: DataFrame, id_col="doc_id", text="text", width=5, percent=80) -> D
     best = candidates.groupBy("nid").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     first = best.select(F.col("pivot").alias("a"), F.col("nid").alias("b"))
     wanted = candidates.select("nid").union(candidates.select("pivot")).distinct().join(nodes.select("nid", "node"), "nid")
+    wanted = checkpointed(wanted)
     low = wanted.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("low"))
     found = full_sets(df, text, width, bit_filter(low, "low")).groupBy("node").agg(F.first("full").alias("full"))
     sets = checkpointed(found.join(wanted.select("node", "nid"), "node").select("nid", "full"))
-    links = checkpointed(confirmed(first, sets, percent))
-    labels = components(links)
-    rest = mixed_pairs(nodes.join(wanted.select("nid"), "nid", "left_semi"), labels, parts)
-    rest = checkpointed(rest.join(first, ["a", "b"], "left_anti"))
-    more = checkpointed(confirmed(rest, sets, percent))
-    if more.limit(1).count():
-        labels = components(links.union(more))
+    ids = wanted.select("nid", F.col("nid").alias("comp"))
+    labels = joined(ids, checkpointed(confirmed(first, sets, percent)))
+    labels = mixed_links(nodes, sets, labels, percent)
     final = nodes.join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     least = final.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     by_node = checkpointed(final.join(least, "comp").select("node", "component_id"))
