@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from blocklens.functions.scale import fits_broadcast
+
 BLOCK_BYTES = 16 << 20
 
 
@@ -97,7 +99,8 @@ def training_sample(df: DataFrame, by: list, max_rows: int, id_col: str = "doc_i
     keep = share * F.col("_n") < max_rows
     if not by:
         return df.crossJoin(F.broadcast(counts)).filter(keep).drop("_n")
-    return df.join(counts, by).filter(keep).drop("_n")
+    # One row for each value of ``by``: measured before it is broadcast.
+    return df.join(F.broadcast(counts) if fits_broadcast(counts) else counts, by).filter(keep).drop("_n")
 
 
 def hot_keys(counts: DataFrame, key: str, n: str = "_n", parts: int = 512) -> DataFrame:
