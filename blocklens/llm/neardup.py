@@ -7,9 +7,10 @@ SIDE x SIDE x 2 x ROWS. A pair with similarity s shares a table unless one whole
 differs: at most 2 (1 - s**ROWS)**SIDE, 4e-4 at 0.8 and 2e-5 at 0.85.
 
 Equal sets are one node. Nodes that share a table are confirmed on their full sets. Each
-node is first held against the node it shares most tables with as that table's smallest.
-Tables whose nodes then still lie in different components are worked on in turns and at
-last in full, so every pair that shares a table is confirmed, refused or already connected.
+node is first held against the node it shares most tables with as that table's smallest,
+then the two of every table of two that still lie in different components. Larger tables
+with several components are worked on in turns and at last in full, so every pair that
+shares a table is confirmed, refused or already connected.
 """
 
 import numpy as np
@@ -264,26 +265,30 @@ def outside(inside: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return checkpointed(tagged.join(tables, "key").filter("comp <> main").select("key", "nid", "comp", "main", "hubs"))
 
 
-def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Labels once every pair that shares a table is confirmed, refused or connected.
 
-    Tables with two components and three nodes or more are left over (the two of a smaller one
-    were held together before). In turns, each node outside a table's main component is held
+    Tables with two components or more are left over. The two nodes of a table of two are held
+    against each other, unless they are one of the pairs (a, b) of ``held``, which were before.
+    In turns, each node outside a larger table's main component is held
     against the hubs it shares most tables with, and what is confirmed becomes one component,
     so that large groups shrink to one. When a turn changes little, each node outside is held
     against every node of other components in its tables that their counts of common
     shingles do not rule out (``possible_pairs``).
     """
     keys = table_keys(nodes.join(labels, "nid"))
-    by_comp = keys.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    tables = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("nodes")).filter("comps > 1 AND nodes > 2")
-    inside = checkpointed(keys.join(tables.select("key"), "key").select("key", "nid"))
+    by_comp = keys.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("nid"))
+    tables = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("nodes"), F.min("nid").alias("a"), F.max("nid").alias("b"))
+    tables = checkpointed(tables.filter("comps > 1"))
+    inside = checkpointed(keys.join(tables.filter("nodes > 2").select("key"), "key").select("key", "nid"))
+    # One pair for a table of two, so no more pairs than tables; their links join with those of the first turn.
+    twos = tables.filter("nodes = 2").select("a", "b").distinct().join(held, ["a", "b"], "left_anti")
     before, turn = None, 0
     while True:
         rest = outside(inside, labels, turn)
         left = rest.count()
         if not left:
-            return labels
+            return labels if turn else joined(labels, checkpointed(confirmed(twos, sets, percent)))
         if before is not None and left > SLOW * before:
             break
         shared = rest.select("nid", F.explode("hubs").alias("hub")).groupBy("nid", "hub").agg(F.count(F.lit(1)).alias("n"))
@@ -291,6 +296,7 @@ def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent: i
         most = Window.partitionBy("nid").orderBy(F.desc("n"), "hub")
         best = shared.withColumn("r", F.row_number().over(most)).filter(F.col("r") <= HUBS)
         best = best.select(F.col("hub").alias("a"), F.col("nid").alias("b"))
+        best = best if turn else best.union(twos).distinct()
         labels = joined(labels, checkpointed(confirmed(best, sets, percent)))
         before, turn = left, turn + 1
     pairs = checkpointed(possible_pairs(rest, inside, labels, sets, percent))
@@ -378,7 +384,7 @@ def group(df: DataFrame, id_col="doc_id", text="text", width=5, percent=80) -> D
     sets = checkpointed(found.join(wanted.select("node", "nid"), "node").select("nid", "full"))
     ids = wanted.select("nid", F.col("nid").alias("comp"))
     labels = joined(ids, checkpointed(confirmed(first, sets, percent)))
-    labels = mixed_links(nodes, sets, labels, percent)
+    labels = mixed_links(nodes, sets, labels, first, percent)
     final = nodes.join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     least = final.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     by_node = checkpointed(final.join(least, "comp").select("node", "component_id"))

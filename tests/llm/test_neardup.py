@@ -112,3 +112,32 @@ def test_links_found_in_mixed_tables(spark):
         b[k] = f"b{k}"
     rows = [(0, " ".join(a)), (1, " ".join(b)), (2, " ".join(c))]
     assert found(spark.createDataFrame(rows, "doc_id long, text string"), width=2)[0] == brute(rows, 2)
+
+
+def tables_of(text):
+    sig = neardup.collections(*neardup.shingles(pa.array([text]), 2))
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([sig[0].tobytes()], pa.binary())], names=["nid", "sig"])
+    return set(next(neardup.key_batches([batch]))[0].tolist())
+
+
+def test_links_found_in_tables_of_two(spark):
+    """a and b (0.80) meet in tables of their own only, and b shares more tables with c, linked or refused.
+
+    Where b has the largest number, it is held against c first. Every a shares a table with its b, so none may be missed.
+    """
+    rng = random.Random(10)
+    rows, made = [], {4: 0, 6: 0}
+    while min(made.values()) < 8:
+        for differ in made:  # 4 words: 0.84, 6 words: 0.76
+            b = [f"w{rng.randrange(10**9)}" for _ in range(91)]
+            a, c, places = b[:], b[:], rng.sample(range(1, 45), 5 + differ)
+            for k in places[:5]:
+                a[2 * k] = f"a{rng.randrange(10**9)}"
+            for k in places[5:]:
+                c[2 * k] = f"c{rng.randrange(10**9)}"
+            in_a, in_b, in_c = (tables_of(" ".join(x)) for x in (a, b, c))
+            if made[differ] < 8 and in_a & in_b and not in_a & in_b & in_c and len(in_b & in_c) > len(in_a & in_b):
+                made[differ] += 1
+                rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((a, b, c))]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"), width=2)[0]
+    assert got == brute(rows, 2)
