@@ -43,10 +43,15 @@ def drop_repeated_lines(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near-duplicates (five-word shingles, 0.8), that with the smallest id; rows without an id stay."""
+    """One row of each group of near-duplicates (five-word shingles, 0.8), that with the smallest id; rows without an id come last."""
     ship_package(spark)
-    dropped = neardup.group(docs, width=5, percent=80).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    path = shared_folder(spark, "near-rows")
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)  # ids may repeat, numbers fixed by the stored table do not
+    groups = neardup.group(rows.select("_row", "text"), id_col="_row", width=5, percent=80).select("_row", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row")).alias("first")
+    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def pack(spark, docs, sf_dir):

@@ -55,3 +55,12 @@ def test_lines_stage_updates_length_and_drops_emptied(spark, data):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_repeated_lines(spark, docs, data).collect()}
     assert out == {1: ("a\nb\nc\nd", 7), 3: ("e", 1), 4: ("", 0), 5: (None, None)}
+
+
+def test_near_duplicates_stage_decides_by_row(spark, data):
+    """Ids that repeat: a clean text stays though another row of its id goes, and of exact repeats one stays."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(100)) for x in "abcd")
+    rows = [(1, a), (2, b), (2, a + " end"), (3, c), (3, c), (None, a), (None, d), (None, d), (4, ""), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, data).collect())
+    assert out == [(0, d), (1, a), (2, b), (3, c), (4, ""), (4, "")]
