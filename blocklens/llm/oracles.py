@@ -169,3 +169,27 @@ WITH normal AS (
 SELECT doc_id, license, matched, total AS shingles, matched / total AS containment, first_word FROM windows
 WHERE 100 * matched >= 80 * total QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY matched DESC, first_word) = 1
 """
+
+ORACLES["op11_contamination"] = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), words AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts
+), windows AS (
+  SELECT DISTINCT id AS item_id, least(len(ws), 10) AS n, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: array_to_string(ws[i : i + 9], ' '))) AS win
+  FROM words WHERE kind = 'b' AND len(ws) > 0
+), places AS (
+  SELECT id AS doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i : i + n - 1], ' '))) AS win
+  FROM words, (SELECT DISTINCT n FROM windows) WHERE kind = 'd' AND len(ws) >= n
+), hits AS (
+  SELECT doc_id, i, n, item_id FROM places JOIN windows USING (n, win)
+), counted AS (
+  SELECT doc_id, count(DISTINCT i + k) FILTER (k < n) AS n_hit, count(DISTINCT item_id) AS n_items,
+    array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS items
+  FROM hits, range(10) r(k) GROUP BY doc_id
+)
+SELECT id AS doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN counted ON doc_id = id WHERE kind = 'd'
+"""

@@ -123,7 +123,9 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, n: str = "_n") -> D
     return served.unionByName(rest.join(right.drop(n), key))
 
 
-def column_or_null(df: DataFrame, name: str, kind: str):
-    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
-
-
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name`` with as many underscores before it as it takes to be no column of ``frames`` (case does not count)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
