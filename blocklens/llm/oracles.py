@@ -193,3 +193,39 @@ SELECT id AS doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN counted ON doc_id = id WHERE kind = 'd'
 """
+
+# CRC-32 of the id's decimal digits, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(conv::VARCHAR) + 1), lambda i: ascii(conv::VARCHAR[i])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+ORACLES["op12_conversation_trie"] = f"""
+WITH told AS (
+  SELECT conv_id AS conv, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS code, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT conv, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, code) AS spot, code, chars FROM told
+), convs AS (
+  SELECT DISTINCT conv, conv - conv % 100 AS base, {_CRC} % 6 AS h FROM turns
+), moved AS (
+  SELECT c.conv, spot, code, chars FROM convs c JOIN turns t ON t.conv = c.base AND spot <= h
+  UNION ALL SELECT c.conv, spot, code, chars FROM convs c JOIN turns t ON t.conv = c.conv AND spot > h
+), rebuilt AS (
+  SELECT conv, coalesce(list(code ORDER BY spot) FILTER (code IS NOT NULL), []) AS codes, coalesce(list(chars ORDER BY spot) FILTER (code IS NOT NULL), []) AS sizes
+  FROM convs LEFT JOIN moved USING (conv) GROUP BY conv
+), members AS (
+  SELECT conv, depth, array_to_string(codes[1:depth], ',') AS node, CASE WHEN depth > 0 THEN array_to_string(codes[1:depth - 1], ',') END AS parent,
+    CASE WHEN depth > 0 THEN sizes[depth] ELSE 0 END AS chars, depth = len(codes) AS ends
+  FROM (SELECT *, unnest(range(len(codes) + 1)) AS depth FROM rebuilt)
+), nodes AS (
+  SELECT node, depth, parent, chars, min(conv) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (ends), '') AS ends
+  FROM members GROUP BY node, depth, parent, chars
+), grown AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN (SELECT parent, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL) c
+    ON c.parent = n.node AND c.depth = n.depth
+), subtree AS (
+  SELECT a.node, a.depth, count(*) FILTER (g.n_children = 0) AS n_leaves, sum((g.n_convs - 1) * g.chars)::BIGINT AS saved_tokens
+  FROM grown g JOIN members a ON a.conv = g.conv_id AND a.depth <= g.depth GROUP BY a.node, a.depth
+)
+SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, g.n_children, s.n_leaves, s.saved_tokens, sha256(g.ends) AS ends_sha256
+FROM grown g JOIN subtree s USING (node, depth) LEFT JOIN nodes p ON p.node = g.parent AND p.depth = g.depth - 1
+"""

@@ -6,7 +6,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from blocklens.llm import bytebpe, decontam, fingerprints, language, licenses, linededup, neardup, packing, quality, rules, warc
+from blocklens.llm import bytebpe, decontam, fingerprints, language, licenses, linededup, neardup, packing, quality, rules, trie, warc
 from blocklens.llm.oracles import ORACLES  # noqa: F401
 from blocklens.llm.words import held_out
 
@@ -133,3 +133,9 @@ def op11_contamination(spark, sf_dir):
     found = decontam.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", "n_items", items, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op12_conversation_trie(spark, sf_dir):
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return trie.trie(table(spark, sf_dir, "conversations"))
