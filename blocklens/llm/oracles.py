@@ -195,7 +195,7 @@ FROM words LEFT JOIN counted ON doc_id = id WHERE kind = 'd'
 """
 
 # CRC-32 of the id's decimal digits, bit by bit.
-_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(conv::VARCHAR) + 1), lambda i: ascii(conv::VARCHAR[i])::BIGINT)),
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(conv::VARCHAR) + 1), lambda i: ascii((conv::VARCHAR)[i])::BIGINT)),
     lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
 
 ORACLES["op12_conversation_trie"] = f"""
@@ -229,3 +229,36 @@ WITH told AS (
 SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, g.n_children, s.n_leaves, s.saved_tokens, sha256(g.ends) AS ends_sha256
 FROM grown g JOIN subtree s USING (node, depth) LEFT JOIN nodes p ON p.node = g.parent AND p.depth = g.depth - 1
 """
+
+ORACLES["op13_filter_audit"] = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), told AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), flags AS (
+  SELECT part, (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * (doc_id > min(doc_id) OVER (PARTITION BY text))::INT AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM words LEFT JOIN told USING (doc_id)
+), counts AS (
+  SELECT part, mask, good, toxic, count(*) AS n FROM flags GROUP BY ALL
+), letters AS (
+  SELECT l, 2 ** (ascii(l) - 65) AS bit FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l)
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+  SELECT filter_order, step, (1 << (ascii(filter_order[step]) - 65)) AS own,
+    coalesce(list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(filter_order[k]) - 65))), 0)::INT AS past
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step)
+), cells AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (past | own) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & past = 0 AND mask & own > 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & past > 0 AND mask & own > 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (mask & past = 0 AND mask & own > 0 AND good = 1), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (mask & past = 0 AND mask & own > 0 AND toxic = 1), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM cells
+"""

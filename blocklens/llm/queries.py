@@ -6,7 +6,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from blocklens.llm import bytebpe, decontam, fingerprints, language, licenses, linededup, neardup, packing, quality, rules, trie, warc
+from blocklens.llm import audit, bytebpe, decontam, fingerprints, language, licenses, linededup, neardup, packing, quality, rules, trie, warc
 from blocklens.llm.oracles import ORACLES  # noqa: F401
 from blocklens.llm.words import held_out
 
@@ -139,3 +139,9 @@ def op11_contamination(spark, sf_dir):
 def op12_conversation_trie(spark, sf_dir):
     """Nodes of the prefix trie of all rebuilt conversations."""
     return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    """What five filters remove in each of their orders, by language."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), shared_folder(spark, "term-matrix"))
