@@ -13,6 +13,7 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ MIN_WORDS, DISTINCT_PERCENT, UPPER_PERCENT = 100, 80, 10
 SHARD = 4 << 20
 #: Rows of a shard, so that one of short texts stays small.
 SHARD_ROWS = 20_000
+#: Rows of word lists that a task holds before it packs them by shard.
+HELD_ROWS = 1 << 20
 SIGNS = "#$%&*|"
 
 
@@ -59,17 +62,32 @@ def csr(texts: pa.Array):
     return np.searchsorted(rows, np.arange(len(starts))), key[edge] & ((1 << width) - 1), counts, words
 
 
+def gaps_of(columns: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each row's sorted columns as the first and the differences to the next; numbers that pack well."""
+    gaps = np.diff(columns, prepend=0)
+    first = starts[:-1][np.diff(starts) > 0]
+    gaps[first] = columns[first]
+    return gaps
+
+
+def columns_of(gaps: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The columns that ``gaps_of`` made gaps of."""
+    total = np.concatenate([[0], np.cumsum(gaps)])
+    return total[1:] - np.repeat(total[starts[:-1]], np.diff(starts))
+
+
 def shards(docs: DataFrame, path: str, text="text", keep=()) -> DataFrame:
     """Write one row per block of texts to ``path`` and read it again.
 
     Columns: rows (an array of the ``keep`` columns, the text's digest and the flags C and D),
-    starts, columns and counts (the CSR matrix as little-endian 32-bit numbers) and words.
+    starts, gaps and counts (the CSR matrix as little-endian 32-bit numbers, columns as
+    ``gaps_of``) and words.
     """
     own, digest, mask = (free_name(n, docs) for n in ("_text", "_digest", "_mask"))
     source = docs.select(*keep, F.col(text).alias(own), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias(digest))
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
     fields = ", ".join(f"`{c}`: {kinds[c]}" for c in keep)
-    schema = f"rows array<struct<{fields}{', ' if keep else ''}`{digest}`: binary, `{mask}`: int>>, starts binary, columns binary, counts binary, words array<string>"
+    schema = f"rows array<struct<{fields}{', ' if keep else ''}`{digest}`: binary, `{mask}`: int>>, starts binary, gaps binary, counts binary, words array<string>"
 
     def run(batches):
         for batch in batches:
@@ -80,52 +98,101 @@ def shards(docs: DataFrame, path: str, text="text", keep=()) -> DataFrame:
                     rows = pa.StructArray.from_arrays([*(part.column(c) for c in (*keep, digest)), flags], names=[*keep, digest, mask])
                     rows = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
                     listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-                    yield pa.RecordBatch.from_arrays([rows, *(pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in (starts, columns, counts)), listed], names=["rows", "starts", "columns", "counts", "words"])
+                    yield pa.RecordBatch.from_arrays([rows, *(pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in (starts, gaps_of(columns, starts), counts)), listed], names=["rows", "starts", "gaps", "counts", "words"])
 
-    source.mapInArrow(run, schema).withColumn("shard", F.monotonically_increasing_id()).write.parquet(path)
+    source.mapInArrow(run, schema).withColumn("shard", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
-def dictionary(parts: DataFrame) -> DataFrame:
-    """(word, code): all distinct words of all shards, numbered from 0 without gaps."""
-    words = checkpointed(parts.select(F.explode("words").alias("word")).distinct().withColumn("_place", F.monotonically_increasing_id()))
-    # The place holds the partition above 33 bits: one row and one offset for each partition.
-    place, offsets, total = F.shiftright("_place", 33), [], 0
-    for part, size in sorted((r["part"], r["count"]) for r in words.groupBy(place.alias("part")).count().collect()):
-        offsets.append((part, total))
-        total += size
-    offsets = F.broadcast(words.sparkSession.createDataFrame(offsets, "_part long, _offset long"))
-    return words.join(offsets, place == F.col("_part")).select("word", (F.col("_offset") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).alias("code"))
+def encoded(local: DataFrame, path: str) -> DataFrame:
+    """Number all distinct words of all shards and write two kinds of rows to ``path``: dictionary and listing.
+
+    The word lists are dealt out by word and sorted, so a word's rows follow each other and
+    equal words get one number: (part, rank). Dictionary rows have word, part and rank;
+    listing rows have, for a shard, the places (at) in its word list that this part numbered
+    and their ranks. A word is there once for a shard, so the most frequent one has no more
+    rows than there are shards.
+    """
+    spark = local.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = ["part", "word", "rank", "shard", "at", "ranks"]
+
+    def number(batches):
+        part, last, total, held, size = TaskContext.get().partitionId(), None, 0, [], 0
+
+        def table(word=None, rank=None, shard=None, at=None, ranks=None):
+            n = len(word if shard is None else shard)
+            columns = [pa.array([part] * n, pa.int32()), *(pa.nulls(n, t) if c is None else c for c, t in ((word, pa.string()), (rank, pa.int64()), (shard, pa.int64()), (at, pa.binary()), (ranks, pa.binary())))]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        def listing():
+            shard, at, rank = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(shard, kind="stable")
+            shard, at, rank = shard[order], at[order], rank[order]
+            cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            packed = [pa.array([x[i:j].astype("<u4").tobytes() for i, j in zip(cuts, [*cuts[1:], len(x)])], pa.binary()) for x in (at, rank)]
+            return table(shard=pa.array(shard[cuts]), at=packed[0], ranks=packed[1])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word = batch.column("word")
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)
+            new[0] = word[0].as_py() != last
+            rank = total + np.cumsum(new) - 1
+            last, total = word[-1].as_py(), int(rank[-1]) + 1
+            yield table(word=word.filter(pa.array(new)), rank=pa.array(rank[new]))
+            held.append((batch.column("shard").to_numpy(), batch.column("at").to_numpy(), rank))
+            size += batch.num_rows
+            if size >= HELD_ROWS:
+                yield listing()
+                held, size = [], 0
+        if held:
+            yield listing()
+
+    dealt = local.select("shard", F.posexplode("words").alias("at", "word")).repartition(parts, "word").sortWithinPartitions("word")
+    dealt.mapInArrow(number, "part int, word string, rank long, shard long, at binary, ranks binary").write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
 
 
 def matrix(docs: DataFrame, folder: str, text="text", keep=()):
-    """The sparse document-term matrix of all whole texts, as CSR shards with global columns, and its dictionary.
+    """The sparse document-term matrix of all whole texts as CSR shards with global columns, and its dictionary (word, code).
 
-    Words are runs of anything but ASCII white space, as they are. Shards are written to
-    ``folder`` and have shard, rows (see ``shards``), starts, columns (codes of the dictionary,
-    64-bit) and counts. The word lists are joined with the dictionary by word; a word is there
-    once for a shard, so the most frequent one has no more rows than there are shards.
+    Words are runs of anything but ASCII white space, as they are; codes run from 0 without
+    gaps. Shards are written to ``folder`` and have shard, rows (see ``shards``), starts,
+    gaps (of sorted codes, 64-bit; ``columns_of``) and counts.
     """
     spark = docs.sparkSession
     local = shards(docs, f"{folder}/local", text, keep)
-    known = checkpointed(dictionary(local))
-    listed = local.select("shard", F.posexplode("words").alias("at", "word"))
-    # A shard's list is as long as a block of texts has distinct words.
-    codes = listed.join(known, "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "code"))).alias("codes"))
-    codes = codes.select("shard", F.col("codes.code").alias("codes"))
-    joined = local.drop("words").join(codes, "shard", "left")
-    names = ["shard", "rows", "starts", "columns", "counts"]
-
-    def run(batches):
-        for batch in batches:
-            made = []
-            for columns, listed in zip(batch.column("columns").to_pylist(), batch.column("codes")):
-                table = np.zeros(0, np.int64) if not listed.is_valid else listed.values.to_numpy()
-                made.append(table[np.frombuffer(columns, "<u4")].astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([*(pa.array(made, pa.binary()) if c == "columns" else batch.column(c) for c in names)], names=names)
-
-    joined.select(*names, "codes").mapInArrow(run, joined.select(*names).schema).write.parquet(f"{folder}/global")
-    return spark.read.parquet(f"{folder}/global"), known
+    found = encoded(local, f"{folder}/words")
+    # One offset for each part that the words were dealt to.
+    sizes = found.filter("word IS NOT NULL").groupBy("part").agg((F.max("rank") + 1).alias("n")).collect()
+    offsets, total = {}, 0
+    for part, n in sorted((r["part"], r["n"]) for r in sizes):
+        offsets[part] = total
+        total += n
+    names = ["shard", "rows", "starts", "gaps", "counts"]
+
+    def encode(mine: pa.Table, listed: pa.Table) -> pa.Table:
+        starts, gaps, counts = (np.frombuffer(mine[c][0].as_buffer(), "<u4").astype(np.int64) for c in ("starts", "gaps", "counts"))
+        pieces = [[np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in listed[c]] for c in ("at", "ranks")]
+        codes = np.zeros(sum(map(len, pieces[0])), np.int64)
+        for part, at, ranks in zip(listed["part"].to_pylist(), *pieces):
+            codes[at] = offsets[part] + ranks
+        columns = codes[columns_of(gaps, starts)]
+        order = np.lexsort((columns, text_numbers(starts)))
+        made = gaps_of(columns[order], starts).astype("<i8"), counts[order].astype("<u4")
+        packed = dict(zip(("gaps", "counts"), (pa.array([x.tobytes()], pa.binary()) for x in made)))
+        return pa.table([packed.get(c, mine[c]) for c in names], names=names)
+
+    listing = found.filter("shard IS NOT NULL").select("shard", "part", "at", "ranks")
+    bare = local.select(names)
+    # A shard is a block of texts, and so are its columns and words.
+    bare.groupBy("shard").cogroup(listing.groupBy("shard")).applyInArrow(encode, bare.schema).write.option("compression", "zstd").parquet(f"{folder}/global")
+    table = F.broadcast(spark.createDataFrame(list(offsets.items()), "part int, offset long"))
+    dictionary = found.filter("word IS NOT NULL").join(table, "part").select("word", (F.col("offset") + F.col("rank")).alias("code"))
+    return spark.read.parquet(f"{folder}/global"), dictionary
 
 
 def flagged(docs: DataFrame, folder: str, text="text", keep=()) -> DataFrame:

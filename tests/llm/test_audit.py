@@ -86,7 +86,8 @@ def test_matrix_is_the_document_term_matrix(spark, documents, folder):
     assert sorted(words) == list(range(len(words))) and len(set(words.values())) == len(words)
     seen = 0
     for shard in found.collect():
-        starts, columns, counts = np.frombuffer(shard["starts"], "<u4"), np.frombuffer(shard["columns"], "<i8"), np.frombuffer(shard["counts"], "<u4")
+        starts, gaps, counts = np.frombuffer(shard["starts"], "<u4"), np.frombuffer(shard["gaps"], "<i8"), np.frombuffer(shard["counts"], "<u4")
+        columns = audit.columns_of(gaps, starts.astype(int))
         for k, row in enumerate(shard["rows"]):
             own = slice(starts[k], starts[k + 1])
             got = {words[c]: n for c, n in zip(columns[own].tolist(), counts[own].tolist())}
