@@ -94,9 +94,13 @@ def signature(content: Column) -> Column:
 
 
 def signature_text(content: Column) -> Column:
-    """The tokens of ``signature`` joined by blanks, without taking them apart."""
+    """The tokens of ``signature`` joined by blanks, without taking them apart.
+
+    A match starts where a token does and never looks back, so a token without a digit costs
+    its length, however long it is.
+    """
     spaced = F.trim(F.regexp_replace(mask(content), C.EXTRA_DELIMITER, " "))
-    return F.regexp_replace(F.regexp_replace(spaced, r"\s+", " "), r"\S*\d\S*", C.WILDCARD)
+    return F.regexp_replace(F.regexp_replace(spaced, r"\s+", " "), r"(?<!\S)[^\s\d]*+\d\S*+", C.WILDCARD)
 
 
 def raw_tokens(content: Column) -> Column:

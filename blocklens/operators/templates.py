@@ -2,7 +2,9 @@
 
 The number of distinct signatures drives the work, not the number of lines. Following
 the published prefix-tree idea (He et al., 2017), signatures meet only within their
-(token count, first token) leaf, where they are clustered in order of appearance.
+(token count, first token) leaf. Signatures that share their first (then their last) fixed
+tokens, as many as similarity asks for, become partial clusters by aggregation, wherever
+they are; only the templates that are left meet in order of appearance.
 """
 
 import math
@@ -22,9 +24,9 @@ BUCKET_ROWS = 1_000
 _JOINER = " "
 # What is clustered: signatures, and templates of an earlier run (those have an event id).
 _SEED_COLUMNS = ("n_tok", "key0", "tokens", "first_line", "event_id", "n_lines")
-_MEMBER_COLUMNS = ("cluster", "known", "signature", "n_tok", "key0", "tokens", "first_line", "event_id", "n_lines")
+_MEMBER_COLUMNS = ("cluster", "known", "part", "n_tok", "key0", "tokens", "first_line", "event_id", "n_lines")
 _MEMBER_SCHEMA = (
-    "cluster string, known boolean, signature string, n_tok int, key0 string, tokens array<string>, "
+    "cluster string, known boolean, part string, n_tok int, key0 string, tokens array<string>, "
     "first_line long, event_id string, n_lines long"
 )
 
@@ -76,19 +78,59 @@ def _enough(threshold: float) -> Column:
     return F.greatest(F.ceil(F.col("n_tok") * F.lit(threshold)), F.lit(1)).cast("int")
 
 
-def _fixed_prefix(depth: Column) -> Column:
-    """The first ``depth`` fixed tokens of a signature, with their positions."""
-    placed = F.transform("tokens", lambda t, i: F.struct(i.alias("i"), t.alias("t")))
-    fixed = F.filter(placed, lambda p: p["t"] != C.WILDCARD)
-    return F.array_join(
-        F.transform(F.slice(fixed, 1, depth), lambda p: F.concat_ws("=", p["i"].cast("string"), p["t"])), _JOINER
-    )
+def _fixed_tokens(tokens) -> Column:
+    """The fixed tokens with their positions: array of (i, t)."""
+    placed = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), t.alias("t")))
+    return F.filter(placed, lambda p: p["t"] != C.WILDCARD)
 
 
 def _leaf():
     return F.concat_ws(_JOINER, F.col("n_tok").cast("string"), F.col("key0"))
 
 
+def _merge_alike(parts: DataFrame, threshold: float, last: bool):
+    """Merge rows of a leaf that share their first (or ``last``) fixed tokens, as many as make two rows similar.
+
+    ``parts`` has part (a name), n_tok, key0, tokens, first_line and n_lines. All rows of a
+    group are similar to each other and to what they become, so merging is a plain
+    aggregation: positions where a row differs from the group's first one become wildcards,
+    and a group with most of the rows is summed up where they are. Returns the rows that are
+    left, and (part, into) for those that went into another.
+    """
+    fixed, need = _fixed_tokens("tokens"), _enough(threshold)
+    piece = F.slice(fixed, -need, need) if last else F.slice(fixed, 1, need)
+    spelled = F.transform(piece, lambda p: F.concat_ws("=", p["i"].cast("string"), p["t"]))
+    group = F.when(F.size(fixed) >= need, F.concat_ws(_JOINER, _leaf(), F.array_join(spelled, _JOINER)))
+    keyed = parts.withColumn("_group", group)
+    first = F.min(F.struct("first_line", "part", "tokens")).alias("_first")
+    groups = keyed.filter("_group IS NOT NULL").groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), first)
+    groups = checkpointed(groups.filter("_n > 1").select("_group", F.col("_first.part").alias("into"), F.col("_first.tokens").alias("_like")))
+    if groups.isEmpty():
+        return parts, None
+    members = lookup_join(keyed.filter("_group IS NOT NULL"), groups, "_group", "inner")
+    differs = F.filter(F.sequence(F.lit(0), F.col("n_tok") - 1), lambda i: F.get("tokens", i) != F.get("_like", i))
+    wild = members.select("into", F.explode(differs).alias("i")).distinct()
+    # At most a position for each token of a template.
+    wild = wild.groupBy("into").agg(F.collect_set("i").alias("_wild"))
+    merged = members.groupBy("into").agg(
+        *[F.first(c).alias(c) for c in ("n_tok", "key0", "_like")], F.min("first_line").alias("first_line"), F.sum("n_lines").alias("n_lines")
+    )
+    tokens = F.transform("_like", lambda t, i: F.when(F.array_contains("_wild", i), F.lit(C.WILDCARD)).otherwise(t))
+    merged = merged.join(wild, "into", "left").withColumn("_wild", F.coalesce("_wild", F.array().cast("array<int>")))
+    merged = merged.select(F.col("into").alias("part"), "n_tok", "key0", tokens.alias("tokens"), "first_line", "n_lines")
+    alone = lookup_join(keyed, groups.select("_group", "into"), "_group").filter("into IS NULL")
+    left = checkpointed(alone.select(*parts.columns).unionByName(merged.select(*parts.columns)))
+    return left, checkpointed(members.filter("part <> into").select("part", "into"))
+
+
+def _followed(moved: DataFrame | None, more: DataFrame | None) -> DataFrame | None:
+    """Moves (part, into) of one round and of the next as one."""
+    if moved is None or more is None:
+        return more if moved is None else moved
+    onward = lookup_join(moved, more.select(F.col("part").alias("into"), F.col("into").alias("_to")), "into")
+    return onward.select("part", F.coalesce("_to", "into").alias("into")).unionByName(more)
+
+
 class _Leaf:
     """Templates of one leaf, grown by one signature after the other in order of appearance."""
 
@@ -124,10 +166,10 @@ def _token_codes(tokens) -> np.ndarray:
 
 
 def _cluster_leaves(threshold: float):
-    """Clusters sorted leaves as they stream by: one row per signature, then one per template.
+    """Clusters sorted leaves as they stream by: one row per part, then one per template.
 
-    What is held in memory are the templates of the leaf at hand, not its signatures, so one
-    procedure serves leaves of every size.
+    What is held in memory are the templates of the leaf at hand, so one procedure serves
+    leaves of every size.
     """
     wild = int(_token_codes([C.WILDCARD])[0])
 
@@ -136,21 +178,22 @@ def _cluster_leaves(threshold: float):
         for rows in batches:
             if not len(rows):
                 continue
-            rows = rows.assign(known=rows["event_id"].notna())
-            sizes = rows["tokens"].map(len).to_numpy()
-            ends = np.cumsum(sizes)
-            codes = _token_codes(np.concatenate(rows["tokens"].to_list()))
-            out = []
-            for i, (name, tokens, owner) in enumerate(zip(rows["leaf"], rows["tokens"], rows["event_id"])):
+            known = rows["event_id"].notna().to_numpy()
+            tokens, names, owners = (rows[c].to_list() for c in ("tokens", "leaf", "event_id"))
+            ends = np.cumsum([len(t) for t in tokens])
+            codes = _token_codes(np.concatenate(tokens))
+            places, done, begin = [], [], 0
+            for own, name, owner, is_known, end in zip(tokens, names, owners, known, ends):
                 if name != leaf:
                     if state is not None:
-                        out += _template_rows(leaf, state)
+                        done += _template_rows(leaf, state)
                     leaf, state = name, _Leaf(threshold)
-                owner = owner if rows["known"].iat[i] else None
-                place = state.add(list(tokens), codes[ends[i] - sizes[i] : ends[i]], wild, owner)
-                r = rows.iloc[i]
-                out.append((f"{leaf}#{place}", r["known"], _JOINER.join(tokens), r["n_tok"], r["key0"], None, r["first_line"], None, r["n_lines"]))
-            yield pd.DataFrame(out, columns=_MEMBER_COLUMNS)
+                places.append(f"{leaf}#{state.add(own, codes[begin:end], wild, owner if is_known else None)}")
+                begin = end
+            members = rows.assign(cluster=places, known=known, tokens=None, event_id=None)[list(_MEMBER_COLUMNS)]
+            yield members
+            if done:
+                yield pd.DataFrame(done, columns=_MEMBER_COLUMNS)
         if state is not None:
             yield pd.DataFrame(_template_rows(leaf, state), columns=_MEMBER_COLUMNS)
 
@@ -172,21 +215,29 @@ def mine_templates(
 
     New templates are numbered E1, E2, ... by first line. A ``dictionary`` of an earlier
     run is continued: its templates keep their ids and may become more general; their
-    line counts are those of this run. A leaf's distinct signatures pass through one task in
-    order of appearance, as a stream that holds the leaf's templates only; ``max_children``
-    and the first token keep leaves apart. The result does not depend on their size.
+    line counts are those of this run. ``max_children`` and the first token keep leaves apart.
+
+    Signatures of a leaf that agree on their first fixed tokens, then templates that agree on
+    their last ones, are merged by aggregation (``_merge_alike``), so no task gets a leaf's
+    signatures. The templates left of a leaf pass through one task in order of appearance and
+    each joins the most similar one there. The result depends on neither size nor partitions.
     """
     sigs = checkpointed(distinct_signatures(parsed))
-    seeds = _limit_children(sigs, dictionary, max_children).withColumn("event_id", F.lit(None).cast("string"))
-    seeds = seeds.select(*_SEED_COLUMNS)
+    placed = _limit_children(sigs, dictionary, max_children)
+    parts = placed.select(F.col("signature").alias("part"), "n_tok", "key0", "tokens", "first_line", "n_lines")
+    parts, moved = _merge_alike(parts, threshold, last=False)
+    parts, more = _merge_alike(parts, threshold, last=True)
+    moved = _followed(moved, more)
+    seeds = parts.withColumn("event_id", F.lit(None).cast("string")).select("part", *_SEED_COLUMNS)
     if dictionary is not None:
-        earlier = dictionary.withColumn("n_lines", F.lit(0).cast("long"))
-        seeds = seeds.unionByName(earlier.select(*_SEED_COLUMNS))
+        earlier = dictionary.withColumns({"n_lines": F.lit(0).cast("long"), "part": F.lit(None).cast("string")})
+        seeds = seeds.unionByName(earlier.select("part", *_SEED_COLUMNS))
     leaves = seeds.withColumn("leaf", _leaf())
-    buckets = max(1, math.ceil(sigs.count() / BUCKET_ROWS))
-    bucketed = leaves.repartition(buckets, "leaf").sortWithinPartitions("leaf", F.col("event_id").isNull(), "first_line")
+    buckets = max(1, math.ceil(parts.count() / BUCKET_ROWS))
+    order = [F.col("event_id").isNull(), "first_line", F.array_join("tokens", _JOINER)]
+    bucketed = leaves.repartition(buckets, "leaf").sortWithinPartitions("leaf", *order)
     rows = checkpointed(bucketed.mapInPandas(_cluster_leaves(threshold), _MEMBER_SCHEMA))
-    # Rows of signatures say ``known``, rows of templates hold the tokens.
+    # Rows of parts say ``known``, rows of templates hold the tokens.
     members = rows.filter(F.col("known").isNotNull())
     line = F.min(F.when(~F.col("known"), F.col("first_line")))
     clusters = rows.groupBy("cluster").agg(
@@ -195,10 +246,13 @@ def mine_templates(
         F.sum("n_lines").alias("n_lines"),
     )
     named = checkpointed(_number(clusters, dictionary).withColumn("template", F.array_join("tokens", _JOINER)))
-    by_member = lookup_join(
-        members.filter(~F.col("known")).select("signature", "cluster"), named.select("cluster", "event_id"), "cluster"
-    ).select("signature", "event_id")
-    return Mined(named.drop("cluster"), checkpointed(by_member))
+    by_part = lookup_join(members.filter(~F.col("known")).select("part", "cluster"), named.select("cluster", "event_id"), "cluster")
+    by_part = checkpointed(by_part.select("part", "event_id"))
+    by_member = by_part.withColumnRenamed("part", "signature")
+    if moved is not None:
+        inside = lookup_join(moved.withColumnRenamed("part", "signature"), by_part.withColumnRenamed("part", "into"), "into")
+        by_member = checkpointed(by_member.unionByName(inside.select("signature", "event_id")))
+    return Mined(named.drop("cluster"), by_member)
 
 
 def _number(clusters: DataFrame, dictionary: DataFrame | None) -> DataFrame:
@@ -212,11 +266,10 @@ def _number(clusters: DataFrame, dictionary: DataFrame | None) -> DataFrame:
 
 
 def match_signatures(sigs: DataFrame, dictionary: DataFrame, threshold: float | None = None) -> DataFrame:
-    """Best template per signature: the template's fixed tokens must all agree.
+    """Best template per row of a stream, without an aggregation: see ``match_by_index``.
 
-    With ``threshold`` it is enough that this share of tokens agrees. The candidates of a
-    signature travel as one array, so no signature-template pairs are shuffled. Templates
-    under the shared wildcard leaf are candidates for every signature of their length.
+    The candidates of a row travel as one array, so this is for dictionaries of which a leaf
+    fits a row, as on a stream, where aggregating would need a state.
     """
     template = F.struct(F.col("tokens").alias("t"), "event_id", F.col("first_line").alias("seen"))
     by_key = dictionary.groupBy("n_tok", "key0").agg(F.array_sort(F.collect_list(template)).alias("_own"))
@@ -244,6 +297,43 @@ def match_signatures(sigs: DataFrame, dictionary: DataFrame, threshold: float |
     return matched.select(*sigs.columns, F.col("_best.event_id").alias("event_id"), F.col("_best.similarity").alias("similarity"))
 
 
+def match_by_index(sigs: DataFrame, dictionary: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Best template per signature: the template's fixed tokens must all agree.
+
+    With ``threshold`` it is enough that this share of tokens agrees. Templates of the
+    signature's first token and those under the shared wildcard leaf are candidates; the most
+    similar one wins, of several the more general, then the older one.
+
+    An inverted index leads from (length, position, token) to templates. A template with f
+    fixed tokens of which k must agree is listed under its f - k + 1 rarest ones: a signature
+    that agrees on k of them meets it under one of these at least, and common tokens lead
+    nowhere. ``sigs`` has one row per signature.
+    """
+    need = F.size("_fixed") if threshold is None else F.ceil(F.col("n_tok") * F.lit(threshold)).cast("int")
+    entry = dictionary.select("event_id", "n_tok", F.col("key0").alias("_key"), F.col("tokens").alias("_like"), F.col("first_line").alias("_seen"), _fixed_tokens("tokens").alias("_fixed"))
+    entry = entry.withColumn("_need", need)
+    listed = entry.select("event_id", "n_tok", F.explode("_fixed").alias("p")).select("event_id", "n_tok", "p.i", "p.t")
+    often = listed.groupBy("n_tok", "i", "t").agg(F.count(F.lit(1)).alias("_often"))
+    # A window over one template's tokens.
+    rarest = Window.partitionBy("event_id").orderBy("_often", "i", "t")
+    ranked = lookup_join(listed, often, ["n_tok", "i", "t"]).withColumn("_r", F.row_number().over(rarest))
+    index = entry.drop("n_tok").join(ranked, "event_id").filter(F.col("_r") <= F.size("_fixed") - F.greatest("_need", F.lit(1)) + 1)
+    if threshold is None or threshold <= 0:
+        # Templates that need no token at all stand under a place before the first.
+        index = index.unionByName(entry.filter("_need <= 0").withColumns({"i": F.lit(-1), "t": F.lit(""), "_often": F.lit(0).cast("long"), "_r": F.lit(1)}))
+    index = checkpointed(index.drop("_often", "_r", "_fixed", "_need"))
+    places = F.concat(F.transform("tokens", lambda t, i: F.struct(i.alias("i"), t.alias("t"))), F.array(F.struct(F.lit(-1).alias("i"), F.lit("").alias("t"))))
+    met = sigs.select("signature", "n_tok", "key0", "tokens", F.explode(places).alias("p")).select("signature", "n_tok", "key0", "tokens", "p.i", "p.t")
+    met = lookup_join(met, index, ["n_tok", "i", "t"], "inner").filter((F.col("_key") == F.col("key0")) | (F.col("_key") == C.WILDCARD))
+    agreed = F.size(F.filter(F.zip_with("_like", "tokens", lambda a, b: (a == b) & (a != C.WILDCARD)), lambda x: x))
+    wild = F.size(F.filter("_like", lambda t: t == C.WILDCARD))
+    met = met.withColumns({"_agreed": agreed, "_wild": wild})
+    fit = F.col("_agreed") + F.col("_wild") == F.col("n_tok") if threshold is None else F.col("_agreed") / F.col("n_tok") >= threshold
+    best = F.max(F.struct((F.col("_agreed") / F.col("n_tok")).alias("similarity"), "_wild", (-F.col("_seen")).alias("_age"), "event_id"))
+    found = met.filter(fit).groupBy("signature").agg(best.alias("_best")).select("signature", F.col("_best.event_id").alias("event_id"), F.col("_best.similarity").alias("similarity"))
+    return sigs.join(found, "signature", "left").select(*sigs.columns, "event_id", "similarity")
+
+
 def assign_events(parsed: DataFrame, mined: Mined) -> DataFrame:
     """Add event id, the final template text and the parameter values to every line."""
     by_signature = lookup_join(
@@ -261,7 +351,7 @@ def match_templates(
 ) -> DataFrame:
     """Match lines to an existing dictionary; unmatched lines keep a NULL event id."""
     sigs = checkpointed(distinct_signatures(parsed))
-    best = match_signatures(sigs, dictionary, threshold).select("signature", "event_id", "similarity")
+    best = match_by_index(sigs, dictionary, threshold).select("signature", "event_id", "similarity")
     rows = lookup_join(with_signature(parsed), best, "signature").drop("signature")
     return rows.withColumn("matched", F.col("event_id").isNotNull())
 

@@ -194,10 +194,11 @@ def d5_selected(spark, sf_dir):
     return selection.selection(training_matrix(spark, sf_dir), X.FEATURES).select("feature", "n_correlated", "selected")
 
 
-@check("d6_variance", "SELECT feature, round(variance, 9) AS variance FROM feature_choice")
+@check("d6_variance", "SELECT feature, CAST(printf('%.8e', variance) AS DOUBLE) AS variance FROM feature_choice")
 def d6(spark, sf_dir):
+    """Nine significant digits: variances of seconds and of counts differ by many powers of ten."""
     rows = selection.variances(training_matrix(spark, sf_dir), X.FEATURES)
-    return rows.select("feature", F.round("variance", 9).alias("variance"))
+    return rows.select("feature", F.format_string("%.8e", "variance").cast("double").alias("variance"))
 
 
 _LOCAL = ", ".join(

@@ -10,7 +10,7 @@ from blocklens.functions.scale import checkpointed
 from blocklens.operators import lines, templates
 from blocklens.sources import labels, logs, lookup, sinks
 from checks import fixtures as X
-from checks.registry import check, shared
+from checks.registry import check, cte, shared
 
 BLANK = "trim(raw_line) = ''"
 LOOSE = f"regexp_matches(raw_line, '{C.LINE_FORMAT}')"
@@ -263,6 +263,51 @@ def b11(spark, sf_dir):
     return X.mined(spark, sf_dir).dictionary.select("event_id", "template", "n_lines", "first_line")
 
 
+# Three families of lines whose words vary: one by its middle, one by what follows the first
+# words, one that begins with what varies most, so every first word has a leaf of its own.
+_PART_LINES = """
+SELECT p_partkey * 3 + k + 1 AS line_id,
+       CASE k WHEN 0 THEN concat('stock of ', p_name, ' is low')
+              WHEN 1 THEN concat('order for ', p_type, ' went to customer with ', p_name, ' inside')
+              ELSE concat(noun, ' from ', p_type, ' shelf was counted twice') END AS content
+FROM (SELECT *, split_part(p_name, ' ', 2) AS noun FROM {part}) CROSS JOIN (VALUES (0), (1), (2)) v(k)
+"""
+cte("part_lines", _PART_LINES.format(part="part"))
+cte("part_families", """
+SELECT line_id, string_split(content, ' ') AS tokens,
+       CASE (line_id - 1) % 3 WHEN 2 THEN string_split(content, ' ')[1] ELSE CAST((line_id - 1) % 3 AS STRING) END AS family FROM part_lines""")
+cte("part_templates", """
+SELECT family, concat('E', CAST(row_number() OVER (ORDER BY first_line) AS STRING)) AS event_id, template, n_lines, first_line FROM (
+  SELECT family, string_agg(token, ' ' ORDER BY i) AS template, any_value(n_lines) AS n_lines, min(first_line) AS first_line FROM (
+    SELECT family, i, CASE WHEN count(DISTINCT tokens[i]) = 1 THEN min(tokens[i]) ELSE '<*>' END AS token, count(*) AS n_lines, min(line_id) AS first_line
+    FROM part_families, range(1, 20) r(i) WHERE i <= len(tokens) GROUP BY family, i) GROUP BY family)""")
+
+
+@shared
+def part_lines(spark, sf_dir):
+    return checkpointed(spark.sql(_PART_LINES.format(part=f"parquet.`{sf_dir}/part.parquet`")))
+
+
+@shared
+def part_templates(spark, sf_dir):
+    return templates.mine_templates(part_lines(spark, sf_dir))
+
+
+@check("b11_merging_templates", "SELECT event_id, template, n_lines, first_line FROM part_templates")
+def b11_merging(spark, sf_dir):
+    """Families that merge: by their first fixed tokens, by their last ones, and by what is left."""
+    return part_templates(spark, sf_dir).dictionary.select("event_id", "template", "n_lines", "first_line")
+
+
+@check("b14_merged_match", """
+SELECT line_id, event_id, round(len(list_filter(string_split(template, ' '), lambda t: t <> '<*>')) / len(tokens), 6) AS similarity
+FROM part_families JOIN part_templates USING (family)""")
+def b14_merged(spark, sf_dir):
+    """Every line matched to the merged templates through the inverted index."""
+    rows = templates.match_templates(part_lines(spark, sf_dir), part_templates(spark, sf_dir).dictionary)
+    return rows.select("line_id", "event_id", F.round("similarity", 6).alias("similarity"))
+
+
 @check("b11_document_templates")
 def b11_documents(spark, sf_dir):
     """Mining free text, every line of every document."""

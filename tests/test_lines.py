@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from blocklens.functions import text
@@ -87,3 +89,18 @@ def test_signature_text_is_the_joined_signature(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "s string")
     out = rows.select(text.signature_text(F.col("s")).alias("a"), F.array_join(text.signature(F.col("s")), " ").alias("b")).collect()
     assert [r.a for r in out] == [r.b for r in out]
+
+
+def test_signature_of_a_very_long_token_is_linear(spark):
+    """A megabyte without white space or digit takes no longer than any other megabyte."""
+    rows = spark.createDataFrame([("a" * 1_000_000,), ("b/" * 500_000 + " x1 y",), ("c" * 500_000 + "7" + "c" * 500_000,)], "s string")
+    begin = time.monotonic()
+    out = [r.r for r in rows.coalesce(1).select(text.signature_text(F.col("s")).alias("r")).collect()]
+    assert time.monotonic() - begin < 20
+    assert out == ["a" * 1_000_000, "b/" * 500_000 + " <*> y", "<*>"]
+
+
+def test_signature_text_spells_the_tokens(spark):
+    rows = spark.createDataFrame([(t,) for t in ("", " ", "1", "a1 b", "a_1_b  c", "blk_-5 10.0.0.1:80 x", "\tno digits here ", "é1 ü", "a\u00a01")], "s string")
+    got = rows.select(text.signature_text(F.col("s")).alias("a"), F.array_join(text.signature(F.col("s")), " ").alias("b")).collect()
+    assert all(r.a == r.b for r in got)

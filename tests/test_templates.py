@@ -73,6 +73,64 @@ def test_large_leaf_streams_through_batches(spark):
     assert len(found[0]) < 20
 
 
+def test_partitions_and_hot_leaf_give_one_dictionary(spark):
+    """A leaf with most signatures: the same templates and members however rows are dealt out."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(3000)]
+    rows = [f"open file {w} for user {words[-i]} now" for i, w in enumerate(words)] + [f"{w} closed by the last user" for w in words[:300]]
+    rows += [f"open door {w} of {words[-i]} is shut" for i, w in enumerate(words[:200])]
+    lines = content(spark, *rows)
+    found = []
+    for parts in (1, 9):
+        mined = templates.mine_templates(lines.repartition(parts))
+        members = sorted(tuple(r) for r in mined.signatures.collect())
+        assert len(members) == len(set(rows)) == len({m[0] for m in members})
+        found.append((mapping(mined), members))
+    assert found[0] == found[1]
+    assert "open file <*> for user <*> now" in found[0][0].values() and "open door <*> of <*> is shut" in found[0][0].values()
+
+
+def brute_match(tokens, dictionary, threshold):
+    best = None
+    for event_id, like, key, seen in dictionary:
+        if len(like) == len(tokens) and key in (tokens[0], C.WILDCARD):
+            same = sum(a == b and a != C.WILDCARD for a, b in zip(like, tokens))
+            wild = like.count(C.WILDCARD)
+            if same + wild == len(tokens) if threshold is None else same / len(tokens) >= threshold:
+                best = max(best or (-1,), (same / len(tokens), wild, -seen, event_id))
+    return best and best[3]
+
+
+@pytest.mark.parametrize("threshold", [None, 0.4, 0.75, 1.0])
+def test_match_index_against_brute_force(spark, threshold):
+    rng = random.Random(5)
+    line = lambda n: [rng.choice(["a", "b", "c", "d", "the", "the", C.WILDCARD]) for _ in range(n)]
+    dictionary = {}
+    for i in range(150):
+        tokens = line(rng.randint(1, 6))
+        dictionary.setdefault(tuple(tokens), (f"E{i}", tokens, tokens[0] if rng.random() < 0.6 else C.WILDCARD, i))
+    dictionary = list(dictionary.values())
+    table = spark.createDataFrame([(e, len(t), k, t, s) for e, t, k, s in dictionary], "event_id string, n_tok int, key0 string, tokens array<string>, first_line long")
+    sigs = {" ".join(t): t for t in (line(rng.randint(1, 7)) for _ in range(400))}
+    rows = spark.createDataFrame([(s, len(t), t[0], t) for s, t in sigs.items()], "signature string, n_tok int, key0 string, tokens array<string>")
+    got = {r.signature: r.event_id for r in templates.match_by_index(rows, table, threshold).collect()}
+    assert got == {s: brute_match(t, dictionary, threshold) for s, t in sigs.items()}
+    assert any(got.values())
+
+
+def test_index_of_many_templates_under_the_wildcard_leaf(spark):
+    """50,000 templates of one leaf: postings are rows of a table, no row carries the leaf."""
+    n = 50_000
+    entry = spark.range(n).select(
+        F.concat(F.lit("E"), "id").alias("event_id"), F.lit(6).alias("n_tok"), F.lit(C.WILDCARD).alias("key0"),
+        F.array(F.lit(C.WILDCARD), F.lit("sees"), F.concat(F.lit("w"), F.col("id") % 250), F.lit("and"), F.concat(F.lit("v"), F.floor(F.col("id") / 250)), F.lit("there")).alias("tokens"),
+        F.col("id").alias("first_line"))
+    rows = spark.range(0, n, 25).select("id", F.concat_ws(" ", F.lit("x"), F.lit("sees"), F.concat(F.lit("w"), F.col("id") % 250), F.lit("and"), F.concat(F.lit("v"), F.floor(F.col("id") / 250)), F.lit("there")).alias("signature"))
+    rows = rows.withColumn("tokens", F.split("signature", " ")).withColumns({"n_tok": F.lit(6), "key0": F.lit("x")})
+    got = templates.match_by_index(rows, entry)
+    assert got.filter(F.col("event_id") != F.concat(F.lit("E"), "id")).count() == 0 and got.filter("event_id IS NULL").count() == 0
+
+
 def test_rerun_continues_a_dictionary(spark):
     first = templates.mine_templates(content(spark, "disk full on node", "user alice logged in"))
     again = templates.mine_templates(content(spark, "user bob logged in", "fan stopped"), first.dictionary)
