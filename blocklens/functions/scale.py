@@ -5,6 +5,7 @@ table or over one hot key; ``lookup_join`` replaces unchecked broadcasts.
 """
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,13 +14,12 @@ BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and cut its lineage.
+def _checkpoint_folder(spark) -> str:
+    """The session's checkpoint folder: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session without
-    one gets a temporary folder; a cluster session must name a shared one.
+    Only a local session without one gets a temporary folder; a cluster session must name a
+    shared one.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,9 +28,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="blocklens-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's checkpoint folder and cut its lineage."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the checkpoint folder and read it: filters and columns reach the files."""
+    path = f"{_checkpoint_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give heavy per-row work at least one partition per core.
 

@@ -1,6 +1,8 @@
-"""Dense autoencoder trained data-parallel: parts train locally, Spark averages the weights.
+"""Dense autoencoder trained by mini-batches: every step takes the mean gradient of its whole batch.
 
-A few thousand weights travel between driver and tasks; rows never leave their part.
+One rule holds for any number of rows. A table that fits a task is trained there, epoch by
+epoch; a larger one step by step, each step a job in which all tasks sum the gradients of
+their rows of the batch. Rows never leave their task, a few thousand numbers do.
 """
 
 import math
@@ -9,15 +11,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blocklens import config as C
-from blocklens.functions.scale import checkpointed, percentiles
+from blocklens.functions.scale import checkpointed, percentiles, stored
 from blocklens.functions.scoring import decide, normalise_all, normalise_with
 from blocklens.operators.iforest import uniform, vectors
 
-PART_ROWS = 50_000
+#: Bytes of training rows that one task holds; beyond that each step is a job. Either way the result is the same.
+TASK_BYTES = 256 << 20
+HELD = -1
 
 
 @dataclass
@@ -101,45 +106,76 @@ def _gradient(x, flat, shapes):
     return float(np.mean((y - x) ** 2)), np.concatenate(grads[::-1])
 
 
-def _epoch(state, shapes, epoch, seed, rate, batch):
-    """One pass of mini-batch Adam over one part, bounded by ``PART_ROWS`` rows on average."""
-    size = sum(i * o + o for i, o in shapes)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block_id")
-        held = rows["held_out"].to_numpy()
-        x = np.stack(rows["x"].to_list())
-        flat, m, v = (a.copy() for a in np.split(state[: 3 * size], 3))
-        step = state[-1]
-        checked = squared_error(x[held], flat, shapes).sum()
-        train = x[~held]
-        rng = np.random.default_rng([seed, epoch, int(rows["part"].iloc[0])])
-        order, total = rng.permutation(len(train)), 0.0
-        for at in range(0, len(train), batch):
-            some = train[order[at : at + batch]]
-            loss, g = _gradient(some, flat, shapes)
-            step += 1
-            m = 0.9 * m + 0.1 * g
-            v = 0.999 * v + 0.001 * g * g
-            flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
-            total += loss * len(some)
-        numbers = np.concatenate([flat, m, v, [step]])
-        out = {"n": len(train), "loss": total, "n_held": held.sum(), "held_loss": checked, "state": [numbers]}
-        return pd.DataFrame(out)
+def _columns(batches, width: int):
+    """x and batch number of all rows of a task."""
+    x, number = [np.zeros((0, width))], [np.zeros(0, np.int64)]
+    for b in batches:
+        if b.num_rows:
+            x.append(b.column("x").flatten().to_numpy().reshape(-1, width))
+            number.append(b.column("batch").to_numpy())
+    return np.concatenate(x), np.concatenate(number)
+
+
+def _told(n, loss, numbers):
+    return pa.RecordBatch.from_arrays([pa.array([int(n)]), pa.array([float(loss)]), pa.array([numbers.tolist()], pa.list_(pa.float64()))], names=["n", "loss", "numbers"])
+
+
+_TOLD = "n long, loss double, numbers array<double>"
+
+
+def _update(state, g, rate):
+    """The state (weights, both moments, step) after an Adam step along the mean gradient ``g``."""
+    flat, m, v = np.split(state[:-1], 3)
+    step = state[-1] + 1
+    m = 0.9 * m + 0.1 * g
+    v = 0.999 * v + 0.001 * g * g
+    flat = flat - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
+    return np.concatenate([flat, m, v, [step]])
+
+
+def _batch_sums(state, shapes, held: bool):
+    """Over a task's rows: their number and squared error, and the sum of their gradients unless they are held out."""
+    flat = state[: (len(state) - 1) // 3]
+
+    def run(batches):
+        x, _ = _columns(batches, shapes[0][0])
+        if held:
+            yield _told(len(x), squared_error(x, flat, shapes).sum() if len(x) else 0.0, np.zeros(0))
+        elif len(x):
+            loss, g = _gradient(x, flat, shapes)
+            yield _told(len(x), loss * len(x), g * len(x))
 
     return run
 
 
-_RESULT = "n long, loss double, n_held long, held_loss double, state array<double>"
+def _whole_epoch(state, shapes, rate, order):
+    """All steps of an epoch over the rows of one task; the state they lead to."""
+
+    def run(batches):
+        x, number = _columns(batches, shapes[0][0])
+        place = np.argsort(number, kind="stable")
+        x, number, now, n, total = x[place], number[place], state, 0, 0.0
+        for k in order:
+            some = x[slice(*np.searchsorted(number, [k, k + 1]))]
+            if len(some):
+                loss, g = _gradient(some, now[: (len(now) - 1) // 3], shapes)
+                now, n, total = _update(now, g, rate), n + len(some), total + loss * len(some)
+        yield _told(n, total, now)
+
+    return run
 
 
-def _average(results: DataFrame, size: int):
-    """Row-weighted mean of the parts' states, reduced in Spark to one row per weight."""
-    cells = results.filter(F.col("n") > 0).select("n", F.posexplode("state").alias("pos", "value"))
-    mean = cells.groupBy("pos").agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("value"))
-    found = mean.toPandas().sort_values("pos")["value"].to_numpy()
-    sums = results.agg(*[F.sum(c).alias(c) for c in ("n", "loss", "n_held", "held_loss")]).first()
-    return found if len(found) == size else None, sums
+def _stepwise_epoch(rows, state, shapes, rate, order):
+    """The same with a job for each step: (n, loss, state)."""
+    n, total = 0, 0.0
+    for k in order:
+        # One row of a few thousand numbers from each task.
+        told = rows.filter(F.col("batch") == int(k)).select("x", "batch").mapInArrow(_batch_sums(state, shapes, False), _TOLD).collect()
+        own = sum(r.n for r in told)
+        if own:
+            state = _update(state, np.sum([r.numbers for r in told], axis=0) / own, rate)
+            n, total = n + own, total + sum(r.loss for r in told)
+    return n, total, state
 
 
 def fit_autoencoder(
@@ -153,34 +189,43 @@ def fit_autoencoder(
     held_out: float = C.AE_VALIDATION_RATIO,
     contamination: float = C.CONTAMINATION,
     seed: int = C.SEED,
-    part_rows: int = PART_ROWS,
+    task_bytes: int = TASK_BYTES,
+    start: np.ndarray | None = None,
 ) -> Autoencoder:
     """Fit on rows with ``block_id`` and feature columns scaled to 0-1.
 
-    Rows are hashed into parts of about ``part_rows``. Every epoch each part starts from
-    the shared weights, trains once over its rows, and the results are averaged; with one
-    part this is ordinary mini-batch training. The validation loss of an epoch is taken
-    by the next job, before it trains, and training stops after ``patience`` epochs
-    without improvement, keeping the best weights.
+    Rows are dealt to batches of about ``batch`` rows by a hash of their id; every epoch takes
+    all batches in another order, and a step follows the mean gradient over the batch's rows,
+    wherever they are. Up to ``task_bytes`` of rows an epoch is one job in one task, beyond
+    that every step is a job over rows stored sorted by batch, which reads that batch only;
+    the way and the number of tasks change nothing but the rounding of sums. A lost executor
+    repeats the epoch or the step. After ``patience`` epochs without a better validation loss
+    training stops and keeps the best weights; without held-out rows that is the training loss
+    at the weights in question. ``start`` gives the first weights, an earlier model's for instance.
     """
     vectored = checkpointed(vectors(train, columns).select("block_id", "x"))
-    parts = max(1, math.ceil(vectored.count() / part_rows))
-    rows = vectored.select(
-        "block_id",
-        "x",
-        F.pmod(F.xxhash64("block_id"), F.lit(parts)).cast("int").alias("part"),
-        (uniform("block_id", F.lit(seed), F.lit("held")) < held_out).alias("held_out"),
-    )
-    rows = checkpointed(rows.repartition("part"))
+    total = vectored.count()
+    steps = max(1, math.ceil(total * (1 - held_out) / batch))
+    held = uniform("block_id", F.lit(seed), F.lit("held")) < held_out
+    number = F.when(held, F.lit(HELD)).otherwise(F.floor(uniform("block_id", F.lit(seed), F.lit("batch")) * steps)).cast("long")
+    rows = stored(vectored.select("x", number.alias("batch")).sortWithinPartitions("batch"))
+    whole = total * len(columns) * 8 <= task_bytes
     shapes = layer_shapes(len(columns), dims)
-    flat = initial_weights(shapes, seed)
+    flat = initial_weights(shapes, seed) if start is None else np.asarray(start, float)
     state = np.concatenate([flat, np.zeros(2 * len(flat)), [0.0]])
+    training, checking = rows.filter(F.col("batch") != HELD), rows.filter(F.col("batch") == HELD)
     history, best, best_loss, since = [], flat, math.inf, 0
     for epoch in range(epochs + 1):
-        results = rows.groupBy("part").applyInPandas(_epoch(state, shapes, epoch, seed, rate, batch), _RESULT)
-        results = checkpointed(results)
-        new_state, sums = _average(results, len(state))
-        val = sums.held_loss / sums.n_held if sums.n_held else sums.loss / max(sums.n, 1)
+        checked = checking.mapInArrow(_batch_sums(state, shapes, True), _TOLD).collect() if held_out > 0 else []
+        n_held, held_loss = sum(r.n for r in checked), sum(r.loss for r in checked)
+        order = np.random.default_rng([seed, epoch]).permutation(steps)
+        if not n_held or epoch < epochs:
+            if whole:
+                told = training.coalesce(1).mapInArrow(_whole_epoch(state, shapes, rate, order), _TOLD).collect()
+                n, loss, new_state = (told[0].n, told[0].loss, np.array(told[0].numbers)) if told else (0, 0.0, state)
+            else:
+                n, loss, new_state = _stepwise_epoch(training, state, shapes, rate, order)
+        val = held_loss / n_held if n_held else loss / max(n, 1)
         if epoch:
             history[-1] = (*history[-1][:2], val)
             since = 0 if val < best_loss else since + 1
@@ -189,7 +234,7 @@ def fit_autoencoder(
             if since >= patience or epoch == epochs:
                 break
         state = new_state
-        history.append((epoch + 1, sums.loss / max(sums.n, 1), None))
+        history.append((epoch + 1, loss / max(n, 1), None))
     model = Autoencoder(list(columns), shapes, best, history=history)
     errors = vectored.select(error_udf(vectored.sparkSession, model)("x").alias("reconstruction_error"))
     model.threshold = percentiles(errors, "reconstruction_error", [1 - contamination]).first().value

@@ -1,5 +1,6 @@
 """Checks of detectors, calibration and fusion."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from blocklens import config as C
@@ -183,6 +184,59 @@ def e7(spark, sf_dir):
     return autoencoder.history_table(spark, autoencoder_model(spark, sf_dir))
 
 
+# A network of one input, one hidden unit and one output, trained on all rows at every step:
+# its four weights, their Adam moments and the loss before each step, step by step.
+_FIRST_WEIGHTS = (0.9, 0.1, -0.4, 0.3)
+_G = ("w1", "b1", "w2", "b2")
+_MOMENTS = ", ".join(f"0.9 * m_{k} + 0.1 * g_{k} AS m_{k}, 0.999 * v_{k} + 0.001 * g_{k} * g_{k} AS v_{k}" for k in _G)
+_ZERO = ", ".join(f"CAST(0 AS DOUBLE) AS m_{k}, CAST(0 AS DOUBLE) AS v_{k}" for k in _G)
+
+
+def _small_network(rate: float, epochs: int, patience: int) -> str:
+    """History of the training in SQL: loss before and after each epoch's step, up to the stop."""
+    updates = ", ".join(f"{k} - {rate} * (m_{k} / (1 - 0.9 ** k)) / (sqrt(v_{k} / (1 - 0.999 ** k)) + 1e-7) AS {k}" for k in _G)
+    updates += ", " + ", ".join(f"m_{k}, v_{k}" for k in _G)
+    return f"""
+SELECT CAST(epoch AS INTEGER) AS epoch, round(loss, 7) AS loss, round(val_loss, 7) AS val_loss FROM (
+  SELECT *, min(CASE WHEN epoch - improved >= {patience} THEN epoch END) OVER () AS stop FROM (
+    SELECT *, max(CASE WHEN better THEN epoch END) OVER (ORDER BY epoch) AS improved FROM (
+      SELECT *, val_loss < coalesce(min(val_loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e300) AS better FROM (
+        SELECT k AS epoch, loss, lead(loss) OVER (ORDER BY k) AS val_loss FROM (
+          WITH RECURSIVE xs AS (SELECT list(CAST(if_score AS DOUBLE)) AS x FROM score_pairs), net AS (
+            SELECT 0 AS k, {", ".join(f"CAST({w} AS DOUBLE) AS {k}" for k, w in zip(_G, _FIRST_WEIGHTS))}, {_ZERO}, CAST(NULL AS DOUBLE) AS loss
+            UNION ALL
+            SELECT k, {updates}, loss FROM (
+              SELECT k + 1 AS k, w1, b1, w2, b2, {_MOMENTS}, loss FROM (
+                SELECT *, list_sum(list_transform(list_zip(x, d1), lambda p: p[1] * p[2])) AS g_w1, list_sum(d1) AS g_b1,
+                  list_sum(list_transform(list_zip(h, d2), lambda p: p[1] * p[2])) AS g_w2, list_sum(d2) AS g_b2 FROM (
+                  SELECT *, list_transform(list_zip(h, d2), lambda p: CASE WHEN p[1] > 0 THEN p[2] * w2 ELSE 0 END) AS d1 FROM (
+                    SELECT * EXCLUDE (loss), list_avg(list_transform(list_zip(x, y), lambda p: (p[2] - p[1]) * (p[2] - p[1]))) AS loss,
+                      list_transform(list_zip(x, y), lambda p: 2 * (p[2] - p[1]) / len(x) * p[2] * (1 - p[2])) AS d2 FROM (
+                      SELECT *, list_transform(h, lambda u: 1 / (1 + exp(-(w2 * u + b2)))) AS y FROM (
+                        SELECT *, list_transform(x, lambda u: greatest(w1 * u + b1, 0.0)) AS h FROM net, xs WHERE k <= {epochs})))))))
+          SELECT k, loss FROM net WHERE k > 0))
+      WHERE epoch <= {epochs}))) WHERE epoch <= coalesce(stop, {epochs})"""
+
+
+def small_network(spark, sf_dir, rate, epochs, patience):
+    model = autoencoder.fit_autoencoder(
+        X.pairs(spark, sf_dir), ["if_score"], dims=(1,), epochs=epochs, patience=patience, rate=rate, batch=10**12, held_out=0.0, task_bytes=0, start=np.array(_FIRST_WEIGHTS))
+    history = autoencoder.history_table(spark, model)
+    return history.select("epoch", F.round("loss", 7).alias("loss"), F.round("val_loss", 7).alias("val_loss"))
+
+
+@check("e7_small_network", _small_network(0.05, 12, 12))
+def e7_small(spark, sf_dir):
+    """Loss and validation loss of every epoch, told step by step in SQL."""
+    return small_network(spark, sf_dir, 0.05, 12, 12)
+
+
+@check("e8_small_network_stops", _small_network(0.6, 30, 2))
+def e8_small(spark, sf_dir):
+    """Too long steps: the loss rises again and training stops after two epochs without a better one."""
+    return small_network(spark, sf_dir, 0.6, 30, 2)
+
+
 @check("e8_early_stopping")
 def e8(spark, sf_dir):
     """Training on vectors with little patience: the history ends when it stops improving."""

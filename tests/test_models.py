@@ -128,20 +128,35 @@ def test_training_reduces_loss_and_flags_outliers(vectors, network):
     assert min(r.ae_score for r in found.values()) == 0.0 and max(r.ae_score for r in found.values()) == 1.0
 
 
-def test_averaged_parts_also_learn_and_repeat(vectors):
+def test_any_way_of_training_gives_the_same_network(vectors):
+    """Whole epochs in one task, or every step a job over rows in 1 or 5 partitions."""
     rows, columns = scaled(vectors)
     normal = rows.filter(F.col("label") == C.NORMAL)
-    fit = lambda r: autoencoder.fit_autoencoder(r, columns, epochs=3, batch=16, part_rows=120)
-    one, two = fit(normal), fit(normal.repartition(5, "f01"))
+    fit = lambda r, **way: autoencoder.fit_autoencoder(r, columns, epochs=2, batch=64, **way)
+    one, few, many = fit(normal.coalesce(1)), fit(normal.coalesce(1), task_bytes=0), fit(normal.repartition(5, "f01"), task_bytes=0)
     assert one.history[-1][1] < one.history[0][1]
-    assert np.allclose(one.weights, two.weights, atol=1e-12) and abs(one.threshold - two.threshold) < 1e-12
+    for other in (few, many):
+        assert np.allclose(one.weights, other.weights, rtol=0, atol=1e-6) and abs(one.threshold - other.threshold) < 1e-6
+        assert np.allclose(one.history, other.history, atol=1e-6)
+
+
+def test_one_step_is_adam_on_the_mean_gradient(vectors):
+    rows, columns = scaled(vectors)
+    normal = rows.filter(F.col("label") == C.NORMAL)
+    x = np.array([[r[c] or 0.0 for c in columns] for r in normal.select(*columns).collect()])
+    shapes = autoencoder.layer_shapes(len(columns))
+    start = autoencoder.initial_weights(shapes, 3)
+    _, g = autoencoder._gradient(x, start, shapes)
+    expected = start - 0.01 * g / (np.abs(g) + 1e-7)
+    model = autoencoder.fit_autoencoder(normal, columns, epochs=1, batch=10**9, held_out=0.0, rate=0.01, task_bytes=0, start=start)
+    assert np.allclose(model.weights, expected, atol=1e-5)
 
 
 def test_early_stopping_keeps_best_weights(vectors):
     rows, columns = scaled(vectors)
     model = autoencoder.fit_autoencoder(
-        rows.filter(F.col("label") == C.NORMAL), columns, epochs=6, patience=1, rate=0.5)
-    assert len(model.history) < 6
+        rows.filter(F.col("label") == C.NORMAL), columns, epochs=12, patience=1, rate=0.5)
+    assert len(model.history) < 12
     best = min(v for _, _, v in model.history)
     assert model.history[-1][2] >= best
 
