@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from blocklens.llm import language, linededup, neardup, packing, quality
 from blocklens.llm.queries import QUALITY_THRESHOLD, shared_folder, table
-from blocklens.llm.words import held_out
+from blocklens.llm.words import free_name, held_out
 from blocklens.session import ship_package
 
-#: A language's part of all languages' shares below which a text counts as of no language.
-LANGUAGE_SCORE = 0.3
+#: The part of a text's n-grams that its language must hold; the number of languages plays no part.
+LANGUAGE_SCORE = 0.5
 
 
 def keep_quality(spark, docs, sf_dir):
@@ -22,15 +22,17 @@ def keep_quality(spark, docs, sf_dir):
     ship_package(spark)
     labels = table(spark, sf_dir, "labels").filter(~held_out())
     model = quality.fit(docs.filter(~held_out()), labels)
-    return quality.score(docs, model, out="_score").filter(F.col("_score") >= QUALITY_THRESHOLD).select(*docs.columns)
+    score = free_name("_score", docs)
+    return quality.score(docs, model, out=score).filter(F.col(score) >= QUALITY_THRESHOLD).select(*docs.columns)
 
 
 def keep_language(spark, docs, sf_dir):
-    """Documents with a language: some letter, and a language that stands out."""
+    """Documents with a language: some letter, and a language that holds half of the n-grams or more."""
     ship_package(spark)
     filters = language.fit(docs.filter(~held_out()))
-    found = language.predict(docs, filters, out="_lang", score="_score")
-    return found.filter((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = free_name("_lang", docs), free_name("_score", docs)
+    found = language.predict(docs, filters, out=lang, score=score)
+    return found.filter((F.col(lang) != language.UNKNOWN) & (F.col(score) >= LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark, docs, sf_dir):
@@ -45,13 +47,13 @@ def drop_repeated_lines(spark, docs, sf_dir):
 def drop_near_duplicates(spark, docs, sf_dir):
     """One row of each group of near-duplicates (five-word shingles, 0.8), that with the smallest id; rows without an id come last."""
     ship_package(spark)
-    path = shared_folder(spark, "near-rows")
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    path, row, group = shared_folder(spark, "near-rows"), free_name("_row", docs), free_name("component_id", docs)
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)  # ids may repeat, numbers fixed by the stored table do not
-    groups = neardup.group(rows.select("_row", "text"), id_col="_row", width=5, percent=80).select("_row", "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_row")).alias("first")
-    kept = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first).select("first._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    groups = neardup.group(rows.select(row, "text"), id_col=row, width=5, percent=80).select(row, F.col("component_id").alias(group))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", row)).alias("first")
+    kept = groups.join(rows.select(row, "doc_id"), row).groupBy(group).agg(first).select(F.col("first").getField(row).alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def pack(spark, docs, sf_dir):
