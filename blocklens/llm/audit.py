@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blocklens.functions.scale import checkpointed
-from blocklens.llm.words import free_name, hot_keys, slices, split_words, text_numbers
+from blocklens.llm.words import free_name, hot_keys, lean, slices, split_words, text_numbers
 
 FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, UPPER_PERCENT = 100, 80, 10
@@ -100,7 +100,7 @@ def shards(docs: DataFrame, path: str, text="text", keep=()) -> DataFrame:
                     listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
                     yield pa.RecordBatch.from_arrays([rows, *(pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in (starts, gaps_of(columns, starts), counts)), listed], names=["rows", "starts", "gaps", "counts", "words"])
 
-    source.mapInArrow(run, schema).withColumn("shard", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    source.mapInArrow(lean(run), schema).withColumn("shard", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 

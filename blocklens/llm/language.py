@@ -6,7 +6,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.words import mixed, per_text, slices, split_words, training_sample, with_columns
+from blocklens.llm.words import lean, mixed, per_text, slices, split_words, training_sample, with_columns
 
 SIZES = (2, 3, 4)
 #: Text bytes and n-grams worked on at a time.
@@ -15,8 +15,6 @@ MAX_TRAIN = 3_000
 HASHES = 3
 #: Bits of each language's filter for every n-gram it holds.
 BITS_PER_GRAM = 12
-#: A language holds an n-gram if it is at least so typical of it as of its most typical language.
-SHARE = 0.5
 UNKNOWN = "und"
 
 
@@ -27,7 +25,8 @@ def word_grams(distinct: pa.Array):
     points = np.frombuffer("".join(f" {w} " for w in letters).encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.fromiter((len(w) + 2 for w in letters), np.int64, len(letters))
     word = np.repeat(np.arange(len(letters)), sizes)
-    real = np.repeat(sizes > 2, sizes)
+    # Marks alone are no letters.
+    real = np.repeat(pc.match_substring_regex(lower, r"\pL").to_numpy(zero_copy_only=False), sizes)
     hashes, owners = [], []
     for n in SIZES:
         if len(points) < n:
@@ -87,59 +86,47 @@ class SlicedFilters:
 def fit(docs: DataFrame, lang="lang", id_col="doc_id", text="text", max_train=MAX_TRAIN):
     """Filters from about ``max_train`` documents of each language (by hash of the id); None without any.
 
-    N-grams are counted by language in Spark; one belongs to every language where its share
-    of all n-grams is at least ``SHARE`` times its largest share. What reaches the driver is
-    one number and one mask for each distinct n-gram of the bounded sample.
+    An n-gram belongs to every language of whose sample it is part. What reaches the driver is
+    one mask for each distinct n-gram of the bounded sample; it and the filters grow with the
+    number of distinct languages.
     """
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(id_col, F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    sample = training_sample(rows, ["_lang"], max_train, id_col)
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    sample = training_sample(rows, ["lang"], max_train, "id")
 
-    def count(batches):
+    def grams(batches):
         for batch in batches:
-            for part in slices(batch, "_text", BLOCK):
-                names = part.column("_lang").dictionary_encode()
-                langs = names.indices.to_numpy().astype(np.int64)
-                codes, starts, distinct = split_words(part.column("_text"))
-                grams, owner, n = word_grams(distinct)
-                doc_lang = np.repeat(langs, np.diff(starts))
+            for part in slices(batch, "text", BLOCK, tidy=True):
+                names = part.column("lang").dictionary_encode()
+                codes, starts, distinct = split_words(part.column("text"))
+                found, owner, n = word_grams(distinct)
+                doc_lang = np.repeat(names.indices.to_numpy().astype(np.int64), np.diff(starts))
                 for k, name in enumerate(names.dictionary.to_pylist()):
-                    weight = np.bincount(codes[doc_lang == k], minlength=n)[owner] if n else np.zeros(0)
-                    keep = weight > 0
-                    distinct_grams, place = np.unique(grams[keep], return_inverse=True)
-                    times = np.bincount(place, weight[keep], len(distinct_grams)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(times), pa.string()), pa.array(distinct_grams.view(np.int64)), pa.array(times)], names=["lang", "gram", "n"])
-
-    counted = sample.select("_text", "_lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = counted.toPandas()
+                    there = np.bincount(codes[doc_lang == k], minlength=n) > 0
+                    own = np.unique(found[there[owner]])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own.view(np.int64))], names=["lang", "gram"])
+
+    table = sample.select("text", "lang").mapInArrow(lean(grams), "lang string, gram long").distinct().toPandas()
     if not len(table):
         return None
     languages = sorted(table["lang"].unique())
-    number = {name: i for i, name in enumerate(languages)}
-    grams, place = np.unique(table["gram"].to_numpy().view(np.uint64), return_inverse=True)
-    column, n = table["lang"].map(number).to_numpy(), table["n"].to_numpy(float)
-    totals = np.bincount(column, n, len(languages))
-    share = n / totals[column]
-    most = np.zeros(len(grams))
-    np.maximum.at(most, place, share)
-    masks = np.zeros((len(grams), -(-len(languages) // 64)), np.uint64)
-    own = share >= SHARE * most[place]
-    np.bitwise_or.at(masks, (place[own], column[own] // 64), np.uint64(1) << (column[own] % 64).astype(np.uint64))
-    return SlicedFilters(grams, masks, languages)
+    found, place = np.unique(table["gram"].to_numpy().view(np.uint64), return_inverse=True)
+    column = table["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy()
+    masks = np.zeros((len(found), -(-len(languages) // 64)), np.uint64)
+    np.bitwise_or.at(masks, (place, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+    return SlicedFilters(found, masks, languages)
 
 
 def decide(filters: SlicedFilters, hits: np.ndarray, total: np.ndarray):
     """Best language of each text and its score, from n-grams held by each language and n-grams in all.
 
     Every language's share of held n-grams is cleared of its false positives,
-    (share - rate) / (1 - rate); the score is the best share's part of all shares. Ties go
-    to the first language by name.
+    (share - rate) / (1 - rate). The largest decides and is the score, whatever the number of
+    languages; ties go to the first language by name.
     """
     share = hits / np.maximum(total, 1)[:, None]
     clear = np.clip((share - filters.false_rate) / (1 - np.minimum(filters.false_rate, 0.999)), 0, 1)
     best = clear.argmax(axis=1)
-    sums = clear.sum(axis=1)
-    score = np.where(sums > 0, clear[np.arange(len(best)), best] / np.maximum(sums, 1e-300), 0.0)
-    return best, score
+    return best, clear[np.arange(len(best)), best]
 
 
 def predict(docs: DataFrame, filters, text="text", out="lang_pred", score="score") -> DataFrame:
@@ -158,4 +145,4 @@ def predict(docs: DataFrame, filters, text="text", out="lang_pred", score="score
         names = np.where(total > 0, np.array(f.languages, object)[best], UNKNOWN)
         return [pa.array(names.tolist(), pa.string()), np.where(total > 0, value, 0.0)]
 
-    return with_columns(docs, text, f"{out} string, {score} double", make, BLOCK)
+    return with_columns(docs, text, f"{out} string, {score} double", make, BLOCK, tidy=True)

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blocklens.functions.scale import checkpointed
-from blocklens.llm.words import spread_join
+from blocklens.llm.words import free_name, spread_join
 
 WINDOW = 3
 
@@ -47,17 +47,18 @@ def dedup(df: DataFrame, id_col="doc_id", text="text", size: int = WINDOW) -> Da
     and stay. All input columns are kept, ``text`` is what is left, and n_lines (lines with
     text) and n_removed are appended (they replace columns of these names). A null text stays
     null; texts of fewer than ``size`` such lines and rows without an id stay as they are.
-    Rows that share an id share its removed places.
+    Rows that share an id share its removed places. Other columns may have any names.
     """
-    kept = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    drops = covered(df, id_col, text, size).withColumnRenamed("id", "_id")
-    rows = df.select(*kept).join(drops, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    lines, parts = lines_of(F.col(text)), F.split(F.col(text), "\n", -1)
-    rows = rows.withColumn("_at", F.transform(lines, lambda x: x["at"]))
-    gone = F.transform(F.col("drop"), lambda place: F.get("_at", place))
-    rows = rows.withColumn("_gone", F.filter(F.coalesce(gone, F.array()), lambda at: at.isNotNull()))
-    rows = rows.withColumns({"n_lines": F.size("_at").cast("long"), "n_removed": F.size("_gone").cast("long")})
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
+    kept = [c for c in df.columns if c.lower() not in ("n_lines", "n_removed")]
+    own, drop, at, gone = (free_name(n, df) for n in ("_own", "_drop", "_at", "_gone"))
+    drops = covered(df, id_col, text, size).select(F.col("id").alias(own), F.col("drop").alias(drop))
+    rows = df.select(*kept).join(drops, F.col(id_col) == F.col(own), "left").drop(own)
+    parts = F.split(F.col(text), "\n", -1)
+    rows = rows.withColumn(at, F.transform(lines_of(F.col(text)), lambda x: x["at"]))
+    places = F.transform(F.col(drop), lambda place: F.get(at, place))
+    rows = rows.withColumn(gone, F.filter(F.coalesce(places, F.array()), lambda place: place.isNotNull()))
+    rows = rows.withColumns({"n_lines": F.size(at).cast("long"), "n_removed": F.size(gone).cast("long")})
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     bound = F.transform(F.array(F.struct(parts.alias("parts"), stay.alias("stay"))), lambda x: F.array_join(F.transform(x["stay"], lambda i: F.get(x["parts"], i)), "\n"))
-    rest = F.when(F.size("_gone") > 0, bound[0]).otherwise(F.col(text))
+    rest = F.when(F.size(gone) > 0, bound[0]).otherwise(F.col(text))
     return rows.withColumn(text, rest).select(*kept, "n_lines", "n_removed")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blocklens.functions.scale import checkpointed
-from blocklens.llm.words import mixed, slices, split_words, text_numbers
+from blocklens.llm.words import lean, mixed, slices, split_words, text_numbers
 
 SIDE, ROWS = 12, 3
 FILTER_BITS = 1 << 23
@@ -30,7 +30,7 @@ HUBS = 4
 #: A shingle of more nodes than this is a common one.
 RARE = 8
 #: Text bytes worked on at a time.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Rows of keys that one task sorts in memory.
 TASK_KEYS = 2_000_000
 
@@ -82,7 +82,7 @@ def signed(df: DataFrame, text: str, width: int, id_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_text", BLOCK):
+            for part in slices(batch, "_text", BLOCK, tidy=True):
                 keys, starts = shingles(part.column("_text"), width)
                 size = np.diff(starts)
                 full = size > 0
@@ -98,7 +98,7 @@ def signed(df: DataFrame, text: str, width: int, id_col: str) -> DataFrame:
                     k += 1
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(size), pa.array(node, pa.binary()), pa.array(sig, pa.binary())], names=["id", "n_shingles", "node", "sig"])
 
-    return df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, f"id {kind}, n_shingles long, node binary, sig binary")
+    return df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(lean(run), f"id {kind}, n_shingles long, node binary, sig binary")
 
 
 def key_batches(batches, extra=(), side=SIDE):
@@ -120,7 +120,7 @@ def table_keys(nodes: DataFrame) -> DataFrame:
         for made in key_batches(batches, ["comp"]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "nid", "comp"])
 
-    return nodes.select("nid", "sig", "comp").mapInArrow(run, "key long, nid long, comp long")
+    return nodes.select("nid", "sig", "comp").mapInArrow(lean(run), "key long, nid long, comp long")
 
 
 def stars(nodes: DataFrame, parts: int) -> DataFrame:
@@ -158,9 +158,9 @@ def stars(nodes: DataFrame, parts: int) -> DataFrame:
         a, b = a[new], b[new]
         yield pa.RecordBatch.from_arrays([pa.array(x[a != b]) for x in (a, b, n)], names=["pivot", "nid", "n"])
 
-    dealt = nodes.select("nid", "sig").mapInArrow(local, "key long, nid long, pivot long")
+    dealt = nodes.select("nid", "sig").mapInArrow(lean(local), "key long, nid long, pivot long")
     dealt = dealt.repartition(parts, "key", F.when(F.col("pivot").isNotNull(), F.col("nid")))
-    return dealt.mapInArrow(merge, "pivot long, nid long, n long").groupBy("pivot", "nid").agg(F.sum("n").alias("n"))
+    return dealt.mapInArrow(lean(merge), "pivot long, nid long, n long").groupBy("pivot", "nid").agg(F.sum("n").alias("n"))
 
 
 def bit_filter(ids: DataFrame, column: str):
@@ -185,7 +185,7 @@ def full_sets(df, text, width, wanted) -> DataFrame:
     def run(batches):
         bits = shared.value
         for batch in batches:
-            for part in slices(batch, "_text", BLOCK):
+            for part in slices(batch, "_text", BLOCK, tidy=True):
                 keys, starts = shingles(part.column("_text"), width)
                 begin = starts[:-1][np.diff(starts) > 0]
                 if not len(begin):
@@ -198,7 +198,7 @@ def full_sets(df, text, width, wanted) -> DataFrame:
                 node = [int(low[i]).to_bytes(8, "big") + int(high[i]).to_bytes(8, "big") for i in hit]
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array([keys[begin[i] : ends[i]].tobytes() for i in hit], pa.binary())], names=["node", "full"])
 
-    return df.select(F.col(text).alias("_text")).mapInArrow(run, "node binary, full binary")
+    return df.select(F.col(text).alias("_text")).mapInArrow(lean(run), "node binary, full binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -219,7 +219,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * common >= percent * (len(merged) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -314,7 +314,7 @@ def items_of(sets: DataFrame) -> DataFrame:
                 nid = np.repeat(part.column("nid").to_numpy(), [len(x) for x in full])
                 yield pa.RecordBatch.from_arrays([pa.array(nid), pa.array(np.concatenate(full))], names=["nid", "item"])
 
-    return sets.select("nid", "full").mapInArrow(run, "nid long, item long")
+    return sets.select("nid", "full").mapInArrow(lean(run), "nid long, item long")
 
 
 def possible_pairs(rest: DataFrame, inside: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from blocklens.functions.scale import checkpointed
 from blocklens.llm.pieces import WordTokenizer
-from blocklens.llm.words import slices
+from blocklens.llm.words import lean, slices
 
 CAPACITY = 2048
+#: Text bytes worked on at a time.
+BLOCK = 4 << 20
 SLOT_ROWS = 50_000
 
 _TOKENIZERS = {}
@@ -41,7 +43,7 @@ def cut_pieces(df: DataFrame, path: str, id_col="doc_id", text="text", capacity=
     def run(batches):
         encoder = tokenizer(path)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", BLOCK, tidy=True):
                 flat, first = encoder.encode(part.column("_text"))
                 row, piece, start, length, crc, lists = [], [], [], [], [], []
                 for i in range(part.num_rows):
@@ -57,7 +59,7 @@ def cut_pieces(df: DataFrame, path: str, id_col="doc_id", text="text", capacity=
                 names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
-    return df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, ddl)
+    return df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(lean(run), ddl)
 
 
 def _fill(gap: int, left: np.ndarray):
@@ -190,4 +192,4 @@ def pack(pieces: DataFrame, id_col="doc_id", capacity: int = CAPACITY) -> DataFr
             made = [batch.column(c) for c in columns] + [pa.array(sequence), pa.array(table[at, 4])]
             yield pa.RecordBatch.from_arrays(made, names=columns + ["sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(lean(run), schema)

@@ -12,7 +12,7 @@ from blocklens.llm.words import per_text, split_words
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct words remembered by a worker; beyond that the memory starts anew.
-MEMORY = 600_000
+MEMORY = 200_000
 PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 

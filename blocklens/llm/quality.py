@@ -6,10 +6,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blocklens.llm.words import BLOCK_BYTES, mixed, slices, split_words, text_numbers, training_sample, with_columns  # noqa: F401
+from blocklens.llm.words import lean, mixed, slices, split_words, text_numbers, training_sample, with_columns
 
 BITS = 18
 MAX_TRAIN = 8_000
+#: Text bytes worked on at a time; features take some 30 times as much memory.
+BLOCK = 2 << 20
 SAME_WORD = np.uint64(0x5A5A5A5A12345678)
 
 
@@ -59,6 +61,7 @@ def features(texts: pa.Array, bits: int = BITS):
     index = np.concatenate([(h & mask).astype(np.int64) for h, _ in parts])
     rows = np.concatenate([d for _, d in parts])
     key = (rows << bits) | index
+    del parts, index, rows, w, first, second, pair
     key.sort()
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.append(edge, len(key))).astype(np.float64)
@@ -109,14 +112,14 @@ def fit(docs: DataFrame, labels: DataFrame, label="quality", id_col="doc_id", te
 
     def sparse(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", BLOCK, tidy=True):
                 index, value, row, n = features(part.column("_text"), bits)
                 cuts = np.searchsorted(row, np.arange(n + 1))
                 lists = [pa.array([x[a:b].astype(t).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x, t in ((index, "<i4"), (value, "<f4"))]
                 yield pa.RecordBatch.from_arrays([part.column("_place"), pc.cast(part.column("_label"), pa.int32()), *lists], names=["place", "label", "index", "value"])
 
     placed = rows.select("_text", "_label", F.xxhash64(F.lit(11), id_col, "_text").alias("_place"))
-    table = placed.mapInArrow(sparse, "place long, label int, index binary, value binary")
+    table = placed.mapInArrow(lean(sparse), "place long, label int, index binary, value binary")
 
     def learn(group):
         group = group.sort_values("place", kind="stable")
@@ -141,4 +144,4 @@ def score(docs: DataFrame, model, text="text", out="score", bits=BITS) -> DataFr
         index, value, rows, n = features(texts, bits)
         return [sigmoid(np.bincount(rows, w[index] * value, n) + b)]
 
-    return with_columns(docs, text, f"{out} double", make)
+    return with_columns(docs, text, f"{out} double", make, BLOCK, tidy=True)

@@ -4,6 +4,10 @@ Texts of a batch are split in one Arrow call and every distinct word gets a numb
 per-word work is done once per distinct word and the rest is NumPy on the numbers.
 """
 
+import ctypes
+import gc
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,14 +20,42 @@ from blocklens.functions.scale import fits_broadcast
 BLOCK_BYTES = 16 << 20
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES):
-    """Cut a batch into pieces of about ``limit`` text bytes; one longer text is a piece by itself."""
+def tidy_up() -> None:
+    """Free what only cycles hold, and what Arrow keeps for later."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
+def lean(run):
+    """``run`` over a partition's batches, giving its memory back to the system in the end.
+
+    Workers serve one task after another and allocators keep what they once had, so without
+    this every worker of an executor stays as large as its largest task.
+    """
+
+    @wraps(run)
+    def task(batches):
+        yield from run(batches)
+        tidy_up()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return task
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES, tidy: bool = False):
+    """Cut a batch into pieces of about ``limit`` text bytes; one longer text is a piece by itself.
+
+    With ``tidy`` a piece's memory is given back before the next one.
+    """
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size, dtype=np.int64) // limit
     cuts = np.flatnonzero(np.diff(part)) + 1
     for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
         if stop > start:
             yield batch.slice(start, stop - start)
+            if tidy:
+                tidy_up()
 
 
 def split_words(texts: pa.Array):
@@ -62,7 +94,7 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def with_columns(df: DataFrame, text: str, ddl: str, make, block: int = BLOCK_BYTES) -> DataFrame:
+def with_columns(df: DataFrame, text: str, ddl: str, make, block: int = BLOCK_BYTES, tidy: bool = False) -> DataFrame:
     """Append the columns ``make(texts) -> list of arrays`` returns; input columns of the same names go.
 
     ``make`` gets an Arrow array of whole texts (nulls included), a few megabytes at a time.
@@ -76,11 +108,11 @@ def with_columns(df: DataFrame, text: str, ddl: str, make, block: int = BLOCK_BY
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, column, block):
+            for piece in slices(batch, column, block, tidy):
                 made = make(piece.column(column))
                 yield pa.RecordBatch.from_arrays([piece.column(c) for c in kept] + [pa.array(m) for m in made], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id="doc_id"):

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from blocklens.llm import language, quality
@@ -76,7 +77,54 @@ def test_language_on_held_out_rows(larger):
     docs, _ = larger
     filters = language.fit(docs.filter(~held_out()))
     out = language.predict(docs, filters).filter(held_out()).agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0]
-    assert out >= 0.97
+    assert out >= 0.99
+
+
+def set_grams(text):
+    """All n-grams of a text's words, by definition, repeated as often as they are there."""
+    out = []
+    for word in regex.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        if regex.search(r"\pL", word):
+            letters = " " + regex.sub(r"[^\pL\pM]+", "", word.lower()) + " "
+            out += [letters[i : i + n] for n in language.SIZES for i in range(len(letters) - n + 1)]
+    return out
+
+
+def test_language_against_sets(larger):
+    """Lookups return every language that holds the n-gram, and decisions are those of plain sets."""
+    docs = larger[0].select("doc_id", "text", "lang")
+    rows = [r for r in docs.collect() if r["text"] is not None]
+    learnt = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    sets = {lang: {g for r in learnt if r["lang"] == lang for g in set_grams(r["text"])} for lang in {r["lang"] for r in learnt}}
+    filters = language.fit(docs.filter(~held_out()), max_train=10**9)
+    assert filters.languages == sorted(sets)
+    words = sorted({w for r in rows for w in r["text"].split()})[:3000]
+    held = extra = 0
+    for word in words:
+        grams, owner, n = language.word_grams(pa.array([word]))
+        found = filters.holders(grams)[:, 0] if len(grams) else []
+        for gram, bits in zip(sorted(set_grams(word), key=len), found):
+            for k, lang in enumerate(filters.languages):
+                there = bool(int(bits) >> k & 1)
+                assert there or gram not in sets[lang]
+                held, extra = held + (gram in sets[lang]), extra + (there and gram not in sets[lang])
+    assert held > 1000 and extra < 0.02 * held
+    got = {r["doc_id"]: r for r in language.predict(docs, filters).collect()}
+    wrong = 0
+    for r in rows:
+        grams = set_grams(r["text"])
+        share = sorted(((sum(g in s for g in grams) / max(1, len(grams)), lang) for lang, s in sets.items()), reverse=True)
+        if not grams:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+        elif share[0][0] - share[1][0] > 0.01:
+            assert abs(got[r["doc_id"]]["score"] - share[0][0]) < 0.01
+            wrong += got[r["doc_id"]]["lang_pred"] != share[0][1]
+    assert wrong == 0
+
+
+def test_marks_alone_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "e\u0301te\u0301", "fr"), (2, "\u0301\u0302 \u0303", "fr"), (3, "12 \u0301", "fr")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, language.fit(docs)).collect()} == {1: "fr", 2: "und", 3: "und"}
 
 
 def test_filters_hold_what_was_put_in_and_state_their_rate():

@@ -1,3 +1,5 @@
+from functools import reduce
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def test_run_against_brute_force(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     labels = spark.read.parquet(f"{data}/labels.parquet").filter(~held_out())
     scored = quality.score(docs, quality.fit(docs.filter(~held_out()), labels)).filter("score >= 0.3").drop("score")
-    named = language.predict(scored, language.fit(scored.filter(~held_out())), out="l", score="s").filter("l <> 'und' AND s >= 0.3")
+    named = language.predict(scored, language.fit(scored.filter(~held_out())), out="l", score="s").filter((F.col("l") != "und") & (F.col("s") >= corpus_pipeline.LANGUAGE_SCORE))
     rows = {r["doc_id"]: r["text"] for r in named.collect()}
     lines = {i: v for i, v in brute_lines(list(rows.items())).items() if v[1] == 0 or v[2] < v[1]}
     groups = brute_groups([(i, v[0]) for i, v in lines.items()], 5)
@@ -50,6 +52,19 @@ def test_stages_on_odd_rows(spark, data, request, rows):
     assert (pieces.count() > 0) == (rows == "odd")
 
 
+def test_stages_keep_columns_of_any_name(spark, data):
+    """Names that helper columns have too stay as they are."""
+    names = ["_score", "_lang", "_row", "row", "component_id", "kept", "_id", "id", "drop", "_drop", "_own", "_at", "at", "_gone", "_text", "h", "nid", "n_lines", "n_removed", "first"]
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns and out.count() > 0, name
+        wrong = [F.col(n) != F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")) for n in names]
+        assert out.filter(reduce(lambda a, b: a | b, wrong)).count() == 0, name
+    assert corpus_pipeline.pack(spark, docs, data).count() > 0
+
+
 def test_lines_stage_updates_length_and_drops_emptied(spark, data):
     rows = [(1, "a\nb\nc\nd", 7), (2, "a\nb\nc", 5), (3, "a\nb\nc\ne", 7), (4, "", 0), (5, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
