@@ -19,6 +19,7 @@ from blocklens import config as C
 from blocklens.functions.scale import checkpointed, percentiles, stored
 from blocklens.functions.scoring import decide, normalise_all, normalise_with
 from blocklens.operators.iforest import uniform, vectors
+from blocklens.operators.sparse import dense_rows
 
 #: Bytes of training rows that one task holds; beyond that each step is a job. Either way the result is the same.
 TASK_BYTES = 256 << 20
@@ -111,7 +112,8 @@ def _columns(batches, width: int):
     x, number = [np.zeros((0, width))], [np.zeros(0, np.int64)]
     for b in batches:
         if b.num_rows:
-            x.append(b.column("x").flatten().to_numpy().reshape(-1, width))
+            dense = "cells" not in b.schema.names
+            x.append(b.column("x").flatten().to_numpy().reshape(-1, width) if dense else dense_rows(b.column("cells"), width))
             number.append(b.column("batch").to_numpy())
     return np.concatenate(x), np.concatenate(number)
 
@@ -170,7 +172,7 @@ def _stepwise_epoch(rows, state, shapes, rate, order):
     n, total = 0, 0.0
     for k in order:
         # One row of a few thousand numbers from each task.
-        told = rows.filter(F.col("batch") == int(k)).select("x", "batch").mapInArrow(_batch_sums(state, shapes, False), _TOLD).collect()
+        told = rows.filter(F.col("batch") == int(k)).mapInArrow(_batch_sums(state, shapes, False), _TOLD).collect()
         own = sum(r.n for r in told)
         if own:
             state = _update(state, np.sum([r.numbers for r in told], axis=0) / own, rate)
@@ -194,6 +196,9 @@ def fit_autoencoder(
 ) -> Autoencoder:
     """Fit on rows with ``block_id`` and feature columns scaled to 0-1.
 
+    ``columns`` are their names, or the number of features of sparse vectors in a column
+    ``cells``, which become rows of numbers in the tasks, a batch at a time.
+
     Rows are dealt to batches of about ``batch`` rows by a hash of their id; every epoch takes
     all batches in another order, and a step follows the mean gradient over the batch's rows,
     wherever they are. Up to ``task_bytes`` of rows an epoch is one job in one task, beyond
@@ -203,14 +208,15 @@ def fit_autoencoder(
     training stops and keeps the best weights; without held-out rows that is the training loss
     at the weights in question. ``start`` gives the first weights, an earlier model's for instance.
     """
-    vectored = checkpointed(vectors(train, columns).select("block_id", "x"))
+    width, name = (columns, "cells") if isinstance(columns, int) else (len(columns), "x")
+    vectored = checkpointed((train if name == "cells" else vectors(train, columns)).select("block_id", name))
     total = vectored.count()
     steps = max(1, math.ceil(total * (1 - held_out) / batch))
     held = uniform("block_id", F.lit(seed), F.lit("held")) < held_out
     number = F.when(held, F.lit(HELD)).otherwise(F.floor(uniform("block_id", F.lit(seed), F.lit("batch")) * steps)).cast("long")
-    rows = stored(vectored.select("x", number.alias("batch")).sortWithinPartitions("batch"))
-    whole = total * len(columns) * 8 <= task_bytes
-    shapes = layer_shapes(len(columns), dims)
+    rows = stored(vectored.select(name, number.alias("batch")).sortWithinPartitions("batch"))
+    whole = total * width * 8 <= task_bytes
+    shapes = layer_shapes(width, dims)
     flat = initial_weights(shapes, seed) if start is None else np.asarray(start, float)
     state = np.concatenate([flat, np.zeros(2 * len(flat)), [0.0]])
     training, checking = rows.filter(F.col("batch") != HELD), rows.filter(F.col("batch") == HELD)
@@ -235,8 +241,8 @@ def fit_autoencoder(
                 break
         state = new_state
         history.append((epoch + 1, loss / max(n, 1), None))
-    model = Autoencoder(list(columns), shapes, best, history=history)
-    errors = vectored.select(error_udf(vectored.sparkSession, model)("x").alias("reconstruction_error"))
+    model = Autoencoder([] if name == "cells" else list(columns), shapes, best, history=history)
+    errors = sparse_error(vectored, model) if name == "cells" else vectored.select(error_udf(vectored.sparkSession, model)("x").alias("reconstruction_error"))
     model.threshold = percentiles(errors, "reconstruction_error", [1 - contamination]).first().value
     return model
 
@@ -266,6 +272,22 @@ def reconstruction_error(rows: DataFrame, model: Autoencoder, name: str = "recon
     return vectors(rows, model.columns, "_x").withColumn(name, error("_x")).drop("_x")
 
 
+def sparse_error(rows: DataFrame, model: Autoencoder, name: str = "reconstruction_error") -> DataFrame:
+    """block_id and reconstruction error of sparse vectors (``cells``); some four million numbers are dense at a time."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.weights, model.shapes))
+    width = model.shapes[0][0]
+    kind = rows.schema["block_id"].dataType.simpleString()
+
+    def run(batches):
+        flat, shapes = shared.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, some := max(1, (1 << 22) // width)):
+                part = batch.slice(k, some)
+                yield pa.RecordBatch.from_arrays([part.column("block_id"), pa.array(squared_error(dense_rows(part.column("cells"), width), flat, shapes))], names=["block_id", name])
+
+    return rows.select("block_id", "cells").mapInArrow(run, f"block_id {kind}, {name} double")
+
+
 def mean_squared_error(a: Column, b: Column) -> Column:
     """The same error between two array columns, as a plain expression."""
     squares = F.zip_with(a, b, lambda p, q: (p - q) * (p - q))
@@ -278,7 +300,8 @@ def score_autoencoder(rows: DataFrame, model: Autoencoder, bounds: DataFrame | N
     Scores are scaled by ``bounds`` (of the training blocks, saved with the model), or over
     all scored rows without them.
     """
-    errors = checkpointed(reconstruction_error(rows, model).select("block_id", "reconstruction_error"))
+    found = sparse_error(rows, model) if "cells" in rows.columns else reconstruction_error(rows, model)
+    errors = checkpointed(found.select("block_id", "reconstruction_error"))
     if bounds is None:
         scored = normalise_all(errors, "reconstruction_error", "ae_score")
     else:

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from blocklens import config as C
-from blocklens.operators import features, selection, splits
+from blocklens.functions.scale import checkpointed
+from blocklens.operators import features, selection, sparse, splits
 from checks import fixtures as X
 from checks.registry import check, cte, shared
 
@@ -201,6 +202,86 @@ def d6(spark, sf_dir):
     return rows.select("feature", F.format_string("%.8e", "variance").cast("double").alias("variance"))
 
 
+@shared
+def sparse_index(spark, sf_dir):
+    return checkpointed(sparse.feature_index(X.mined(spark, sf_dir).dictionary))
+
+
+@shared
+def sparse_vectors(spark, sf_dir):
+    return checkpointed(sparse.block_vectors(X.events(spark, sf_dir), sparse_index(spark, sf_dir)))
+
+
+def _training(vectors, spark, sf_dir):
+    return vectors.join(X.log_splits(spark, sf_dir).filter("split = 'train'").select("block_id"), "block_id", "left_semi")
+
+
+def _named(cells, spark, sf_dir, *keys):
+    index = sparse_index(spark, sf_dir).select("feature", "i")
+    for key, name in keys:
+        cells = cells.join(index.select(F.col("i").alias(key), F.col("feature").alias(name)), key)
+    return cells
+
+
+_MELTED = " UNION ALL ".join(f"SELECT block_id, '{f}' AS feature, CAST({f} AS DOUBLE) AS v FROM block_matrix" for f in X.FEATURES)
+
+
+@check("c10_sparse_vectors", f"SELECT block_id, feature, round(v, 9) AS value FROM ({_MELTED}) WHERE v <> 0")
+def c10_sparse(spark, sf_dir):
+    """The same features as sparse vectors: the values that are not 0."""
+    cells = _named(sparse_vectors(spark, sf_dir).select("block_id", F.inline("cells")), spark, sf_dir, ("i", "feature"))
+    return cells.select("block_id", "feature", F.round("v", 9).alias("value"))
+
+
+@check("c13_sparse_minmax", f"""
+SELECT block_id, feature, round(CAST(v - lo AS DOUBLE) / (hi - lo), 9) AS value FROM (
+  SELECT *, min(v) OVER (PARTITION BY feature) AS lo, max(v) OVER (PARTITION BY feature) AS hi FROM ({_MELTED})) WHERE hi > lo AND v > lo""")
+def c13_sparse(spark, sf_dir):
+    vectors = sparse_vectors(spark, sf_dir)
+    scaled = sparse.scale_min_max(vectors, sparse.moments(vectors, sparse_index(spark, sf_dir)))
+    cells = _named(scaled.select("block_id", F.inline("cells")), spark, sf_dir, ("i", "feature"))
+    return cells.select("block_id", "feature", F.round("v", 9).alias("value"))
+
+
+@check("d5_sparse_correlation", "SELECT feature_a, feature_b, round(r, 6) + 0.0 AS r FROM feature_pairs WHERE r IS NOT NULL")
+def d5_sparse(spark, sf_dir):
+    """The correlations from products of cells that occur together."""
+    vectors = _training(sparse_vectors(spark, sf_dir), spark, sf_dir)
+    found = _named(sparse.correlations(vectors, sparse_index(spark, sf_dir)).filter("r IS NOT NULL"), spark, sf_dir, ("i", "feature_a"), ("j", "feature_b"))
+    return found.select("feature_a", "feature_b", (F.round("r", 6) + 0.0).alias("r"))
+
+
+@check("d5_sparse_selected", "SELECT feature, n_correlated, selected FROM feature_choice")
+def d5_sparse_selected(spark, sf_dir):
+    """The same features are kept, by looking at strong pairs only."""
+    vectors = _training(sparse_vectors(spark, sf_dir), spark, sf_dir)
+    found = _named(sparse.selection(vectors, sparse_index(spark, sf_dir)), spark, sf_dir, ("i", "feature"))
+    return found.select("feature", "n_correlated", "selected")
+
+
+@shared
+def document_words(spark, sf_dir):
+    """Documents as blocks, their lines' first words as events: an index of thousands of features from the table itself."""
+    rows = X.text_lines(spark, sf_dir).filter("trim(raw_line) <> ''")
+    return checkpointed(rows.select(
+        F.col("doc_id").cast("string").alias("block_id"), F.concat(F.lit("W"), F.md5(F.split(F.trim("raw_line"), " ")[0])).alias("event_id"),
+        F.lit("text").alias("component"), F.lit("INFO").alias("level"), F.lit("240101000000").alias("ts_raw")))
+
+
+@check("c10_sparse_documents", r"""
+SELECT CAST(doc_id AS VARCHAR) AS block_id, count(*) AS n_templates, CAST(sum(n) AS BIGINT) AS n_lines FROM (
+  SELECT doc_id, md5(string_split(trim(line), ' ')[1]) AS word, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+  WHERE trim(line) <> '' GROUP BY ALL) GROUP BY doc_id""")
+def c10_documents(spark, sf_dir):
+    """Vectors over as many features as documents have first words; no feature is a column."""
+    events = document_words(spark, sf_dir)
+    index = checkpointed(sparse.feature_index(events.select("event_id").distinct()))
+    vectors = sparse.block_vectors(events, index)
+    own = F.filter("cells", lambda c: c["i"] >= len(C.BASE_FEATURES))
+    total = F.aggregate(own, F.lit(0.0), lambda a, c: a + c["v"])
+    return vectors.select("block_id", F.size(own).cast("long").alias("n_templates"), total.cast("long").alias("n_lines"))
+
+
 _LOCAL = ", ".join(
     _scaled(f, f"(SELECT min({f}) FROM train_matrix)", f"(SELECT max({f}) FROM train_matrix)") for f in C.BASE_FEATURES
 )
