@@ -8,21 +8,21 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blocklens import config as C
-from blocklens.functions.scale import checkpointed, lookup_join
+from blocklens.functions.scale import checkpointed, stored
 from blocklens.functions.scoring import decide
 
 NODE_SCHEMA = "tree int, node long, feature int, threshold double, n long"
 LOCAL_ROWS = 50_000
 BROADCAST_NODES = 4_000_000
-GROUP_ROWS = 200_000
 
 
 @dataclass
@@ -73,65 +73,149 @@ def fit_forest(
 
     ``max_samples`` is a share of the rows (float) or a number of rows (int). A row joins
     a tree when its hash falls below the sampling rate, so no sampling sort is needed and
-    the forest does not depend on partitioning. While a node holds more than
-    ``local_rows`` rows it is split by aggregations over all nodes of a level; smaller
-    nodes are finished within one task each. Feature and threshold of a node come from one
-    keyed hash, so the node table is the same for any ``local_rows``.
+    the forest does not depend on partitioning. A row is stored once, with one bit for each
+    tree that says whether it is a member.
+
+    While a node holds more than ``local_rows`` rows it is split by a pass over the rows,
+    which finds each row's open nodes by walking the splits so far and sums up their bounds;
+    nothing is stored for a level but its splits. Smaller nodes are finished within one task
+    each. Feature and threshold of a node come from one keyed hash, so the node table is the
+    same for any ``local_rows``.
     """
-    vectored = checkpointed(vectors(train, columns).select("block_id", "x"))
+    spark = train.sparkSession
+    vectored = vectors(train, columns).select("block_id", "x")
     total = vectored.count()
     psi = max(1, min(total, int(max_samples * total) if isinstance(max_samples, float) else max_samples))
-    rate = psi / total
-    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    rate = psi / max(total, 1)
     # A row joins a tree if the first 52 bits of the pair's MD5 are below the rate, compared as hexadecimal text.
     below = f"{int(rate * (1 << 52)):014x}"
+    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
     pair = lambda t: F.concat_ws("|", F.col("block_id").cast("string"), t.cast("string"), F.lit(str(seed)))
-    chosen = F.filter(trees, lambda t: F.concat(F.lit("0"), F.substring(F.md5(pair(t)), 1, 13)) < below)
-    rows = vectored.select("block_id", "x", F.explode(chosen).alias("tree"))
-    rows = rows.withColumn("node", F.lit(1).cast("long"))
+    bits = F.transform(trees, lambda t: F.when(F.concat(F.lit("0"), F.substring(F.md5(pair(t)), 1, 13)) < below, "1").otherwise("0"))
+    rows = checkpointed(vectored.select("block_id", "x", _bits(F.array_join(bits, ""), n_trees).alias("member")))
     limit = math.ceil(math.log2(max(psi, 2)))
-    tops = []
+    # Splits are looked up in every task: their number is kept within the broadcast bound.
+    local_rows = max(local_rows, math.ceil(2 * total * rate * n_trees / BROADCAST_NODES))
+    tops = _no_splits()
     if psi * 1.2 > local_rows:
-        rows, tops = _split_levels(checkpointed(rows), len(columns), limit, seed, local_rows)
-    lower = rows.groupBy("tree", "node").applyInPandas(_grow(limit, seed), NODE_SCHEMA)
-    nodes = reduce(DataFrame.unionByName, [lower, *tops])
+        tops = _split_levels(rows, len(columns), n_trees, limit, seed, local_rows)
+    kind = rows.schema["block_id"].dataType.simpleString()
+    placed = rows.mapInArrow(_open_rows(spark.sparkContext.broadcast(tops), n_trees), f"block_id {kind}, x array<double>, tree int, node long")
+    nodes = placed.groupBy("tree", "node").applyInPandas(_grow(limit, seed), NODE_SCHEMA)
+    if len(tops):
+        nodes = nodes.unionByName(spark.createDataFrame(tops, NODE_SCHEMA))
     return Forest(checkpointed(nodes), psi, list(columns))
 
 
-def _split_levels(rows: DataFrame, width: int, limit: int, seed: int, local_rows: int):
-    """Split all nodes above ``local_rows`` level by level; at most ``limit`` rounds."""
-    tops, level = [], 0
+def _bits(text: Column, n: int) -> Column:
+    """A text of n zeros and ones as bytes, eight to a byte, from the left."""
+    padded = F.rpad(text, -(-n // 8) * 8, "0")
+    return F.unhex(F.concat(*[F.lpad(F.conv(F.substring(padded, 1 + 8 * k, 8), 2, 16), 2, "0") for k in range(-(-n // 8))]))
+
+
+def _no_splits() -> pd.DataFrame:
+    kinds = {"tree": "int32", "node": "int64", "feature": "int32", "threshold": "float64", "n": "int64"}
+    return pd.DataFrame({c: pd.Series(dtype=t) for c, t in kinds.items()})
+
+
+class _Tops:
+    """The splits so far, for finding the open node of a row in each of its trees."""
+
+    def __init__(self, splits: pd.DataFrame, n_trees: int):
+        splits = splits.sort_values(["tree", "node"], ignore_index=True)
+        self.n_trees = n_trees
+        self.feature, self.threshold = splits["feature"].to_numpy(), np.nan_to_num(splits["threshold"].to_numpy(dtype=float))
+        place = {pair: i for i, pair in enumerate(zip(splits["tree"].tolist(), splits["node"].tolist()))}
+        self.root = np.array([place.get((t, 1), -1) for t in range(n_trees)], np.int64)
+        self.child = np.array([[place.get((t, 2 * n + r), -1) for r in (0, 1)] for t, n in place], np.int64).reshape(-1, 2)
+
+    def open_nodes(self, x: np.ndarray, member: np.ndarray):
+        """Row, tree and node of every pair of a row and one of its trees that is in no leaf yet."""
+        row, tree = np.nonzero(member)
+        at, node = self.root[tree], np.ones(len(row), np.int64)
+        if not len(self.feature):
+            return row, tree, node
+        while True:
+            inner = np.flatnonzero((at >= 0) & (self.feature[at] >= 0))
+            if not len(inner):
+                break
+            k = at[inner]
+            right = (x[row[inner], self.feature[k]] > self.threshold[k]).astype(np.int64)
+            node[inner] = 2 * node[inner] + right
+            at[inner] = self.child[k, right]
+        left = at < 0
+        return row[left], tree[left], node[left]
+
+
+def _pieces(batches, tops: _Tops):
+    """Small pieces of a task's rows: the batch, x, and the open pairs (row, tree, node)."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1024):
+            part = batch.slice(k, 1024)
+            x = part.column("x").flatten().to_numpy().reshape(part.num_rows, -1)
+            packed = np.frombuffer(b"".join(part.column("member").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+            yield part, x, tops.open_nodes(x, np.unpackbits(packed, axis=1)[:, : tops.n_trees])
+
+
+def _open_rows(splits, n_trees: int):
+    """Copies of the rows for the nodes that are still open, each row once for each of its trees."""
+
+    def run(batches):
+        tops = _Tops(splits.value, n_trees)
+        for part, x, (row, tree, node) in _pieces(batches, tops):
+            for k in range(0, len(row), 16_384):
+                own = slice(k, k + 16_384)
+                taken = pa.array(row[own])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("block_id").take(taken), part.column("x").take(taken), pa.array(tree[own].astype(np.int32)), pa.array(node[own])], names=["block_id", "x", "tree", "node"])
+
+    return run
+
+
+def _node_bounds(splits, n_trees: int, width: int):
+    """Rows and bounds of the open nodes, summed up over each piece of a task's rows."""
+
+    def run(batches):
+        tops = _Tops(splits.value, n_trees)
+        for _, x, (row, tree, node) in _pieces(batches, tops):
+            if not len(row):
+                continue
+            order = np.lexsort((node, tree))
+            row, tree, node = row[order], tree[order], node[order]
+            cuts = np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (node[1:] != node[:-1])]))
+            lo, hi = (f.reduceat(x[row], cuts, axis=0) for f in (np.minimum, np.maximum))
+            columns = [pa.array(tree[cuts].astype(np.int32)), pa.array(node[cuts]), pa.array(np.diff(np.append(cuts, len(row))))]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(v[:, i]) for v in (lo, hi) for i in range(width)]], names=["tree", "node", "n", *_bound_names(width)])
+
+    return run
+
+
+def _bound_names(width: int) -> list:
+    return [f"{k}{i}" for k in ("lo", "hi") for i in range(width)]
+
+
+def _split_levels(rows: DataFrame, width: int, n_trees: int, limit: int, seed: int, local_rows: int) -> pd.DataFrame:
+    """Splits of all nodes above ``local_rows``, level by level; at most ``limit`` + 1 passes."""
+    spark, tops = rows.sparkSession, _no_splits()
+    schema = "tree int, node long, n long, " + ", ".join(f"{c} double" for c in _bound_names(width))
+    lows, highs = (_bound_names(width)[k * width :][:width] for k in (0, 1))
     while True:
-        sizes = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"))
-        large = checkpointed(sizes.filter(F.col("n") > local_rows))
-        if large.isEmpty():
-            return rows, tops
-        bounds = [f(F.col("x")[i]).alias(f"{f.__name__}{i}") for i in range(width) for f in (F.min, F.max)]
-        # Rows of a node are reduced to its bounds map-side; a level has few large nodes.
-        ranges = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), *bounds).filter(F.col("n") > local_rows)
-        lo, hi = (F.array(*[f"{k}{i}" for i in range(width)]) for k in ("min", "max"))
-        open_features = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.col("hi")[i] > F.col("lo")[i])
-        if level >= limit:
-            open_features = F.array().cast("array<int>")
-        pick = F.floor(draw(F.col("tree"), F.col("node"), seed, "feature") * F.size("open")).cast("int")
-        point = F.col("lo")[F.col("feature")] + draw(F.col("tree"), F.col("node"), seed, "threshold") * (
-            F.col("hi")[F.col("feature")] - F.col("lo")[F.col("feature")]
-        )
-        splits = (
-            ranges.select("tree", "node", "n", lo.alias("lo"), hi.alias("hi"))
-            .withColumn("open", open_features)
-            .withColumn("feature", F.when(F.size("open") > 0, F.col("open")[pick]).otherwise(-1))
-            .withColumn("threshold", F.when(F.col("feature") >= 0, point))
-            .select("tree", "node", "feature", "threshold", "n")
-        )
-        splits = checkpointed(splits)
-        tops.append(splits)
-        moved = lookup_join(rows, splits.drop("n"), ["tree", "node"])
-        right = (F.col("x")[F.col("feature")] > F.col("threshold")).cast("long")
-        child = F.when(F.col("feature") >= 0, F.col("node") * 2 + right).otherwise(F.col("node"))
-        moved = moved.filter(F.coalesce(F.col("feature"), F.lit(0)) >= 0).withColumn("node", child)
-        rows = checkpointed(moved.select("block_id", "x", "tree", "node"))
-        level += 1
+        bounds = rows.mapInArrow(_node_bounds(spark.sparkContext.broadcast(tops), n_trees, width), schema)
+        sums = [F.sum("n").alias("n"), *[F.min(c).alias(c) for c in lows], *[F.max(c).alias(c) for c in highs]]
+        # Only nodes above the bound are told, at most all rows' copies divided by it.
+        large = bounds.groupBy("tree", "node").agg(*sums).filter(F.col("n") > local_rows).toPandas()
+        if not len(large):
+            return tops
+        made = []
+        for tree, node, n, lo, hi in zip(large["tree"].tolist(), large["node"].tolist(), large["n"].tolist(), large[lows].to_numpy(), large[highs].to_numpy()):
+            open_features = np.flatnonzero(hi > lo) if node.bit_length() <= limit else []
+            f, t = -1, np.nan
+            if len(open_features):
+                f = int(open_features[int(draw(tree, node, seed, "feature") * len(open_features))])
+                t = lo[f] + draw(tree, node, seed, "threshold") * (hi[f] - lo[f])
+            made.append((tree, node, f, t, n))
+        found = pd.DataFrame(made, columns=tops.columns).astype(tops.dtypes.to_dict())
+        tops = pd.concat([tops, found], ignore_index=True) if len(tops) else found
 
 
 def _grow(limit: int, seed: int):
@@ -204,8 +288,10 @@ def raw_score(total_path, n_trees: int, sample_size: int):
     return 2.0 ** (-np.asarray(total_path) / n_trees / scale) - 0.5
 
 
-def forest_scorer(forest: Forest):
-    """Plain function matrix -> raw scores, for a forest within the broadcast bound."""
+def forest_scorer(forest: Forest, limit: int = BROADCAST_NODES):
+    """Plain function matrix -> raw scores, for a forest within the broadcast bound; a larger one is an error."""
+    if forest.nodes.count() > limit:
+        raise ValueError(f"a forest of more than {limit} nodes does not fit a task; score it with score_forest")
     return partial(_walk_and_score, Walker(forest.nodes.toPandas()), forest.sample_size)
 
 
@@ -216,57 +302,43 @@ def _walk_and_score(walker: Walker, sample_size: int, x: np.ndarray) -> np.ndarr
 def score_forest(rows: DataFrame, forest: Forest, name: str = "raw_score", limit: int = BROADCAST_NODES) -> DataFrame:
     """Add the raw anomaly score (higher = more anomalous).
 
-    Up to ``limit`` nodes the model is broadcast and rows never move. A larger model is
-    cut into chunks of trees that meet bounded groups of rows in a cogroup.
+    Rows never move. Up to ``limit`` nodes the model is broadcast as a whole; a larger one is
+    broadcast in chunks of trees, one pass over the stored rows after the other, each adding
+    its path lengths. Equal sums of paths are added in the order of the trees either way.
     """
     n_nodes = forest.nodes.count()
-    if n_nodes > limit:
-        return _score_in_chunks(rows, forest, name, n_nodes, limit)
-    shared = rows.sparkSession.sparkContext.broadcast(Walker(forest.nodes.toPandas()))
-    psi = forest.sample_size
+    n_trees = forest.nodes.agg(F.max("tree")).first()[0] + 1
+    per_chunk = max(1, min(n_trees, int(limit * n_trees / max(n_nodes, 1))))
+    names = [free(n, rows) for n in ("_x", "_path")]
+    x, path = names
+    current = vectors(rows, forest.columns, x).withColumn(path, F.lit(0.0))
+    for first in range(0, n_trees, per_chunk):
+        own = forest.nodes.filter((F.col("tree") >= first) & (F.col("tree") < first + per_chunk))
+        walk = _path_udf(rows.sparkSession.sparkContext.broadcast(Walker(own.toPandas())))
+        current = (stored(current) if first else current).withColumn(path, walk(x, path))
+    scale = max(float(average_path(forest.sample_size)), 1e-12)
+    raw = F.pow(F.lit(2.0), -F.col(path) / n_trees / scale) - 0.5
+    return current.withColumn(name, raw).drop(*names)
+
 
+def free(name: str, df: DataFrame) -> str:
+    """``name`` with underscores before it until it is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def _path_udf(shared):
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def walk(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         walker = shared.value
-        for x in batches:
+        for x, before in batches:
             pieces = [np.stack(x.iloc[i : i + 1024].to_list()) for i in range(0, len(x), 1024)]
-            total = np.concatenate([walker.total_path(p) for p in pieces]) if pieces else []
-            yield pd.Series(raw_score(total, len(walker.roots), psi))
-
-    return vectors(rows, forest.columns, "_x").withColumn(name, score("_x")).drop("_x")
+            total = np.concatenate([walker.total_path(p) for p in pieces]) if pieces else np.zeros(0)
+            yield before + total
 
-
-def _score_in_chunks(rows, forest, name, n_nodes, limit):
-    n_trees = forest.nodes.agg(F.max("tree")).first()[0] + 1
-    per_chunk = max(1, int(limit * n_trees / n_nodes))
-    chunks = math.ceil(n_trees / per_chunk)
-    groups = max(1, math.ceil(rows.count() / GROUP_ROWS))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = (
-        vectors(rows, forest.columns, "_x")
-        .select("block_id", "_x", every(chunks).alias("chunk"))
-        .withColumn("grp", F.pmod(F.xxhash64("block_id"), F.lit(groups)).cast("int"))
-    )
-    right = forest.nodes.withColumn("chunk", F.floor(F.col("tree") / per_chunk).cast("int"))
-    right = right.withColumn("grp", every(groups))
-
-    def walk(x: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-        if x.empty:
-            return pd.DataFrame({"block_id": [], "path": []})
-        walker = Walker(nodes)
-        parts = [np.stack(x["_x"].iloc[i : i + 1024].to_list()) for i in range(0, len(x), 1024)]
-        return pd.DataFrame({"block_id": x["block_id"], "path": np.concatenate([walker.total_path(p) for p in parts])})
-
-    paths = (
-        left.groupBy("chunk", "grp")
-        .cogroup(right.groupBy("chunk", "grp"))
-        .applyInPandas(walk, "block_id string, path double")
-        .groupBy("block_id")
-        .agg(F.sum("path").alias("_path"))
-    )
-    scale = max(float(average_path(forest.sample_size)), 1e-12)
-    raw = F.pow(F.lit(2.0), -F.col("_path") / n_trees / scale) - 0.5
-    return rows.join(paths.select("block_id", raw.alias(name)), "block_id")
+    return walk
 
 
 def forest_label(score: str = "raw_score") -> Column:

@@ -58,7 +58,8 @@ def test_samples_have_about_the_wanted_size_and_depth_is_limited(forest):
 
 
 def test_chunked_scoring_equals_broadcast_scoring(vectors, forest):
-    a, b = scores(vectors[0], forest), scores(vectors[0], forest, limit=500)
+    a, b, c = scores(vectors[0], forest), scores(vectors[0], forest, limit=4000), scores(vectors[0], forest, limit=1)
+    assert all(abs(a[k] - c[k]) < 1e-12 for k in a)
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-12
 
 
