@@ -118,6 +118,8 @@ NO_TEMPLATE = "(template text unavailable)"
 # Attribution.
 BACKGROUND_ROWS = 60
 NORMAL_BACKGROUND_ROWS = 50
+AE_COALITIONS = 120
+MORE_COALITIONS = 2048  # besides two for each feature
 TOP_ABSOLUTE = 10
 TOP_SIGNED = 5
 TOP_WATERFALL = 8

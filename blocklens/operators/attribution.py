@@ -1,11 +1,15 @@
 """Feature attribution of detector scores for many alerts, and reports on it.
 
-Contributions are Shapley values estimated by antithetic permutation sampling
-(Strumbelj and Kononenko, 2014) against a small background sample.
+Contributions are Shapley values against a small background sample: by default the solution of
+a least-squares problem over coalitions of features with the Shapley kernel's weights
+(Lundberg and Lee, 2017), or by antithetic permutation sampling (Strumbelj and Kononenko, 2014).
 """
 
+import math
+
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -42,25 +46,95 @@ def _contributions(score: Callable, base_rows: np.ndarray, x: np.ndarray, orders
     return phi / len(orders), means[0], means[-1]
 
 
-def attribute(alerts: DataFrame, reference: DataFrame, columns, score: Callable, model: str,
-              pairs: int = 1, seed: int = C.SEED, n: int = 1000) -> DataFrame:
+def coalitions(d: int, n: int, seed: int = C.SEED):
+    """About ``n`` coalitions of ``d`` features (rows of zeros and ones) and their weights.
+
+    A size s of all non-trivial ones weighs (d - 1) / (s (d - s)). From the smallest and
+    largest sizes inwards, sizes are taken in full, with their complements, while that fits
+    ``n``; the rest is drawn in complementary pairs and shares the weight of its sizes. With
+    n >= 2^d - 2 all coalitions are there and the values are exact.
+    """
+    if d < 2:
+        return np.zeros((0, d)), np.zeros(0)
+    mass = {s: (d - 1) / (s * (d - s)) * (1 if 2 * s == d else 2) for s in range(1, d // 2 + 1)}
+    rows, weights, left, sizes = [], [], n, list(mass)
+    while sizes:
+        s = sizes[0]
+        both = math.comb(d, s) * (1 if 2 * s == d else 2)
+        if both > left:
+            break
+        for chosen in combinations(range(d), s):
+            row = np.zeros(d)
+            row[list(chosen)] = 1
+            rows += [row] if 2 * s == d else [row, 1 - row]
+        weights += [mass[s] / both] * both
+        left -= both
+        sizes.pop(0)
+    if sizes and left >= 2:
+        rng = np.random.default_rng(seed)
+        share = np.array([mass[s] for s in sizes])
+        found = {}
+        for s in rng.choice(sizes, left // 2, p=share / share.sum()):
+            row = np.zeros(d)
+            row[rng.permutation(d)[:s]] = 1
+            for r in (row, 1 - row):
+                found[r.tobytes()] = found.get(r.tobytes(), 0) + 1
+        rows += [np.frombuffer(k) for k in found]
+        times = np.array(list(found.values()), float)
+        weights += list(share.sum() * times / times.sum())
+    return np.array(rows).reshape(-1, d), np.array(weights)
+
+
+def kernel_solver(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The matrix from the coalitions' values to all contributions but the last, whose value follows from their sum."""
+    a = z[:, :-1] - z[:, -1:]
+    root = np.sqrt(w)[:, None]
+    return np.linalg.pinv(a * root) * root.T
+
+
+def _kernel_contributions(score: Callable, base_rows: np.ndarray, x: np.ndarray, z: np.ndarray, solver: np.ndarray):
+    """Contributions that fit the mean scores of all coalitions best and add up to the score exactly."""
+    d, m = len(x), len(base_rows)
+    base, f_x = float(score(base_rows).mean()), float(score(x[None])[0])
+    if d < 2:
+        return np.full(d, f_x - base), base, f_x
+    values = np.concatenate([
+        score((part[:, None, :] * x + (1 - part[:, None, :]) * base_rows).reshape(-1, d)).reshape(len(part), m).mean(axis=1)
+        for part in np.array_split(z, max(1, len(z) * m * d >> 22))])
+    phi = solver @ (values - base - z[:, -1] * (f_x - base))
+    return np.append(phi, f_x - base - phi.sum()), base, f_x
+
+
+def attribute(alerts: DataFrame, reference: DataFrame, columns, score: Callable, model: str, method: str = "kernel",
+              n_coalitions: int | None = None, pairs: int = 1, seed: int = C.SEED, max_reference: int = 1000) -> DataFrame:
     """Long table (block_id, model, feature, value, phi, base, f_x), positive = towards anomaly.
 
-    ``score`` maps a matrix to scores. Alerts stay in their partitions; the scorer and the
-    small background sample (``n`` rows of ``reference``, those with the smallest hash) are broadcast. base + sum(phi) = f_x per block.
+    ``score`` maps a matrix to scores. ``method`` is "kernel", with about ``n_coalitions``
+    coalitions (2048 and two for each feature unless given) that are the same for all alerts,
+    so their system is solved once, or
+    "permutation" with ``pairs`` pairs of orders. Alerts stay in their partitions; the scorer
+    and the rows of ``reference`` are broadcast: more than ``max_reference`` of them are an
+    error (see ``background``). base + sum(phi) = f_x per block.
     """
     columns = list(columns)
-    rows = vectors(background(reference, n, seed), columns).select("x").collect()
-    base_rows = np.array([r.x for r in rows])
-    rng = np.random.default_rng(seed)
-    orders = np.array([o for _ in range(pairs) for p in [rng.permutation(len(columns))] for o in (p, p[::-1])])
-    shared = alerts.sparkSession.sparkContext.broadcast((score, base_rows, orders))
+    rows = vectors(reference, columns).select("block_id", "x").limit(max_reference + 1).collect()
+    if not 0 < len(rows) <= max_reference:
+        raise ValueError(f"the background needs 1 to {max_reference} rows; attribution.background() draws a sample")
+    base_rows = np.array([r.x for r in sorted(rows, key=lambda r: r.block_id)])
+    if method == "kernel":
+        z, w = coalitions(len(columns), n_coalitions or 2 * len(columns) + C.MORE_COALITIONS, seed)
+        explain_one, options = _kernel_contributions, (z, kernel_solver(z, w) if len(columns) > 1 else None)
+    else:
+        rng = np.random.default_rng(seed)
+        orders = np.array([o for _ in range(pairs) for p in [rng.permutation(len(columns))] for o in (p, p[::-1])])
+        explain_one, options = _contributions, (orders,)
+    shared = alerts.sparkSession.sparkContext.broadcast((score, base_rows, options))
 
     @F.pandas_udf("phi array<double>, base double, f_x double")
     def explain(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer, base, permutations = shared.value
+        scorer, base, more = shared.value
         for batch in batches:
-            done = [_contributions(scorer, base, np.asarray(x), permutations) for x in batch]
+            done = [explain_one(scorer, base, np.asarray(x), *more) for x in batch]
             yield pd.DataFrame(
                 {"phi": [p for p, _, _ in done], "base": [b for _, b, _ in done], "f_x": [f for _, _, f in done]}
             )
@@ -75,7 +149,7 @@ def attribute(alerts: DataFrame, reference: DataFrame, columns, score: Callable,
 
 def attribute_autoencoder(alerts: DataFrame, reference: DataFrame, model: Autoencoder, **options) -> DataFrame:
     score = partial(squared_error, flat=model.weights, shapes=model.shapes)
-    return attribute(alerts, reference, model.columns, score, "autoencoder", **options)
+    return attribute(alerts, reference, model.columns, score, "autoencoder", **{"n_coalitions": C.AE_COALITIONS} | options)
 
 
 def attribute_forest(alerts: DataFrame, reference: DataFrame, forest: Forest, **options) -> DataFrame:

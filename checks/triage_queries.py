@@ -286,7 +286,32 @@ def h2(spark, sf_dir):
 @check("h3_attr_if")
 def h3(spark, sf_dir):
     rows = E.local_scaled(spark, sf_dir)
-    return attribution.attribute_forest(rows, attribution.background(rows), E.forest(spark, sf_dir))
+    return attribution.attribute_forest(rows, attribution.background(rows), E.forest(spark, sf_dir), n_coalitions=120)
+
+
+# A score that is a sum over features has contributions that can be told in closed form: what
+# the feature adds at the alert's value less what it adds on average over the background.
+_DISTANCE = """
+SELECT block_id, feature, round(part - mean, 9) + 0.0 AS phi, round(sum(mean) OVER (PARTITION BY block_id), 9) AS base,
+       round(sum(part) OVER (PARTITION BY block_id), 9) AS f_x FROM (
+  SELECT concat('vec_', CAST(vec_id AS VARCHAR)) AS block_id, concat('f', lpad(CAST(i - 1 AS VARCHAR), 2, '0')) AS feature, i, embedding[i] * embedding[i] / 64 AS part
+  FROM embeddings_double, range(1, 65) r(i)) JOIN (
+  SELECT i, avg(embedding[i] * embedding[i] / 64) AS mean FROM (SELECT embedding FROM embeddings_double
+    ORDER BY md5(concat('vec_', CAST(vec_id AS VARCHAR), '|42')), concat('vec_', CAST(vec_id AS VARCHAR)) LIMIT 60), range(1, 65) r(i) GROUP BY i) USING (i)"""
+cte("embeddings_double", "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings")
+
+
+def mean_square(x):
+    return (x * x).mean(axis=1)
+
+
+@check("h2_kernel_values", _DISTANCE)
+def h2_kernel(spark, sf_dir):
+    """Contributions to the mean square of every vector, solved from 190 weighted coalitions."""
+    rows = X.vectors(spark, sf_dir)
+    columns = [c for c in rows.columns if c.startswith("f")]
+    found = attribution.attribute(rows, attribution.background(rows), columns, mean_square, "distance", n_coalitions=190)
+    return found.select("block_id", "feature", (F.round("phi", 9) + 0.0).alias("phi"), F.round("base", 9).alias("base"), F.round("f_x", 9).alias("f_x"))
 
 
 _ORDER = "round(abs(phi), 9) DESC, feature"
