@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from blocklens.operators import features, templates
@@ -77,6 +78,37 @@ def test_windowed_stream_counts(spark, corpus, result):
     assert got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty()
 
 
+@pytest.mark.parametrize("files", [None, 1])
+def test_scored_stream_equals_batch(spark, corpus, result, tmp_path, files):
+    """Features, scores and severities after all micro-batches are those of the batch run; lines of a block come in any order."""
+    models = score.load_models(spark, str(corpus / "out/models"))
+    lines = live.stream_lines(spark, str(corpus / "logs"), max_files=files)
+    query = live.score_stream(live.stream_events(lines, result["dictionary"]), models, str(tmp_path / "scores"), str(tmp_path / "state"))
+    query.awaitTermination(300)
+    assert query.exception() is None
+    assert len(list((tmp_path / "scores").iterdir())) >= (3 if files else 1)
+    got = {r.block_id: r for r in live.latest_scores(spark, str(tmp_path / "scores")).collect()}
+    alerts = {r.block_id: r for r in result["alerts"].collect()}
+    assert got.keys() == alerts.keys()
+    for block, r in got.items():
+        a = alerts[block]
+        assert (r.severity, r.fusion_prediction, r.total_log_events, r.time_duration_seconds) == (a.severity, a.fusion_prediction, a.total_log_events, a.time_duration_seconds)
+        assert r.fusion_score == pytest.approx(a.fusion_score, abs=1e-9)
+
+
+def test_stream_features_are_exact(spark, corpus, result, tmp_path):
+    lines = live.stream_lines(spark, str(corpus / "logs"), max_files=1)
+    updates = live.block_features(live.stream_events(lines, result["dictionary"]))
+    query = updates.writeStream.outputMode("update").format("memory").queryName("live_features").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    ranked = Window.partitionBy("block_id").orderBy(F.desc("total_log_events"))  # counts only grow
+    last = spark.table("live_features").withColumn("_r", F.row_number().over(ranked)).filter("_r = 1").drop("_r")
+    columns = features.feature_columns(result["matrix"])
+    got = {r.block_id: r.asDict() for r in live.as_matrix(last, columns).collect()}
+    for r in result["matrix"].collect():
+        assert {c: got[r.block_id][c] for c in columns} == pytest.approx({c: r[c] for c in columns})
+
+
 def test_dictionary_of_a_run_can_be_resumed(spark, corpus, result):
     parsed = result["events"].select("line_id", "content")
     again = templates.mine_templates(parsed, result["dictionary"])
