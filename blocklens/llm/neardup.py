@@ -9,10 +9,13 @@ differs: at most 2 (1 - s**ROWS)**SIDE, 4e-4 at 0.8 and 2e-5 at 0.85.
 Equal sets are one node. Nodes that share a table are confirmed on their full sets. Each
 node is first held against the node it shares most tables with as that table's smallest,
 then the two of every table of two that still lie in different components. Larger tables
-with several components are worked on in turns and at last in full, so every pair that
-shares a table is confirmed, refused or already connected.
+with several components are worked on in turns, and at last every pair of different
+components that shares a table is met once, under the first hash of the first collection
+that it shares, so every such pair is confirmed, refused or already connected.
 """
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +30,8 @@ FILTER_BITS = 1 << 23
 #: A turn that leaves more than this share of the nodes outside is the last one.
 SLOW = 0.85
 HUBS = 4
+#: 64-bit words of a set's parities.
+WORDS = 16
 #: A shingle of more nodes than this is a common one.
 RARE = 8
 #: Text bytes worked on at a time.
@@ -252,17 +257,23 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def outside(inside: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """(key, nid, comp, main, hubs): nodes outside their table's main component, and some members of that.
+    """(key, nid, h0, h1, ...): nodes outside their table's main component, and some members of that.
 
     The main component has most nodes of the table, the hubs are its members with the smallest
     of ``HUBS`` hashes, which are others in each turn.
     """
     tagged = inside.join(labels, "nid")
-    by_comp = tagged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + k), "nid").alias("h"), "nid")).alias(f"h{k}") for k in range(HUBS)])
-    by_comp = by_comp.withColumn("hubs", F.array_distinct(F.array(*[f"h{k}.nid" for k in range(HUBS)])))
-    tables = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp", "hubs")).alias("top"))
-    tables = tables.filter("comps > 1").select("key", F.col("top.comp").alias("main"), F.col("top.hubs").alias("hubs"))
-    return checkpointed(tagged.join(tables, "key").filter("comp <> main").select("key", "nid", "comp", "main", "hubs"))
+    hubs = [f"h{k}" for k in range(HUBS)]
+    by_comp = tagged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + k), "nid").alias("h"), "nid")).alias(h) for k, h in enumerate(hubs)])
+    tables = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp", *[F.col(h).nid.alias(h) for h in hubs])).alias("top"))
+    tables = tables.filter("comps > 1").select("key", F.col("top.comp").alias("main"), *[f"top.{h}" for h in hubs])
+    return checkpointed(tagged.join(tables, "key").filter("comp <> main").select("key", "nid", *hubs))
+
+
+def release(df: DataFrame) -> None:
+    """Let Spark remove shuffle files and checkpoints of turns that are over."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -271,10 +282,10 @@ def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, held: Data
     Tables with two components or more are left over. The two nodes of a table of two are held
     against each other, unless they are one of the pairs (a, b) of ``held``, which were before.
     In turns, each node outside a larger table's main component is held
-    against the hubs it shares most tables with, and what is confirmed becomes one component,
+    against hubs it shares many tables with, and what is confirmed becomes one component,
     so that large groups shrink to one. When a turn changes little, each node outside is held
-    against every node of other components in its tables that their counts of common
-    shingles do not rule out (``possible_pairs``).
+    against every node of other components that shares a table with it and that their counts
+    of common shingles do not rule out (``possible_pairs``).
     """
     keys = table_keys(nodes.join(labels, "nid"))
     by_comp = keys.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("nid"))
@@ -291,15 +302,14 @@ def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, held: Data
             return labels if turn else joined(labels, checkpointed(confirmed(twos, sets, percent)))
         if before is not None and left > SLOW * before:
             break
-        shared = rest.select("nid", F.explode("hubs").alias("hub")).groupBy("nid", "hub").agg(F.count(F.lit(1)).alias("n"))
-        # At most HUBS x SIDE x SIDE hubs for a node.
-        most = Window.partitionBy("nid").orderBy(F.desc("n"), "hub")
-        best = shared.withColumn("r", F.row_number().over(most)).filter(F.col("r") <= HUBS)
-        best = best.select(F.col("hub").alias("a"), F.col("nid").alias("b"))
+        # Of each kind of hub the one that a node shares most tables with: HUBS pairs for a node.
+        most = rest.groupBy("nid").agg(*[F.mode(f"h{k}").alias(f"h{k}") for k in range(HUBS)])
+        best = most.select(F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)]))).alias("a"), F.col("nid").alias("b"))
         best = best if turn else best.union(twos).distinct()
         labels = joined(labels, checkpointed(confirmed(best, sets, percent)))
         before, turn = left, turn + 1
-    pairs = checkpointed(possible_pairs(rest, inside, labels, sets, percent))
+        release(nodes)
+    pairs = checkpointed(possible_pairs(nodes, rest, inside, labels, sets, percent))
     return joined(labels, checkpointed(confirmed(pairs, sets, percent)))
 
 
@@ -317,21 +327,64 @@ def items_of(sets: DataFrame) -> DataFrame:
     return sets.select("nid", "full").mapInArrow(lean(run), "nid long, item long")
 
 
-def possible_pairs(rest: DataFrame, inside: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def parities(sets: DataFrame) -> DataFrame:
+    """(nid, p0, p1, ...): for every set WORDS x 64 bits, each the parity of how many shingles hash to it.
+
+    One shingle more or less flips one bit, so two sets differ in at least as many shingles as
+    their parities differ in bits: an exact bound, whatever the sets.
+    """
+    names = ["nid", *[f"p{k}" for k in range(WORDS)]]
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                full = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("full")]
+                row = np.repeat(np.arange(len(full)), [len(x) for x in full])
+                place = (mixed(np.concatenate(full), 9) % np.uint64(64 * WORDS)).astype(np.int64)
+                odd = (np.bincount(row * 64 * WORDS + place, minlength=len(full) * 64 * WORDS) & 1).astype(np.uint8)
+                words = np.packbits(odd.reshape(len(full), -1), axis=1, bitorder="little").view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("nid"), *[pa.array(words[:, k].copy()) for k in range(WORDS)]], names=names)
+
+    return sets.select("nid", "full").mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
+
+
+def first_hashes(nodes: DataFrame, name: str, keep, side=SIDE) -> DataFrame:
+    """(i, h, and for ``name``: the hashes s0, s1, ... and the columns ``keep``): a row for each hash of the first collection of every node."""
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
+    names = ["i", "h", *[f"{name}_s{k}" for k in range(2 * side)], *[f"{name}_{c}" for c in keep]]
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.int64).reshape(-1, 2 * side)
+                place = pa.array(np.repeat(np.arange(part.num_rows), side))
+                hashes = [pa.array(np.repeat(sig[:, k], side)) for k in range(2 * side)]
+                i = pa.array(np.tile(np.arange(side, dtype=np.int32), part.num_rows))
+                yield pa.RecordBatch.from_arrays([i, pa.array(sig[:, :side].ravel()), *hashes, *[part.column(c).take(place) for c in keep]], names=names)
+
+    types = ["int", "long", *["long"] * (2 * side), *[kinds[c] for c in keep]]
+    return nodes.select("sig", *keep).mapInArrow(lean(run), ", ".join(f"{n} {t}" for n, t in zip(names, types)))
+
+
+def possible_pairs(nodes: DataFrame, rest: DataFrame, inside: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of an outside node and one of another component that may be linked, and no others.
 
     Shingles of more than ``RARE`` of the nodes are common. Two nodes either share a rare
     shingle, which few nodes do, or have nothing but common ones in common: then the smaller
     count of common shingles bounds their intersection (plus the rare ones they share), and
-    most pairs fall short of the threshold by these counts alone. No pair that could be linked is left out.
+    most pairs fall short of the threshold by these counts alone. Others do by the number of
+    shingles in which they differ at least (``parities``). No pair that could be linked is left out.
     """
+    sigs = nodes.select("nid", "sig")
     near = inside.join(rest.select("key").distinct(), "key")
-    nodes = checkpointed(near.select("nid").distinct().join(labels, "nid"))
-    items = checkpointed(items_of(sets.join(nodes.select("nid"), "nid", "left_semi")))
+    there = checkpointed(near.select("nid").distinct().join(labels, "nid"))
+    items = checkpointed(items_of(sets.join(there.select("nid"), "nid", "left_semi")))
     counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     rare = checkpointed(items.join(counts.filter(F.col("n") <= RARE), "item"))
     sizes = items.groupBy("nid").agg(F.count(F.lit(1)).alias("size")).join(rare.groupBy("nid").agg(F.count(F.lit(1)).alias("few")), "nid", "left")
-    sizes = (nodes.join(sizes, "nid").select("nid", "comp", "size", (F.col("size") - F.coalesce("few", F.lit(0))).alias("common")))
+    sizes = (there.join(sizes, "nid").select("nid", "comp", "size", (F.col("size") - F.coalesce("few", F.lit(0))).alias("common")))
     out = rest.select("nid").distinct().withColumn("out", F.lit(True))
     sizes = checkpointed(sizes.join(out, "nid", "left").withColumn("out", F.coalesce("out", F.lit(False))))
 
@@ -349,13 +402,23 @@ def possible_pairs(rest: DataFrame, inside: DataFrame, labels: DataFrame, sets:
     met = x.join(side(shared, "y", "item"), "item").filter("x_comp <> y_comp AND (x_nid < y_nid OR NOT y_out)")
     met = met.groupBy(*[f"{k}_{c}" for k in "xy" for c in ("nid", "size", "common")]).agg(F.count(F.lit(1)).alias("few"))
     by_item = met.filter(enough(F.col("few")))
-    # Sharing a table, and common shingles enough for the threshold.
-    x = side(rest.select("key", "nid", "main").join(sizes, "nid"), "x", "key", "main")
-    y = side(near.join(sizes, "nid"), "y", "key")
-    apart = (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("main")) | (F.col("x_nid") < F.col("y_nid")))
-    by_key = x.join(y, (x["key"] == y["key"]) & apart & enough(F.lit(0)))
+    # Sharing a table, and common shingles enough for the threshold. Two nodes share a table if
+    # they share a hash of each collection; they meet under the first of the first collection, once.
+    bits = parities(sets.join(there.select("nid"), "nid", "left_semi"))
+    held = checkpointed(sizes.join(sigs, "nid").join(bits, "nid"))
+    keep = ["nid", "comp", "size", "common", "out", *[f"p{k}" for k in range(WORDS)]]
+    x, y = first_hashes(held.filter("out"), "x", keep), first_hashes(held, "y", keep)
+    same = lambda k: F.col(f"x_s{k}") == F.col(f"y_s{k}")
+    fresh, second = F.lit(True), F.lit(False)
+    for k in range(SIDE):
+        fresh, second = fresh & ((x["i"] <= k) | ~same(k)), second | same(SIDE + k)
+    apart = (F.col("x_comp") != F.col("y_comp")) & ((F.col("x_nid") < F.col("y_nid")) | ~F.col("y_out"))
+    differ = sum((F.bit_count(F.col(f"x_p{k}").bitwiseXOR(F.col(f"y_p{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("x_p0").bitwiseXOR(F.col("y_p0"))))
+    # At the threshold two sets differ in (100 - percent) / (100 + percent) of the sum of their sizes.
+    close = (100 + percent) * differ <= (100 - percent) * (F.col("x_size") + F.col("y_size"))
+    by_hash = x.join(y, (x["i"] == y["i"]) & (x["h"] == y["h"]) & apart & enough(F.lit(0)) & close & fresh & second)
     ends = [F.least("x_nid", "y_nid").alias("a"), F.greatest("x_nid", "y_nid").alias("b")]
-    return by_item.select(*ends).union(by_key.select(*ends)).distinct()
+    return by_item.select(*ends).union(by_hash.select(*ends)).distinct()
 
 
 def group(df: DataFrame, id_col="doc_id", text="text", width=5, percent=80) -> DataFrame:
