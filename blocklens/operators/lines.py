@@ -61,3 +61,13 @@ def parse_report(lines: DataFrame, dictionary: DataFrame, parsed: DataFrame | No
     """Parse counts plus the number of templates."""
     templates = dictionary.agg(F.count(F.lit(1)).alias("unique_template_count"))
     return parse_counts(lines, parsed).crossJoin(F.broadcast(templates))
+
+
+def full_parse_report(report: DataFrame, top: DataFrame) -> DataFrame:
+    """``parse_report`` with the most frequent templates (``top``, a short list) and warnings."""
+    entry = F.struct("event_id", "template", F.col("n_lines").alias("occurrence_count"))
+    order = F.struct((-F.col("n_lines")).alias("n"), "first_line", entry.alias("entry"))
+    listed = top.agg(F.transform(F.array_sort(F.collect_list(order)), lambda r: r["entry"]).alias("most_frequent_templates"))
+    failed = F.col("total_lines_failed")
+    lost = F.when(failed > 0, F.concat(failed.cast("string"), F.lit(" line(s) have no valid header and are left out")))
+    return report.crossJoin(F.broadcast(listed)).withColumn("warnings", F.array_compact(F.array(lost)))

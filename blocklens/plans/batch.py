@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from blocklens import config as C
 from blocklens.functions.scoring import decide, normalise_with, score_bounds
 from blocklens.operators import (
+    attribution,
     autoencoder,
     calibration,
     features,
@@ -17,6 +18,7 @@ from blocklens.operators import (
     iforest,
     lines,
     metrics,
+    reports,
     selection,
     splits,
     templates,
@@ -52,8 +54,9 @@ def parse(raw: DataFrame, out: str, dictionary: DataFrame | None = None):
     events = templates.assign_events(parsed, mined)
     sinks.write_parsed(events, f"{out}/parsed_logs")
     found = _stored(mined.dictionary, f"{out}/models/dictionary")
-    sinks.write_report(lines.parse_report(numbered, found, parsed), f"{out}/reports/parsing")
     events = spark.read.parquet(f"{out}/parsed_logs")
+    report = lines.parse_report(numbered, found, parsed)
+    sinks.write_report(lines.full_parse_report(report, templates.top_templates(events, found)), f"{out}/reports/parsing")
     lookup.write_lookup(events, f"{out}/block_lookup")
     return events, found
 
@@ -112,6 +115,48 @@ def score_reconstruction(matrix: DataFrame, parts: DataFrame, out: str, fit_on:
     return _stored(autoencoder.score_autoencoder(scaled, model, bounds), f"{out}/ae_predictions")
 
 
+def score_baseline(matrix: DataFrame, parts: DataFrame, out: str, **settings) -> DataFrame:
+    """The plain forest: all features as scaled for the autoencoder, its own cut-off."""
+    columns = features.feature_columns(matrix)
+    scaled = matrix.sparkSession.read.parquet(f"{out}/features_scaled")
+    in_train = parts.filter(F.col("split") == "train").select("block_id")
+    model = iforest.fit_forest(scaled.join(in_train, "block_id", "left_semi"), columns, **settings)
+    sinks.save_model({f"baseline_{k}": t for k, t in model.tables().items()}, f"{out}/models")
+    scored = iforest.score_forest(scaled, model).select("block_id", "raw_score")
+    return _stored(scored.withColumn("baseline_prediction", iforest.forest_label()), f"{out}/baseline_predictions")
+
+
+def report_detectors(isolation, reconstruction, fused, baseline, parts: DataFrame, out: str, history: str, run: str) -> DataFrame:
+    """Evaluation reports of all detectors on the untouched slices: JSON of this run, and a place in the history."""
+    tables = [("isolation_forest", isolation, "if_score", "if_prediction"), ("autoencoder", reconstruction, "ae_score", "ae_prediction"),
+              ("fusion", fused, "fusion_score", "fusion_prediction"), ("baseline_forest", baseline, "raw_score", "baseline_prediction")]
+    for name, table, score, prediction in tables:
+        rows = table.select("block_id", score, prediction).join(parts.select("block_id", "label", "split"), "block_id")
+        report = _stored(reports.evaluation_report(rows, name, score, prediction), f"{out}/reports/tables/{name}")
+        sinks.write_table(report, f"{out}/reports/evaluation_{name}", "json")
+        reports.add_to_history(report, history, run)
+    return reports.read_history(parts.sparkSession, history)
+
+
+def explain(alerts: DataFrame, matrix: DataFrame, dictionary: DataFrame, out: str) -> DataFrame:
+    """Why every block that is predicted anomalous is one: contributions to both scores and a row of findings per block."""
+    spark = matrix.sparkSession
+    tables = sinks.load_tables(spark, f"{out}/models", ["forest_nodes", "forest_meta", "forest_scaler", "ae_layers", "ae_meta", "ae_history"])
+    forest, network = iforest.Forest.from_tables(tables), autoencoder.Autoencoder.from_tables(tables)
+    chosen = alerts.filter(F.col("fusion_prediction") == C.ANOMALY).select("block_id")
+    local = features.scale_min_max(matrix, tables["forest_scaler"], forest.columns)
+    scaled = spark.read.parquet(f"{out}/features_scaled")
+    pick = lambda rows: rows.join(chosen, "block_id", "left_semi")
+    found = attribution.attribute_autoencoder(pick(scaled), attribution.background(scaled), network)
+    found = found.unionByName(attribution.attribute_forest(pick(local), attribution.background(local), forest, n_coalitions=C.AE_COALITIONS))
+    found = _stored(found, f"{out}/attributions")
+    steps = F.array_sort(F.collect_list(F.struct("position", "step", F.round("amount", 6).alias("amount")))).alias("waterfall")
+    story = attribution.waterfall(found).groupBy("block_id", "model").agg(steps)
+    top = attribution.top_positive(attribution.labelled(found, dictionary)).select("block_id", "model", F.col("feature").alias("strongest"), F.round("phi", 6).alias("strongest_phi"))
+    sinks.write_table(story.join(top, ["block_id", "model"]), f"{out}/reports/alerts", "json")
+    return found
+
+
 def combine(isolation: DataFrame, reconstruction: DataFrame, parts: DataFrame, out: str) -> DataFrame:
     """Calibrated, fused scores and decisions for every block."""
     joined = fusion.join_scores(
@@ -143,8 +188,13 @@ def evaluate(fused: DataFrame, isolation: DataFrame, reconstruction: DataFrame,
     return _stored(table, f"{out}/evaluation")
 
 
-def run(spark: SparkSession, log_path: str, label_path: str, out: str, forest=None, network=None) -> dict:
-    """Run everything; returns the main tables. ``forest`` and ``network`` override model settings."""
+def run(spark: SparkSession, log_path: str, label_path: str, out: str, forest=None, network=None, baseline=None,
+        history: str | None = None, name: str = "run") -> dict:
+    """Run everything; returns the main tables. ``forest``, ``network`` and ``baseline`` override model settings.
+
+    Evaluation reports go to ``out``/reports and, as run ``name``, to the table ``history``
+    (by default below ``out``), in which runs can be compared.
+    """
     ship_package(spark)
     raw = logs.read_lines(spark, log_path)
     collect_quality(raw, out)
@@ -155,9 +205,12 @@ def run(spark: SparkSession, log_path: str, label_path: str, out: str, forest=No
     parts = _stored(splits.require_no_leakage(parts), f"{out}/splits")
     isolation = score_isolation(matrix, parts, out, **(forest or C.FOREST))
     reconstruction = score_reconstruction(matrix, parts, out, **(network or {}))
+    plain = score_baseline(matrix, parts, out, **(baseline or C.BASELINE_FOREST))
     fused = combine(isolation, reconstruction, parts, out)
     evaluation = evaluate(fused, isolation, reconstruction, parts, out)
+    reported = report_detectors(isolation, reconstruction, fused, plain, parts, out, history or f"{out}/reports/history", name)
     alerts = triage.with_severity(triage.master_table(fused, labels, matrix))
     alerts = _stored(alerts, f"{out}/alerts")
-    return {"events": events, "dictionary": dictionary, "matrix": matrix, "splits": parts,
-            "fused": fused, "evaluation": evaluation, "alerts": alerts}
+    attributions = explain(alerts, matrix, dictionary, out)
+    return {"events": events, "dictionary": dictionary, "matrix": matrix, "splits": parts, "fused": fused, "evaluation": evaluation,
+            "reports": reported, "alerts": alerts, "attributions": attributions}

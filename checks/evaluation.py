@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from blocklens import config as C
 from blocklens.functions.scoring import decide, encode_label
-from blocklens.operators import calibration, fusion, metrics, splits
+from blocklens.functions.scale import checkpointed
+from blocklens.operators import calibration, fusion, metrics, reports, splits
 from blocklens.sources import labels
 from checks import detectors as E
 from checks import fixtures as X
-from checks.registry import check, cte
+from checks.registry import check, cte, shared
+from checks.sources_and_lines import folder
 
 
 @check("f1_unmatched", """
@@ -185,3 +187,74 @@ FROM score_pairs, (SELECT avg({c}) AS m FROM score_pairs)""" for c in ("if_score
 def f16(spark, sf_dir):
     rows = metrics.score_scale(X.pairs(spark, sf_dir), ["if_score", "ae_score"])
     return rows.select("model", "n", "lo", "hi", *[F.round(c, 6).alias(c) for c in ("mean", "std", "skewness", "p50", "p90", "p99")])
+
+
+# Evaluation reports: two detectors on three slices.
+cte("report_rows", """
+SELECT block_id, label, 'isolation_forest' AS model, if_score AS score, CASE WHEN if_score >= 0.5 THEN 'Anomaly' ELSE 'Normal' END AS prediction, split
+FROM score_pairs JOIN (SELECT block_id, split FROM pair_splits) USING (block_id)
+UNION ALL SELECT block_id, label, 'autoencoder', ae_score, CASE WHEN ae_score > 0.7 THEN 'Anomaly' ELSE 'Normal' END, split
+FROM score_pairs JOIN (SELECT block_id, split FROM pair_splits) USING (block_id)""")
+cte("report_slices", """
+SELECT *, split AS slice FROM report_rows WHERE split <> 'train' UNION ALL SELECT *, 'holdout' FROM report_rows WHERE split <> 'train'""")
+cte("report_curve", """
+SELECT model, slice, score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY model, slice) AS total_pos, sum(neg) OVER (PARTITION BY model, slice) AS total_neg
+FROM (SELECT model, slice, score, count(*) FILTER (WHERE label = 'Anomaly') AS pos, count(*) FILTER (WHERE label = 'Normal') AS neg FROM report_slices GROUP BY ALL)
+WINDOW w AS (PARTITION BY model, slice ORDER BY score DESC)""")
+cte("report_areas", """
+SELECT model, slice, round(sum(pos * (total_neg - fp + 0.5 * neg)) / any_value(total_pos * total_neg), 6) AS roc_auc,
+       round(sum(pos / total_pos * (tp / (tp + fp))), 6) AS pr_auc FROM report_curve GROUP BY model, slice""")
+cte("report_best", """
+SELECT model, score AS threshold FROM report_curve WHERE slice = 'validation'
+QUALIFY row_number() OVER (PARTITION BY model ORDER BY CAST(2 * tp AS DOUBLE) / (2 * tp + (total_pos - tp) + fp) DESC, score) = 1""")
+
+
+def _report_counts(prefix: str, predicted: str) -> str:
+    hit = f"({predicted})"
+    tn, fp, fn, tp = (f"count(*) FILTER (WHERE {'NOT ' * (p == 0)}{hit} AND label = '{y}')" for y, p in (("Normal", 0), ("Normal", 1), ("Anomaly", 0), ("Anomaly", 1)))
+    ratio = lambda a, b: f"coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0)"
+    values = {"tn": tn, "fp": fp, "fn": fn, "tp": tp, "accuracy": f"round({ratio(f'({tp} + {tn})', 'count(*)')}, 6)", "precision": f"round({ratio(tp, f'({tp} + {fp})')}, 6)",
+              "recall": f"round({ratio(tp, f'({tp} + {fn})')}, 6)", "f1_score": f"round({ratio(f'2 * {tp}', f'(2 * {tp} + {fp} + {fn})')}, 6)", "false_positive_rate": f"round({ratio(fp, f'({fp} + {tn})')}, 6)"}
+    return ", ".join(f"{v} AS {prefix}{k}" for k, v in values.items())
+
+
+cte("report_table", f"""
+SELECT model, slice, (SELECT count(*) FROM report_rows r WHERE split = 'train' AND r.model = s.model) AS n_training,
+  count(*) FILTER (WHERE label = 'Normal') AS n_normal, count(*) FILTER (WHERE label = 'Anomaly') AS n_anomaly,
+  {_report_counts("", "prediction = 'Anomaly'")}, any_value(threshold) AS threshold, {_report_counts("calibrated_", "score >= threshold")}
+FROM report_slices s JOIN report_best USING (model) GROUP BY model, slice""")
+
+
+@shared
+def report(spark, sf_dir):
+    rows = X.pairs(spark, sf_dir).join(X.pair_splits(spark, sf_dir).select("block_id", "split"), "block_id")
+    rows = checkpointed(rows.withColumns({"if_p": decide(F.col("if_score"), 0.5), "ae_p": decide(F.col("ae_score"), 0.7, strict=True)}))
+    tables = [reports.evaluation_report(rows, name, s, p, ks=(50, 1000)) for name, s, p in (("isolation_forest", "if_score", "if_p"), ("autoencoder", "ae_score", "ae_p"))]
+    return checkpointed(tables[0].unionByName(tables[1]))
+
+
+@check("a13_evaluation_report", """
+SELECT t.*, a.roc_auc, a.pr_auc, k.hits AS hits_at_50, k.p AS precision_at_50 FROM report_table t JOIN report_areas a USING (model, slice) JOIN (
+  SELECT model, slice, count(*) FILTER (WHERE label = 'Anomaly') AS hits, round(count(*) FILTER (WHERE label = 'Anomaly') / CAST(count(*) AS DOUBLE), 6) AS p FROM (
+    SELECT *, row_number() OVER (PARTITION BY model, slice ORDER BY score DESC, block_id) AS r FROM report_slices) WHERE r <= 50 GROUP BY model, slice) k USING (model, slice)""")
+def a13_evaluation(spark, sf_dir):
+    """The evaluation reports of two detectors, stored as a history of runs and read again."""
+    path = folder(spark, "report-history")
+    reports.add_to_history(report(spark, sf_dir), path, "one")
+    at = F.col("precision_at")[0]
+    found = reports.read_history(spark, path).withColumns({"hits_at_50": at["hits"], "precision_at_50": at["precision"]})
+    return found.drop("run", "precision_at", "warnings")
+
+
+@check("a13_run_comparison", """
+SELECT 'detector' AS model, slice, round(b.f1_score - a.f1_score, 6) AS f1_score_delta, round(y.roc_auc - x.roc_auc, 6) AS roc_auc_delta,
+       round(y.pr_auc - x.pr_auc, 6) AS pr_auc_delta, round(b.calibrated_f1_score - a.calibrated_f1_score, 6) AS calibrated_f1_score_delta
+FROM report_table a JOIN report_areas x USING (model, slice) JOIN report_table b USING (slice) JOIN report_areas y ON y.model = b.model AND y.slice = b.slice
+WHERE a.model = 'isolation_forest' AND b.model = 'autoencoder'""")
+def a13_comparison(spark, sf_dir):
+    """The detector of one run against that of the next, by slice."""
+    path, table = folder(spark, "report-runs"), report(spark, sf_dir)
+    for run, model in (("2024-01", "isolation_forest"), ("2024-02", "autoencoder")):
+        reports.add_to_history(table.filter(F.col("model") == model).withColumn("model", F.lit("detector")), path, run)
+    found = reports.compare_runs(reports.read_history(spark, path), "2024-01", "2024-02")
+    return found.select("model", "slice", "f1_score_delta", "roc_auc_delta", "pr_auc_delta", "calibrated_f1_score_delta")

@@ -22,7 +22,7 @@ def corpus(spark, data, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def result(spark, corpus):
-    settings = {"forest": {"n_trees": 20, "max_samples": 0.5}, "network": {"epochs": 3}}
+    settings = {"forest": {"n_trees": 20, "max_samples": 0.5}, "network": {"epochs": 3}, "baseline": {"n_trees": 10, "max_samples": 8}}
     return batch.run(spark, str(corpus / "logs"), str(corpus / "labels"), str(corpus / "out"), **settings)
 
 
@@ -40,6 +40,30 @@ def test_batch_run_end_to_end(spark, data, corpus, result):
     assert block.count() == X.events(spark, data).filter("block_id = 'blk_0'").count()
 
 
+def test_run_reports_detectors_and_explains_alerts(spark, corpus, result):
+    report = spark.read.json(str(corpus / "out/reports/parsing")).first()
+    top = [(t.event_id, t.occurrence_count) for t in report.most_frequent_templates]
+    assert len(top) == 8 and [n for _, n in top] == sorted((n for _, n in top), reverse=True)
+    assert bool(report.warnings) == (report.total_lines_failed > 0)
+    table = result["reports"].collect()
+    assert {(r.model, r.slice) for r in table} == {(m, s) for m in ("isolation_forest", "autoencoder", "fusion", "baseline_forest") for s in ("validation", "test", "holdout")}
+    for r in table:
+        assert r.tn + r.fp == r.n_normal and r.fn + r.tp == r.n_anomaly and r.run == "run"
+        assert r.n_normal + r.n_anomaly + (r.n_training if r.slice == "holdout" else 0) <= 15
+    test = {r.model: r for r in table if r.slice == "test"}
+    for r in result["evaluation"].collect():
+        assert (test[r.model].f1_score, test[r.model].roc_auc) == (r.f1_score, r.roc_auc)
+    assert spark.read.json(str(corpus / "out/reports/evaluation_baseline_forest")).count() == 3
+    wanted = {r.block_id for r in result["alerts"].filter("fusion_prediction = 'Anomaly'").collect()}
+    explained = result["attributions"]
+    assert {r.block_id for r in explained.select("block_id").distinct().collect()} == wanted
+    gaps = explained.groupBy("block_id", "model").agg(F.abs(F.first("base") + F.sum("phi") - F.first("f_x")).alias("gap"))
+    assert gaps.filter("gap > 1e-9").isEmpty() and gaps.count() == 2 * len(wanted)
+    if wanted:
+        alert = spark.read.json(str(corpus / "out/reports/alerts"))
+        assert alert.count() == 2 * len(wanted) and alert.first().waterfall[0].step == "Baseline"
+
+
 def test_saved_models_score_again_without_fitting(spark, corpus, result):
     models = score.load_models(spark, str(corpus / "out/models"))
     again = score.score_blocks(result["matrix"], models)
