@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from blocklens.functions.scale import checkpointed
+from blocklens.functions.scale import checkpointed, fits_broadcast
 from blocklens.llm.words import spread_join
 
 VERSION = "WARC/1.1"
@@ -90,22 +90,38 @@ def unpacked(content: bytes) -> bytes:
     return b"".join(out)
 
 
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of every archive in a folder; they are read whole and should have about ``ARCHIVE_BYTES``."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+
+
 def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """One row per record: page_id, record_type, url, refers_to, payload_bytes, payload_digest, and the payload if asked for.
 
     Bytes and digest are those of the full payload: worked out anew for a response (another
     stated digest is an error), as its headers state them for a revisit, whose payload is
-    null. Archives are read whole, so they should have about ``ARCHIVE_BYTES``.
+    null.
+    """
+    return records_of(archives(spark, path), payload).drop("archive", "place", "to", "bytes")
+
+
+def records_of(files: DataFrame, payload: bool = False) -> DataFrame:
+    """The records of ``files`` (path, content) as in ``read_records``, each with its archive and its place there.
+
+    Where ``files`` have ``flags``, an array of (place, to, bytes), a record's own are returned
+    as to and bytes, else null.
     """
     schema = _parse_datatype_string(
-        "page_id long, record_type string, url string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payload
+        "page_id long, record_type string, url string, refers_to long, payload_bytes long, payload_digest string, archive string, place long, to long, bytes long"
+        + ", payload binary" * payload
     )
     types = to_arrow_schema(schema)
+    flagged = "flags" in files.columns
 
     def number(value):
         return int(value[len(ID_PREFIX) + 1 : -1]) if value else None
 
-    def row(headers, block):
+    def row(headers, block, file, place, flag):
         http, body = block.split(b"\r\n\r\n", 1)
         digest, size = headers["warc-payload-digest"].removeprefix("sha1:"), len(body)
         if headers["warc-type"] == "revisit":
@@ -113,17 +129,19 @@ def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataF
         elif base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
             raise ValueError(f"payload of {headers['warc-record-id']} differs from its digest")
         found = number(headers["warc-record-id"]), headers["warc-type"], headers["warc-target-uri"], number(headers.get("warc-refers-to")), size, digest
-        return found + (body,) * payload
+        return found + (file, place, *flag) + (body,) * payload
 
     def table(rows):
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), types)], schema=types)
 
     def run(batches):
         for batch in batches:
-            for content, file in zip(batch.column("content"), batch.column("path")):
+            told = batch.column("flags") if flagged else [None] * batch.num_rows
+            for content, file, flags in zip(batch.column("content"), batch.column("path").to_pylist(), told):
+                own = {f["place"]: (f["to"], f["bytes"]) for f in (flags.as_py() if flagged else None) or []}
                 rows, held = [], 0
-                for headers, block in parse(unpacked(content.as_py()), file.as_py()):
-                    rows.append(row(headers, block))
+                for place, (headers, block) in enumerate(parse(unpacked(content.as_py()), file)):
+                    rows.append(row(headers, block, file, place, own.get(place, (None, None))))
                     held += len(block)
                     if held > 4 << 20:
                         yield table(rows)
@@ -131,7 +149,6 @@ def read_records(spark: SparkSession, path: str, payload: bool = False) -> DataF
                 if rows:
                     yield table(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(run, schema)
 
 
@@ -151,19 +168,26 @@ def resolve(spark: SparkSession, source: str, target: str, min_bytes: int = 0) -
     ``min_bytes`` bytes the one with the smallest page id stays a response, every other one
     becomes a revisit that refers to it, with fresh headers and no payload. Revisit records in
     the source are joined to the original response with their digest and get that one's place;
-    one without an original is an error. Ties do not occur: page ids are unique.
+    one without an original is an error.
+
+    A record is known by its archive and its place there, so page ids may repeat: every record
+    is written once, ids with other payloads stay responses, and of equal records of one id
+    the first by archive and place is the original. What becomes of a record is sent to its
+    archive as a flag; payloads stay where they are read (flags of more than the broadcast
+    bound are joined by shuffling the packed archives instead).
     """
-    headers = checkpointed(read_records(spark, source).select("page_id", "record_type", F.col("payload_digest").alias("stated"), "payload_bytes"))
-    kept = F.when(F.col("record_type") == "response", F.struct("page_id", "payload_bytes"))
+    headers = checkpointed(records_of(archives(spark, source)).select("archive", "place", "page_id", "record_type", F.col("payload_digest").alias("stated"), "payload_bytes"))
+    kept = F.when(F.col("record_type") == "response", F.struct("page_id", "archive", "place", "payload_bytes"))
     groups = headers.groupBy("stated").agg(F.min(kept).alias("original"), F.count(F.lit(1)).alias("_n"))
     repeated = checkpointed(groups.filter("_n > 1 OR original IS NULL"))
     found = spread_join(headers, repeated, "stated")
-    again = found.filter("original IS NULL OR original.page_id <> page_id")
+    again = found.filter("original IS NULL OR original.archive <> archive OR original.place <> place")
     again = again.filter(F.col("original").isNull() | (F.col("record_type") == "revisit") | (F.col("payload_bytes") >= min_bytes))
     original = F.when(F.col("original").isNotNull(), F.col("original.page_id")).otherwise(F.raise_error(F.lit("a revisit has no original response")))
-    revisits = again.select("page_id", original.alias("to"), F.col("original.payload_bytes").alias("bytes"))
-    full = read_records(spark, source, payload=True).select("page_id", "url", "payload_digest", "payload_bytes", F.col("payload").cast("string").alias("payload"))
-    # A revisit's payload is not needed, so only ids and headers of these rows are joined.
-    rows = full.join(revisits, "page_id", "left")
-    made = record(F.col("page_id"), F.col("url"), F.col("payload"), F.col("payload_digest"), F.coalesce("bytes", "payload_bytes"), F.col("to"))
+    flag = F.struct("place", original.alias("to"), F.col("original.payload_bytes").alias("bytes"))
+    # As many flags as an archive has records.
+    flags = checkpointed(again.groupBy(F.col("archive").alias("path")).agg(F.collect_list(flag).alias("flags")))
+    files = archives(spark, source).join(F.broadcast(flags) if fits_broadcast(flags) else flags, "path", "left")
+    rows = records_of(files, payload=True)
+    made = record(F.col("page_id"), F.col("url"), F.col("payload").cast("string"), F.col("payload_digest"), F.coalesce("bytes", "payload_bytes"), F.col("to"))
     write_archives(rows.select(made.alias("record")), target, headers.select("payload_bytes"))

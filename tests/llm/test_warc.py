@@ -77,6 +77,23 @@ def test_hot_payload_and_no_rows(spark, tmp_path_factory):
     assert warc.read_records(spark, clean).count() == 0
 
 
+def records(spark, path):
+    return sorted(((r["page_id"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"]).decode()) for r in warc.read_records(spark, path, payload=True).collect()), key=str)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_repeated_page_ids_lose_no_payload(spark, tmp_path_factory, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(warc, "fits_broadcast", lambda df: False)
+    schema = "page_id long, url string, html string"
+    _, clean = round_trip(spark, spark.createDataFrame([(1, "u", "A"), (5, "u", "A"), (5, "u", "BBBB")], schema), tmp_path_factory)
+    assert records(spark, clean) == [(1, "response", None, "A"), (5, "response", None, "BBBB"), (5, "revisit", 1, None)]
+    _, clean = round_trip(spark, spark.createDataFrame([(1, "u", "A"), (5, "u", "A"), (5, "u", "A")], schema), tmp_path_factory)
+    assert records(spark, clean) == [(1, "response", None, "A"), (5, "revisit", 1, None), (5, "revisit", 1, None)]
+    _, clean = round_trip(spark, spark.createDataFrame([(7, "u", "C"), (7, "u", "C"), (7, "v", "C")], schema).repartition(3), tmp_path_factory)
+    assert [r[1:] for r in records(spark, clean)] == [("response", None, "C"), ("revisit", 7, None), ("revisit", 7, None)]
+
+
 def test_damage_is_an_error():
     good = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     assert [b for _, b in warc.parse(good * 2)] == [b"ab"] * 2
