@@ -17,6 +17,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, NumericType
+
+from blocklens.llm.words import free_name
 
 WIDE = 16
 LANES, LEVELS = 64, 6
@@ -154,16 +157,24 @@ def with_next(df: DataFrame, id_col="doc_id", values=("text",), ties=("text",),
     Ids are cut into ranges by their exact-valued quantiles (``per_part`` for each shuffle
     partition), and the first row of a range is also dealt to the range before it. So each
     row is shuffled once and no task sees the whole table. Null ids come first; rows with
-    equal ids follow each other by ``ties``. A lone row is its own next.
+    equal ids follow each other by ``ties``. A lone row is its own next. Ids may be of any type
+    that has an order, other columns may have any names; input columns next_<value> go.
     """
     parts = per_part * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.struct(F.col(id_col).isNotNull(), id_col)
     shares = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(id_col, shares, 100 * parts).alias("cuts"), F.min(order).alias("least")).first()
+    kind = df.schema[id_col].dataType
+    number = isinstance(kind, NumericType)
+    cuts = F.percentile_approx(id_col, shares, 100 * parts) if number else F.lit(None).cast("array<string>")
+    found = df.agg(cuts.alias("cuts"), F.min(order).alias("least")).first()
     if found["least"] is None:
         df = make(df) if make else df
         return df.withColumns({f"next_{v}": F.lit(None).cast(df.schema[v].dataType) for v in values})
     cuts = sorted({c for c in found["cuts"] or [] if c is not None})
+    if not number:
+        # Of ids that are no numbers, those with the smallest hashes stand for all: 20 for each range.
+        some = df.filter(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(20 * parts)
+        cuts = sorted(r[0] for r in some.collect())[20::20]
     first = found["least"][1]
     if not found["least"][0] or cuts[:1] != [first]:
         low = None if not found["least"][0] else first
@@ -171,20 +182,21 @@ def with_next(df: DataFrame, id_col="doc_id", values=("text",), ties=("text",),
         cuts, low = cuts[1:], first
     # The range of an id: how many cuts are not above it; two steps, so wide lists stay cheap.
     step = max(1, math.isqrt(len(cuts)))
-    coarse, all_cuts = F.array(*[F.lit(c) for c in cuts[::step]]).cast("array<bigint>"), F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
+    coarse, all_cuts = F.array(*[F.lit(c) for c in cuts[::step]]).cast(ArrayType(kind)), F.array(*[F.lit(c) for c in cuts]).cast(ArrayType(kind))
     upper = F.size(F.filter(coarse, lambda c: c <= F.col(id_col)))
     near = F.slice(all_cuts, F.greatest((upper - 1) * step + 1, F.lit(1)), F.lit(step))
     at = F.when(F.col(id_col).isNull() | (upper == 0), 0).otherwise((upper - 1) * step + F.size(F.filter(near, lambda c: c <= F.col(id_col))))
     last = len(cuts)
     starts = F.array_contains(all_cuts, F.col(id_col)) if cuts else F.lit(False)
     lowest = F.col(id_col).isNull() if low is None else F.col(id_col) == low
-    rows = df.withColumn("_at", at.cast("int"))
-    own = F.struct(F.col("_at").alias("at"), F.lit(False).alias("guest"))
+    place, guest, both = (free_name(n, df) for n in ("_at", "_guest", "_dealt"))
+    rows = df.withColumn(place, at.cast("int"))
+    own = F.struct(F.col(place).alias("at"), F.lit(False).alias("guest"))
     before = F.when(F.coalesce(lowest, F.lit(False)), F.struct(F.lit(last).alias("at"), F.lit(True).alias("guest")))
-    before = before.when(F.coalesce(starts, F.lit(False)), F.struct((F.col("_at") - 1).alias("at"), F.lit(True).alias("guest")))
-    dealt = rows.withColumn("_dealt", F.explode(F.filter(F.array(own, before), lambda x: x.isNotNull())))
+    before = before.when(F.coalesce(starts, F.lit(False)), F.struct((F.col(place) - 1).alias("at"), F.lit(True).alias("guest")))
+    dealt = rows.withColumn(both, F.explode(F.filter(F.array(own, before), lambda x: x.isNotNull())))
     # Plain columns, so that the window finds the rows dealt out as it needs them.
-    dealt = dealt.select(*df.columns, F.col("_dealt.at").alias("_at"), F.col("_dealt.guest").alias("_guest")).repartition("_at")
+    dealt = dealt.select(*df.columns, F.col(both)["at"].alias(place), F.col(both)["guest"].alias(guest)).repartition(place)
     dealt = make(dealt) if make else dealt
-    by = Window.partitionBy("_at").orderBy("_guest", F.col(id_col).asc_nulls_first(), *ties)
-    return dealt.withColumns({f"next_{v}": F.lead(v).over(by) for v in values}).filter("NOT _guest").drop("_at", "_guest")
+    by = Window.partitionBy(place).orderBy(guest, F.col(id_col).asc_nulls_first(), *ties)
+    return dealt.withColumns({f"next_{v}": F.lead(v).over(by) for v in values}).filter(~F.col(guest)).drop(place, guest)

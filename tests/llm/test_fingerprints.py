@@ -67,6 +67,15 @@ def test_odd_rows(spark, odd, none):
     assert fp.with_next(single).first()["next_text"] == "x"
 
 
+def test_ids_of_other_types_and_clashing_names(spark):
+    ids = [f"doc/é{i:03d}" for i in random.Random(4).sample(range(900), 300)] + ["", "\U0001f642"]
+    rows = spark.createDataFrame([(i, f"t{i}", 1, "x", "y") for i in ids], "doc_id string, text string, _at int, _guest string, _dealt string").repartition(5)
+    ring = sorted(ids)
+    out = fp.with_next(rows).collect()
+    assert {r["doc_id"]: r["next_text"] for r in out} == {a: f"t{b}" for a, b in zip(ring, ring[1:] + ring[:1])}
+    assert len(out) == len(ids) and all((r["_at"], r["_guest"], r["_dealt"]) == (1, "x", "y") for r in out)
+
+
 def test_no_python_in_the_plan(spark, data):
     from blocklens.llm.queries import op1_fingerprints
 
