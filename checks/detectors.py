@@ -340,9 +340,13 @@ def e13(spark, sf_dir):
     return fitted.select("score", F.round("calibrated", 6).alias("calibrated"))
 
 
-@check("e13_isotonic_knots")
+# The knots are the first and the last score of every run of equal values.
+@check("e13_isotonic_knots", """
+SELECT score, round(calibrated, 6) AS calibrated FROM (
+  SELECT *, lag(round(calibrated, 9)) OVER (ORDER BY score) AS before, lead(round(calibrated, 9)) OVER (ORDER BY score) AS after FROM isotonic)
+WHERE before IS NULL OR after IS NULL OR round(calibrated, 9) <> before OR round(calibrated, 9) <> after""")
 def e13_knots(spark, sf_dir):
-    return calibration.knots(spark, isotonic(spark, sf_dir))
+    return calibration.knots(spark, isotonic(spark, sf_dir)).select("score", F.round("calibrated", 6).alias("calibrated"))
 
 
 CALIBRATED = """
