@@ -6,6 +6,7 @@ table or over one hot key; ``lookup_join`` replaces unchecked broadcasts.
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,17 +103,20 @@ def running_totals(df: DataFrame, order, sums: dict, by=()) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = part_totals.select(
-        *by, "_part", *[F.coalesce(F.sum(f"_t{v}").over(earlier), F.lit(0)).alias(f"_o{v}") for v in values]
+        *by, "_part", F.count(F.lit(1)).over(earlier).alias("_before"), *[F.sum(f"_t{v}").over(earlier).alias(f"_o{v}") for v in values]
     )
-    # Without `by` there is one offset row per partition, so broadcasting is bounded.
-    joined = staged.join(offsets if by else F.broadcast(offsets), [*by, "_part"])
+    # Ranges are cut along (by, order): only the first group of a range can go on from an
+    # earlier one, so there is at most one such row for each partition.
+    offsets = offsets.filter("_before > 0").select(*[F.col(c).alias(f"_same_{c}") for c in (*by, "_part")], *[f"_o{v}" for v in values])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in (*by, "_part")])
+    joined = staged.join(F.broadcast(offsets), same, "left")
     inside = (
         Window.partitionBy(*by, "_part")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     for name in sums:
-        joined = joined.withColumn(name, F.sum(f"_v_{name}").over(inside) + F.col(f"_o_v_{name}"))
+        joined = joined.withColumn(name, F.sum(f"_v_{name}").over(inside) + F.coalesce(F.col(f"_o_v_{name}"), F.lit(0)))
     return joined.select(*df.columns, *sums)
 
 

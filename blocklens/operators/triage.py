@@ -150,12 +150,15 @@ def template_totals(long_counts: DataFrame, view: DataFrame, n: int = C.TOP_TOTA
 def timeline(events: DataFrame) -> DataFrame:
     """Lines of every block in time order with a step number.
 
-    Ordered by (time, line) with unparsable times last. The numbering is distributed, so
-    one block may hold any share of all lines; only the lookup columns travel.
+    Ordered by (time, line) with unparsable times last. The numbering is distributed and works
+    on keys only, so one block may hold any share of all lines; content is joined last, by the
+    line ids, which are unique.
     """
     rows = events.filter(F.col("block_id").isNotNull()).select(*LOOKUP_COLUMNS)
     rows = rows.withColumn("ts", text.parse_timestamp(F.col("ts_raw")))
-    return global_rank(rows, [F.asc_nulls_last("ts"), F.asc("line_id")], by=["block_id"], name="step")
+    keys = rows.select("block_id", "ts", "line_id")
+    steps = global_rank(keys, [F.asc_nulls_last("ts"), F.asc("line_id")], by=["block_id"], name="step")
+    return rows.join(steps.select("line_id", "block_id", "step"), ["line_id", "block_id"]).select(*rows.columns, "step")
 
 
 def block_event_frequency(long_counts: DataFrame, dictionary: DataFrame) -> DataFrame:

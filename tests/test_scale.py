@@ -85,3 +85,11 @@ def test_split_of_many_strata(spark):
     flagged = scale.hash_split(rows, "block_id", 0.5, 1, "label")
     found = flagged.groupBy("label").agg(F.count_if("selected").alias("n"), F.count(F.lit(1)).alias("all")).collect()
     assert len(found) == 300 and all(r.n == 5 and r["all"] == 10 for r in found)
+
+
+def test_running_totals_of_groups_that_span_ranges(spark):
+    """Groups far larger and far smaller than a range, and a null group."""
+    rows = [("a", i, 1) for i in range(900)] + [(f"s{k:03d}", i, 2) for k in range(100) for i in range(3)] + [(None, i, 3) for i in range(400)]
+    table = spark.createDataFrame(rows, "g string, o int, v int").repartition(5)
+    got = scale.running_totals(table, "o", {"t": F.col("v")}, ["g"]).collect()
+    assert len(got) == len(rows) and all(r.t == (r.o + 1) * r.v for r in got)
