@@ -65,3 +65,17 @@ def test_odd_rows(spark, odd, none):
     assert len(out) == 4 and {r["license"] for r in out} == {"MIT"}
     with pytest.raises(ValueError):
         licenses.scan(rows, {"short": "four words are few"})
+
+
+def test_whole_licenses_are_told_by_their_parts(spark):
+    """Texts of whole short licenses, reflowed and in other case, between other words; none is taken for another."""
+    parts = {"MIT": ["MIT-permission", "MIT-warranty"], "BSD-3": ["BSD-2-Clause", "BSD-3-Clause-names", "BSD-disclaimer"], "ISC": ["ISC"], "Zlib": ["Zlib"], "MPL": ["MPL-2.0-header"], "LGPL": ["LGPL-2.1-header"]}
+    rows = []
+    for k, (name, own) in enumerate(parts.items()):
+        text = " \n".join(licenses.TEMPLATES[p] for p in own)
+        rows.append((k, f"Copyright (c) some one {k}\n\n" + text.replace(" the ", "\n  the ").lower() + "\nand then other words " * 30))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert got == {k: set(own) for k, own in enumerate(parts.values())}
