@@ -241,18 +241,21 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, "nid").select("nid", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         jump = labels.select(F.col("nid").alias("mid"), F.col("comp").alias("far"))
         step = checkpointed(step.join(jump, "mid", "left").select("nid", "old", F.least("mid", "far").alias("comp")))
-        changed = step.filter("old <> comp").limit(1).count()
+        changed = step.filter("old <> comp").head(1)
         labels = step.select("nid", "comp")
         if not changed:
             return labels
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after the components that ``links`` connect have become one."""
+    """Labels after the components that ``links`` (stored) connect have become one."""
+    if not links.head(1):
+        return labels
     ends = links.join(labels.select(F.col("nid").alias("a"), F.col("comp").alias("x")), "a")
     ends = ends.join(labels.select(F.col("nid").alias("b"), F.col("comp").alias("y")), "b")
     merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
     merged = merged.select(F.col("nid").alias("comp"), F.col("comp").alias("_to"))
+    release(labels)
     return checkpointed(labels.join(merged, "comp", "left").select("nid", F.coalesce("_to", "comp").alias("comp")))
 
 
@@ -271,7 +274,7 @@ def outside(inside: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Let Spark remove shuffle files and checkpoints of turns that are over."""
+    """Let Spark remove shuffle files and checkpoints of steps that are over, and the driver their plans."""
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
@@ -438,6 +441,7 @@ def group(df: DataFrame, id_col="doc_id", text="text", width=5, percent=80) -> D
     total = nodes.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * SIDE * SIDE // TASK_KEYS))
     candidates = checkpointed(stars(nodes, parts))
+    release(df)
     best = candidates.groupBy("nid").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     first = best.select(F.col("pivot").alias("a"), F.col("nid").alias("b"))
     wanted = candidates.select("nid").union(candidates.select("pivot")).distinct().join(nodes.select("nid", "node"), "nid")
@@ -445,6 +449,7 @@ def group(df: DataFrame, id_col="doc_id", text="text", width=5, percent=80) -> D
     low = wanted.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("low"))
     found = full_sets(df, text, width, bit_filter(low, "low")).groupBy("node").agg(F.first("full").alias("full"))
     sets = checkpointed(found.join(wanted.select("node", "nid"), "node").select("nid", "full"))
+    release(df)
     ids = wanted.select("nid", F.col("nid").alias("comp"))
     labels = joined(ids, checkpointed(confirmed(first, sets, percent)))
     labels = mixed_links(nodes, sets, labels, first, percent)
