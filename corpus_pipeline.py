@@ -38,10 +38,12 @@ def keep_language(spark, docs, sf_dir):
 def drop_repeated_lines(spark, docs, sf_dir):
     """Documents without later occurrences of three lines in a row; those that lose every line go."""
     ship_package(spark)
-    found = linededup.dedup(docs).filter("n_lines = 0 OR n_removed < n_lines")
+    # Input columns named like the counts that the operator appends step aside.
+    own = {c: free_name(f"_own_{c}", docs) for c in docs.columns if c.lower() in ("n_lines", "n_removed")}
+    found = linededup.dedup(docs.withColumnsRenamed(own)).filter("n_lines = 0 OR n_removed < n_lines")
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    return found.drop("n_lines", "n_removed").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
