@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from blocklens import config as C
-from blocklens.functions.scale import checkpointed, spread
+from blocklens.functions.scale import checkpointed, spread, stored
 from blocklens.functions.scoring import normalise_all
 from blocklens.operators import features, fusion, lines, splits, templates, triage
 from checks.registry import cte, shared
@@ -86,8 +86,10 @@ def _view(spark, sf_dir, sql, **names):
 
 @shared
 def log_lines(spark, sf_dir):
-    rows = _view(spark, sf_dir, _LOG_LINES, d6="date_format(ts, 'yyMMdd')", t6="date_format(ts, 'HHmmss')")
-    return checkpointed(spread(rows))
+    # Events are dealt out before they become lines, which are much longer.
+    spread(table(spark, sf_dir, "events")).createOrReplaceTempView("spread_events")
+    rows = _view(spark, sf_dir, _LOG_LINES, events="spread_events", d6="date_format(ts, 'yyMMdd')", t6="date_format(ts, 'HHmmss')")
+    return checkpointed(rows)
 
 
 def block_labels(spark, sf_dir):
@@ -131,7 +133,8 @@ def vectors(spark, sf_dir):
 
 @shared
 def parsed(spark, sf_dir):
-    return lines.parse_headers(log_lines(spark, sf_dir))
+    """Parsed lines with their signatures, stored: no later step evaluates an expression over raw lines again."""
+    return stored(templates.with_signature(lines.parse_headers(log_lines(spark, sf_dir))))
 
 
 @shared

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from blocklens.operators import features, selection, splits
 from blocklens.sources.logs import InputError
+from checks import fixtures as X
 
 EVENTS = "line_id long, ts_raw string, level string, component string, block_id string, event_id string"
 
@@ -103,3 +104,10 @@ def test_pivoted_matrix_equals_single_pass(spark, monkeypatch):
     two = features.feature_matrix(events(spark), ["E1", "E2"])
     assert one.columns == two.columns
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_block_features_evaluate_nothing_over_raw_lines(spark, data):
+    """Lines are parsed once and stored: counting by block neither parses nor masks them again."""
+    counts = features.template_counts_long(features.partial_counts(X.events(spark, data)))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "RLIKE" not in plan and "split" not in plan

@@ -93,3 +93,10 @@ def test_running_totals_of_groups_that_span_ranges(spark):
     table = spark.createDataFrame(rows, "g string, o int, v int").repartition(5)
     got = scale.running_totals(table, "o", {"t": F.col("v")}, ["g"]).collect()
     assert len(got) == len(rows) and all(r.t == (r.o + 1) * r.v for r in got)
+
+
+def test_spread_grows_with_the_rows(spark):
+    """A large table in few splits gets more tasks than there are cores."""
+    few = spark.range(5000).coalesce(1)
+    assert scale.spread(few, rows=100).rdd.getNumPartitions() == 50
+    assert scale.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
