@@ -17,11 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blocklens import config as C
-from blocklens.functions.scale import split_hash
+from blocklens.functions.scale import checkpointed, split_hash, spread
 from blocklens.operators.autoencoder import Autoencoder, squared_error
-from blocklens.operators.iforest import Forest, forest_scorer, vectors
+from blocklens.operators.iforest import Forest, ForestScorer, forest_scorer, vectors
 from blocklens.operators.triage import label_features, with_template
 
+#: Alerts explained together, and alerts of a task: each costs thousands of scores.
+AT_ONCE, TASK_ALERTS = 256, 2_000
+
 
 def background(rows: DataFrame, n: int = C.BACKGROUND_ROWS, seed: int = C.SEED) -> DataFrame:
     """A repeatable sample of the scored population, free of any label."""
@@ -105,6 +108,15 @@ def _kernel_contributions(score: Callable, base_rows: np.ndarray, x: np.ndarray,
     return np.append(phi, f_x - base - phi.sum()), base, f_x
 
 
+def _kernel_contributions_by_leaves(score: ForestScorer, base_rows: np.ndarray, xs: np.ndarray, z: np.ndarray, solver: np.ndarray):
+    """The same for many rows at once, with a forest's mean scores of coalitions summed over its leaves."""
+    base, f_x = float(score(base_rows).mean()), score(xs)
+    values = score.coalition_means(base_rows, xs, z)
+    phi = (values - base - np.outer(f_x - base, z[:, -1])) @ solver.T
+    last = f_x - base - phi.sum(axis=1)
+    return [(np.append(p, q), base, float(f)) for p, q, f in zip(phi, last, f_x)]
+
+
 def attribute(alerts: DataFrame, reference: DataFrame, columns, score: Callable, model: str, method: str = "kernel",
               n_coalitions: int | None = None, pairs: int = 1, seed: int = C.SEED, max_reference: int = 1000) -> DataFrame:
     """Long table (block_id, model, feature, value, phi, base, f_x), positive = towards anomaly.
@@ -112,8 +124,8 @@ def attribute(alerts: DataFrame, reference: DataFrame, columns, score: Callable,
     ``score`` maps a matrix to scores. ``method`` is "kernel", with about ``n_coalitions``
     coalitions (2048 and two for each feature unless given) that are the same for all alerts,
     so their system is solved once, or
-    "permutation" with ``pairs`` pairs of orders. Alerts stay in their partitions; the scorer
-    and the rows of ``reference`` are broadcast: more than ``max_reference`` of them are an
+    "permutation" with ``pairs`` pairs of orders. Alerts are dealt out to tasks of some
+    thousand; the scorer and the rows of ``reference`` are broadcast: more than ``max_reference`` of them are an
     error (see ``background``). base + sum(phi) = f_x per block.
     """
     columns = list(columns)
@@ -128,18 +140,24 @@ def attribute(alerts: DataFrame, reference: DataFrame, columns, score: Callable,
         rng = np.random.default_rng(seed)
         orders = np.array([o for _ in range(pairs) for p in [rng.permutation(len(columns))] for o in (p, p[::-1])])
         explain_one, options = _contributions, (orders,)
+    by_leaves = method == "kernel" and len(columns) > 1 and isinstance(score, ForestScorer) and score.sums_leaves(len(columns))
     shared = alerts.sparkSession.sparkContext.broadcast((score, base_rows, options))
 
     @F.pandas_udf("phi array<double>, base double, f_x double")
     def explain(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer, base, more = shared.value
         for batch in batches:
-            done = [explain_one(scorer, base, np.asarray(x), *more) for x in batch]
+            if by_leaves:
+                pieces = [np.stack(batch.iloc[i : i + AT_ONCE].to_list()) for i in range(0, len(batch), AT_ONCE)]
+                done = [one for p in pieces for one in _kernel_contributions_by_leaves(scorer, base, p, *more)]
+            else:
+                done = [explain_one(scorer, base, np.asarray(x), *more) for x in batch]
             yield pd.DataFrame(
                 {"phi": [p for p, _, _ in done], "base": [b for _, b, _ in done], "f_x": [f for _, _, f in done]}
             )
 
-    explained = vectors(alerts, columns).select("block_id", "x", explain("x").alias("e"))
+    dealt = spread(checkpointed(vectors(alerts, columns).select("block_id", "x")), TASK_ALERTS)
+    explained = dealt.select("block_id", "x", explain("x").alias("e"))
     names = F.array(*[F.lit(c) for c in columns])
     cells = F.explode(F.arrays_zip(names.alias("feature"), F.col("x").alias("value"), F.col("e.phi").alias("phi")))
     return explained.select("block_id", F.lit(model).alias("model"), cells.alias("c"), "e.base", "e.f_x").select(

@@ -8,7 +8,6 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -23,6 +22,9 @@ from blocklens.functions.scoring import decide
 NODE_SCHEMA = "tree int, node long, feature int, threshold double, n long"
 LOCAL_ROWS = 50_000
 BROADCAST_NODES = 4_000_000
+MASK_BITS = 62
+LEAVES_PER_TREE = 4_096
+LEAVES_AT_ONCE = 16_384
 
 
 @dataclass
@@ -289,14 +291,79 @@ def raw_score(total_path, n_trees: int, sample_size: int):
 
 
 def forest_scorer(forest: Forest, limit: int = BROADCAST_NODES):
-    """Plain function matrix -> raw scores, for a forest within the broadcast bound; a larger one is an error."""
+    """Callable matrix -> raw scores, for a forest within the broadcast bound; a larger one is an error."""
     if forest.nodes.count() > limit:
         raise ValueError(f"a forest of more than {limit} nodes does not fit a task; score it with score_forest")
-    return partial(_walk_and_score, Walker(forest.nodes.toPandas()), forest.sample_size)
-
-
-def _walk_and_score(walker: Walker, sample_size: int, x: np.ndarray) -> np.ndarray:
-    return raw_score(walker.total_path(x), len(walker.roots), sample_size)
+    return ForestScorer(Walker(forest.nodes.toPandas()), forest.sample_size)
+
+
+class ForestScorer:
+    """Raw scores of rows, and mean scores of coalitions without walking their rows."""
+
+    def __init__(self, walker: Walker, sample_size: int):
+        self.walker, self.sample_size, self.boxes = walker, sample_size, None
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return raw_score(self.walker.total_path(x), len(self.walker.roots), self.sample_size)
+
+    def sums_leaves(self, width: int) -> bool:
+        """Whether summing over leaves costs less than walking: features fit a mask, trees are not too large."""
+        return width <= MASK_BITS and int((self.walker.child < 0).sum()) <= LEAVES_PER_TREE * len(self.walker.roots)
+
+    def coalition_means(self, base: np.ndarray, xs: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """(rows of ``xs``, coalitions ``z``): the mean score while the coalition's features are the row's, the others the background's.
+
+        A row mixed of x and b is in a leaf if x breaks none of the leaf's bounds within the
+        coalition and b none outside it. For each coalition the total paths of all x and b are
+        the product of two tables over the leaves, taken some leaves at a time.
+        """
+        if self.boxes is None:
+            self.boxes = _leaf_boxes(self.walker, base.shape[1])
+        lengths, lows, highs = self.boxes
+        kind = np.int32 if base.shape[1] < 31 else np.int64
+        bits = kind(1) << np.arange(base.shape[1], dtype=kind)
+        inside, outside = ((z > 0) @ bits).astype(kind), ((z <= 0) @ bits).astype(kind)
+        paths = np.zeros((len(z), len(xs), len(base)))
+        for k in range(0, len(lengths), LEAVES_AT_ONCE):
+            own = slice(k, k + LEAVES_AT_ONCE)
+            of_x, of_b = (_broken(rows, lows[own], highs[own], bits) for rows in (xs, base))
+            for c in range(len(z)):
+                fits = (of_b & outside[c]) == 0
+                some = np.flatnonzero(fits.any(axis=0))
+                weighted = fits[:, some].T * lengths[own][some, None]
+                member = (of_x[:, some] & inside[c]) == 0
+                if np.count_nonzero(member) * 16 < member.size:
+                    row, leaf = np.nonzero(member)
+                    cuts = np.flatnonzero(np.diff(row, prepend=-1))
+                    if len(cuts):
+                        paths[c, row[cuts]] += np.add.reduceat(weighted[leaf], cuts, axis=0)
+                else:
+                    paths[c] += member.astype(float) @ weighted
+        return raw_score(paths, len(self.walker.roots), self.sample_size).mean(axis=2).T
+
+
+def _leaf_boxes(walker: Walker, width: int):
+    """Path length and bounds of every leaf: a row is in it if lows < x <= highs."""
+    lows, highs = (np.full((len(walker.child), width), v) for v in (-np.inf, np.inf))
+    at = walker.roots
+    while len(at := at[walker.child[at] >= 0]):
+        left, f, t = walker.child[at], walker.feature[at], walker.threshold[at]
+        for side in (left, left + 1):
+            lows[side], highs[side] = lows[at], highs[at]
+        highs[left, f] = np.minimum(highs[left, f], t)
+        lows[left + 1, f] = np.maximum(lows[left + 1, f], t)
+        at = np.concatenate([left, left + 1])
+    leaves = np.flatnonzero(walker.child < 0)
+    return walker.length[leaves], lows[leaves], highs[leaves]
+
+
+def _broken(rows: np.ndarray, lows: np.ndarray, highs: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """(rows, leaves): the features, as bits, in which a row is outside a leaf."""
+    out = np.zeros((len(rows), len(lows)), bits.dtype)
+    for f, bit in enumerate(bits):
+        x = rows[:, f, None]
+        out |= np.where((x > highs[:, f]) | (~(x > lows[:, f]) & (lows[:, f] > -np.inf)), bit, bits.dtype.type(0))
+    return out
 
 
 def score_forest(rows: DataFrame, forest: Forest, name: str = "raw_score", limit: int = BROADCAST_NODES) -> DataFrame:

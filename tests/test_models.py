@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +269,27 @@ def test_calibrator_round_trip_and_clipping(spark, data, tmp_path):
     a = [r.c for r in calibration.calibrate(outside, model, "s", "c").collect()]
     b = [r.c for r in calibration.calibrate(outside, sinks.load_calibrator(str(tmp_path), "cal"), "s", "c").collect()]
     assert a == b and a[0] == min(model.predictions) and a[2] == max(model.predictions)
+
+
+def test_coalitions_by_leaves_equal_walking(spark):
+    """Mean scores of coalitions summed over leaves are those of walking every mixed row, odd values included."""
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame(rng.integers(0, 9, (300, 5)).astype(float), columns=list("abcde")).assign(block_id=[f"b{i}" for i in range(300)])
+    model = iforest.fit_forest(spark.createDataFrame(rows), list("abcde"), n_trees=20)
+    scorer = iforest.forest_scorer(model)
+    x, z = rows[list("abcde")].to_numpy(), attribution.coalitions(5, 30)[0]
+    some, base = np.vstack([x[:40], [np.nan, -np.inf, np.inf, 4, 4]]), x[100:130]
+    want = [[scorer(np.where(c > 0, one, base)).mean() for c in z] for one in some]
+    assert scorer.sums_leaves(5) and np.abs(scorer.coalition_means(base, some, z) - want).max() < 1e-12
+
+
+def test_alerts_are_dealt_to_all_tasks(spark):
+    """Alerts of one partition are explained by as many tasks as there are cores, with the same values."""
+    rng = np.random.default_rng(9)
+    rows = pd.DataFrame(rng.random((64, 3)), columns=list("abc")).assign(block_id=[f"b{i:02d}" for i in range(64)])
+    table = spark.createDataFrame(rows).coalesce(1)
+    model = iforest.fit_forest(table, list("abc"), n_trees=10)
+    found = attribution.attribute_forest(table, attribution.background(table, 20), model)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    sums = found.groupBy("block_id").agg(F.abs(F.first("base") + F.sum("phi") - F.first("f_x")).alias("gap"))
+    assert sums.count() == 64 and sums.filter("gap > 1e-9").isEmpty()
