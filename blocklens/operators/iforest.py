@@ -23,7 +23,7 @@ NODE_SCHEMA = "tree int, node long, feature int, threshold double, n long"
 LOCAL_ROWS = 50_000
 BROADCAST_NODES = 4_000_000
 MASK_BITS = 62
-LEAVES_PER_TREE = 4_096
+LEAVES_PER_TREE = 1_024
 LEAVES_AT_ONCE = 16_384
 
 
