@@ -21,6 +21,10 @@ from blocklens.functions import text
 from blocklens.functions.scale import checkpointed, global_rank, lookup_join
 
 BUCKET_ROWS = 1_000
+#: Templates of a leaf that are compared one by one before they are listed by their tokens.
+TAIL = 256
+#: Pairs of a signature and a template that are held at once.
+PAIRS = 1 << 21
 _JOINER = " "
 # What is clustered: signatures, and templates of an earlier run (those have an event id).
 _SEED_COLUMNS = ("n_tok", "key0", "tokens", "first_line", "event_id", "n_lines")
@@ -101,7 +105,8 @@ def _merge_alike(parts: DataFrame, threshold: float, last: bool):
     piece = F.slice(fixed, -need, need) if last else F.slice(fixed, 1, need)
     spelled = F.transform(piece, lambda p: F.concat_ws("=", p["i"].cast("string"), p["t"]))
     group = F.when(F.size(fixed) >= need, F.concat_ws(_JOINER, _leaf(), F.array_join(spelled, _JOINER)))
-    keyed = parts.withColumn("_group", group)
+    # Read four times below, and spelling a group takes long.
+    keyed = checkpointed(parts.withColumn("_group", group))
     first = F.min(F.struct("first_line", "part", "tokens")).alias("_first")
     groups = keyed.filter("_group IS NOT NULL").groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), first)
     groups = checkpointed(groups.filter("_n > 1").select("_group", F.col("_first.part").alias("into"), F.col("_first.tokens").alias("_like")))
@@ -132,27 +137,97 @@ def _followed(moved: DataFrame | None, more: DataFrame | None) -> DataFrame | No
 
 
 class _Leaf:
-    """Templates of one leaf, grown by one signature after the other in order of appearance."""
-
-    def __init__(self, threshold: float):
-        self.threshold, self.texts, self.ids = threshold, [], []
-        self.codes = None
-
-    def add(self, tokens: list, code: np.ndarray, wild: int, event_id) -> int:
-        """The number of the template that takes the signature in."""
-        n = len(self.texts)
-        seen = self.codes[:n] if n else None
-        share = ((seen == code) & (seen != wild)).mean(axis=1) if n else np.zeros(0)
-        if event_id is None and n and share.max() >= self.threshold:
-            # The most similar template; of several, the more general, then the older one.
-            tied = np.flatnonzero(share == share.max())
-            best = int(tied[np.argmax((seen[tied] == wild).sum(axis=1))])
-            self.codes[best] = np.where(seen[best] == code, code, wild)
-            self.texts[best] = [a if a == b else C.WILDCARD for a, b in zip(self.texts[best], tokens)]
-            return best
-        if n == 0:
-            self.codes = np.empty((16, len(code)), code.dtype)
-        elif n == len(self.codes):
+    """Templates of one leaf, grown by one signature after the other in order of appearance.
+
+    Templates are looked up by (position, token): of a signature with f fixed tokens that must
+    agree on k with a template, the f - k + 1 rarest are looked up, and every template that is
+    similar enough is found under one of them. Templates only lose fixed tokens, so what is
+    listed stays a superset. The last ``TAIL`` templates or more are compared one by one until
+    they are listed. Sorted arrays hold the lists, about 20 bytes a token of a template.
+    """
+
+    def __init__(self, threshold: float, wild: int, n_tok: int):
+        self.threshold, self.wild, self.texts, self.ids = threshold, wild, [], []
+        self.codes = np.empty((16, n_tok), np.int64)
+        # The least number of agreeing tokens that makes a share of at least ``threshold``.
+        self.need = next((k for k in range(n_tok + 1) if k / n_tok >= threshold), n_tok + 1)
+        self.lists, self.listed, self.compared = [], 0, 0
+
+    def _keys(self, codes: np.ndarray) -> np.ndarray:
+        places = np.arange(codes.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return codes.view(np.uint64) ^ places
+
+    def _list_tail(self) -> None:
+        """Put the templates that are not listed yet into sorted lists; lists of like size become one."""
+        codes = self.codes[self.listed : len(self.texts)]
+        row, place = np.nonzero(codes != self.wild)
+        keys, owners = self._keys(codes)[row, place], (row + self.listed).astype(np.int32)
+        while self.lists and len(self.lists[-1][0]) <= 2 * len(keys):
+            more, theirs = self.lists.pop()
+            keys, owners = np.concatenate([more, keys]), np.concatenate([theirs, owners])
+        order = np.argsort(keys, kind="stable")
+        self.lists.append((keys[order], owners[order]))
+        self.listed = len(self.texts)
+
+    def _listed_near(self, codes: np.ndarray) -> list:
+        """For every signature the listed templates that agree on enough tokens with it, as they are now."""
+        none = np.zeros(0, np.int64)
+        if not self.listed or not len(codes):
+            return [none] * len(codes)
+        keys, fixed = self._keys(codes), codes != self.wild
+        spans = [[np.searchsorted(k, keys, side) for side in ("left", "right")] for k, _ in self.lists]
+        often = sum(hi - lo for lo, hi in spans)
+        ranks = np.argsort(np.argsort(np.where(fixed, often, np.iinfo(np.int64).max), axis=1, kind="stable"), axis=1)
+        probed = fixed & (ranks < (fixed.sum(axis=1) - self.need + 1)[:, None])
+        if len(codes) > 1 and often[probed].sum() > PAIRS:
+            half = len(codes) // 2
+            return self._listed_near(codes[:half]) + self._listed_near(codes[half:])
+        rows = np.nonzero(probed)[0]
+        pairs = [none]
+        for (lo, hi), (_, owners) in zip(spans, self.lists):
+            size = (hi - lo)[probed]
+            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            pairs.append(np.repeat(rows, size) * self.listed + owners[np.repeat(lo[probed], size) + inside])
+        pairs = np.unique(np.concatenate(pairs))
+        row, owner = pairs // self.listed, pairs % self.listed
+        enough = np.zeros(len(pairs), bool)
+        step = max(1, PAIRS // codes.shape[1])
+        for k in range(0, len(pairs), step):
+            theirs = self.codes[owner[k : k + step]]
+            enough[k : k + step] = ((theirs == codes[row[k : k + step]]) & (theirs != self.wild)).sum(axis=1) >= self.need
+        self.compared += len(pairs)
+        return np.split(owner[enough], np.searchsorted(row[enough], np.arange(1, len(codes))))
+
+    def add(self, tokens: list, codes: np.ndarray, event_ids: list) -> list:
+        """The numbers of the templates that take these signatures in, one after the other."""
+        found = []
+        for k in range(0, len(tokens), TAIL):
+            part = slice(k, k + TAIL)
+            near = self._listed_near(codes[part]) if self.need > 0 else None
+            for i, (own, code, event_id) in enumerate(zip(tokens[part], codes[part], event_ids[part])):
+                found.append(self._add(own, code, event_id, near[i] if near else np.arange(self.listed)))
+            if len(self.texts) - self.listed >= TAIL:
+                self._list_tail()
+        return found
+
+    def _add(self, tokens: list, code: np.ndarray, event_id, near: np.ndarray) -> int:
+        n, wild = len(self.texts), self.wild
+        if event_id is None and n:
+            seen = self.codes[self.listed : n]
+            if len(near):
+                near = np.concatenate([near, np.arange(self.listed, n)])
+                seen = self.codes[near]
+            self.compared += len(seen)
+            same = ((seen == code) & (seen != wild)).sum(axis=1)
+            if len(same) and (most := same.max()) >= self.need:
+                # The most similar template; of several, the more general, then the older one.
+                tied = np.flatnonzero(same == most)
+                at = int(tied[np.argmax((seen[tied] == wild).sum(axis=1))])
+                best = int(near[at]) if len(near) else self.listed + at
+                self.codes[best] = np.where(seen[at] == code, code, wild)
+                self.texts[best] = [a if a == b else C.WILDCARD for a, b in zip(self.texts[best], tokens)]
+                return best
+        if n == len(self.codes):
             self.codes = np.concatenate([self.codes, np.empty_like(self.codes)])
         self.codes[n] = code
         self.texts.append(list(tokens))
@@ -168,8 +243,8 @@ def _token_codes(tokens) -> np.ndarray:
 def _cluster_leaves(threshold: float):
     """Clusters sorted leaves as they stream by: one row per part, then one per template.
 
-    What is held in memory are the templates of the leaf at hand, so one procedure serves
-    leaves of every size.
+    What is held in memory are the templates of the leaf at hand and their lists, so one
+    procedure serves leaves of every size.
     """
     wild = int(_token_codes([C.WILDCARD])[0])
 
@@ -180,16 +255,18 @@ def _cluster_leaves(threshold: float):
                 continue
             known = rows["event_id"].notna().to_numpy()
             tokens, names, owners = (rows[c].to_list() for c in ("tokens", "leaf", "event_id"))
-            ends = np.cumsum([len(t) for t in tokens])
+            ends = np.cumsum([0] + [len(t) for t in tokens])
             codes = _token_codes(np.concatenate(tokens))
-            places, done, begin = [], [], 0
-            for own, name, owner, is_known, end in zip(tokens, names, owners, known, ends):
-                if name != leaf:
+            owners = [owner if is_known else None for owner, is_known in zip(owners, known)]
+            places, done = [], []
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if names[begin] != leaf:
                     if state is not None:
                         done += _template_rows(leaf, state)
-                    leaf, state = name, _Leaf(threshold)
-                places.append(f"{leaf}#{state.add(own, codes[begin:end], wild, owner if is_known else None)}")
-                begin = end
+                    leaf, state = names[begin], _Leaf(threshold, wild, len(tokens[begin]))
+                own = codes[ends[begin] : ends[end]].reshape(end - begin, -1)
+                places += [f"{leaf}#{i}" for i in state.add(tokens[begin:end], own, owners[begin:end])]
             members = rows.assign(cluster=places, known=known, tokens=None, event_id=None)[list(_MEMBER_COLUMNS)]
             yield members
             if done:

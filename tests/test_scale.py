@@ -100,3 +100,20 @@ def test_spread_grows_with_the_rows(spark):
     few = spark.range(5000).coalesce(1)
     assert scale.spread(few, rows=100).rdd.getNumPartitions() == 50
     assert scale.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_lookup_repeats_rows_of_hot_keys_only(spark):
+    """A large lookup is not copied for every salt: only the rows of keys that hold many rows are."""
+    left = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id")).alias("key"), F.col("id").alias("n"))
+    right = spark.range(20_000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("label"))
+    joined = scale.lookup_join(left, right, "key", limit=0)
+    found = {r.n: r.label for r in joined.collect()}
+    assert found == {n: 14 if n % 3 == 0 else n * 2 if n % 3 == 1 else None for n in range(20_000)}
+    salted = []
+    explode, F.explode = F.explode, lambda salts: salted.append(salts) or explode(salts)
+    try:
+        scale.lookup_join(left, right, "key", limit=0)
+    finally:
+        F.explode = explode
+    hot = F.when(F.col("key") == 7, True).alias("_hot")
+    assert right.select("key", hot).select(explode(salted[0])).count() == 20_000 + scale.SALTS - 1

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,16 @@ def test_cross_check_quotes_literals(spark):
     got = {r.pattern_id: r.n_templates for r in templates.cross_check(
         mined.dictionary, {"P1": "a.b (c)[*]", "P2": "[*](c)[*]"}).collect()}
     assert got == {"P1": 1, "P2": 2}
+
+
+def test_unlike_signatures_of_a_leaf_are_looked_up(monkeypatch):
+    """Signatures that are alike in common words only meet few templates each, and find the same ones as by comparing all."""
+    rng = random.Random(5)
+    tokens = [[f"w{i}_{rng.randrange(3 if i < 3 else 900)}" for i in range(12)] for _ in range(4_000)]
+    codes = templates._token_codes(np.concatenate(tokens)).reshape(4_000, 12)
+    wild = int(templates._token_codes([C.WILDCARD])[0])
+    leaf, whole = (templates._Leaf(0.4, wild, 12) for _ in range(2))
+    found = leaf.add(tokens, codes, [None] * 4_000)
+    monkeypatch.setattr(templates, "TAIL", 1 << 40)
+    assert whole.add(tokens, codes, [None] * 4_000) == found and leaf.texts == whole.texts
+    assert leaf.compared < whole.compared / 5
