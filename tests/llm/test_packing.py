@@ -110,3 +110,20 @@ def test_only_longer_documents_are_cut(spark, capacity):
     rows = spark.createDataFrame([(1, "a " * 15), (2, "a " * 16)], "doc_id long, text string")
     out = packing.cut_pieces(rows, PATH, capacity=capacity).groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in out} == {1: 1, 2: 2 if capacity == 16 else 1}
+
+
+def test_a_full_memory_keeps_the_words_met_again(monkeypatch):
+    import pyarrow as pa
+
+    from blocklens.llm import pieces
+
+    monkeypatch.setattr(pieces, "MEMORY", 60)
+    tool, learnt = pieces.WordTokenizer(PATH), []
+    learn = tool.learn
+    monkeypatch.setattr(tool, "learn", lambda words: learnt.extend(words) or learn(words))
+    for k in range(30):
+        text = " ".join([f"often{'abcdefghij'[i]}" for i in range(10)] + [f"once{chr(97 + k % 26)}{chr(97 + i)}{k}" for i in range(20)])
+        ids, _ = tool.encode(pa.array([text, None, text]))
+        assert ids.tolist() == whole([text])[0][:-1] * 2
+    assert len(learnt) == len(set(learnt)) == 10 + 30 * 20
+    assert len(tool.known) <= 60
