@@ -14,8 +14,6 @@ components that shares a table is met once, under the first hash of the first co
 that it shares, so every such pair is confirmed, refused or already connected.
 """
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blocklens.functions.scale import checkpointed
-from blocklens.llm.words import lean, mixed, slices, split_words, text_numbers
+from blocklens.llm.words import lean, mixed, release, slices, split_words, text_numbers
 
 SIDE, ROWS = 12, 3
 FILTER_BITS = 1 << 23
@@ -245,6 +243,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("nid", "comp")
         if not changed:
             return labels
+        release(links.sparkSession)
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -255,7 +254,7 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     ends = ends.join(labels.select(F.col("nid").alias("b"), F.col("comp").alias("y")), "b")
     merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
     merged = merged.select(F.col("nid").alias("comp"), F.col("comp").alias("_to"))
-    release(labels)
+    release(labels.sparkSession)
     return checkpointed(labels.join(merged, "comp", "left").select("nid", F.coalesce("_to", "comp").alias("comp")))
 
 
@@ -273,12 +272,6 @@ def outside(inside: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return checkpointed(tagged.join(tables, "key").filter("comp <> main").select("key", "nid", *hubs))
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark remove shuffle files and checkpoints of steps that are over, and the driver their plans."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Labels once every pair that shares a table is confirmed, refused or connected.
 
@@ -294,6 +287,7 @@ def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, held: Data
     by_comp = keys.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("nid"))
     tables = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("nodes"), F.min("nid").alias("a"), F.max("nid").alias("b"))
     tables = checkpointed(tables.filter("comps > 1"))
+    release(nodes.sparkSession)
     inside = checkpointed(keys.join(tables.filter("nodes > 2").select("key"), "key").select("key", "nid"))
     # One pair for a table of two, so no more pairs than tables; their links join with those of the first turn.
     twos = tables.filter("nodes = 2").select("a", "b").distinct().join(held, ["a", "b"], "left_anti")
@@ -301,6 +295,7 @@ def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, held: Data
     while True:
         rest = outside(inside, labels, turn)
         left = rest.count()
+        release(nodes.sparkSession)
         if not left:
             return labels if turn else joined(labels, checkpointed(confirmed(twos, sets, percent)))
         if before is not None and left > SLOW * before:
@@ -311,8 +306,9 @@ def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, held: Data
         best = best if turn else best.union(twos).distinct()
         labels = joined(labels, checkpointed(confirmed(best, sets, percent)))
         before, turn = left, turn + 1
-        release(nodes)
+        release(nodes.sparkSession)
     pairs = checkpointed(possible_pairs(nodes, rest, inside, labels, sets, percent))
+    release(nodes.sparkSession)
     return joined(labels, checkpointed(confirmed(pairs, sets, percent)))
 
 
@@ -390,6 +386,7 @@ def possible_pairs(nodes: DataFrame, rest: DataFrame, inside: DataFrame, labels:
     sizes = (there.join(sizes, "nid").select("nid", "comp", "size", (F.col("size") - F.coalesce("few", F.lit(0))).alias("common")))
     out = rest.select("nid").distinct().withColumn("out", F.lit(True))
     sizes = checkpointed(sizes.join(out, "nid", "left").withColumn("out", F.coalesce("out", F.lit(False))))
+    release(nodes.sparkSession)
 
     def side(rows, name, *keep):
         return rows.select(*keep, *[F.col(c).alias(f"{name}_{c}") for c in ("nid", "comp", "size", "common", "out")])
@@ -409,6 +406,7 @@ def possible_pairs(nodes: DataFrame, rest: DataFrame, inside: DataFrame, labels:
     # they share a hash of each collection; they meet under the first of the first collection, once.
     bits = parities(sets.join(there.select("nid"), "nid", "left_semi"))
     held = checkpointed(sizes.join(sigs, "nid").join(bits, "nid"))
+    release(nodes.sparkSession)
     keep = ["nid", "comp", "size", "common", "out", *[f"p{k}" for k in range(WORDS)]]
     x, y = first_hashes(held.filter("out"), "x", keep), first_hashes(held, "y", keep)
     same = lambda k: F.col(f"x_s{k}") == F.col(f"y_s{k}")
@@ -441,7 +439,7 @@ def group(df: DataFrame, id_col="doc_id", text="text", width=5, percent=80) -> D
     total = nodes.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * SIDE * SIDE // TASK_KEYS))
     candidates = checkpointed(stars(nodes, parts))
-    release(df)
+    release(spark)
     best = candidates.groupBy("nid").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     first = best.select(F.col("pivot").alias("a"), F.col("nid").alias("b"))
     wanted = candidates.select("nid").union(candidates.select("pivot")).distinct().join(nodes.select("nid", "node"), "nid")
@@ -449,7 +447,7 @@ def group(df: DataFrame, id_col="doc_id", text="text", width=5, percent=80) -> D
     low = wanted.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("low"))
     found = full_sets(df, text, width, bit_filter(low, "low")).groupBy("node").agg(F.first("full").alias("full"))
     sets = checkpointed(found.join(wanted.select("node", "nid"), "node").select("nid", "full"))
-    release(df)
+    release(spark)
     ids = wanted.select("nid", F.col("nid").alias("comp"))
     labels = joined(ids, checkpointed(confirmed(first, sets, percent)))
     labels = mixed_links(nodes, sets, labels, first, percent)

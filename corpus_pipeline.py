@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blocklens.llm import language, linededup, neardup, packing, quality
 from blocklens.llm.queries import QUALITY_THRESHOLD, shared_folder, table
-from blocklens.llm.words import free_name, held_out
+from blocklens.llm.words import free_name, held_out, release
 from blocklens.session import ship_package
 
 #: The part of a text's n-grams that its language must hold; the number of languages plays no part.
@@ -83,4 +83,5 @@ def run(spark, sf_dir):
         path = shared_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark)
     return docs

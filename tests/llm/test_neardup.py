@@ -141,3 +141,12 @@ def test_links_found_in_tables_of_two(spark):
                 rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((a, b, c))]
     got = found(spark.createDataFrame(rows, "doc_id long, text string"), width=2)[0]
     assert got == brute(rows, 2)
+
+
+def test_rounds_of_components_give_the_drivers_memory_back(spark, monkeypatch):
+    """A chain takes several rounds; the plans and code of each are released before the next one."""
+    rounds = []
+    monkeypatch.setattr(neardup, "release", lambda spark: rounds.append(spark))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {(r.nid, r.comp) for r in neardup.components(chain).collect()} == {(i, 0) for i in range(41)}
+    assert len(rounds) >= 3
