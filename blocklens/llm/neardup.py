@@ -36,6 +36,22 @@ RARE = 8
 BLOCK = 4 << 20
 #: Rows of keys that one task sorts in memory.
 TASK_KEYS = 2_000_000
+#: Partitions for each core that small steps are strung to.
+FILES = 4
+
+
+def strung(df: DataFrame) -> DataFrame:
+    """``df`` in at most ``FILES`` partitions for each core, strung together without a shuffle.
+
+    Steps here are many and mostly small: starting Python on a partition, or writing and reading
+    a file of it, costs more than its rows do. A task works through its partitions one after the other.
+    """
+    return df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in few files: a checkpoint has one for each partition, and its readers a task for each."""
+    return checkpointed(strung(df))
 
 
 def word_numbers(distinct: pa.Array) -> np.ndarray:
@@ -123,7 +139,7 @@ def table_keys(nodes: DataFrame) -> DataFrame:
         for made in key_batches(batches, ["comp"]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "nid", "comp"])
 
-    return nodes.select("nid", "sig", "comp").mapInArrow(lean(run), "key long, nid long, comp long")
+    return strung(nodes.select("nid", "sig", "comp")).mapInArrow(lean(run), "key long, nid long, comp long")
 
 
 def stars(nodes: DataFrame, parts: int) -> DataFrame:
@@ -222,7 +238,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * common >= percent * (len(merged) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(lean(run), "a long, b long")
+    return strung(both).mapInArrow(lean(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -232,13 +248,13 @@ def components(links: DataFrame) -> DataFrame:
     label; rounds are stored, and end when nothing changes.
     """
     links = links.filter("a <> b")
-    edges = checkpointed(links.union(links.select("b", "a")).distinct())
-    labels = checkpointed(edges.groupBy(F.col("a").alias("nid")).agg(F.least(F.col("nid"), F.min("b")).alias("comp")))
+    edges = kept(links.union(links.select("b", "a")).distinct())
+    labels = kept(edges.groupBy(F.col("a").alias("nid")).agg(F.least(F.col("nid"), F.min("b")).alias("comp")))
     while True:
         near = edges.join(labels.withColumnRenamed("nid", "b"), "b").groupBy(F.col("a").alias("nid")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "nid").select("nid", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
         jump = labels.select(F.col("nid").alias("mid"), F.col("comp").alias("far"))
-        step = checkpointed(step.join(jump, "mid", "left").select("nid", "old", F.least("mid", "far").alias("comp")))
+        step = kept(step.join(jump, "mid", "left").select("nid", "old", F.least("mid", "far").alias("comp")))
         changed = step.filter("old <> comp").head(1)
         labels = step.select("nid", "comp")
         if not changed:
@@ -255,7 +271,7 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
     merged = merged.select(F.col("nid").alias("comp"), F.col("comp").alias("_to"))
     release(labels.sparkSession)
-    return checkpointed(labels.join(merged, "comp", "left").select("nid", F.coalesce("_to", "comp").alias("comp")))
+    return kept(labels.join(merged, "comp", "left").select("nid", F.coalesce("_to", "comp").alias("comp")))
 
 
 def outside(inside: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -269,7 +285,7 @@ def outside(inside: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     by_comp = tagged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + k), "nid").alias("h"), "nid")).alias(h) for k, h in enumerate(hubs)])
     tables = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp", *[F.col(h).nid.alias(h) for h in hubs])).alias("top"))
     tables = tables.filter("comps > 1").select("key", F.col("top.comp").alias("main"), *[f"top.{h}" for h in hubs])
-    return checkpointed(tagged.join(tables, "key").filter("comp <> main").select("key", "nid", *hubs))
+    return kept(tagged.join(tables, "key").filter("comp <> main").select("key", "nid", *hubs))
 
 
 def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -286,9 +302,9 @@ def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, held: Data
     keys = table_keys(nodes.join(labels, "nid"))
     by_comp = keys.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("nid"))
     tables = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("nodes"), F.min("nid").alias("a"), F.max("nid").alias("b"))
-    tables = checkpointed(tables.filter("comps > 1"))
+    tables = kept(tables.filter("comps > 1"))
     release(nodes.sparkSession)
-    inside = checkpointed(keys.join(tables.filter("nodes > 2").select("key"), "key").select("key", "nid"))
+    inside = kept(keys.join(tables.filter("nodes > 2").select("key"), "key").select("key", "nid"))
     # One pair for a table of two, so no more pairs than tables; their links join with those of the first turn.
     twos = tables.filter("nodes = 2").select("a", "b").distinct().join(held, ["a", "b"], "left_anti")
     before, turn = None, 0
@@ -297,19 +313,19 @@ def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, held: Data
         left = rest.count()
         release(nodes.sparkSession)
         if not left:
-            return labels if turn else joined(labels, checkpointed(confirmed(twos, sets, percent)))
+            return labels if turn else joined(labels, kept(confirmed(twos, sets, percent)))
         if before is not None and left > SLOW * before:
             break
         # Of each kind of hub the one that a node shares most tables with: HUBS pairs for a node.
         most = rest.groupBy("nid").agg(*[F.mode(f"h{k}").alias(f"h{k}") for k in range(HUBS)])
         best = most.select(F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)]))).alias("a"), F.col("nid").alias("b"))
         best = best if turn else best.union(twos).distinct()
-        labels = joined(labels, checkpointed(confirmed(best, sets, percent)))
+        labels = joined(labels, kept(confirmed(best, sets, percent)))
         before, turn = left, turn + 1
         release(nodes.sparkSession)
-    pairs = checkpointed(possible_pairs(nodes, rest, inside, labels, sets, percent))
+    pairs = kept(possible_pairs(nodes, rest, inside, labels, sets, percent))
     release(nodes.sparkSession)
-    return joined(labels, checkpointed(confirmed(pairs, sets, percent)))
+    return joined(labels, kept(confirmed(pairs, sets, percent)))
 
 
 def items_of(sets: DataFrame) -> DataFrame:
@@ -323,7 +339,7 @@ def items_of(sets: DataFrame) -> DataFrame:
                 nid = np.repeat(part.column("nid").to_numpy(), [len(x) for x in full])
                 yield pa.RecordBatch.from_arrays([pa.array(nid), pa.array(np.concatenate(full))], names=["nid", "item"])
 
-    return sets.select("nid", "full").mapInArrow(lean(run), "nid long, item long")
+    return strung(sets.select("nid", "full")).mapInArrow(lean(run), "nid long, item long")
 
 
 def parities(sets: DataFrame) -> DataFrame:
@@ -345,7 +361,7 @@ def parities(sets: DataFrame) -> DataFrame:
                 words = np.packbits(odd.reshape(len(full), -1), axis=1, bitorder="little").view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("nid"), *[pa.array(words[:, k].copy()) for k in range(WORDS)]], names=names)
 
-    return sets.select("nid", "full").mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
+    return strung(sets.select("nid", "full")).mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
 
 
 def first_hashes(nodes: DataFrame, name: str, keep, side=SIDE) -> DataFrame:
@@ -378,14 +394,14 @@ def possible_pairs(nodes: DataFrame, rest: DataFrame, inside: DataFrame, labels:
     """
     sigs = nodes.select("nid", "sig")
     near = inside.join(rest.select("key").distinct(), "key")
-    there = checkpointed(near.select("nid").distinct().join(labels, "nid"))
-    items = checkpointed(items_of(sets.join(there.select("nid"), "nid", "left_semi")))
+    there = kept(near.select("nid").distinct().join(labels, "nid"))
+    items = kept(items_of(sets.join(there.select("nid"), "nid", "left_semi")))
     counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    rare = checkpointed(items.join(counts.filter(F.col("n") <= RARE), "item"))
+    rare = kept(items.join(counts.filter(F.col("n") <= RARE), "item"))
     sizes = items.groupBy("nid").agg(F.count(F.lit(1)).alias("size")).join(rare.groupBy("nid").agg(F.count(F.lit(1)).alias("few")), "nid", "left")
     sizes = (there.join(sizes, "nid").select("nid", "comp", "size", (F.col("size") - F.coalesce("few", F.lit(0))).alias("common")))
     out = rest.select("nid").distinct().withColumn("out", F.lit(True))
-    sizes = checkpointed(sizes.join(out, "nid", "left").withColumn("out", F.coalesce("out", F.lit(False))))
+    sizes = kept(sizes.join(out, "nid", "left").withColumn("out", F.coalesce("out", F.lit(False))))
     release(nodes.sparkSession)
 
     def side(rows, name, *keep):
@@ -405,7 +421,7 @@ def possible_pairs(nodes: DataFrame, rest: DataFrame, inside: DataFrame, labels:
     # Sharing a table, and common shingles enough for the threshold. Two nodes share a table if
     # they share a hash of each collection; they meet under the first of the first collection, once.
     bits = parities(sets.join(there.select("nid"), "nid", "left_semi"))
-    held = checkpointed(sizes.join(sigs, "nid").join(bits, "nid"))
+    held = kept(sizes.join(sigs, "nid").join(bits, "nid"))
     release(nodes.sparkSession)
     keep = ["nid", "comp", "size", "common", "out", *[f"p{k}" for k in range(WORDS)]]
     x, y = first_hashes(held.filter("out"), "x", keep), first_hashes(held, "y", keep)
@@ -435,24 +451,24 @@ def group(df: DataFrame, id_col="doc_id", text="text", width=5, percent=80) -> D
     rows = checkpointed(signed(df, text, width, id_col))
     # One row per distinct set; nid is fixed by the stored table.
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig"))
-    nodes = checkpointed(nodes.withColumn("nid", F.monotonically_increasing_id()))
+    nodes = kept(nodes.withColumn("nid", F.monotonically_increasing_id()))
     total = nodes.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * SIDE * SIDE // TASK_KEYS))
-    candidates = checkpointed(stars(nodes, parts))
+    candidates = kept(stars(nodes, parts))
     release(spark)
     best = candidates.groupBy("nid").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     first = best.select(F.col("pivot").alias("a"), F.col("nid").alias("b"))
     wanted = candidates.select("nid").union(candidates.select("pivot")).distinct().join(nodes.select("nid", "node"), "nid")
-    wanted = checkpointed(wanted)
+    wanted = kept(wanted)
     low = wanted.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("low"))
     found = full_sets(df, text, width, bit_filter(low, "low")).groupBy("node").agg(F.first("full").alias("full"))
-    sets = checkpointed(found.join(wanted.select("node", "nid"), "node").select("nid", "full"))
+    sets = kept(found.join(wanted.select("node", "nid"), "node").select("nid", "full"))
     release(spark)
     ids = wanted.select("nid", F.col("nid").alias("comp"))
-    labels = joined(ids, checkpointed(confirmed(first, sets, percent)))
+    labels = joined(ids, kept(confirmed(first, sets, percent)))
     labels = mixed_links(nodes, sets, labels, first, percent)
     final = nodes.join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     least = final.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    by_node = checkpointed(final.join(least, "comp").select("node", "component_id"))
+    by_node = kept(final.join(least, "comp").select("node", "component_id"))
     out = rows.join(by_node, "node", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))

@@ -150,3 +150,35 @@ def test_rounds_of_components_give_the_drivers_memory_back(spark, monkeypatch):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {(r.nid, r.comp) for r in neardup.components(chain).collect()} == {(i, 0) for i in range(41)}
     assert len(rounds) >= 3
+
+
+def test_small_steps_are_strung_to_few_partitions(spark):
+    """However many partitions shuffles have, a stored step has a few files for each core and Python starts a few times for each."""
+    most = neardup.FILES * spark.sparkContext.defaultParallelism
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 2 * most)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        links = spark.createDataFrame([(i, i + 1) for i in range(0, 400, 2)], "a long, b long")
+        labels = neardup.components(links)
+        assert labels.rdd.getNumPartitions() <= most and labels.filter("comp <> nid - nid % 2").count() == 0
+        sets = spark.range(402).selectExpr("id AS nid", "cast(concat('shingle', lpad(id - id % 2, 9, '0')) AS binary) AS full")
+        found = neardup.confirmed(links.repartition(2 * most, "a"), sets, 80)
+        assert found.count() == 200 and found.rdd.getNumPartitions() <= most
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_workers_that_have_not_grown_go_on_at_once(monkeypatch):
+    from blocklens.llm import words
+
+    size, times = [100 << 20], []
+    monkeypatch.setattr(words, "resident", lambda: size[0])
+    monkeypatch.setattr(words, "give_back", lambda: times.append(size[0]))
+    monkeypatch.setattr(words, "_settled", [])
+    task = words.lean(lambda batches: iter(batches))
+    for now in (100, 100, 110, 130, 130, 140, 160):
+        size[0] = now << 20
+        assert list(task([1, 2])) == [1, 2]
+    assert times == [x << 20 for x in (100, 130, 160)]
