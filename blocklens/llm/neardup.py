@@ -50,8 +50,13 @@ def strung(df: DataFrame) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in few files: a checkpoint has one for each partition, and its readers a task for each."""
-    return checkpointed(strung(df))
+    """``df`` checkpointed in few files: a checkpoint has one for each partition, and its readers a task for each.
+
+    The driver's memory of the step is given back at once, as the next one would add to it.
+    """
+    out = checkpointed(strung(df))
+    release(df.sparkSession)
+    return out
 
 
 def word_numbers(distinct: pa.Array) -> np.ndarray:
@@ -245,21 +250,21 @@ def components(links: DataFrame) -> DataFrame:
     """(nid, comp): smallest node reachable over ``links`` (a, b); nodes without links are left out.
 
     Every round a node takes the smallest label of its neighbours and then the label of its
-    label; rounds are stored, and end when nothing changes.
+    label; rounds are stored, and end when nothing changes. A node is a neighbour of itself, so
+    one join tells its own label and those of the others.
     """
-    links = links.filter("a <> b")
-    edges = kept(links.union(links.select("b", "a")).distinct())
-    labels = kept(edges.groupBy(F.col("a").alias("nid")).agg(F.least(F.col("nid"), F.min("b")).alias("comp")))
+    ways = [F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"]
+    edges = kept(links.filter("a <> b").select(F.inline(F.array(*ways))).distinct())
+    labels = kept(edges.groupBy(F.col("a").alias("nid")).agg(F.min("b").alias("comp")))
     while True:
-        near = edges.join(labels.withColumnRenamed("nid", "b"), "b").groupBy(F.col("a").alias("nid")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "nid").select("nid", F.col("comp").alias("old"), F.least("comp", "near").alias("mid"))
+        own = F.max(F.when(F.col("a") == F.col("b"), F.col("comp"))).alias("old")
+        step = edges.join(labels.withColumnRenamed("nid", "b"), "b").groupBy(F.col("a").alias("nid")).agg(own, F.min("comp").alias("mid"))
         jump = labels.select(F.col("nid").alias("mid"), F.col("comp").alias("far"))
         step = kept(step.join(jump, "mid", "left").select("nid", "old", F.least("mid", "far").alias("comp")))
         changed = step.filter("old <> comp").head(1)
         labels = step.select("nid", "comp")
         if not changed:
             return labels
-        release(links.sparkSession)
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -270,7 +275,6 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     ends = ends.join(labels.select(F.col("nid").alias("b"), F.col("comp").alias("y")), "b")
     merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
     merged = merged.select(F.col("nid").alias("comp"), F.col("comp").alias("_to"))
-    release(labels.sparkSession)
     return kept(labels.join(merged, "comp", "left").select("nid", F.coalesce("_to", "comp").alias("comp")))
 
 
@@ -303,7 +307,6 @@ def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, held: Data
     by_comp = keys.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("nid"))
     tables = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("nodes"), F.min("nid").alias("a"), F.max("nid").alias("b"))
     tables = kept(tables.filter("comps > 1"))
-    release(nodes.sparkSession)
     inside = kept(keys.join(tables.filter("nodes > 2").select("key"), "key").select("key", "nid"))
     # One pair for a table of two, so no more pairs than tables; their links join with those of the first turn.
     twos = tables.filter("nodes = 2").select("a", "b").distinct().join(held, ["a", "b"], "left_anti")
@@ -311,7 +314,6 @@ def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, held: Data
     while True:
         rest = outside(inside, labels, turn)
         left = rest.count()
-        release(nodes.sparkSession)
         if not left:
             return labels if turn else joined(labels, kept(confirmed(twos, sets, percent)))
         if before is not None and left > SLOW * before:
@@ -322,9 +324,7 @@ def mixed_links(nodes: DataFrame, sets: DataFrame, labels: DataFrame, held: Data
         best = best if turn else best.union(twos).distinct()
         labels = joined(labels, kept(confirmed(best, sets, percent)))
         before, turn = left, turn + 1
-        release(nodes.sparkSession)
     pairs = kept(possible_pairs(nodes, rest, inside, labels, sets, percent))
-    release(nodes.sparkSession)
     return joined(labels, kept(confirmed(pairs, sets, percent)))
 
 
@@ -402,7 +402,6 @@ def possible_pairs(nodes: DataFrame, rest: DataFrame, inside: DataFrame, labels:
     sizes = (there.join(sizes, "nid").select("nid", "comp", "size", (F.col("size") - F.coalesce("few", F.lit(0))).alias("common")))
     out = rest.select("nid").distinct().withColumn("out", F.lit(True))
     sizes = kept(sizes.join(out, "nid", "left").withColumn("out", F.coalesce("out", F.lit(False))))
-    release(nodes.sparkSession)
 
     def side(rows, name, *keep):
         return rows.select(*keep, *[F.col(c).alias(f"{name}_{c}") for c in ("nid", "comp", "size", "common", "out")])
@@ -422,7 +421,6 @@ def possible_pairs(nodes: DataFrame, rest: DataFrame, inside: DataFrame, labels:
     # they share a hash of each collection; they meet under the first of the first collection, once.
     bits = parities(sets.join(there.select("nid"), "nid", "left_semi"))
     held = kept(sizes.join(sigs, "nid").join(bits, "nid"))
-    release(nodes.sparkSession)
     keep = ["nid", "comp", "size", "common", "out", *[f"p{k}" for k in range(WORDS)]]
     x, y = first_hashes(held.filter("out"), "x", keep), first_hashes(held, "y", keep)
     same = lambda k: F.col(f"x_s{k}") == F.col(f"y_s{k}")
@@ -455,7 +453,6 @@ def group(df: DataFrame, id_col="doc_id", text="text", width=5, percent=80) -> D
     total = nodes.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * SIDE * SIDE // TASK_KEYS))
     candidates = kept(stars(nodes, parts))
-    release(spark)
     best = candidates.groupBy("nid").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     first = best.select(F.col("pivot").alias("a"), F.col("nid").alias("b"))
     wanted = candidates.select("nid").union(candidates.select("pivot")).distinct().join(nodes.select("nid", "node"), "nid")
@@ -463,7 +460,6 @@ def group(df: DataFrame, id_col="doc_id", text="text", width=5, percent=80) -> D
     low = wanted.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("low"))
     found = full_sets(df, text, width, bit_filter(low, "low")).groupBy("node").agg(F.first("full").alias("full"))
     sets = kept(found.join(wanted.select("node", "nid"), "node").select("nid", "full"))
-    release(spark)
     ids = wanted.select("nid", F.col("nid").alias("comp"))
     labels = joined(ids, kept(confirmed(first, sets, percent)))
     labels = mixed_links(nodes, sets, labels, first, percent)

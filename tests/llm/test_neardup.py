@@ -182,3 +182,15 @@ def test_workers_that_have_not_grown_go_on_at_once(monkeypatch):
         size[0] = now << 20
         assert list(task([1, 2])) == [1, 2]
     assert times == [x << 20 for x in (100, 130, 160)]
+
+
+def test_a_stored_step_gives_the_drivers_memory_back_before_the_next_one(spark, monkeypatch):
+    """Links of a long chain take many rounds; none of their steps is stored while memory of the one before is held."""
+    events = []
+    store, release = neardup.checkpointed, neardup.release
+    monkeypatch.setattr(neardup, "checkpointed", lambda df: (events.append("stored"), store(df))[1])
+    monkeypatch.setattr(neardup, "release", lambda s: (events.append("released"), release(s))[1])
+    links = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(7, 7), (100, 90)], "a long, b long")
+    labels = neardup.components(links).collect()
+    assert sorted((r["nid"], r["comp"]) for r in labels) == [(k, 0) for k in range(41)] + [(90, 90), (100, 90)]
+    assert len(events) > 6 and events == ["stored", "released"] * (len(events) // 2)
