@@ -104,11 +104,12 @@ def shards(docs: DataFrame, path: str, text="text", keep=()) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
-def encoded(local: DataFrame, path: str) -> DataFrame:
+def encoded(local: DataFrame, path: str, hashed=F.xxhash64) -> DataFrame:
     """Number all distinct words of all shards and write two kinds of rows to ``path``: dictionary and listing.
 
-    The word lists are dealt out by word and sorted, so a word's rows follow each other and
-    equal words get one number: (part, rank). Dictionary rows have word, part and rank;
+    The word lists are dealt out by word and sorted by a 64-bit hash, which takes no comparisons
+    of words, so a word's rows lie together and equal words get one number: (part, rank). Words
+    that share a hash are told apart by themselves. Dictionary rows have word, part and rank;
     listing rows have, for a shard, the places (at) in its word list that this part numbered
     and their ranks. A word is there once for a shard, so the most frequent one has no more
     rows than there are shards.
@@ -118,7 +119,9 @@ def encoded(local: DataFrame, path: str) -> DataFrame:
     names = ["part", "word", "rank", "shard", "at", "ranks"]
 
     def number(batches):
-        part, last, total, held, size = TaskContext.get().partitionId(), None, 0, [], 0
+        part, held, size = TaskContext.get().partitionId(), [], 0
+        # The hash that came last, the words with it and their numbers; how many words are numbered.
+        last, same, total = None, {}, 0
 
         def table(word=None, rank=None, shard=None, at=None, ranks=None):
             n = len(word if shard is None else shard)
@@ -136,12 +139,19 @@ def encoded(local: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            word = batch.column("word")
-            new = np.ones(batch.num_rows, bool)
-            new[1:] = pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)
-            new[0] = word[0].as_py() != last
-            rank = total + np.cumsum(new) - 1
-            last, total = word[-1].as_py(), int(rank[-1]) + 1
+            word, key = batch.column("word"), batch.column("hash").to_numpy()
+            new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
+            mixed = bool(pc.any(pc.and_(pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)), pa.array(~new[1:]))).as_py())
+            if mixed or not new[0] and list(same) != [word[0].as_py()]:
+                rank = np.zeros(len(key), np.int64)
+                for i, (k, w) in enumerate(zip(key.tolist(), word.to_pylist())):
+                    last, same = k, same if k == last else {}
+                    new[i] = w not in same
+                    total += new[i]
+                    rank[i] = same.setdefault(w, total - 1)
+            else:
+                rank = total + np.cumsum(new) - 1
+                last, same, total = key[-1], {word[-1].as_py(): rank[-1]}, int(rank[-1]) + 1
             yield table(word=word.filter(pa.array(new)), rank=pa.array(rank[new]))
             held.append((batch.column("shard").to_numpy(), batch.column("at").to_numpy(), rank))
             size += batch.num_rows
@@ -151,7 +161,7 @@ def encoded(local: DataFrame, path: str) -> DataFrame:
         if held:
             yield listing()
 
-    dealt = local.select("shard", F.posexplode("words").alias("at", "word")).repartition(parts, "word").sortWithinPartitions("word")
+    dealt = local.select("shard", F.posexplode("words").alias("at", "word")).repartition(parts, "word").withColumn("hash", hashed("word")).sortWithinPartitions("hash")
     dealt.mapInArrow(number, "part int, word string, rank long, shard long, at binary, ranks binary").write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 

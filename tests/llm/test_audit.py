@@ -94,3 +94,25 @@ def test_matrix_is_the_document_term_matrix(spark, documents, folder):
             assert got == Counter(re.findall(r"[^\x20\x09-\x0D]+", texts[row["doc_id"]]))
             seen += 1
     assert seen == len(texts)
+
+
+@pytest.mark.parametrize("hashed", ["length", "xxhash64"])
+def test_words_that_share_a_hash_get_numbers_of_their_own(spark, folder, hashed):
+    """Word lists are sorted by a hash, not by words; with lengths as hashes nearly all words share one, across batches too."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    lists = [(k, rng.sample([f"w{i}" for i in range(3000)], 900)) for k in range(30)]
+    local = spark.createDataFrame(lists, "shard long, words array<string>")
+    found = audit.encoded(local, f"{folder}/{hashed}", lambda c: getattr(F, hashed)(c).cast("long")).collect()
+    words = {(r["part"], r["rank"]): r["word"] for r in found if r["word"] is not None}
+    every = {w for _, ws in lists for w in ws}
+    assert sorted(words.values()) == sorted(every) and len(words) == len(every)
+    for part in {p for p, _ in words}:
+        assert sorted(r for p, r in words if p == part) == list(range(sum(p == part for p, _ in words)))
+    listed = {}
+    for r in found:
+        if r["shard"] is not None:
+            for at, rank in zip(np.frombuffer(r["at"], "<u4"), np.frombuffer(r["ranks"], "<u4")):
+                listed[r["shard"], int(at)] = words[r["part"], int(rank)]
+    assert listed == {(k, i): w for k, ws in lists for i, w in enumerate(ws)}
