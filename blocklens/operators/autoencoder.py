@@ -107,15 +107,19 @@ def _gradient(x, flat, shapes):
     return float(np.mean((y - x) ** 2)), np.concatenate(grads[::-1])
 
 
-def _columns(batches, width: int):
-    """x and batch number of all rows of a task."""
-    x, number = [np.zeros((0, width))], [np.zeros(0, np.int64)]
+def _columns(batches, width: int, most: int = 0):
+    """x and batch number of all rows of a task, each row held once; ``most`` rows are expected at most, more are taken too."""
+    x, number, n = np.empty((most, width)), np.empty(most, np.int64), 0
     for b in batches:
-        if b.num_rows:
-            dense = "cells" not in b.schema.names
-            x.append(b.column("x").flatten().to_numpy().reshape(-1, width) if dense else dense_rows(b.column("cells"), width))
-            number.append(b.column("batch").to_numpy())
-    return np.concatenate(x), np.concatenate(number)
+        if not b.num_rows:
+            continue
+        if n + b.num_rows > len(x):
+            x, number = (np.concatenate([v[:n], np.empty((max(n, b.num_rows), *v.shape[1:]), v.dtype)]) for v in (x, number))
+        dense = "cells" not in b.schema.names
+        x[n : n + b.num_rows] = b.column("x").flatten().to_numpy().reshape(-1, width) if dense else dense_rows(b.column("cells"), width)
+        number[n : n + b.num_rows] = b.column("batch").to_numpy()
+        n += b.num_rows
+    return x[:n], number[:n]
 
 
 def _told(n, loss, numbers):
@@ -150,15 +154,18 @@ def _batch_sums(state, shapes, held: bool):
     return run
 
 
-def _whole_epoch(state, shapes, rate, order):
-    """All steps of an epoch over the rows of one task; the state they lead to."""
+def _whole_epoch(state, shapes, rate, order, most: int = 0):
+    """All steps of an epoch over the rows of one task, ``most`` of them at most; the state they lead to.
+
+    Rows stay where they came; a step takes those of its batch.
+    """
 
     def run(batches):
-        x, number = _columns(batches, shapes[0][0])
+        x, number = _columns(batches, shapes[0][0], most)
         place = np.argsort(number, kind="stable")
-        x, number, now, n, total = x[place], number[place], state, 0, 0.0
+        number, now, n, total = number[place], state, 0, 0.0
         for k in order:
-            some = x[slice(*np.searchsorted(number, [k, k + 1]))]
+            some = x[place[slice(*np.searchsorted(number, [k, k + 1]))]]
             if len(some):
                 loss, g = _gradient(some, now[: (len(now) - 1) // 3], shapes)
                 now, n, total = _update(now, g, rate), n + len(some), total + loss * len(some)
@@ -227,7 +234,7 @@ def fit_autoencoder(
         order = np.random.default_rng([seed, epoch]).permutation(steps)
         if not n_held or epoch < epochs:
             if whole:
-                told = training.coalesce(1).mapInArrow(_whole_epoch(state, shapes, rate, order), _TOLD).collect()
+                told = training.coalesce(1).mapInArrow(_whole_epoch(state, shapes, rate, order, total), _TOLD).collect()
                 n, loss, new_state = (told[0].n, told[0].loss, np.array(told[0].numbers)) if told else (0, 0.0, state)
             else:
                 n, loss, new_state = _stepwise_epoch(training, state, shapes, rate, order)

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -293,3 +294,32 @@ def test_alerts_are_dealt_to_all_tasks(spark):
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     sums = found.groupBy("block_id").agg(F.abs(F.first("base") + F.sum("phi") - F.first("f_x")).alias("gap"))
     assert sums.count() == 64 and sums.filter("gap > 1e-9").isEmpty()
+
+
+def test_an_epoch_in_one_task_holds_each_row_once():
+    """Memory of a task is that of its rows and a batch, not two or three copies of them; unannounced rows are taken too."""
+    import tracemalloc
+
+    n, width, rng = 60_000, 32, np.random.default_rng(3)
+    values, number = rng.random((n, width)), rng.integers(0, 240, n)
+
+    def batches():
+        for k in range(0, n, 2000):
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 2000 * width + 1, width), pa.int32()), pa.array(values[k : k + 2000].ravel()))
+            yield pa.RecordBatch.from_arrays([lists, pa.array(number[k : k + 2000])], names=["x", "batch"])
+
+    shapes = autoencoder.layer_shapes(width)
+    flat = autoencoder.initial_weights(shapes, 1)
+    state = np.concatenate([flat, np.zeros(2 * len(flat)), [0.0]])
+    order, expected = rng.permutation(240), state
+    for k in order:
+        _, g = autoencoder._gradient(values[number == k], expected[: len(flat)], shapes)
+        expected = autoencoder._update(expected, g, 0.01)
+    for most in (n, 0):
+        tracemalloc.start()
+        told = list(autoencoder._whole_epoch(state, shapes, 0.01, order, most)(batches()))[0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert told.column("n")[0].as_py() == n
+        assert np.allclose(told.column("numbers")[0].as_py(), expected, rtol=1e-9, atol=1e-12)
+        assert not most or peak < 1.5 * values.nbytes
