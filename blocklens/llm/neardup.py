@@ -14,6 +14,8 @@ components that shares a table is met once, under the first hash of the first co
 that it shares, so every such pair is confirmed, refused or already connected.
 """
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,10 +36,16 @@ WORDS = 16
 RARE = 8
 #: Text bytes worked on at a time.
 BLOCK = 4 << 20
+#: Shingles whose minhashes are made together, so that they stay in a core's cache.
+KEYS_AT_ONCE = 1 << 15
 #: Rows of keys that one task sorts in memory.
 TASK_KEYS = 2_000_000
 #: Partitions for each core that small steps are strung to.
 FILES = 4
+#: Links that one task connects in memory (16 MB); more are connected in rounds of joins.
+LOCAL_LINKS = 1 << 20
+#: The most bytes of a table that joins here may broadcast: the driver holds a few copies of each for a while.
+BROADCAST = 1 << 20
 
 
 def strung(df: DataFrame) -> DataFrame:
@@ -59,6 +67,20 @@ def kept(df: DataFrame) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_broadcasts(spark):
+    """Joins planned inside broadcast tables of at most ``BROADCAST`` bytes by themselves, or less where the session says so."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    bytes_of = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    try:
+        if not before.startswith("-") and bytes_of(before) > BROADCAST:
+            spark.conf.set(name, BROADCAST)
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def word_numbers(distinct: pa.Array) -> np.ndarray:
     """A 64-bit hash of each distinct word, A-Z lower-cased."""
     import pandas as pd
@@ -79,10 +101,10 @@ def shingles(texts: pa.Array, width: int):
     size = np.diff(starts)
     length = np.minimum(size, width)[doc]  # words in this text's shingles
     at = np.flatnonzero(np.arange(len(codes)) + length <= starts[1:][doc])
-    key = mixed(length[at].astype(np.uint64))
+    key, least = mixed(length[at].astype(np.uint64)), length[at].min()
     for k in range(width):
-        inside = k < length[at]
-        key = np.where(inside, mixed(key ^ word[np.minimum(at + k, len(word) - 1)], k + 1), key)
+        longer = mixed(key ^ word[np.minimum(at + k, len(word) - 1)], k + 1)
+        key = longer if k < least else np.where(k < length[at], longer, key)
     owner = doc[at]
     cuts = np.searchsorted(owner, np.arange(n + 1))
     own = [np.unique(key[a:b]) for a, b in zip(cuts, cuts[1:])]
@@ -93,10 +115,15 @@ def collections(keys: np.ndarray, starts: np.ndarray, side=SIDE, rows=ROWS) -> n
     """For every set 2 x ``side`` hashes, each of ``rows`` minhashes; sets must not be empty."""
     n = len(starts) - 1
     out = np.zeros((n, 2 * side), np.uint64)
-    for j in range(2 * side):
-        for r in range(rows):
-            low = np.minimum.reduceat(mixed(keys, 100 + j * rows + r), starts[:-1]) if n else out[:, j]
-            out[:, j] = mixed(out[:, j] ^ low, r)
+    # Some sets at a time, so that their keys stay in the cache for all hashes.
+    part = starts[:-1] // KEYS_AT_ONCE
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for first, end in zip([0, *cuts], [*cuts, n]) if n else ():
+        own, begin = keys[starts[first] : starts[end]], starts[first:end] - starts[first]
+        for j in range(2 * side):
+            for r in range(rows):
+                low = np.minimum.reduceat(mixed(own, 100 + j * rows + r), begin)
+                out[first:end, j] = mixed(out[first:end, j] ^ low, r)
     return out
 
 
@@ -147,6 +174,16 @@ def table_keys(nodes: DataFrame) -> DataFrame:
     return strung(nodes.select("nid", "sig", "comp")).mapInArrow(lean(run), "key long, nid long, comp long")
 
 
+def with_smallest(key: np.ndarray, nid: np.ndarray):
+    """Rows sorted by key, each with the smallest nid of its key."""
+    order = np.argsort(key)
+    key, nid = key[order], nid[order]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    if not len(key):
+        return key, nid, nid
+    return key, nid, np.repeat(np.minimum.reduceat(nid, begin), np.diff(np.append(begin, len(key))))
+
+
 def stars(nodes: DataFrame, parts: int) -> DataFrame:
     """(pivot, nid, n): each table's smallest node with each other one, and in how many tables.
 
@@ -156,13 +193,8 @@ def stars(nodes: DataFrame, parts: int) -> DataFrame:
 
     def local(batches):
         for key, nid in key_batches(batches):
-            order = np.lexsort((nid, key))
-            key, nid = key[order], nid[order]
-            head = np.concatenate([[True], key[1:] != key[:-1]])
-            pivot = nid[np.flatnonzero(head)][np.cumsum(head) - 1]
-            keep = head | (nid != pivot)
-            lead = pa.array(pivot[keep], mask=head[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(nid[keep]), lead], names=["key", "nid", "pivot"])
+            key, nid, pivot = with_smallest(key, nid)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nid), pa.array(pivot, mask=nid == pivot)], names=["key", "nid", "pivot"])
 
     def merge(batches):
         rows = [(b.column("key").to_numpy(), b.column("nid").to_numpy(), pc.fill_null(b.column("pivot"), -1).to_numpy()) for b in batches]
@@ -170,11 +202,9 @@ def stars(nodes: DataFrame, parts: int) -> DataFrame:
             return
         key, nid, pivot = (np.concatenate(x) for x in zip(*rows))
         star = pivot >= 0
-        order = np.lexsort((nid[~star], key[~star]))
-        key, node = key[~star][order], nid[~star][order]
-        head = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-        top = node[np.flatnonzero(head)][np.cumsum(head) - 1]
-        a, b = np.concatenate([pivot[star], top[~head]]), np.concatenate([nid[star], node[~head]])
+        key, node, top = with_smallest(key[~star], nid[~star])
+        other = node != top
+        a, b = np.concatenate([pivot[star], top[other]]), np.concatenate([nid[star], node[other]])
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
@@ -202,13 +232,15 @@ def bit_filter(ids: DataFrame, column: str):
     return bits
 
 
-def full_sets(df, text, width, wanted) -> DataFrame:
-    """(node, full): whole shingle sets of the documents whose node may be wanted."""
+def full_sets(df, text, width, id_col, wanted) -> DataFrame:
+    """(node, full): whole shingle sets of the documents whose id's hash may be wanted; the others' are not made again."""
     shared = df.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         bits = shared.value
         for batch in batches:
+            place = (mixed(batch.column("_id").to_numpy().view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+            batch = batch.filter(pa.array((bits[place >> 3] & (1 << (place & 7)).astype(np.uint8)) > 0))
             for part in slices(batch, "_text", BLOCK, tidy=True):
                 keys, starts = shingles(part.column("_text"), width)
                 begin = starts[:-1][np.diff(starts) > 0]
@@ -217,12 +249,10 @@ def full_sets(df, text, width, wanted) -> DataFrame:
                 ends = np.append(begin[1:], len(keys))
                 with np.errstate(over="ignore"):
                     low, high = np.add.reduceat(mixed(keys, 7), begin), np.add.reduceat(mixed(keys, 8), begin)
-                place = (mixed(low) % np.uint64(FILTER_BITS)).astype(np.int64)
-                hit = np.flatnonzero(bits[place >> 3] & (1 << (place & 7)).astype(np.uint8))
-                node = [int(low[i]).to_bytes(8, "big") + int(high[i]).to_bytes(8, "big") for i in hit]
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array([keys[begin[i] : ends[i]].tobytes() for i in hit], pa.binary())], names=["node", "full"])
+                node = [int(x).to_bytes(8, "big") + int(y).to_bytes(8, "big") for x, y in zip(low, high)]
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array([keys[x:y].tobytes() for x, y in zip(begin, ends)], pa.binary())], names=["node", "full"])
 
-    return df.select(F.col(text).alias("_text")).mapInArrow(lean(run), "node binary, full binary")
+    return df.select(F.xxhash64(id_col).alias("_id"), F.col(text).alias("_text")).mapInArrow(lean(run), "node binary, full binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -246,6 +276,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return strung(both).mapInArrow(lean(run), "a long, b long")
 
 
+def connected(a: np.ndarray, b: np.ndarray):
+    """The nodes of the links (a, b), sorted, and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        # Of two labels that meet the larger one's node takes the smaller; then labels are followed to their ends.
+        x, y = low[a], low[b]
+        if (x == y).all():
+            return nodes, nodes[low]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(low, low[low]):
+            low = low[low]
+
+
+def few_components(links: DataFrame) -> DataFrame:
+    """What ``components`` returns, made by one task: for links that fit its memory."""
+
+    def run(batches):
+        rows = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in connected(*(np.concatenate(x) for x in zip(*rows)))], names=["nid", "comp"])
+
+    return kept(links.filter("a <> b").select("a", "b").coalesce(1).mapInArrow(lean(run), "nid long, comp long"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(nid, comp): smallest node reachable over ``links`` (a, b); nodes without links are left out.
 
@@ -268,12 +324,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after the components that ``links`` (stored) connect have become one."""
-    if not links.head(1):
+    """Labels after the components that ``links`` (stored) connect have become one.
+
+    Up to ``LOCAL_LINKS`` links are connected by one task: a few jobs instead of some for each round.
+    """
+    n = links.count()
+    if not n:
         return labels
     ends = links.join(labels.select(F.col("nid").alias("a"), F.col("comp").alias("x")), "a")
     ends = ends.join(labels.select(F.col("nid").alias("b"), F.col("comp").alias("y")), "b")
-    merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    connect = few_components if n <= LOCAL_LINKS else components
+    merged = connect(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
     merged = merged.select(F.col("nid").alias("comp"), F.col("comp").alias("_to"))
     return kept(labels.join(merged, "comp", "left").select("nid", F.coalesce("_to", "comp").alias("comp")))
 
@@ -364,6 +425,58 @@ def parities(sets: DataFrame) -> DataFrame:
     return strung(sets.select("nid", "full")).mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """(nid, size, marks): of every set the size, and parities as in ``parities`` of at least as many hashes as twice its shingles.
+
+    The number of bits is a power of two, so a longer one is folded to the length of a shorter one.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                size, marks = [], []
+                for x in part.column("full"):
+                    full = np.frombuffer(x.as_buffer(), np.uint64)
+                    bits = max(64 * WORDS, 1 << (2 * len(full) - 1).bit_length())
+                    odd = np.bincount((mixed(full, 9) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+                    size.append(len(full))
+                    marks.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("nid"), pa.array(size, pa.int64()), pa.array(marks, pa.binary())], names=["nid", "size", "marks"])
+
+    return strung(sets.select("nid", "full")).mapInArrow(lean(run), "nid long, size long, marks binary")
+
+
+def least_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many shingles two sets differ at least, by the words of their ``sketches``."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def close_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) that ``sketches`` do not rule out.
+
+    They have a bit or more for each shingle, so that sets of any size are told apart, and are
+    a sixteenth as long as the sets, which go only with the pairs that are left.
+    """
+    marks = kept(sketches(sets))
+    for x in "ba":
+        pairs = pairs.join(marks.select(F.col("nid").alias(x), F.col("size").alias(f"size_{x}"), F.col("marks").alias(f"marks_{x}")), x)
+
+    def run(batches):
+        for batch in batches:
+            sizes = [batch.column(f"size_{x}").to_numpy() for x in "ab"]
+            marks = zip(*(batch.column(f"marks_{x}") for x in "ab"))
+            apart = np.array([least_apart(*(np.frombuffer(m.as_buffer(), np.uint64) for m in both)) for both in marks], np.int64)
+            apart = np.maximum(apart, np.abs(sizes[0] - sizes[1]))
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * apart <= (100 - percent) * (sizes[0] + sizes[1])))
+
+    return strung(pairs.select("a", "b", "size_a", "size_b", "marks_a", "marks_b")).mapInArrow(lean(run), "a long, b long")
+
+
 def first_hashes(nodes: DataFrame, name: str, keep, side=SIDE) -> DataFrame:
     """(i, h, and for ``name``: the hashes s0, s1, ... and the columns ``keep``): a row for each hash of the first collection of every node."""
     kinds = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
@@ -433,20 +546,13 @@ def possible_pairs(nodes: DataFrame, rest: DataFrame, inside: DataFrame, labels:
     close = (100 + percent) * differ <= (100 - percent) * (F.col("x_size") + F.col("y_size"))
     by_hash = x.join(y, (x["i"] == y["i"]) & (x["h"] == y["h"]) & apart & enough(F.lit(0)) & close & fresh & second)
     ends = [F.least("x_nid", "y_nid").alias("a"), F.greatest("x_nid", "y_nid").alias("b")]
-    return by_item.select(*ends).union(by_hash.select(*ends)).distinct()
-
+    pairs = kept(by_item.select(*ends).union(by_hash.select(*ends)).distinct())
+    return close_pairs(pairs, sets.join(there.select("nid"), "nid", "left_semi"), percent)
 
-def group(df: DataFrame, id_col="doc_id", text="text", width=5, percent=80) -> DataFrame:
-    """One row per row of ``df``: id, n_shingles, component_id, kept.
 
-    Words are runs without ASCII white space with A-Z lower-cased; documents are linked if
-    100 x intersection >= ``percent`` x union of their sets of ``width``-word shingles.
-    component_id is the smallest id reachable, itself included, and ``kept`` says that it is
-    the row's own. Texts without words (or null) are linked with nothing. Rows with a null id
-    take part and are kept only if their component holds no id. Repeated rows are equal sets.
-    """
-    spark = df.sparkSession
-    rows = checkpointed(signed(df, text, width, id_col))
+def node_components(df: DataFrame, rows: DataFrame, text: str, width: int, percent: int, id_col: str) -> DataFrame:
+    """(node, component_id) for every distinct set of ``rows``, what ``signed`` makes of ``df``."""
+    spark = rows.sparkSession
     # One row per distinct set; nid is fixed by the stored table.
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first_id"), F.first("sig").alias("sig"))
     nodes = kept(nodes.withColumn("nid", F.monotonically_increasing_id()))
@@ -455,16 +561,31 @@ def group(df: DataFrame, id_col="doc_id", text="text", width=5, percent=80) -> D
     candidates = kept(stars(nodes, parts))
     best = candidates.groupBy("nid").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     first = best.select(F.col("pivot").alias("a"), F.col("nid").alias("b"))
-    wanted = candidates.select("nid").union(candidates.select("pivot")).distinct().join(nodes.select("nid", "node"), "nid")
+    wanted = candidates.select("nid").union(candidates.select("pivot")).distinct().join(nodes.select("nid", "node", "first_id"), "nid")
     wanted = kept(wanted)
-    low = wanted.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("low"))
-    found = full_sets(df, text, width, bit_filter(low, "low")).groupBy("node").agg(F.first("full").alias("full"))
+    # A document with the first id of a node holds its set; ids may repeat, and all may be null.
+    ids = wanted.select(F.xxhash64("first_id").alias("id"))
+    found = full_sets(df, text, width, id_col, bit_filter(ids, "id")).groupBy("node").agg(F.first("full").alias("full"))
     sets = kept(found.join(wanted.select("node", "nid"), "node").select("nid", "full"))
     ids = wanted.select("nid", F.col("nid").alias("comp"))
     labels = joined(ids, kept(confirmed(first, sets, percent)))
     labels = mixed_links(nodes, sets, labels, first, percent)
     final = nodes.join(labels, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     least = final.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    by_node = kept(final.join(least, "comp").select("node", "component_id"))
+    return kept(final.join(least, "comp").select("node", "component_id"))
+
+
+def group(df: DataFrame, id_col="doc_id", text="text", width=5, percent=80) -> DataFrame:
+    """One row per row of ``df``: id, n_shingles, component_id, kept.
+
+    Words are runs without ASCII white space with A-Z lower-cased; documents are linked if
+    100 x intersection >= ``percent`` x union of their sets of ``width``-word shingles.
+    component_id is the smallest id reachable, itself included, and ``kept`` says that it is
+    the row's own. Texts without words (or null) are linked with nothing. Rows with a null id
+    take part and are kept only if their component holds no id. Repeated rows are equal sets.
+    """
+    rows = checkpointed(signed(df, text, width, id_col))
+    with small_broadcasts(df.sparkSession):
+        by_node = node_components(df, rows, text, width, percent, id_col)
     out = rows.join(by_node, "node", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))

@@ -194,3 +194,84 @@ def test_a_stored_step_gives_the_drivers_memory_back_before_the_next_one(spark,
     labels = neardup.components(links).collect()
     assert sorted((r["nid"], r["comp"]) for r in labels) == [(k, 0) for k in range(41)] + [(90, 90), (100, 90)]
     assert len(events) > 6 and events == ["stored", "released"] * (len(events) // 2)
+
+
+def test_few_links_are_connected_by_one_task_as_by_rounds(spark, monkeypatch):
+    """Either way gives the same labels; few links take no rounds, whose jobs and broadcasts fill the driver's memory."""
+    rng = random.Random(11)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k + 1000, k + 1001) for k in range(60)]
+    links = neardup.kept(spark.createDataFrame(links, "a long, b long"))
+    labels = neardup.kept(spark.range(1100).selectExpr("id AS nid", "id - id % 3 AS comp"))
+    stored = []
+    keep = neardup.kept
+    monkeypatch.setattr(neardup, "kept", lambda df: stored.append(df) or keep(df))
+    here = sorted(neardup.joined(labels, links).collect())
+    assert len(stored) == 2
+    monkeypatch.setattr(neardup, "LOCAL_LINKS", 10)
+    assert here == sorted(neardup.joined(labels, links).collect())
+    assert len(stored) > 6
+
+
+def test_connected_follows_chains_in_any_order():
+    ends = np.arange(500)
+    order = np.random.default_rng(3).permutation(499)
+    nodes, low = neardup.connected((7 * ends + 3)[1:][order], (7 * ends + 3)[:-1][order])
+    assert nodes.tolist() == (7 * ends + 3).tolist() and set(low.tolist()) == {3}
+
+
+def test_joins_broadcast_little_whatever_the_session_allows(spark, monkeypatch):
+    """A table is held in the driver's memory a few times while it is broadcast; the session's own limit comes back."""
+    name, seen, store = "spark.sql.autoBroadcastJoinThreshold", [], neardup.checkpointed
+    before = spark.conf.get(name)
+    monkeypatch.setattr(neardup, "checkpointed", lambda df: seen.append(df.sparkSession.conf.get(name)) or store(df))
+    rows = spark.createDataFrame([(k, f"a b c d e f g h {k // 2}") for k in range(8)], "doc_id long, text string")
+    try:
+        spark.conf.set(name, "64MB")
+        assert found(rows, width=2)[0][1][1] == 0
+        assert set(seen[1:]) == {str(neardup.BROADCAST)} and spark.conf.get(name) == "64MB"
+        seen.clear()
+        spark.conf.set(name, "-1")
+        found(rows, width=2)
+        assert set(seen) == {"-1"}
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_sketches_tell_sets_of_any_size_apart(spark):
+    """No pair at the threshold is ruled out; large sets that differ in a third are, which 1,024 parities could not tell."""
+    rng = np.random.default_rng(4)
+    rows, pairs, near = [], [], set()
+    for size in (1, 9, 90, 900, 9_000, 90_000):
+        for share in (1.0, 0.9, 0.889, 0.6):
+            x = rng.integers(0, 1 << 63, size).astype(np.uint64)
+            y = np.concatenate([x[: round(size * share)], rng.integers(0, 1 << 63, size - round(size * share)).astype(np.uint64)])
+            a, b = len(rows), len(rows) + 1
+            rows += [(a, bytearray(np.sort(x).tobytes())), (b, bytearray(np.sort(y).tobytes()))]
+            pairs.append((a, b))
+            common = len(np.intersect1d(x, y))
+            if 100 * common >= 80 * (2 * size - common):
+                near.add((a, b))
+            elif size >= 900:
+                near.add((-a, -b))
+    rows.append((len(rows), bytearray(np.arange(7, dtype=np.uint64).tobytes())))
+    pairs.append((len(rows) - 1, pairs[-1][0]))
+    sets = spark.createDataFrame(rows, "nid long, full binary").repartition(3)
+    left = {(r.a, r.b) for r in neardup.close_pairs(spark.createDataFrame(pairs, "a long, b long"), sets, 80).collect()}
+    assert {p for p in near if p[0] >= 0} <= left and not any((-a, -b) in near for a, b in left)
+    assert pairs[-1] not in left
+
+
+def test_only_wanted_documents_are_shingled_again(spark, monkeypatch):
+    """Sets are made again for nodes that share a table only, whatever ids repeat or are null."""
+    rng = random.Random(2)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    twins = [text() for _ in range(6)]
+    rows = [(i % 3 if i % 2 else None, t + end) for i, t in enumerate(twins) for end in ("", " more")]
+    rows += [(1000 + i, text()) for i in range(400)]
+    made = []
+    sets = neardup.full_sets
+    monkeypatch.setattr(neardup, "full_sets", lambda *a: made.append(sets(*a)) or made[-1])
+    out = neardup.group(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert made[0].count() < 40
+    assert sum(r["component_id"] is None for r in out) == 6 and sorted(r["component_id"] for r in out if r["doc_id"] in (0, 1, 2)) == [0, 0, 1, 1, 2, 2]
+    assert all(r["component_id"] == r["doc_id"] and r["kept"] for r in out if (r["doc_id"] or 0) >= 1000)
