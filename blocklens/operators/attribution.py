@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from blocklens import config as C
 from blocklens.functions.scale import checkpointed, split_hash, spread
 from blocklens.operators.autoencoder import Autoencoder, squared_error
-from blocklens.operators.iforest import Forest, ForestScorer, forest_scorer, vectors
+from blocklens.operators.iforest import Forest, ForestScorer, alike, forest_scorer, vectors
 from blocklens.operators.triage import label_features, with_template
 
 #: Alerts explained together, and alerts of a task: each costs thousands of scores.
-AT_ONCE, TASK_ALERTS = 256, 2_000
+AT_ONCE, TASK_ALERTS = 512, 2_000
 
 
 def background(rows: DataFrame, n: int = C.BACKGROUND_ROWS, seed: int = C.SEED) -> DataFrame:
@@ -148,8 +148,11 @@ def attribute(alerts: DataFrame, reference: DataFrame, columns, score: Callable,
         scorer, base, more = shared.value
         for batch in batches:
             if by_leaves:
-                pieces = [np.stack(batch.iloc[i : i + AT_ONCE].to_list()) for i in range(0, len(batch), AT_ONCE)]
-                done = [one for p in pieces for one in _kernel_contributions_by_leaves(scorer, base, p, *more)]
+                xs = np.stack(batch.to_list()) if len(batch) else np.zeros((0, base.shape[1]))
+                order, done = alike(xs), [None] * len(xs)
+                for own in (order[i : i + AT_ONCE] for i in range(0, len(xs), AT_ONCE)):
+                    for i, one in zip(own, _kernel_contributions_by_leaves(scorer, base, xs[own], *more)):
+                        done[i] = one
             else:
                 done = [explain_one(scorer, base, np.asarray(x), *more) for x in batch]
             yield pd.DataFrame(

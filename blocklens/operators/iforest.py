@@ -22,9 +22,8 @@ from blocklens.functions.scoring import decide
 NODE_SCHEMA = "tree int, node long, feature int, threshold double, n long"
 LOCAL_ROWS = 50_000
 BROADCAST_NODES = 4_000_000
-MASK_BITS = 62
-LEAVES_PER_TREE = 1_024
-LEAVES_AT_ONCE = 16_384
+#: Nodes of a tree, and of the trees that are worked on together, in sums over leaves: each has a bit for a row.
+NODES_PER_TREE, NODES_AT_ONCE = 1 << 20, 1 << 16
 
 
 @dataclass
@@ -301,71 +300,114 @@ class ForestScorer:
     """Raw scores of rows, and mean scores of coalitions without walking their rows."""
 
     def __init__(self, walker: Walker, sample_size: int):
-        self.walker, self.sample_size, self.boxes = walker, sample_size, None
+        self.walker, self.sample_size = walker, sample_size
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return raw_score(self.walker.total_path(x), len(self.walker.roots), self.sample_size)
 
     def sums_leaves(self, width: int) -> bool:
-        """Whether summing over leaves costs less than walking: features fit a mask, trees are not too large."""
-        return width <= MASK_BITS and int((self.walker.child < 0).sum()) <= LEAVES_PER_TREE * len(self.walker.roots)
+        """Whether summing over leaves costs less than walking rows of ``width`` features: a tree's nodes are worked on in one piece."""
+        return width > 0 and int(np.diff(np.append(self.walker.roots, len(self.walker.child))).max()) <= NODES_PER_TREE
 
     def coalition_means(self, base: np.ndarray, xs: np.ndarray, z: np.ndarray) -> np.ndarray:
         """(rows of ``xs``, coalitions ``z``): the mean score while the coalition's features are the row's, the others the background's.
 
-        A row mixed of x and b is in a leaf if x breaks none of the leaf's bounds within the
-        coalition and b none outside it. For each coalition the total paths of all x and b are
-        the product of two tables over the leaves, taken some leaves at a time.
+        A row mixed of x and b goes x's way at a node whose feature is in the coalition and b's
+        way elsewhere. So for a coalition the x that reach a node, and the b that do, are told
+        by a bit each, 64 rows to a word, from the root down, and nodes that no x or no b
+        reaches are left out. The total paths of 64 x and all b are the product of two tables
+        over the leaves that some of both reach. Rows next to each other should be alike
+        (``alike``), as they then share leaves.
         """
-        if self.boxes is None:
-            self.boxes = _leaf_boxes(self.walker, base.shape[1])
-        lengths, lows, highs = self.boxes
-        kind = np.int32 if base.shape[1] < 31 else np.int64
-        bits = kind(1) << np.arange(base.shape[1], dtype=kind)
-        inside, outside = ((z > 0) @ bits).astype(kind), ((z <= 0) @ bits).astype(kind)
-        paths = np.zeros((len(z), len(xs), len(base)))
-        for k in range(0, len(lengths), LEAVES_AT_ONCE):
-            own = slice(k, k + LEAVES_AT_ONCE)
-            of_x, of_b = (_broken(rows, lows[own], highs[own], bits) for rows in (xs, base))
-            for c in range(len(z)):
-                fits = (of_b & outside[c]) == 0
-                some = np.flatnonzero(fits.any(axis=0))
-                weighted = fits[:, some].T * lengths[own][some, None]
-                member = (of_x[:, some] & inside[c]) == 0
-                if np.count_nonzero(member) * 16 < member.size:
-                    row, leaf = np.nonzero(member)
-                    cuts = np.flatnonzero(np.diff(row, prepend=-1))
-                    if len(cuts):
-                        paths[c, row[cuts]] += np.add.reduceat(weighted[leaf], cuts, axis=0)
-                else:
-                    paths[c] += member.astype(float) @ weighted
+        n, m = len(xs), len(base)
+        paths, split = np.zeros((len(z), n, m)), -(-n // 64)
+        every = np.hstack([_packed(np.ones((1, k), bool)) for k in (n, m)])
+        for first, last in self._parts():
+            goes = np.hstack([_right(self.walker, first, last, rows) for rows in (xs, base)])
+            for c, chosen in enumerate(z > 0):
+                decide = np.where((np.arange(len(every[0])) < split) == chosen[:, None], ~np.uint64(0), np.uint64(0))
+                leaves, of_x, of_b = _reached(self.walker, first, last, goes, every, decide, split)
+                weighted = _unpacked(of_b, m) * self.walker.length[leaves, None]
+                for k in range(0, n, 64):
+                    here = np.flatnonzero(of_x[:, k >> 6])
+                    own = _unpacked(of_x[here, k >> 6, None], min(64, n - k))
+                    paths[c, k : k + 64] += own.T @ weighted[here]
         return raw_score(paths, len(self.walker.roots), self.sample_size).mean(axis=2).T
 
-
-def _leaf_boxes(walker: Walker, width: int):
-    """Path length and bounds of every leaf: a row is in it if lows < x <= highs."""
-    lows, highs = (np.full((len(walker.child), width), v) for v in (-np.inf, np.inf))
-    at = walker.roots
-    while len(at := at[walker.child[at] >= 0]):
-        left, f, t = walker.child[at], walker.feature[at], walker.threshold[at]
-        for side in (left, left + 1):
-            lows[side], highs[side] = lows[at], highs[at]
-        highs[left, f] = np.minimum(highs[left, f], t)
-        lows[left + 1, f] = np.maximum(lows[left + 1, f], t)
-        at = np.concatenate([left, left + 1])
-    leaves = np.flatnonzero(walker.child < 0)
-    return walker.length[leaves], lows[leaves], highs[leaves]
-
-
-def _broken(rows: np.ndarray, lows: np.ndarray, highs: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """(rows, leaves): the features, as bits, in which a row is outside a leaf."""
-    out = np.zeros((len(rows), len(lows)), bits.dtype)
-    for f, bit in enumerate(bits):
-        x = rows[:, f, None]
-        out |= np.where((x > highs[:, f]) | (~(x > lows[:, f]) & (lows[:, f] > -np.inf)), bit, bits.dtype.type(0))
+    def _parts(self) -> list:
+        """Ranges of nodes, whole trees each, of about ``NODES_AT_ONCE`` nodes."""
+        out, first, ends = [], 0, [*self.walker.roots[1:].tolist(), len(self.walker.child)]
+        for end, following in zip(ends, [*ends[1:], np.inf]):
+            if following - first > NODES_AT_ONCE:
+                out.append((first, end))
+                first = end
+        return out
+
+
+def alike(rows: np.ndarray, most: int = 64) -> np.ndarray:
+    """An order of ``rows`` in which each ``most`` in turn lie close to each other: halves by the feature of the widest spread."""
+    todo, out = [np.arange(len(rows))], []
+    while todo:
+        own = todo.pop()
+        if len(own) <= most:
+            out.append(own)
+            continue
+        part = rows[own]
+        middle = most * (-(-len(own) // most) // 2)
+        own = own[np.argpartition(part[:, np.nan_to_num(part).std(axis=0).argmax()], middle)]
+        todo += [own[middle:], own[:middle]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _packed(flags: np.ndarray) -> np.ndarray:
+    """Flags (cells, rows) as words of 64 rows each."""
+    bytes_of = np.packbits(flags, axis=1, bitorder="little")
+    words = np.zeros((len(flags), -(-flags.shape[1] // 64) * 8), np.uint8)
+    words[:, : bytes_of.shape[1]] = bytes_of
+    return words.view(np.uint64)
+
+
+def _unpacked(words: np.ndarray, n: int) -> np.ndarray:
+    """Words of 64 rows each as numbers 0 and 1 (cells, rows)."""
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, count=n, bitorder="little").astype(float)
+
+
+def _right(walker: Walker, first: int, last: int, rows: np.ndarray) -> np.ndarray:
+    """(nodes, words): which ``rows`` go right at each of the nodes ``first`` to ``last``, leaves aside."""
+    columns, inner = np.ascontiguousarray(rows.T), first + np.flatnonzero(walker.child[first:last] >= 0)
+    out = np.zeros((last - first, -(-len(rows) // 64)), np.uint64)
+    for own in np.array_split(inner, max(1, len(inner) * len(rows) >> 20)):
+        out[own - first] = _packed(columns[walker.feature[own]] > walker.threshold[own, None])
     return out
 
 
+def _reached(walker: Walker, first: int, last: int, goes: np.ndarray, rows: np.ndarray, decide: np.ndarray, split: int):
+    """Leaves among the nodes ``first`` to ``last`` that rows of both tables reach, and which.
+
+    ``goes`` has the words of both tables, ``split`` of the first one, and ``rows`` those of all
+    rows. ``decide`` has for each feature the words that are divided between a node's children;
+    the others go to both.
+    """
+    at = walker.roots[(walker.roots >= first) & (walker.roots < last)]
+    here, found = np.repeat(rows, len(at), axis=0), []
+    while len(at):
+        inner = walker.child[at] >= 0
+        if not inner.all():
+            found.append((at[~inner], here[~inner]))
+            at, here = at[inner], here[inner]
+        k, divided = len(at), decide[walker.feature[at]]
+        below = np.empty((2 * k, here.shape[1]), np.uint64)
+        np.bitwise_and(goes[at - first], divided, out=below[:k])
+        np.bitwise_and(here, below[:k], out=below[k:])
+        np.bitwise_xor(here, below[k:], out=below[:k])
+        below[k:] |= here & ~divided
+        at = np.concatenate([walker.child[at], walker.child[at] + 1])
+        alive = np.flatnonzero(below[:, :split].any(axis=1) & below[:, split:].any(axis=1))
+        at, here = at[alive], below[alive]
+    at, here = (np.concatenate(x) for x in zip(*found))
+    return at, here[:, :split], here[:, split:]
+
+
 def score_forest(rows: DataFrame, forest: Forest, name: str = "raw_score", limit: int = BROADCAST_NODES) -> DataFrame:
     """Add the raw anomaly score (higher = more anomalous).
 

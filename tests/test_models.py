@@ -323,3 +323,38 @@ def test_an_epoch_in_one_task_holds_each_row_once():
         assert told.column("n")[0].as_py() == n
         assert np.allclose(told.column("numbers")[0].as_py(), expected, rtol=1e-9, atol=1e-12)
         assert not most or peak < 1.5 * values.nbytes
+
+
+def test_large_trees_are_summed_over_leaves_too(spark):
+    """Trees of more than a thousand leaves, more than 64 rows on either side, trees worked on in several parts."""
+    rng = np.random.default_rng(3)
+    x = rng.random((9_000, 4))
+    rows = pd.DataFrame(x, columns=list("abcd")).assign(block_id=[f"b{i}" for i in range(len(x))])
+    model = iforest.fit_forest(spark.createDataFrame(rows), list("abcd"), n_trees=6, local_rows=2_000)
+    scorer, z = iforest.forest_scorer(model), attribution.coalitions(4, 14)[0]
+    assert (scorer.walker.child < 0).sum() > 6 * 1_024 and scorer.sums_leaves(4)
+    some, base = x[:70], x[500:600]
+    want = [[scorer(np.where(c > 0, one, base)).mean() for c in z] for one in some]
+    assert np.abs(scorer.coalition_means(base, some, z) - want).max() < 1e-12
+    parts = iforest.NODES_AT_ONCE
+    try:
+        iforest.NODES_AT_ONCE = 1_000
+        assert len(scorer._parts()) == 6 and np.abs(scorer.coalition_means(base, some, z) - want).max() < 1e-12
+    finally:
+        iforest.NODES_AT_ONCE = parts
+
+
+def test_alerts_are_explained_in_the_order_of_likeness_and_returned_in_their_own(spark):
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.random((150, 3)), 2, axis=0)[rng.permutation(300)]
+    order = iforest.alike(x)
+    assert sorted(order) == list(range(300)) and len(iforest.alike(x[:0])) == 0
+    near = np.abs(np.diff(x[order], axis=0)).sum(axis=1).mean()
+    assert near < 0.8 * np.abs(np.diff(x, axis=0)).sum(axis=1).mean()
+    rows = pd.DataFrame(x, columns=list("abc")).assign(block_id=[f"b{i:03d}" for i in range(300)])
+    table = spark.createDataFrame(rows).coalesce(1)
+    model = iforest.fit_forest(table, list("abc"), n_trees=10)
+    score = iforest.forest_scorer(model)
+    found = attribution.attribute_forest(table, attribution.background(table, 20), model).groupBy("block_id").agg(F.first("f_x").alias("f_x"), F.collect_list("value").alias("x")).toPandas()
+    assert np.abs(score(np.stack(found["x"].to_list())) - found["f_x"]).max() < 1e-12
+    assert np.array_equal(np.stack(found.sort_values("block_id")["x"].to_list()), x)
