@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from blocklens import config as C
 from blocklens.functions import text
-from blocklens.functions.scale import checkpointed, global_rank, lookup_join
+from blocklens.functions.scale import checkpointed, fits_broadcast, global_rank, lookup_join, stored
 
 BUCKET_ROWS = 1_000
 #: Templates of a leaf that are compared one by one before they are listed by their tokens.
@@ -27,10 +27,12 @@ TAIL = 256
 PAIRS = 1 << 21
 _JOINER = " "
 # What is clustered: signatures, and templates of an earlier run (those have an event id).
-_SEED_COLUMNS = ("n_tok", "key0", "tokens", "first_line", "event_id", "n_lines")
-_MEMBER_COLUMNS = ("cluster", "known", "part", "n_tok", "key0", "tokens", "first_line", "event_id", "n_lines")
+# Texts go as they are, not as arrays of tokens, which take three times their bytes.
+_PART_COLUMNS = ("part", "n_tok", "key0", "text", "first_line", "n_lines")
+_SEED_COLUMNS = ("n_tok", "key0", "text", "first_line", "event_id", "n_lines")
+_MEMBER_COLUMNS = ("cluster", "known", "part", "n_tok", "key0", "text", "first_line", "event_id", "n_lines")
 _MEMBER_SCHEMA = (
-    "cluster string, known boolean, part string, n_tok int, key0 string, tokens array<string>, "
+    "cluster string, known boolean, part long, n_tok int, key0 string, text string, "
     "first_line long, event_id string, n_lines long"
 )
 
@@ -73,7 +75,8 @@ def _limit_children(sigs: DataFrame, dictionary: DataFrame | None, max_children:
         .filter(F.col("_r") < max_children)
         .select("n_tok", "key0", F.lit(True).alias("_own"))
     )
-    placed = lookup_join(sigs, own, ["n_tok", "key0"])
+    # Stored, as what is placed is read some times.
+    placed = lookup_join(sigs, checkpointed(own), ["n_tok", "key0"])
     return placed.withColumn("key0", F.when(F.col("_own"), F.col("key0")).otherwise(C.WILDCARD)).drop("_own")
 
 
@@ -92,28 +95,45 @@ def _leaf():
     return F.concat_ws(_JOINER, F.col("n_tok").cast("string"), F.col("key0"))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` stored; what earlier steps have shuffled is deleted once the driver finds that nobody reads it, so it is made to look."""
+    out = stored(df, "zstd")
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def _without(parts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``parts`` (stored) but those of ``ids``; stored again only where ``ids`` are too many to be broadcast."""
+    if fits_broadcast(ids):
+        return parts.join(F.broadcast(ids), "part", "left_anti")
+    return _settled(parts.join(ids, "part", "left_anti"))
+
+
 def _merge_alike(parts: DataFrame, threshold: float, last: bool):
     """Merge rows of a leaf that share their first (or ``last``) fixed tokens, as many as make two rows similar.
 
-    ``parts`` has part (a name), n_tok, key0, tokens, first_line and n_lines. All rows of a
+    ``parts`` has part (a number), n_tok, key0, text, first_line and n_lines. All rows of a
     group are similar to each other and to what they become, so merging is a plain
     aggregation: positions where a row differs from the group's first one become wildcards,
-    and a group with most of the rows is summed up where they are. Returns the rows that are
+    and a group with most of the rows is summed up where they are. Groups are found by 128 bits
+    of their name, so only the texts of rows that merge are written again. Returns the rows that are
     left, and (part, into) for those that went into another.
     """
-    fixed, need = _fixed_tokens("tokens"), _enough(threshold)
+    fixed, need = _fixed_tokens(F.split("text", _JOINER)), _enough(threshold)
     piece = F.slice(fixed, -need, need) if last else F.slice(fixed, 1, need)
     spelled = F.transform(piece, lambda p: F.concat_ws("=", p["i"].cast("string"), p["t"]))
     group = F.when(F.size(fixed) >= need, F.concat_ws(_JOINER, _leaf(), F.array_join(spelled, _JOINER)))
-    # Read four times below, and spelling a group takes long.
-    keyed = checkpointed(parts.withColumn("_group", group))
-    first = F.min(F.struct("first_line", "part", "tokens")).alias("_first")
-    groups = keyed.filter("_group IS NOT NULL").groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), first)
-    groups = checkpointed(groups.filter("_n > 1").select("_group", F.col("_first.part").alias("into"), F.col("_first.tokens").alias("_like")))
-    if groups.isEmpty():
+    # Filtered once it is stored: a filter before it would spell every group twice.
+    keyed = _settled(parts.select("part", F.unhex(F.md5(group)).alias("_group"))).filter("_group IS NOT NULL")
+    several = _settled(keyed.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_group"))
+    if several.isEmpty():
         return parts, None
-    members = lookup_join(keyed.filter("_group IS NOT NULL"), groups, "_group", "inner")
-    differs = F.filter(F.sequence(F.lit(0), F.col("n_tok") - 1), lambda i: F.get("tokens", i) != F.get("_like", i))
+    ids = _settled(lookup_join(keyed, several.withColumn("_many", F.lit(True)), "_group", "inner").select("part", "_group"))
+    found = _settled(lookup_join(parts, ids, "part", "inner"))
+    first = F.min(F.struct("first_line", "text", "part")).alias("_first")
+    groups = _settled(found.groupBy("_group").agg(first).select("_group", F.col("_first.part").alias("into"), F.col("_first.text").alias("_like")))
+    members = lookup_join(found, groups, "_group", "inner").withColumns({"_tokens": F.split("text", _JOINER), "_like": F.split("_like", _JOINER)})
+    differs = F.filter(F.sequence(F.lit(0), F.col("n_tok") - 1), lambda i: F.get("_tokens", i) != F.get("_like", i))
     wild = members.select("into", F.explode(differs).alias("i")).distinct()
     # At most a position for each token of a template.
     wild = wild.groupBy("into").agg(F.collect_set("i").alias("_wild"))
@@ -122,10 +142,9 @@ def _merge_alike(parts: DataFrame, threshold: float, last: bool):
     )
     tokens = F.transform("_like", lambda t, i: F.when(F.array_contains("_wild", i), F.lit(C.WILDCARD)).otherwise(t))
     merged = merged.join(wild, "into", "left").withColumn("_wild", F.coalesce("_wild", F.array().cast("array<int>")))
-    merged = merged.select(F.col("into").alias("part"), "n_tok", "key0", tokens.alias("tokens"), "first_line", "n_lines")
-    alone = lookup_join(keyed, groups.select("_group", "into"), "_group").filter("into IS NULL")
-    left = checkpointed(alone.select(*parts.columns).unionByName(merged.select(*parts.columns)))
-    return left, checkpointed(members.filter("part <> into").select("part", "into"))
+    merged = _settled(merged.select(F.col("into").alias("part"), "n_tok", "key0", F.array_join(tokens, _JOINER).alias("text"), "first_line", "n_lines"))
+    left = _without(parts, ids.select("part")).select(*_PART_COLUMNS).unionByName(merged)
+    return left, _settled(members.filter("part <> into").select("part", "into"))
 
 
 def _followed(moved: DataFrame | None, more: DataFrame | None) -> DataFrame | None:
@@ -148,6 +167,7 @@ class _Leaf:
 
     def __init__(self, threshold: float, wild: int, n_tok: int):
         self.threshold, self.wild, self.texts, self.ids = threshold, wild, [], []
+        self.first, self.first_known, self.lines = [], [], []
         self.codes = np.empty((16, n_tok), np.int64)
         # The least number of agreeing tokens that makes a share of at least ``threshold``.
         self.need = next((k for k in range(n_tok + 1) if k / n_tok >= threshold), n_tok + 1)
@@ -210,6 +230,17 @@ class _Leaf:
                 self._list_tail()
         return found
 
+    def note(self, at: int, known: bool, first_line, n_lines) -> None:
+        """Count lines of template ``at``; its first line is that of this run's signatures, without any that of what it was."""
+        while len(self.lines) <= at:
+            self.first.append(None)
+            self.first_known.append(None)
+            self.lines.append(0)
+        first = self.first_known if known else self.first
+        if first_line is not None and (first[at] is None or first_line < first[at]):
+            first[at] = first_line
+        self.lines[at] += n_lines
+
     def _add(self, tokens: list, code: np.ndarray, event_id, near: np.ndarray) -> int:
         n, wild = len(self.texts), self.wild
         if event_id is None and n:
@@ -249,12 +280,15 @@ def _cluster_leaves(threshold: float):
     wild = int(_token_codes([C.WILDCARD])[0])
 
     def run(batches):
-        leaf, state = None, None
+        leaf, key0, state = None, None, None
         for rows in batches:
             if not len(rows):
                 continue
             known = rows["event_id"].notna().to_numpy()
-            tokens, names, owners = (rows[c].to_list() for c in ("tokens", "leaf", "event_id"))
+            texts, names, owners, keys = (rows[c].to_list() for c in ("text", "leaf", "event_id", "key0"))
+            tokens = [x.split(_JOINER) for x in texts]
+            firsts = [None if pd.isna(x) else int(x) for x in rows["first_line"].to_list()]
+            counts = rows["n_lines"].to_list()
             ends = np.cumsum([0] + [len(t) for t in tokens])
             codes = _token_codes(np.concatenate(tokens))
             owners = [owner if is_known else None for owner, is_known in zip(owners, known)]
@@ -263,23 +297,34 @@ def _cluster_leaves(threshold: float):
             for begin, end in zip(cuts, cuts[1:]):
                 if names[begin] != leaf:
                     if state is not None:
-                        done += _template_rows(leaf, state)
-                    leaf, state = names[begin], _Leaf(threshold, wild, len(tokens[begin]))
+                        done += _template_rows(leaf, key0, state)
+                    leaf, key0, state = names[begin], keys[begin], _Leaf(threshold, wild, len(tokens[begin]))
                 own = codes[ends[begin] : ends[end]].reshape(end - begin, -1)
-                places += [f"{leaf}#{i}" for i in state.add(tokens[begin:end], own, owners[begin:end])]
-            members = rows.assign(cluster=places, known=known, tokens=None, event_id=None)[list(_MEMBER_COLUMNS)]
+                at = state.add(tokens[begin:end], own, owners[begin:end])
+                for i, row in zip(at, range(begin, end)):
+                    state.note(i, known[row], firsts[row], int(counts[row]))
+                places += [f"{leaf}#{i}" for i in at]
+            members = rows.assign(cluster=places, known=known, n_tok=None, key0=None, text=None, first_line=None, event_id=None, n_lines=None)[list(_MEMBER_COLUMNS)]
             yield members
             if done:
-                yield pd.DataFrame(done, columns=_MEMBER_COLUMNS)
+                yield _frame(done)
         if state is not None:
-            yield pd.DataFrame(_template_rows(leaf, state), columns=_MEMBER_COLUMNS)
+            yield _frame(_template_rows(leaf, key0, state))
 
     return run
 
 
-def _template_rows(leaf: str, state: _Leaf):
-    found = enumerate(zip(state.texts, state.ids))
-    return [(f"{leaf}#{i}", None, None, None, None, tokens, None, event_id, None) for i, (tokens, event_id) in found]
+def _template_rows(leaf: str, key0: str, state: _Leaf):
+    found = enumerate(zip(state.texts, state.ids, state.first, state.first_known, state.lines))
+    return [
+        (f"{leaf}#{i}", None, None, len(tokens), key0, _JOINER.join(tokens), known if first is None else first, event_id, lines)
+        for i, (tokens, event_id, first, known, lines) in found
+    ]
+
+
+def _frame(rows: list) -> pd.DataFrame:
+    """Rows as they are: numbers stay whole beside missing ones."""
+    return pd.DataFrame(rows, columns=_MEMBER_COLUMNS, dtype=object)
 
 
 def mine_templates(
@@ -299,37 +344,34 @@ def mine_templates(
     signatures. The templates left of a leaf pass through one task in order of appearance and
     each joins the most similar one there. The result depends on neither size nor partitions.
     """
-    sigs = checkpointed(distinct_signatures(parsed))
-    placed = _limit_children(sigs, dictionary, max_children)
-    parts = placed.select(F.col("signature").alias("part"), "n_tok", "key0", "tokens", "first_line", "n_lines")
+    sigs = distinct_signatures(parsed).select("signature", "n_lines", "first_line")
+    # Numbers are fixed by the stored table, and stand for the signatures from here on.
+    sigs = _settled(sigs.withColumn("part", F.monotonically_increasing_id()))
+    tokens = F.split("signature", _JOINER)
+    placed = _limit_children(sigs.withColumns({"n_tok": F.size(tokens), "key0": F.get(tokens, 0)}), dictionary, max_children)
+    parts = placed.select("part", "n_tok", "key0", F.col("signature").alias("text"), "first_line", "n_lines")
     parts, moved = _merge_alike(parts, threshold, last=False)
     parts, more = _merge_alike(parts, threshold, last=True)
     moved = _followed(moved, more)
     seeds = parts.withColumn("event_id", F.lit(None).cast("string")).select("part", *_SEED_COLUMNS)
     if dictionary is not None:
-        earlier = dictionary.withColumns({"n_lines": F.lit(0).cast("long"), "part": F.lit(None).cast("string")})
+        earlier = dictionary.withColumns({"n_lines": F.lit(0).cast("long"), "part": F.lit(-1).cast("long"), "text": F.array_join("tokens", _JOINER)})
         seeds = seeds.unionByName(earlier.select("part", *_SEED_COLUMNS))
     leaves = seeds.withColumn("leaf", _leaf())
     buckets = max(1, math.ceil(parts.count() / BUCKET_ROWS))
-    order = [F.col("event_id").isNull(), "first_line", F.array_join("tokens", _JOINER)]
+    order = [F.col("event_id").isNull(), "first_line", "text"]
     bucketed = leaves.repartition(buckets, "leaf").sortWithinPartitions("leaf", *order)
-    rows = checkpointed(bucketed.mapInPandas(_cluster_leaves(threshold), _MEMBER_SCHEMA))
-    # Rows of parts say ``known``, rows of templates hold the tokens.
-    members = rows.filter(F.col("known").isNotNull())
-    line = F.min(F.when(~F.col("known"), F.col("first_line")))
-    clusters = rows.groupBy("cluster").agg(
-        *[F.max(c).alias(c) for c in ("n_tok", "key0", "tokens", "event_id")],
-        F.coalesce(line, F.min("first_line")).alias("first_line"),
-        F.sum("n_lines").alias("n_lines"),
-    )
-    named = checkpointed(_number(clusters, dictionary).withColumn("template", F.array_join("tokens", _JOINER)))
-    by_part = lookup_join(members.filter(~F.col("known")).select("part", "cluster"), named.select("cluster", "event_id"), "cluster")
-    by_part = checkpointed(by_part.select("part", "event_id"))
-    by_member = by_part.withColumnRenamed("part", "signature")
+    rows = _settled(bucketed.mapInPandas(_cluster_leaves(threshold), _MEMBER_SCHEMA))
+    # Rows of parts say ``known``, rows of templates hold the text.
+    members = rows.filter(~F.col("known")).select("part", "cluster")
+    clusters = rows.filter(F.col("known").isNull()).drop("known", "part")
+    named = _settled(_number(clusters, dictionary))
+    dictionary = named.select("n_tok", "key0", F.split("text", _JOINER).alias("tokens"), "event_id", "first_line", "n_lines", F.col("text").alias("template"))
+    by_part = _settled(lookup_join(members, named.select("cluster", "event_id"), "cluster").select("part", "event_id"))
     if moved is not None:
-        inside = lookup_join(moved.withColumnRenamed("part", "signature"), by_part.withColumnRenamed("part", "into"), "into")
-        by_member = checkpointed(by_member.unionByName(inside.select("signature", "event_id")))
-    return Mined(named.drop("cluster"), by_member)
+        inside = lookup_join(moved, by_part.withColumnRenamed("part", "into"), "into")
+        by_part = _settled(by_part.unionByName(inside.select("part", "event_id")))
+    return Mined(dictionary, lookup_join(sigs.select("part", "signature"), by_part, "part").select("signature", "event_id"))
 
 
 def _number(clusters: DataFrame, dictionary: DataFrame | None) -> DataFrame:
@@ -337,8 +379,10 @@ def _number(clusters: DataFrame, dictionary: DataFrame | None) -> DataFrame:
     if dictionary is not None:
         taken = F.regexp_extract("event_id", r"(\d+)", 1).cast("long")
         start = dictionary.agg(F.coalesce(F.max(taken), F.lit(0))).first()[0]
-    fresh = global_rank(clusters.filter(F.col("event_id").isNull()), "first_line")
-    fresh = fresh.withColumn("event_id", F.concat(F.lit("E"), (F.col("rank") + start).cast("string")))
+    # Names and first lines are ranked, texts stay where they are.
+    fresh = clusters.filter(F.col("event_id").isNull())
+    ranks = checkpointed(global_rank(fresh.select("cluster", "first_line"), "first_line").select("cluster", "rank"))
+    fresh = lookup_join(fresh, ranks, "cluster").withColumn("event_id", F.concat(F.lit("E"), (F.col("rank") + start).cast("string")))
     return fresh.drop("rank").unionByName(clusters.filter(F.col("event_id").isNotNull()))
 
 

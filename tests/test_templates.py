@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -176,3 +177,20 @@ def test_unlike_signatures_of_a_leaf_are_looked_up(monkeypatch):
     monkeypatch.setattr(templates, "TAIL", 1 << 40)
     assert whole.add(tokens, codes, [None] * 4_000) == found and leaf.texts == whole.texts
     assert leaf.compared < whole.compared / 5
+
+
+def test_mining_free_text_writes_little_more_than_the_text(spark, tmp_path):
+    """What is stored while lines that hardly merge are mined: a few times their text, not some for each token and step."""
+    from blocklens.functions import scale
+
+    rng = np.random.default_rng(6)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(3_000)])
+    lines = [" ".join(rng.choice(words, 12)) for _ in range(12_000)]
+    table = spark.createDataFrame(list(enumerate(lines)), "line_id long, content string").repartition(4)
+    folder = Path(scale._checkpoint_folder(spark).removeprefix("file:"))
+    used = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = used()
+    mined = templates.mine_templates(table)
+    assert used() - before < 4 * sum(map(len, lines))
+    assert mined.dictionary.agg(F.sum("n_lines")).first()[0] == len(lines)
+    assert mined.signatures.filter("event_id IS NULL").count() == 0
